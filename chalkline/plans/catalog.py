@@ -102,3 +102,104 @@ def _monthly_growth(spark, d):
 def _recent_requests(spark, d):
     f = Fixture(spark, d)
     return A.recent_requests(f.requests, f.schools, f.teachers)
+
+
+# ---- Q9-Q19: reports and rules -------------------------------------------------
+
+from chalkline.operators import directory as D  # noqa: E402
+from chalkline.operators import requests as R  # noqa: E402
+from chalkline.operators import rules as U  # noqa: E402
+
+
+@register("request_search", O.REQUEST_SEARCH)
+def _request_search(spark, d):
+    f = Fixture(spark, d)
+    return R.request_search(f.requests, f.teachers, f.schools)
+
+
+@register("request_search_pending", O.REQUEST_SEARCH_PENDING)
+def _request_search_pending(spark, d):
+    f = Fixture(spark, d)
+    return R.request_search(f.requests, f.teachers, f.schools, status="PENDING")
+
+
+@register("request_search_text", O.REQUEST_SEARCH_TEXT)
+def _request_search_text(spark, d):
+    f = Fixture(spark, d)
+    return R.request_search(f.requests, f.teachers, f.schools, search="customer#00000001")
+
+
+@register("request_detail", O.REQUEST_DETAIL)
+def _request_detail(spark, d):
+    f = Fixture(spark, d)
+    return R.request_search(f.requests, f.teachers, f.schools, detail=True)
+
+
+@register("school_request_feed", O.SCHOOL_REQUEST_FEED)
+def _school_request_feed(spark, d):
+    f = Fixture(spark, d)
+    return R.flatten_struct(R.school_request_feed(f.requests, f.teachers), "teacher")
+
+
+@register("school_request_detail", O.SCHOOL_REQUEST_DETAIL)
+def _school_request_detail(spark, d):
+    f = Fixture(spark, d)
+    return R.flatten_struct(R.school_request_feed(f.requests, f.teachers, detail=True), "teacher")
+
+
+@register("portal_teacher_list", O.PORTAL_TEACHER_LIST)
+def _portal_teacher_list(spark, d):
+    return D.portal_teacher_list(Fixture(spark, d).teachers, seed=7)
+
+
+@register("portal_teacher_detail", O.PORTAL_TEACHER_DETAIL)
+def _portal_teacher_detail(spark, d):
+    return D.portal_teacher_list(Fixture(spark, d).teachers, detail=True)
+
+
+@register("teacher_export", O.TEACHER_EXPORT)
+def _teacher_export(spark, d):
+    return D.teacher_export(Fixture(spark, d).teachers)
+
+
+@register("school_export", O.SCHOOL_EXPORT)
+def _school_export(spark, d):
+    return D.school_export(Fixture(spark, d).schools)
+
+
+@register("access_code_report", O.ACCESS_CODE_REPORT)
+def _access_code_report(spark, d):
+    f = Fixture(spark, d)
+    return D.access_code_report(f.access_codes, f.schools)
+
+
+@register("subscription_status_report", O.SUBSCRIPTION_STATUS_REPORT)
+def _subscription_status_report(spark, d):
+    return U.subscription_status_report(Fixture(spark, d).schools)
+
+
+@register("plan_change_check", O.PLAN_CHANGE_CHECK)
+def _plan_change_check(spark, d):
+    return U.plan_change_check(Fixture(spark, d).schools, fx.plan_wants(spark, d), AS_OF)
+
+
+@register("entitlement_report", O.ENTITLEMENT_REPORT)
+def _entitlement_report(spark, d):
+    return U.entitlement_report(Fixture(spark, d).schools, AS_OF)
+
+
+@register("access_code_check", O.ACCESS_CODE_CHECK)
+def _access_code_check(spark, d):
+    f = Fixture(spark, d)
+    return U.access_code_check(f.redeem_attempts, f.access_codes)
+
+
+@register("constraint_report", O.CONSTRAINT_REPORT)
+def _constraint_report(spark, d):
+    f = Fixture(spark, d)
+    return U.constraint_report(f.schools, f.teachers, f.access_codes, f.requests, f.views)
+
+
+@register("view_log", O.VIEW_LOG)
+def _view_log(spark, d):
+    return U.view_log(Fixture(spark, d).views)

@@ -171,3 +171,12 @@ def lineitem_requests(spark, sf_dir) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("school_id"),
                     F.col("o_orderdate").alias("requested_at"))
+
+
+def plan_wants(spark, sf_dir) -> DataFrame:
+    """Plan purchase attempts: (seq, school_id, requested_plan); k % 5 picks
+    BASIC, PRO, ULTIMATE, an unknown plan, or no plan."""
+    f = feed_events(spark, sf_dir, "plan_wants")
+    plan = (F.when(_mod("k", 5) < 3, pick(sch.SUBSCRIPTION_PLANS, _mod("k", 5)))
+            .when(_mod("k", 5) == 3, F.lit("GOLD")))
+    return f.select("seq", F.col("user_id").alias("school_id"), plan.alias("requested_plan"))
