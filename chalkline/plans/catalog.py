@@ -203,3 +203,126 @@ def _constraint_report(spark, d):
 @register("view_log", O.VIEW_LOG)
 def _view_log(spark, d):
     return U.view_log(Fixture(spark, d).views)
+
+
+# ---- M1-M11, I1: change-feed jobs --------------------------------------------------
+
+from chalkline.operators import changes as C  # noqa: E402
+from chalkline.operators import ingest as I  # noqa: E402
+from chalkline.operators import redeem as RD  # noqa: E402
+from chalkline.plans import oracle_changes as OC  # noqa: E402
+
+
+def _flat_union(parts: dict):
+    """One-row summary of several DataFrame counts without a cross join."""
+    from pyspark.sql import functions as F
+    tagged = None
+    for name, df in parts.items():
+        t = df.select(F.lit(name).alias("_t"))
+        tagged = t if tagged is None else tagged.unionByName(t)
+    return tagged.agg(*[F.count_if(F.col("_t") == n).alias(n) for n in parts])
+
+
+@register("expire_subscriptions", OC.EXPIRE_SUBSCRIPTIONS)
+def _expire(spark, d):
+    return C.expire_subscriptions(Fixture(spark, d).schools, AS_OF)
+
+
+def _archive(spark, d):
+    f = Fixture(spark, d)
+    return C.archive_teachers(f.teachers, f.requests, f.views, fx.delete_ids(spark, d))
+
+
+register("archive_teachers", OC.ARCHIVE_TEACHERS)(lambda spark, d: _archive(spark, d)[0])
+register("archive_teachers_rejects", OC.ARCHIVE_TEACHERS_REJECTS)(lambda spark, d: _archive(spark, d)[4])
+register("archive_cascade_counts", OC.ARCHIVE_CASCADE_COUNTS)(
+    lambda spark, d: (lambda a: _flat_union({"teachers_left": a[1], "requests_left": a[2], "views_left": a[3]}))(
+        _archive(spark, d)))
+
+
+def _tpatch(spark, d):
+    return C.apply_teacher_patches(Fixture(spark, d).teachers, fx.teacher_patches(spark, d))
+
+
+register("apply_teacher_patches", OC.APPLY_TEACHER_PATCHES)(lambda spark, d: _tpatch(spark, d)[0])
+register("apply_teacher_patches_rejects", OC.APPLY_TEACHER_PATCHES_REJECTS)(lambda spark, d: _tpatch(spark, d)[1])
+
+
+def _spatch(spark, d):
+    return C.apply_school_patches(Fixture(spark, d).schools, fx.school_patches(spark, d))
+
+
+register("apply_school_patches", OC.APPLY_SCHOOL_PATCHES)(lambda spark, d: _spatch(spark, d)[0])
+register("apply_school_patches_rejects", OC.APPLY_SCHOOL_PATCHES_REJECTS)(lambda spark, d: _spatch(spark, d)[1])
+
+
+def _paid(spark, d):
+    return C.activate_paid_plans(Fixture(spark, d).schools, fx.checkout_events(spark, d))
+
+
+register("activate_paid_plans", OC.ACTIVATE_PAID_PLANS)(lambda spark, d: _paid(spark, d)[0])
+register("activate_paid_plans_rejects", OC.ACTIVATE_PAID_PLANS_REJECTS)(lambda spark, d: _paid(spark, d)[1])
+
+
+def _override(spark, d):
+    return C.override_subscription(Fixture(spark, d).schools, fx.subscription_overrides(spark, d))
+
+
+register("override_subscription", OC.OVERRIDE_SUBSCRIPTION)(lambda spark, d: _override(spark, d)[0])
+register("override_subscription_rejects", OC.OVERRIDE_SUBSCRIPTION_REJECTS)(lambda spark, d: _override(spark, d)[1])
+
+
+def _cancel(spark, d):
+    f = Fixture(spark, d)
+    return C.cancel_subscriptions(f.schools, f.access_codes, fx.cancel_ids(spark, d))
+
+
+register("cancel_subscriptions", OC.CANCEL_SUBSCRIPTIONS)(lambda spark, d: _cancel(spark, d)[0])
+register("cancel_subscriptions_codes", OC.CANCEL_SUBSCRIPTIONS_CODES)(lambda spark, d: _cancel(spark, d)[1])
+register("cancel_subscriptions_rejects", OC.CANCEL_SUBSCRIPTIONS_REJECTS)(lambda spark, d: _cancel(spark, d)[2])
+
+
+def _reqev(spark, d):
+    return C.apply_request_events(Fixture(spark, d).requests, fx.request_events(spark, d))
+
+
+register("apply_request_events", OC.APPLY_REQUEST_EVENTS)(lambda spark, d: _reqev(spark, d)[0])
+register("apply_request_events_rejects", OC.APPLY_REQUEST_EVENTS_REJECTS)(lambda spark, d: _reqev(spark, d)[1])
+
+
+def _codes(spark, d):
+    return C.maintain_access_codes(Fixture(spark, d).access_codes, fx.code_ops(spark, d))
+
+
+register("maintain_access_codes", OC.MAINTAIN_ACCESS_CODES)(lambda spark, d: _codes(spark, d)[0])
+register("maintain_access_codes_rejects", OC.MAINTAIN_ACCESS_CODES_REJECTS)(lambda spark, d: _codes(spark, d)[1])
+
+
+def _import(spark, d):
+    return I.teacher_import(fx.teacher_sheet(spark, d), Fixture(spark, d).teachers, AS_OF)
+
+
+register("teacher_import", OC.TEACHER_IMPORT)(lambda spark, d: _import(spark, d)[0])
+register("teacher_import_rejects", OC.TEACHER_IMPORT_REJECTS)(lambda spark, d: _import(spark, d)[1])
+register("teacher_import_summary", OC.TEACHER_IMPORT_SUMMARY)(lambda spark, d: _import(spark, d)[2])
+
+
+# Iterative matching has no practical plain-SQL form: rows-only in the driver,
+# checked against a sequential model in tests/test_redeem.py.
+
+def _register_schools(spark, d):
+    f = Fixture(spark, d)
+    return C.register_schools(f.schools, fx.signups(spark, d), f.access_codes)
+
+
+register("register_schools")(lambda spark, d: _register_schools(spark, d)[0])
+register("register_schools_rejects")(lambda spark, d: _register_schools(spark, d)[1])
+
+
+def _redeem(spark, d):
+    f = Fixture(spark, d)
+    return RD.redeem_access_codes(f.schools, f.access_codes, f.redeem_attempts)
+
+
+register("redeem_access_codes")(lambda spark, d: _redeem(spark, d)[0])
+register("redeem_access_codes_schools")(lambda spark, d: _redeem(spark, d)[1])

@@ -145,7 +145,7 @@ def access_codes(spark, sf_dir) -> DataFrame:
 def redeem_attempts(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir, "click").select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("school_id"),
-        F.concat(F.lit("C"), _mod("event_id", 2000).cast("string")).alias("code"))
+        F.concat(F.lit("C"), _mod("event_id", 2000).cast("string")).alias("code"), "ts")
 
 
 def feed_events(spark, sf_dir, feed: str) -> DataFrame:
@@ -180,3 +180,172 @@ def plan_wants(spark, sf_dir) -> DataFrame:
     plan = (F.when(_mod("k", 5) < 3, pick(sch.SUBSCRIPTION_PLANS, _mod("k", 5)))
             .when(_mod("k", 5) == 3, F.lit("GOLD")))
     return f.select("seq", F.col("user_id").alias("school_id"), plan.alias("requested_plan"))
+
+
+# ---- change feeds (all derived from events / part) ----------------------------------
+
+def _smap(*kv) -> Column:
+    """map<string,string> from alternating key/value columns (values may be null)."""
+    if not kv:
+        return F.create_map().cast("map<string,string>")
+    cols = []
+    for i, x in enumerate(kv):
+        cols.append(F.lit(x) if i % 2 == 0 else x.cast("string"))
+    return F.create_map(*cols)
+
+
+def _unknown_if(n_mod10_9: Column, key: Column) -> Column:
+    return F.when(n_mod10_9, key + 1000000).otherwise(key)
+
+
+def teacher_patches(spark, sf_dir) -> DataFrame:
+    f = feed_events(spark, sf_dir, "teacher_patches")
+    n, k = F.col("n"), F.col("k")
+    null = F.lit(None).cast("string")
+    changes = (F.when(F.pmod(n, F.lit(4)) == 0, _smap("subjects", F.concat(F.lit("Subject "), F.pmod(k, F.lit(13)).cast("string"))))
+               .when(F.pmod(n, F.lit(4)) == 1, _smap("bio", null))
+               .when(F.pmod(n, F.lit(4)) == 2, _smap("profile_status", F.lit("PLACED"),
+                                                     "is_visible_in_school_portal", F.lit("false")))
+               .otherwise(_smap("years_experience", F.pmod(n, F.lit(40)).cast("string"),
+                                "current_region", F.concat(F.lit("Region "), F.pmod(n, F.lit(7)).cast("string")),
+                                "subjects", null)))
+    return f.select("seq", _unknown_if(F.pmod(n, F.lit(10)) == 9, k).alias("id"), changes.alias("changes"), "ts")
+
+
+def school_patches(spark, sf_dir) -> DataFrame:
+    f = feed_events(spark, sf_dir, "school_patches")
+    n, k, u = F.col("n"), F.col("k"), F.col("user_id")
+    m = F.pmod(n, F.lit(5))
+    changes = (F.when(m == 0, _smap("description", F.concat(F.lit("About "), n.cast("string")),
+                                    "city", F.concat(F.lit("City "), F.pmod(k, F.lit(9)).cast("string"))))
+               .when(m == 1, _smap("email", F.concat(F.lit("shared"), F.pmod(k, F.lit(5)).cast("string"),
+                                                     F.lit("@example.org"))))
+               .when(m == 2, _smap())
+               .when(m == 3, _smap("email", F.concat(F.lit("customer#"), F.lpad(k.cast("string"), 9, "0"),
+                                                     F.lit("@example.org")),
+                                   "name", F.concat(F.lit("Renamed "), n.cast("string"))))
+               .otherwise(_smap("phone", F.lit(None).cast("string"),
+                                "region", F.concat(F.lit("Region "), F.pmod(k, F.lit(3)).cast("string")))))
+    return f.select("seq", _unknown_if(F.pmod(n, F.lit(10)) == 9, u).alias("id"), changes.alias("changes"), "ts")
+
+
+def signups(spark, sf_dir) -> DataFrame:
+    f = feed_events(spark, sf_dir, "signups")
+    n, k = F.col("n"), F.col("k")
+    email = (F.when(F.pmod(n, F.lit(7)) == 0, F.lit("not-an-email"))
+             .when(F.pmod(n, F.lit(7)) == 1, F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"),
+                                                      F.lit("@Example.org")))
+             .otherwise(F.concat(F.lit("New"), F.pmod(k, F.lit(40)).cast("string"), F.lit("@Example.org"))))
+    return f.select(
+        "seq",
+        F.when(F.pmod(n, F.lit(6)) == 0, F.lit("")).otherwise(F.concat(F.lit("New School "), n.cast("string"))).alias("name"),
+        F.when(F.pmod(n, F.lit(5)) != 0, F.concat(F.lit("Contact "), n.cast("string"))).alias("contact_name"),
+        email.alias("email"),
+        F.concat(F.lit("Country "), F.pmod(k, F.lit(4)).cast("string")).alias("country"),
+        F.lit(None).cast("string").alias("region"),
+        F.when(F.pmod(n, F.lit(3)) == 0, F.concat(F.lit("C"), F.pmod(n * 7, F.lit(2000)).cast("string"))).alias("access_code"),
+        "ts")
+
+
+def checkout_events(spark, sf_dir) -> DataFrame:
+    f = feed_events(spark, sf_dir, "checkout_events")
+    n, k, u = F.col("n"), F.col("k"), F.col("user_id")
+    return f.select(
+        "seq",
+        F.concat(F.lit("cs_"), F.pmod(n, F.lit(50)).cast("string")).alias("session_id"),
+        u.alias("school_id"),
+        F.when(F.pmod(k, F.lit(9)) == 0, F.lit("wrong@example.org"))
+         .otherwise(F.concat(F.lit("customer#"), F.lpad(u.cast("string"), 9, "0"), F.lit("@example.org"))).alias("email"),
+        F.when(F.pmod(k, F.lit(4)) < 3, pick(sch.SUBSCRIPTION_PLANS, F.pmod(k, F.lit(4)))).otherwise(F.lit("GOLD")).alias("plan"),
+        F.when(F.pmod(k, F.lit(5)) == 0, F.lit("unpaid")).otherwise(F.lit("paid")).alias("payment_status"),
+        "ts")
+
+
+def subscription_overrides(spark, sf_dir) -> DataFrame:
+    f = feed_events(spark, sf_dir, "subscription_overrides")
+    n, k = F.col("n"), F.col("k")
+    m = F.pmod(k, F.lit(5))
+    status = (F.when(m < 3, pick(["TRIAL", "ACTIVE", "EXPIRED"], m)).when(m == 3, F.lit("BOGUS")))
+    return f.select("seq", _unknown_if(F.pmod(n, F.lit(10)) == 9, F.col("user_id")).alias("school_id"),
+                    status.alias("status"), (F.pmod(k, F.lit(50)) - 5).cast("int").alias("hours"), "ts")
+
+
+def request_events(spark, sf_dir) -> DataFrame:
+    """create (error events), set_status and close (derived from purchases)."""
+    null_s, null_l = F.lit(None).cast("string"), F.lit(None).cast("long")
+    f = feed_events(spark, sf_dir, "request_creates")
+    n, eid = F.col("n"), F.col("event_id")
+    creates = f.select(
+        (eid * 4).alias("seq"), F.lit("create").alias("kind"), eid.alias("request_id"),
+        F.col("k").alias("teacher_id"), F.col("user_id").alias("school_id"), null_s.alias("status"),
+        F.when(F.pmod(n, F.lit(3)) == 1, F.lit("")).when(F.pmod(n, F.lit(3)) == 2,
+                                                         F.concat(F.lit("Hello "), n.cast("string"))).alias("message"),
+        null_s.alias("admin_notes"), "ts")
+    p = events(spark, sf_dir, "purchase")
+    q = F.expr("event_id div 7")
+    sets = p.filter(F.pmod(eid, F.lit(7)) == 0).select(
+        (eid * 4 + 1).alias("seq"), F.lit("set_status").alias("kind"), eid.alias("request_id"),
+        null_l.alias("teacher_id"), null_l.alias("school_id"),
+        F.when(F.pmod(q, F.lit(6)) < 5, pick(sch.REQUEST_STATUSES, F.pmod(q, F.lit(6)))).alias("status"),
+        null_s.alias("message"),
+        F.when(F.pmod(eid, F.lit(2)) == 1, F.concat(F.lit("Reviewed "), eid.cast("string"))).alias("admin_notes"),
+        "ts")
+    stray = p.filter(F.pmod(eid, F.lit(13)) == 0).select(
+        (eid * 4 + 3).alias("seq"), F.lit("set_status").alias("kind"), (eid + 1).alias("request_id"),
+        null_l.alias("teacher_id"), null_l.alias("school_id"), F.lit("CLOSED").alias("status"),
+        null_s.alias("message"), null_s.alias("admin_notes"), "ts")
+    closes = p.filter(F.pmod(eid, F.lit(11)) == 0).select(
+        (eid * 4 + 2).alias("seq"), F.lit("close").alias("kind"), eid.alias("request_id"),
+        F.col("k").alias("teacher_id"),
+        F.when(F.pmod(eid, F.lit(2)) == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("school_id"),
+        null_s.alias("status"), null_s.alias("message"), null_s.alias("admin_notes"), "ts")
+    return creates.unionByName(sets).unionByName(stray).unionByName(closes)
+
+
+def delete_ids(spark, sf_dir) -> DataFrame:
+    f = feed_events(spark, sf_dir, "delete_ids")
+    return f.select("seq", _unknown_if(F.pmod(F.col("n"), F.lit(10)) == 9, F.col("k")).alias("id"), "ts")
+
+
+def cancel_ids(spark, sf_dir) -> DataFrame:
+    f = feed_events(spark, sf_dir, "cancel_ids")
+    return f.select("seq", _unknown_if(F.pmod(F.col("n"), F.lit(10)) == 9, F.col("user_id")).alias("id"), "ts")
+
+
+def code_ops(spark, sf_dir) -> DataFrame:
+    f = feed_events(spark, sf_dir, "code_maintenance")
+    m, k = F.pmod(F.col("n"), F.lit(4)), F.col("k")
+    code = (F.when(m == 0, F.concat(F.lit("N"), F.pmod(k, F.lit(30)).cast("string")))
+            .when(m == 1, F.concat(F.lit("C"), (k * 20).cast("string")))
+            .when(m == 2, F.lit("")))
+    return f.select("seq", F.when(m == 3, F.lit("expire")).otherwise(F.lit("create")).alias("op"),
+                    code.alias("code"),
+                    F.when(m == 3, F.concat(F.lit("C"), (F.col("event_id") - 3).cast("string"))).alias("id"),
+                    "ts")
+
+
+def teacher_sheet(spark, sf_dir) -> DataFrame:
+    """An exported teacher sheet with messy cells, one row per part."""
+    p = read(spark, sf_dir, "part")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    code = (F.when(F.pmod(key, F.lit(13)) == 0, F.lit(None).cast("string"))
+            .when(F.pmod(key, F.lit(17)) == 0, F.concat(F.lit("OM-T"), F.lpad(key.cast("string"), 5, "0")))
+            .otherwise(F.concat(F.lit("OM-I"), F.lpad(F.pmod(key, F.lit(1000)).cast("string"), 5, "0"))))
+    null = F.lit(None).cast("string")
+    return p.select(
+        (key + 2).cast("int").alias("sheet_row"),
+        code.alias("Teacher Code"),
+        F.when(F.pmod(key, F.lit(19)) == 0, F.lit("")).otherwise(F.col("p_name")).alias("Full Name"),
+        F.concat(F.lit("i"), key.cast("string"), F.lit("@example.org")).alias("Email"),
+        null.alias("Phone"), null.alias("CV Link"), F.col("p_brand").alias("Job Title"),
+        F.col("p_name").alias("Subjects"), F.col("p_type").alias("Highest Qualification"),
+        F.concat(F.lit("Country "), F.pmod(size, F.lit(5)).cast("string")).alias("Country"),
+        null.alias("Region"), null.alias("Visa Status"), null.alias("Notice Period"),
+        null.alias("Preferred Regions"), null.alias("Current School"),
+        F.concat(F.lit("Bio "), key.cast("string")).alias("Bio"),
+        pick(["YES ", "no", None, "true", "1", "False"], F.pmod(key, F.lit(6))).alias("Will Move Sem 1"),
+        pick(["Yes", "", None], F.pmod(size, F.lit(3))).alias("Will Move Sem 2"),
+        pick(["TRUE", "no", None, "1"], F.pmod(size, F.lit(4))).alias("Visible in Portal"),
+        pick(["12abc", "", "-3.9", " 7", "x", None], F.pmod(key, F.lit(6))).alias("Years Experience"),
+        pick(["active", "", None, " Placed ", "bogus"], F.pmod(key, F.lit(5))).alias("Profile Status"),
+    )
