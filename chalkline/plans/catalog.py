@@ -326,3 +326,41 @@ def _redeem(spark, d):
 
 register("redeem_access_codes")(lambda spark, d: _redeem(spark, d)[0])
 register("redeem_access_codes_schools")(lambda spark, d: _redeem(spark, d)[1])
+
+
+# ---- S1-S4: streams, run to the end of their input (availableNow) ------------------------
+
+from chalkline.streaming import views as SV  # noqa: E402
+
+
+def _ingest_paths(spark, d):
+    f = Fixture(spark, d)
+    return SV.view_ingest(spark, SV.view_event_stream(spark, d), f.teachers, f.schools)
+
+
+@register("view_ingest", O.VIEW_INGEST)
+def _view_ingest(spark, d):
+    fact, _ = _ingest_paths(spark, d)
+    return spark.read.parquet(fact).select("id", "teacher_id", "school_id", "viewed_at")
+
+
+@register("view_ingest_quarantine", O.VIEW_INGEST_QUARANTINE)
+def _view_ingest_quarantine(spark, d):
+    _, bad = _ingest_paths(spark, d)
+    schema = "id long, teacher_id long, school_id long, viewed_at timestamp_ntz, reason string"
+    return spark.read.schema(schema).parquet(bad).select("id", "teacher_id", "school_id", "viewed_at", "reason")
+
+
+@register("live_daily_counts", O.LIVE_DAILY_COUNTS)
+def _live_daily_counts(spark, d):
+    return spark.read.parquet(SV.live_daily_counts(spark, SV.view_event_stream(spark, d)))
+
+
+@register("live_top_schools", O.LIVE_TOP_SCHOOLS)
+def _live_top_schools(spark, d):
+    return spark.read.parquet(SV.live_top_schools(spark, SV.view_event_stream(spark, d), Fixture(spark, d).schools))
+
+
+@register("live_active_schools")
+def _live_active_schools(spark, d):
+    return spark.read.parquet(SV.live_active_schools(spark, SV.view_event_stream(spark, d)))

@@ -369,3 +369,31 @@ CONSTRAINT_REPORT = with_base("\nUNION ALL\n".join([
 ]))
 
 VIEW_LOG = with_base("SELECT id, teacher_id, school_id, viewed_at FROM teacher_views ORDER BY viewed_at, id")
+
+
+# ---- S1-S4: streams (final state) ----------------------------------------------------
+
+VIEW_INGEST = with_base("""
+SELECT id, teacher_id, school_id, viewed_at FROM teacher_views
+WHERE teacher_id IN (SELECT id FROM teachers) AND school_id IN (SELECT id FROM schools)
+""")
+
+VIEW_INGEST_QUARANTINE = with_base("""
+SELECT id, teacher_id, school_id, viewed_at, 'Teacher not found' AS reason FROM teacher_views
+WHERE teacher_id NOT IN (SELECT id FROM teachers)
+UNION ALL
+SELECT id, teacher_id, school_id, viewed_at, 'School not found' AS reason FROM teacher_views
+WHERE teacher_id IN (SELECT id FROM teachers) AND school_id NOT IN (SELECT id FROM schools)
+""")
+
+LIVE_DAILY_COUNTS = with_base("""
+SELECT CAST(viewed_at AS DATE) AS day, COUNT(*) AS views FROM teacher_views GROUP BY 1
+""")
+
+LIVE_TOP_SCHOOLS = with_base("""
+SELECT s.id AS school_id, s.name, s.country AS location, COUNT(*) AS views
+FROM teacher_views v JOIN schools s ON v.school_id = s.id
+GROUP BY s.id, s.name, s.country
+ORDER BY views DESC, s.id ASC
+LIMIT 5
+""")
