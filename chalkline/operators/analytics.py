@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.time import range_days, ts_lit, window_start
 
+# Sentinel range: no lower bound (all-time leaderboards).
+ALL_TIME = object()
+
 # Region chart colours, assigned by rank (rank modulo 5).
 REGION_COLORS = ["#3b82f6", "#10b981", "#f59e0b", "#64748b", "#8b5cf6"]
 
@@ -91,8 +94,10 @@ def daily_activity(views: DataFrame, requests: DataFrame, as_of, range_token="7d
 
 
 def _counts_by(views: DataFrame, key: str, as_of, range_token, name: str) -> DataFrame:
-    return (recent_views(views, as_of, range_token)
-            .groupBy(key).agg(F.count(F.lit(1)).alias(name)))
+    """Views per key in the window; ``range_token=ALL_TIME`` counts the whole log
+    (the batch form of the live leaderboard)."""
+    v = views if range_token is ALL_TIME else recent_views(views, as_of, range_token)
+    return v.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
 def top_schools(views: DataFrame, schools: DataFrame, as_of, range_token="7d", n: int = 5) -> DataFrame:

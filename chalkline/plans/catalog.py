@@ -364,3 +364,24 @@ def _live_top_schools(spark, d):
 @register("live_active_schools")
 def _live_active_schools(spark, d):
     return spark.read.parquet(SV.live_active_schools(spark, SV.view_event_stream(spark, d)))
+
+
+# ---- dashboards over the larger line-item view log (FIXTURES §2.3) ------------------------
+
+LI_AS_OF = fx.LINEITEM_AS_OF
+
+
+def _li(spark, d):
+    return fx.lineitem_views(spark, d), fx.lineitem_requests(spark, d)
+
+
+register("period_totals_lineitem", O.period_totals(7, "li_views", "li_requests", O.LI_AS_OF))(
+    lambda spark, d: A.period_totals(*_li(spark, d), LI_AS_OF, "7d"))
+register("daily_activity_lineitem_90d", O.daily_activity(90, "li_views", "li_requests", O.LI_AS_OF))(
+    lambda spark, d: A.daily_activity(*_li(spark, d), LI_AS_OF, "90d"))
+register("top_schools_lineitem_90d", O.top_schools(90, "li_views", O.LI_AS_OF))(
+    lambda spark, d: A.top_schools(fx.lineitem_views(spark, d), Fixture(spark, d).schools, LI_AS_OF, "90d"))
+register("top_teachers_lineitem_all", O.top_teachers(None, "li_views", O.LI_AS_OF))(
+    lambda spark, d: A.top_teachers(fx.lineitem_views(spark, d), Fixture(spark, d).teachers, LI_AS_OF, A.ALL_TIME))
+register("region_share_lineitem_all", O.region_share(None, "li_views", O.LI_AS_OF))(
+    lambda spark, d: A.region_share(fx.lineitem_views(spark, d), Fixture(spark, d).schools, LI_AS_OF, A.ALL_TIME))

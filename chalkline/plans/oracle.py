@@ -90,6 +90,14 @@ redeem_attempts AS (
 feed AS (
   SELECT *, event_id AS seq, event_id % 10 AS slot, CAST(floor(event_id / 10) AS BIGINT) AS n
   FROM ev WHERE event_type = 'error'
+),
+li_views AS (
+  SELECT l.l_orderkey * 8 + l.l_linenumber AS id, l.l_partkey AS teacher_id, o.o_custkey AS school_id,
+         l.l_shipdate AS viewed_at
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+),
+li_requests AS (
+  SELECT o_orderkey AS id, o_custkey AS school_id, o_orderdate AS requested_at FROM orders
 )"""
 
 
@@ -101,67 +109,73 @@ def with_base(body: str) -> str:
     return f"WITH {BASE}\n{body}"
 
 
-def win(col: str, days: int) -> str:
-    return f"{col} > {AS_OF} - INTERVAL {days} DAY"
+LI_AS_OF = "TIMESTAMP '2001-11-05 00:00:00'"
+
 
+def win(col: str, days, as_of: str = AS_OF) -> str:
+    """Rolling-window predicate; ``days=None`` means the whole log."""
+    if days is None:
+        return "TRUE"
+    return f"{col} > {as_of} - INTERVAL {days} DAY"
 
-def period_totals(days: int) -> str:
+
+def period_totals(days: int, views="teacher_views", reqs="requests", as_of=AS_OF) -> str:
     return with_base(f"""
 SELECT views, requests, active_schools,
        CASE WHEN views > 0 THEN round(CAST(requests AS DOUBLE) / views * 100, 1) ELSE 0.0 END AS conversion
 FROM (SELECT
-  (SELECT COUNT(*) FROM teacher_views WHERE {win('viewed_at', days)}) AS views,
-  (SELECT COUNT(*) FROM requests WHERE {win('requested_at', days)}) AS requests,
-  (SELECT COUNT(DISTINCT school_id) FROM teacher_views WHERE {win('viewed_at', days)}) AS active_schools) t
+  (SELECT COUNT(*) FROM {views} WHERE {win('viewed_at', days, as_of)}) AS views,
+  (SELECT COUNT(*) FROM {reqs} WHERE {win('requested_at', days, as_of)}) AS requests,
+  (SELECT COUNT(DISTINCT school_id) FROM {views} WHERE {win('viewed_at', days, as_of)}) AS active_schools) t
 """)
 
 
-def daily_activity(days: int) -> str:
+def daily_activity(days: int, views="teacher_views", reqs="requests", as_of=AS_OF) -> str:
     return with_base(f"""
 , dates AS (
   SELECT CAST(d AS DATE) AS day
-  FROM (SELECT unnest(generate_series(CAST({AS_OF} - INTERVAL {days} DAY AS DATE), CAST({AS_OF} AS DATE),
+  FROM (SELECT unnest(generate_series(CAST({as_of} - INTERVAL {days} DAY AS DATE), CAST({as_of} AS DATE),
                                       INTERVAL 1 DAY)) AS d) g
 )
 SELECT d.day, strftime(d.day, '%a') AS name, strftime(d.day, '%Y-%m-%d') AS full_date,
        CAST(COALESCE(v.cnt, 0) AS BIGINT) AS views, CAST(COALESCE(r.cnt, 0) AS BIGINT) AS requests
 FROM dates d
-LEFT JOIN (SELECT CAST(viewed_at AS DATE) AS day, COUNT(*) AS cnt FROM teacher_views
-           WHERE {win('viewed_at', days)} GROUP BY 1) v ON d.day = v.day
-LEFT JOIN (SELECT CAST(requested_at AS DATE) AS day, COUNT(*) AS cnt FROM requests
-           WHERE {win('requested_at', days)} GROUP BY 1) r ON d.day = r.day
+LEFT JOIN (SELECT CAST(viewed_at AS DATE) AS day, COUNT(*) AS cnt FROM {views}
+           WHERE {win('viewed_at', days, as_of)} GROUP BY 1) v ON d.day = v.day
+LEFT JOIN (SELECT CAST(requested_at AS DATE) AS day, COUNT(*) AS cnt FROM {reqs}
+           WHERE {win('requested_at', days, as_of)} GROUP BY 1) r ON d.day = r.day
 ORDER BY d.day
 """)
 
 
-def top_schools(days: int) -> str:
+def top_schools(days, views="teacher_views", as_of=AS_OF) -> str:
     return with_base(f"""
 SELECT s.id AS school_id, s.name, s.country AS location, COUNT(v.id) AS views
-FROM teacher_views v JOIN schools s ON v.school_id = s.id
-WHERE {win('v.viewed_at', days)}
+FROM {views} v JOIN schools s ON v.school_id = s.id
+WHERE {win('v.viewed_at', days, as_of)}
 GROUP BY s.id, s.name, s.country
 ORDER BY views DESC, s.id ASC
 LIMIT 5
 """)
 
 
-def top_teachers(days: int) -> str:
+def top_teachers(days, views="teacher_views", as_of=AS_OF) -> str:
     return with_base(f"""
 SELECT t.id AS teacher_id, t.teacher_code AS code, t.full_name AS name, COUNT(v.id) AS hits
-FROM teacher_views v JOIN teachers t ON v.teacher_id = t.id
-WHERE {win('v.viewed_at', days)}
+FROM {views} v JOIN teachers t ON v.teacher_id = t.id
+WHERE {win('v.viewed_at', days, as_of)}
 GROUP BY t.id, t.teacher_code, t.full_name
 ORDER BY hits DESC, t.id ASC
 LIMIT 5
 """)
 
 
-def region_share(days: int) -> str:
+def region_share(days, views="teacher_views", as_of=AS_OF) -> str:
     return with_base(f"""
 , top AS (
   SELECT COALESCE(s.region, s.country, 'Other') AS name, COUNT(v.id) AS value
-  FROM teacher_views v JOIN schools s ON v.school_id = s.id
-  WHERE {win('v.viewed_at', days)}
+  FROM {views} v JOIN schools s ON v.school_id = s.id
+  WHERE {win('v.viewed_at', days, as_of)}
   GROUP BY 1
   ORDER BY value DESC, name ASC
   LIMIT 5
