@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions.time import range_days, ts_lit, window_start
+from chalkline.sources.tables import prune_by_day
 
 # Sentinel range: no lower bound (all-time leaderboards).
 ALL_TIME = object()
@@ -32,8 +33,13 @@ REGION_COLORS = ["#3b82f6", "#10b981", "#f59e0b", "#64748b", "#8b5cf6"]
 
 
 def recent_views(views: DataFrame, as_of, range_token="7d") -> DataFrame:
-    """Views strictly after ``as_of - range``; no upper bound (future rows count)."""
-    return views.filter(F.col("viewed_at") > window_start(as_of, range_token))
+    """Views strictly after ``as_of - range``; no upper bound (future rows count).
+
+    On the day-partitioned fact the implied ``viewed_date`` bound is added so
+    whole partitions are skipped, not only row groups.
+    """
+    lo = window_start(as_of, range_token)
+    return prune_by_day(views, lo).filter(F.col("viewed_at") > lo)
 
 
 def recent_requests_in(requests: DataFrame, as_of, range_token="7d") -> DataFrame:
