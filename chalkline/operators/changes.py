@@ -120,13 +120,15 @@ def archive_teachers(teachers: DataFrame, requests: DataFrame, views: DataFrame,
 # ---- M3 / M4: patches ------------------------------------------------------------
 
 def _explode_patch(feed: DataFrame) -> DataFrame:
-    """(seq, id, ts, changes map) -> one row per (seq, id, field, value)."""
-    return feed.select("seq", "id", "ts", F.explode("changes").alias("field", "value"))
+    """(seq, id, ts, changes map) -> one row per (seq, id, field, value); an empty
+    map keeps one row with a null field so the patch still counts as applied."""
+    return feed.select("seq", "id", "ts", F.explode_outer("changes").alias("field", "value"))
 
 
 def _last_values(cells: DataFrame, fields: list[str]) -> DataFrame:
-    """Per id: for each field, whether it was set and its last value by seq."""
-    aggs = []
+    """Per id, one aggregate: for each field whether it was set and its last
+    value by seq, plus ``_ts`` = time of the last applied patch."""
+    aggs = [F.max("ts").alias("_ts")]
     for f in fields:
         is_f = F.col("field") == f
         aggs.append(F.max(is_f.cast("int")).alias(f"_set_{f}"))
@@ -146,18 +148,16 @@ def apply_teacher_patches(teachers: DataFrame, patches: DataFrame, as_of=None):
     """M3: ``patches`` (seq, id, changes map<string,string>[, ts]).
 
     An absent key keeps the old value, a key with a null value writes null;
-    the last patch (by seq) per (id, field) wins; teacher_code is not
-    patchable. updated_at = time of the last patch. Unknown id -> reject.
-    Returns (new_teachers, rejects).
+    the last patch (by seq) per (id, field) wins; teacher_code and unknown
+    keys are ignored. updated_at = time of the last patch (an empty patch
+    still touches it). Unknown id -> reject. Returns (new_teachers, rejects).
     """
     p = patches.select("seq", "id", "changes", _now(patches, as_of).alias("ts"))
-    known = p.join(teachers.select("id"), "id", "left_semi")
-    rejects = _rejects(p.join(teachers.select("id"), "id", "left_anti"), "id", F.lit(TEACHER_NOT_FOUND))
-    fields = [f for f in sch.TEACHER_PATCHABLE]
-    cells = _explode_patch(known).filter(F.col("field").isin(*fields))
-    last = _last_values(cells, fields)
-    touched = known.groupBy("id").agg(F.max("ts").alias("_ts"))
-    j = teachers.join(touched, "id", "left").join(last, "id", "left")
+    ids = teachers.select("id")
+    rejects = _rejects(p.join(ids, "id", "left_anti"), "id", F.lit(TEACHER_NOT_FOUND))
+    fields = list(sch.TEACHER_PATCHABLE)
+    last = _last_values(_explode_patch(p.join(ids, "id", "left_semi")), fields)
+    j = teachers.join(last, "id", "left")
     types = {f.name: f.dataType for f in sch.TEACHERS.fields}
     values = {f: F.when(F.col(f"_set_{f}") == 1, _typed(F.col(f"_val_{f}"), types[f])).otherwise(F.col(f))
               for f in fields}
@@ -174,36 +174,39 @@ def apply_school_patches(schools: DataFrame, patches: DataFrame, as_of=None):
     an earlier patch of another school in this batch, is rejected whole.
     (An address freed within the batch becomes available in the next one.)
     Returns (new_schools, rejects).
+
+    Plan: owners of each address are one aggregate over the snapshot
+    (min/max id, so a duplicated address is still seen as taken); the feed
+    meets the snapshot in two key joins (id, email), the batch claims are one
+    aggregate by address, and the accepted cells are reduced per id in one
+    aggregate before the final join.
     """
     keys = list(sch.SCHOOL_PATCHABLE)
-    p = patches.select("seq", "id", "changes", _now(patches, as_of).alias("ts"))
-    valid_keys = F.size(F.filter(F.map_keys("changes"), lambda k: k.isin(*keys)))
-    p = p.withColumn("_nkeys", valid_keys).withColumn("_email", F.col("changes").getItem("email"))
-    p = p.withColumn("_has_email", F.map_contains_key("changes", "email"))
-    snap_ids = schools.select(F.col("id").alias("_sid"))
-    p = p.join(snap_ids, p.id == snap_ids._sid, "left")
-    # email owner in the snapshot
-    owners = schools.select(F.col("email").alias("_email"), F.col("id").alias("_owner")).distinct()
-    taken = (p.filter("_has_email").join(owners, "_email")
-             .filter(F.col("_owner") != F.col("id")).select("seq").distinct()
-             .withColumn("_taken", F.lit(True)))
-    p = p.join(taken, "seq", "left")
-    base_ok = F.col("_sid").isNotNull() & (F.col("_nkeys") > 0) & F.col("_taken").isNull()
-    # within the batch: the first surviving claim of an address wins it
+    p = patches.select(
+        "seq", "id", "changes", _now(patches, as_of).alias("ts"),
+        F.size(F.filter(F.map_keys("changes"), lambda k: k.isin(*keys))).alias("_nkeys"),
+        F.col("changes").getItem("email").alias("_email"),
+        F.map_contains_key("changes", "email").alias("_has_email"))
+    known = schools.select(F.col("id"), F.lit(True).alias("_known"))
+    owners = schools.groupBy(F.col("email").alias("_email")).agg(
+        F.min("id").alias("_own_min"), F.max("id").alias("_own_max"))
+    p = p.join(known, "id", "left").join(owners, "_email", "left")
+    taken = F.col("_has_email") & F.col("_own_min").isNotNull() & (
+        (F.col("_own_min") != F.col("id")) | (F.col("_own_max") != F.col("id")))
+    p = p.withColumn("_taken", F.coalesce(taken, F.lit(False)))
+    base_ok = F.col("_known").isNotNull() & (F.col("_nkeys") > 0) & ~F.col("_taken")
     claims = (p.filter(base_ok & F.col("_has_email") & F.col("_email").isNotNull())
               .groupBy("_email").agg(F.min_by("id", "seq").alias("_claimer")))
     p = p.join(claims, "_email", "left")
     lost = F.col("_has_email") & F.col("_claimer").isNotNull() & (F.col("_claimer") != F.col("id"))
-    reason = (F.when(F.col("_sid").isNull(), SCHOOL_NOT_FOUND)
+    reason = (F.when(F.col("_known").isNull(), SCHOOL_NOT_FOUND)
               .when(F.col("_nkeys") == 0, NO_FIELDS)
               .when(F.col("_taken") | lost, EMAIL_IN_USE))
     p = p.withColumn("_reason", reason)
     rejects = _rejects(p.filter(F.col("_reason").isNotNull()), "id", F.col("_reason"))
-    ok = p.filter(F.col("_reason").isNull())
-    cells = _explode_patch(ok.select("seq", "id", "ts", "changes")).filter(F.col("field").isin(*keys))
-    last = _last_values(cells, keys)
-    touched = ok.groupBy("id").agg(F.max("ts").alias("_ts"))
-    j = schools.join(touched, "id", "left").join(last, "id", "left")
+    ok = p.filter(F.col("_reason").isNull()).select("seq", "id", "ts", "changes")
+    last = _last_values(_explode_patch(ok), keys)
+    j = schools.join(last, "id", "left")
     values = {}
     for k, col in sch.SCHOOL_PATCHABLE.items():
         values[col] = F.when(F.col(f"_set_{k}") == 1, F.col(f"_val_{k}")).otherwise(F.col(col))
