@@ -42,11 +42,16 @@ def greedy_match(candidates: DataFrame, a: str, b: str, max_rounds: int = 1000)
     """Accepted rows of ``candidates`` (unique ``seq``) under sequential
     first-come matching on two keys. A null ``b`` conflicts with nothing.
 
-    Raises if ``max_rounds`` is reached (never truncates the answer).
+    Only the first attempt of each (a, b) pair can ever win, so repeats are
+    dropped up front. Each round persists its winners and checkpoints the
+    remaining undecided rows (one eager action per round plus an emptiness
+    probe), so lineage never spans more than one round. Raises if
+    ``max_rounds`` is reached (never truncates the answer).
     """
     spark = candidates.sparkSession
     ensure_checkpoint_dir(spark)
-    undecided = candidates.select("seq", a, b).checkpoint(eager=True)
+    firsts = candidates.groupBy(a, b).agg(F.min("seq").alias("seq"))
+    undecided = firsts.select("seq", a, b).checkpoint(eager=True)
     accepted_parts = []
     for _ in range(max_rounds):
         if undecided.isEmpty():
@@ -56,7 +61,7 @@ def greedy_match(candidates: DataFrame, a: str, b: str, max_rounds: int = 1000)
         tagged = undecided.join(min_a, a).join(min_b, b, "left")
         win = (tagged.filter((F.col("seq") == F.col("_min_a"))
                              & (F.col(b).isNull() | (F.col("seq") == F.col("_min_b"))))
-               .select("seq", a, b).checkpoint(eager=True))
+               .select("seq", a, b).persist())
         accepted_parts.append(win)
         rest = (undecided.join(win.select(a), a, "left_anti")
                 .join(win.filter(F.col(b).isNotNull()).select(b), b, "left_anti"))

@@ -53,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this cluster")
         d = tempfile.mkdtemp(prefix="chalkline-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
