@@ -389,7 +389,7 @@ def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None):
     message, admin_notes[, ts]) with kind in create / set_status / close.
 
     create: a new PENDING request (its id is request_id), message defaults
-    when empty, duplicates allowed. set_status: any status to any status,
+    when empty, duplicates allowed; it exists for later events only. set_status: any status to any status,
     admin_notes null -> ''; null status is refused. close: must match id,
     teacher_id and school_id, sets CLOSED. Invalid events are dropped to
     rejects *before* the fold; then per request the last status event (by
@@ -406,9 +406,17 @@ def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None):
          .otherwise(F.col("message")).alias("school_message"),
         F.lit(None).cast("string").alias("admin_notes"))
     base = requests.unionByName(created)
-    keys = base.select("id", F.col("teacher_id").alias("_tid"), F.col("school_id").alias("_sid")).distinct()
+    # a request created in this batch exists only for events after its create
+    keys = (requests.select("id", F.col("teacher_id").alias("_tid"), F.col("school_id").alias("_sid"),
+                            F.lit(None).cast("long").alias("_born"))
+            .unionByName(creates.select(F.col("request_id").alias("id"), F.col("teacher_id").alias("_tid"),
+                                        F.col("school_id").alias("_sid"), F.col("seq").alias("_born")))
+            .groupBy("id").agg(F.min_by(F.struct("_tid", "_sid", "_born"), F.coalesce("_born", F.lit(-1)))
+                                .alias("k"))
+            .select("id", "k._tid", "k._sid", "k._born"))
     upd = e.filter(F.col("kind") != "create").join(keys, F.col("request_id") == F.col("id"), "left")
-    reason = (F.when(F.col("id").isNull(),
+    missing = F.col("id").isNull() | (F.col("_born").isNotNull() & (F.col("_born") > F.col("seq")))
+    reason = (F.when(missing,
                      F.when(F.col("kind") == "close", REQUEST_CLOSE_DENIED).otherwise(REQUEST_NOT_FOUND))
               .when((F.col("kind") == "close")
                     & ~F.coalesce((F.col("teacher_id") == F.col("_tid")) & (F.col("school_id") == F.col("_sid")),

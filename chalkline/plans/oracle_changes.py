@@ -295,7 +295,13 @@ _REQUEST_EVENTS = """
       WHEN e.kind = 'close' AND NOT COALESCE(e.teacher_id = b.teacher_id AND e.school_id = b.school_id, FALSE)
         THEN 'Request not found or not authorized'
       WHEN e.kind = 'set_status' AND e.status IS NULL THEN 'status is required' END AS reason
-  FROM rev e LEFT JOIN (SELECT DISTINCT id, teacher_id, school_id FROM base) b ON e.request_id = b.id
+  FROM rev e LEFT JOIN (
+      SELECT id, teacher_id, school_id FROM requests
+      UNION ALL
+      SELECT request_id, teacher_id, school_id FROM rev WHERE kind = 'create'
+    ) b ON e.request_id = b.id
+       AND (b.id IN (SELECT id FROM requests)
+            OR EXISTS (SELECT 1 FROM rev c WHERE c.kind = 'create' AND c.request_id = e.request_id AND c.seq < e.seq))
   WHERE e.kind <> 'create')
 """
 

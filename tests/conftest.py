@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -11,9 +10,8 @@ sys.path.insert(0, ROOT)
 @pytest.fixture(scope="session")
 def spark():
     from chalkline.session import build_session
-    extra = {}
-    # tests set their own checkpoint folder only where the session has none
-    extra["spark.checkpoint.dir"] = os.environ.get("SPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="ckpt-")
-    s = build_session("local[8]", shuffle_partitions=8, extra=extra)
+    # the session's spark.checkpoint.dir is used when set; build_session creates a
+    # scratch folder only when it is unset (local mode only)
+    s = build_session("local[8]", shuffle_partitions=8)
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -158,3 +158,17 @@ def test_register_schools_without_codes(spark):
     assert [(x.id, x.email, x.subscription_status) for x in got] == [(12, "new@x.org", "NO_SUBSCRIPTION")]
     assert {x.seq: x.reason for x in rej.collect()} == {
         2: C.EMAIL_TAKEN, 3: C.EMAIL_TAKEN, 4: C.INVALID_INPUT, 5: C.CONTACT_REQUIRED, 6: C.INVALID_INPUT}
+
+
+def test_request_event_before_its_create_is_not_found(spark):
+    r = H.requests(spark, [])
+    ev = spark.createDataFrame([
+        (1, "set_status", 50, None, None, "CLOSED", None, None),   # before the create
+        (2, "create", 50, 2, 3, None, "Hi", None),
+        (3, "set_status", 50, None, None, "TEACHER_CONTACTED", None, "ok"),
+    ], "seq long, kind string, request_id long, teacher_id long, school_id long, status string, message string, "
+       "admin_notes string")
+    new, rej = C.apply_request_events(r, ev, as_of=AS_OF)
+    row = new.first()
+    assert (row.status, row.admin_notes) == ("TEACHER_CONTACTED", "ok")
+    assert [(x.seq, x.reason) for x in rej.collect()] == [(1, C.REQUEST_NOT_FOUND)]
