@@ -46,8 +46,13 @@ def recent_requests_in(requests: DataFrame, as_of, range_token="7d") -> DataFram
     return requests.filter(F.col("requested_at") > window_start(as_of, range_token))
 
 
-def period_totals(views: DataFrame, requests: DataFrame, as_of, range_token="7d") -> DataFrame:
-    """Q1: one row with views, requests, active_schools and conversion (%)."""
+def period_totals(views: DataFrame, requests: DataFrame, as_of, range_token="7d",
+                  approximate: bool = False) -> DataFrame:
+    """Q1: one row with views, requests, active_schools and conversion (%).
+
+    ``approximate=True`` counts active schools with HyperLogLog++
+    (``approx_count_distinct``): no shuffle by school id, fixed memory.
+    """
     v = recent_views(views, as_of, range_token).select(
         F.lit(True).alias("is_view"), F.col("school_id"))
     r = recent_requests_in(requests, as_of, range_token).select(
@@ -55,7 +60,8 @@ def period_totals(views: DataFrame, requests: DataFrame, as_of, range_token="7d"
     t = v.unionByName(r).agg(
         F.count_if(F.col("is_view")).alias("views"),
         F.count_if(~F.col("is_view")).alias("requests"),
-        F.count_distinct("school_id").alias("active_schools"),
+        (F.approx_count_distinct("school_id") if approximate
+         else F.count_distinct("school_id")).alias("active_schools"),
     )
     return t.withColumn("conversion", conversion(F.col("requests"), F.col("views")))
 
