@@ -43,35 +43,42 @@ def greedy_match(candidates: DataFrame, a: str, b: str, max_rounds: int = 1000)
     first-come matching on two keys. A null ``b`` conflicts with nothing.
 
     Only the first attempt of each (a, b) pair can ever win, so repeats are
-    dropped up front. Each round persists its winners and checkpoints the
-    remaining undecided rows (one eager action per round plus an emptiness
-    probe), so lineage never spans more than one round. Raises if
-    ``max_rounds`` is reached (never truncates the answer).
+    dropped up front. Each round writes one checkpoint holding every row that
+    was undecided at its start, tagged won (1), dropped (2) or still
+    undecided (0): lineage never spans more than one round, winners are read
+    back from the durable per-round checkpoints, and nothing is cached.
+    Raises if ``max_rounds`` is reached (never truncates the answer).
     """
     spark = candidates.sparkSession
     ensure_checkpoint_dir(spark)
-    firsts = candidates.groupBy(a, b).agg(F.min("seq").alias("seq"))
-    undecided = firsts.select("seq", a, b).checkpoint(eager=True)
-    accepted_parts = []
+    undecided = (candidates.groupBy(a, b).agg(F.min("seq").alias("seq"))
+                 .select("seq", a, b).checkpoint(eager=True))
+    won_parts = []
     for _ in range(max_rounds):
         if undecided.isEmpty():
             break
         min_a = undecided.groupBy(a).agg(F.min("seq").alias("_min_a"))
         min_b = undecided.filter(F.col(b).isNotNull()).groupBy(b).agg(F.min("seq").alias("_min_b"))
-        tagged = undecided.join(min_a, a).join(min_b, b, "left")
-        win = (tagged.filter((F.col("seq") == F.col("_min_a"))
-                             & (F.col(b).isNull() | (F.col("seq") == F.col("_min_b"))))
-               .select("seq", a, b).persist())
-        accepted_parts.append(win)
-        rest = (undecided.join(win.select(a), a, "left_anti")
-                .join(win.filter(F.col(b).isNotNull()).select(b), b, "left_anti"))
-        undecided = rest.checkpoint(eager=True)
+        tagged = (undecided.join(min_a, a).join(min_b, b, "left")
+                  .withColumn("_won", (F.col("seq") == F.col("_min_a"))
+                              & (F.col(b).isNull() | (F.col("seq") == F.col("_min_b")))))
+        win = tagged.filter("_won")
+        # each key wins at most once per round, so these joins cannot duplicate rows
+        win_a = win.select(a).withColumn("_hit_a", F.lit(True))
+        win_b = win.filter(F.col(b).isNotNull()).select(b).withColumn("_hit_b", F.lit(True))
+        state = (tagged.select("seq", a, b, "_won").join(win_a, a, "left").join(win_b, b, "left")
+                 .select("seq", a, b, F.when(F.col("_won"), 1)
+                         .when(F.col("_hit_a").isNotNull() | F.col("_hit_b").isNotNull(), 2)
+                         .otherwise(0).alias("_state"))
+                 .checkpoint(eager=True))
+        won_parts.append(state.filter(F.col("_state") == 1).select("seq", a, b))
+        undecided = state.filter(F.col("_state") == 0).select("seq", a, b)
     else:
         raise RuntimeError(f"greedy_match did not finish in {max_rounds} rounds")
-    if not accepted_parts:
+    if not won_parts:
         return candidates.select("seq", a, b).limit(0)
-    out = accepted_parts[0]
-    for p in accepted_parts[1:]:
+    out = won_parts[0]
+    for p in won_parts[1:]:
         out = out.unionByName(p)
     return out
 
