@@ -307,16 +307,16 @@ register("teacher_import_rejects", OC.TEACHER_IMPORT_REJECTS)(lambda spark, d: _
 register("teacher_import_summary", OC.TEACHER_IMPORT_SUMMARY)(lambda spark, d: _import(spark, d)[2])
 
 
-# Iterative matching has no practical plain-SQL form: rows-only in the driver,
-# checked against a sequential model in tests/test_redeem.py.
+# Iterative matching: the Spark job runs parallel matching rounds; its oracle is
+# an independent sequential walk (recursive CTE) in plans/oracle_changes.py.
 
 def _register_schools(spark, d):
     f = Fixture(spark, d)
     return C.register_schools(f.schools, fx.signups(spark, d), f.access_codes)
 
 
-register("register_schools")(lambda spark, d: _register_schools(spark, d)[0])
-register("register_schools_rejects")(lambda spark, d: _register_schools(spark, d)[1])
+register("register_schools", OC.REGISTER_SCHOOLS)(lambda spark, d: _register_schools(spark, d)[0])
+register("register_schools_rejects", OC.REGISTER_SCHOOLS_REJECTS)(lambda spark, d: _register_schools(spark, d)[1])
 
 
 def _redeem(spark, d):
@@ -324,8 +324,8 @@ def _redeem(spark, d):
     return RD.redeem_access_codes(f.schools, f.access_codes, f.redeem_attempts)
 
 
-register("redeem_access_codes")(lambda spark, d: _redeem(spark, d)[0])
-register("redeem_access_codes_schools")(lambda spark, d: _redeem(spark, d)[1])
+register("redeem_access_codes", OC.REDEEM_ACCESS_CODES)(lambda spark, d: _redeem(spark, d)[0])
+register("redeem_access_codes_schools", OC.REDEEM_ACCESS_CODES_SCHOOLS)(lambda spark, d: _redeem(spark, d)[1])
 
 
 # ---- S1-S4: streams, run to the end of their input (availableNow) ------------------------

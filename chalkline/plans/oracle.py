@@ -84,7 +84,7 @@ access_codes AS (
   FROM ev WHERE event_type = 'signup'
 ),
 redeem_attempts AS (
-  SELECT event_id AS seq, user_id AS school_id, 'C' || CAST(event_id % 2000 AS VARCHAR) AS code
+  SELECT event_id AS seq, user_id AS school_id, 'C' || CAST(event_id % 2000 AS VARCHAR) AS code, ts
   FROM ev WHERE event_type = 'click'
 ),
 feed AS (
@@ -101,12 +101,13 @@ li_requests AS (
 )"""
 
 
-def with_base(body: str) -> str:
+def with_base(body: str, recursive: bool = False) -> str:
     """``body`` is either ``SELECT ...`` or extra CTEs ``, x AS (...) SELECT ...``."""
     body = body.strip()
+    head = "WITH RECURSIVE" if recursive else "WITH"
     if body.startswith(","):
-        return f"WITH {BASE}{body}"
-    return f"WITH {BASE}\n{body}"
+        return f"{head} {BASE}{body}"
+    return f"{head} {BASE}\n{body}"
 
 
 LI_AS_OF = "TIMESTAMP '2001-11-05 00:00:00'"

@@ -423,3 +423,100 @@ SELECT count(*) AS total_rows_found, count(*) FILTER (WHERE reason IS NULL) AS s
        count(*) FILTER (WHERE reason IS NOT NULL) AS errors
 FROM judged
 """)
+
+
+# ---- M5, M6: sequential walks (independent of the Spark matching rounds) -------------------
+# A recursive CTE visits the attempts one by one in seq order, carrying the
+# schools (or addresses) and codes consumed by earlier successes.
+
+_REDEEM_WALK = """
+, att AS (
+  SELECT row_number() OVER (ORDER BY a.seq) AS rn, a.seq, a.school_id, a.code, a.ts,
+         s.id IS NOT NULL AS known,
+         COALESCE(s.subscription_status = 'NO_SUBSCRIPTION' AND s.subscription_plan IS NULL
+                  AND s.subscription_end_at IS NULL, FALSE) AS eligible,
+         EXISTS (SELECT 1 FROM access_codes c WHERE c.code = a.code) AS code_exists,
+         EXISTS (SELECT 1 FROM access_codes c WHERE c.school_id = a.school_id) AS holds,
+         EXISTS (SELECT 1 FROM access_codes c WHERE c.code = a.code AND c.status = 'UNUSED') AS unused
+  FROM redeem_attempts a LEFT JOIN schools s ON s.id = a.school_id)
+, walk AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS us, CAST([] AS VARCHAR[]) AS uc,
+         CAST(NULL AS VARCHAR) AS reason
+  UNION ALL
+  SELECT x.rn, CASE WHEN x.reason IS NULL THEN list_append(x.us, x.school_id) ELSE x.us END,
+         CASE WHEN x.reason IS NULL THEN list_append(x.uc, x.code) ELSE x.uc END, x.reason
+  FROM (SELECT a.rn, a.school_id, a.code, w.us, w.uc,
+               CASE WHEN a.code IS NULL OR a.code = '' THEN 'Access code is required'
+                    WHEN NOT a.known THEN 'School not found'
+                    WHEN NOT a.eligible OR list_contains(w.us, a.school_id) THEN 'You already use paid subscription'
+                    WHEN NOT a.code_exists THEN 'Invalid access code'
+                    WHEN a.holds THEN 'You already used your trial access.'
+                    WHEN NOT a.unused OR list_contains(w.uc, a.code)
+                      THEN 'Code is already used. Please try a different code.' END AS reason
+        FROM walk w JOIN att a ON a.rn = w.rn + 1) x)
+, outcome AS (SELECT a.seq, a.school_id, a.code, a.ts, w.reason FROM walk w JOIN att a ON a.rn = w.rn)
+"""
+
+REDEEM_ACCESS_CODES = with_base(_REDEEM_WALK + """
+SELECT seq, school_id, code, ts, reason IS NULL AS accepted, reason FROM outcome
+""", recursive=True)
+
+REDEEM_ACCESS_CODES_SCHOOLS = with_base(_REDEEM_WALK + f"""
+, ok AS (SELECT school_id, ts FROM outcome WHERE reason IS NULL)
+SELECT {_select("s", SCHOOL_COLS, {
+    "subscription_status": "CASE WHEN ok.ts IS NOT NULL THEN 'TRIAL' ELSE s.subscription_status END",
+    "subscription_started_at": "CASE WHEN ok.ts IS NOT NULL THEN ok.ts ELSE s.subscription_started_at END",
+    "subscription_end_at": "CASE WHEN ok.ts IS NOT NULL THEN ok.ts + INTERVAL 24 HOUR ELSE s.subscription_end_at END"})}
+FROM schools s LEFT JOIN ok ON s.id = ok.school_id
+""", recursive=True)
+
+_SIGNUP_WALK = r"""
+, su AS (
+  SELECT seq, ts,
+         CASE WHEN n % 6 = 0 THEN '' ELSE 'New School ' || CAST(n AS VARCHAR) END AS name,
+         CASE WHEN n % 5 <> 0 THEN 'Contact ' || CAST(n AS VARCHAR) END AS contact_name,
+         CASE WHEN n % 7 = 0 THEN 'not-an-email'
+              WHEN n % 7 = 1 THEN 'Customer#' || lpad(CAST(k AS VARCHAR), 9, '0') || '@Example.org'
+              ELSE 'New' || CAST(k % 40 AS VARCHAR) || '@Example.org' END AS email,
+         'Country ' || CAST(k % 4 AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS region,
+         CASE WHEN n % 3 = 0 THEN 'C' || CAST((n * 7) % 2000 AS VARCHAR) END AS access_code
+  FROM feed WHERE slot = 2)
+, sj AS (
+  SELECT row_number() OVER (ORDER BY seq) AS rn, su.*, lower(trim(email)) AS nemail,
+         COALESCE(name IS NOT NULL AND length(name) BETWEEN 1 AND 200 AND email IS NOT NULL
+                  AND regexp_matches(email, '^[^\s@]+@[^\s@]+\.[^\s@]+$'), FALSE) AS valid,
+         COALESCE(lower(trim(email)) IN (SELECT lower(trim(email)) FROM schools), FALSE) AS exists_,
+         (access_code IS NOT NULL AND access_code <> '') AS has_code,
+         COALESCE(access_code IN (SELECT code FROM access_codes WHERE status = 'UNUSED'), FALSE) AS unused
+  FROM su)
+, walk AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS ue, CAST([] AS VARCHAR[]) AS uc,
+         CAST(NULL AS VARCHAR) AS reason
+  UNION ALL
+  SELECT x.rn, CASE WHEN x.reason IS NULL THEN list_append(x.ue, x.nemail) ELSE x.ue END,
+         CASE WHEN x.reason IS NULL AND x.has_code THEN list_append(x.uc, x.access_code) ELSE x.uc END, x.reason
+  FROM (SELECT a.rn, a.nemail, a.access_code, a.has_code, w.ue, w.uc,
+               CASE WHEN NOT a.valid THEN 'Invalid input'
+                    WHEN a.contact_name IS NULL THEN 'contact_name is required'
+                    WHEN a.exists_ OR list_contains(w.ue, a.nemail) THEN 'School with this email already exists'
+                    WHEN a.has_code AND (NOT a.unused OR list_contains(w.uc, a.access_code))
+                      THEN 'Invalid or used access code.' END AS reason
+        FROM walk w JOIN sj a ON a.rn = w.rn + 1) x)
+, outcome AS (SELECT a.*, w.reason FROM walk w JOIN sj a ON a.rn = w.rn)
+"""
+
+REGISTER_SCHOOLS = with_base(_SIGNUP_WALK + """
+SELECT CAST((SELECT max(id) FROM schools) + 1 + seq AS BIGINT) AS id, name, contact_name, nemail AS email,
+       CAST(NULL AS VARCHAR) AS website, country, region, CAST(NULL AS VARCHAR) AS about,
+       CAST(NULL AS VARCHAR) AS phone, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS VARCHAR) AS address,
+       CASE WHEN has_code THEN 'TRIAL' ELSE 'NO_SUBSCRIPTION' END AS subscription_status,
+       CAST(NULL AS VARCHAR) AS subscription_plan,
+       CASE WHEN has_code THEN ts END AS subscription_started_at,
+       CASE WHEN has_code THEN ts + INTERVAL 24 HOUR END AS subscription_end_at,
+       ts AS created_at, ts AS updated_at, FALSE AS verified
+FROM outcome WHERE reason IS NULL
+""", recursive=True)
+
+REGISTER_SCHOOLS_REJECTS = with_base(_SIGNUP_WALK + """
+SELECT seq, nemail AS key, reason FROM outcome WHERE reason IS NOT NULL
+""", recursive=True)

@@ -17,8 +17,7 @@ NAMES = sorted(E.queries())
 
 def test_every_query_has_oracle_or_is_iterative():
     rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only == {"register_schools", "register_schools_rejects", "redeem_access_codes",
-                         "redeem_access_codes_schools", "live_active_schools"}
+    assert rows_only == {"live_active_schools"}   # approximate by design
 
 
 @pytest.mark.parametrize("name", NAMES)
