@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chalkline.functions.time import range_days, ts_lit, window_start
+from chalkline.functions.time import ts_lit, window_start
 from chalkline.sources.tables import prune_by_day
 
 # Sentinel range: no lower bound (all-time leaderboards).
@@ -200,6 +200,3 @@ def recent_requests(requests: DataFrame, schools: DataFrame, teachers: DataFrame
             .orderBy(F.desc("requested_at"), F.desc("id")).limit(n)
             .select("id", "school_name", "teacher_code", "requested_at", "status"))
 
-
-def window_days(range_token: str | None) -> int:
-    return range_days(range_token)

@@ -33,7 +33,7 @@ def portal_teacher_list(teachers: DataFrame, ids=None, subjects: str | None = No
     t = teachers.filter(F.col("is_visible_in_school_portal"))
     if ids is not None:
         if isinstance(ids, DataFrame):
-            t = t.join(ids.select(F.col(ids.columns[0]).alias("id")).distinct(), "id", "left_semi")
+            t = t.join(ids.select(F.col(ids.columns[0]).alias("id")), "id", "left_semi")
         else:
             t = t.filter(F.col("id").isin(list(ids)))
     if subjects:

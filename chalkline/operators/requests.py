@@ -31,7 +31,7 @@ def _keep_ids(df: DataFrame, ids, col: str = "id") -> DataFrame:
     if ids is None:
         return df
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(ids.columns[0]).alias(col)).distinct(), col, "left_semi")
+        return df.join(ids.select(F.col(ids.columns[0]).alias(col)), col, "left_semi")
     return df.filter(F.col(col).isin(list(ids)))
 
 

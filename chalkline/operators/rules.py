@@ -104,7 +104,7 @@ def view_log(views: DataFrame, teacher_ids=None, school_ids=None) -> DataFrame:
         if ids is None:
             continue
         if isinstance(ids, DataFrame):
-            v = v.join(ids.select(F.col(ids.columns[0]).alias(col)).distinct(), col, "left_semi")
+            v = v.join(ids.select(F.col(ids.columns[0]).alias(col)), col, "left_semi")
         else:
             v = v.filter(F.col(col).isin(list(ids)))
     return v.select("id", "teacher_id", "school_id", "viewed_at").orderBy("viewed_at", "id")

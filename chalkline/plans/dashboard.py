@@ -12,10 +12,9 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from chalkline.functions.time import range_days
 from chalkline.operators import analytics as A
 
-# Wider than any range token: the persisted facts serve every output.
+# The five outputs of the dashboard, in response order.
 _OUTPUTS = ("totals", "chart", "top_schools", "top_teachers", "regions")
 
 
@@ -24,7 +23,6 @@ class AdminDashboard:
 
     def __init__(self, views: DataFrame, requests: DataFrame, schools: DataFrame, teachers: DataFrame,
                  as_of, range_token: str = "7d", n: int = 5):
-        self.range_token = range_token if range_days(range_token) else "7d"
         self.views = (A.recent_views(views, as_of, range_token)
                       .select("id", "teacher_id", "school_id", "viewed_at")
                       .persist(StorageLevel.MEMORY_AND_DISK))
