@@ -50,7 +50,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting names shared storage and is used as is. Only when
     it is unset (local tests) a scratch folder is created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint folder
+        d = spark.conf.get("spark.checkpoint.dir", None)
+        if not d:
+            raise ValueError("set spark.checkpoint.dir to a shared folder for this session")
+        return d
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         if not sc.master.startswith("local"):
