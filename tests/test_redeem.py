@@ -94,3 +94,17 @@ def test_register_with_codes_matches_sequential(spark):
     assert {x.seq: x.reason for x in rej.collect()} == {
         2: C.CODE_INVALID_OR_USED, 4: C.EMAIL_TAKEN, 5: C.CODE_INVALID_OR_USED}
     assert {x.code: x.school_id for x in nc.collect()} == {"k1": 7, "k2": 9, "k3": None}
+
+
+def test_hot_school_and_hot_code(spark):
+    # one school makes a third of all attempts and one code gets a third of them
+    rng = random.Random(11)
+    schools = [{"id": i} for i in range(1, 41)]
+    codes = [{"code": f"c{i}"} for i in range(1, 41)]
+    attempts = []
+    for s in range(300):
+        sid = 1 if s % 3 == 0 else rng.randint(2, 40)
+        code = "c1" if s % 3 == 1 else f"c{rng.randint(1, 40)}"
+        attempts.append({"seq": s, "school_id": sid, "code": code})
+    got, _, _ = _run(spark, schools, codes, attempts)
+    assert got == RD.sequential_redeem(schools_full(schools), codes_full(codes), attempts)
