@@ -51,13 +51,20 @@ def read_table(spark: SparkSession, base: str, table: str, version: int | None =
 
 
 def write_snapshot(df: DataFrame, base: str, table: str, version: int) -> str:
-    """Write ``df`` as snapshot ``version`` of ``table`` (refuses to overwrite one)."""
+    """Write ``df`` as snapshot ``version`` of ``table``.
+
+    A committed snapshot (folder with ``_SUCCESS``) is never overwritten. A
+    folder left by a failed attempt (no ``_SUCCESS``) is replaced, so a job
+    that died mid-write can simply be run again.
+    """
     spark = df.sparkSession
     path = f"{base.rstrip('/')}/{table}/v={version}"
     if version in versions(spark, base, table):
         raise FileExistsError(f"snapshot {path} already exists")
+    fs, p = _hadoop_fs(spark, path)
+    mode = "overwrite" if fs.exists(p) else "errorifexists"
     cols = [f.name for f in sch.TABLES[table].fields]
-    df.select(*cols).write.mode("errorifexists").parquet(path)
+    df.select(*cols).write.mode(mode).parquet(path)
     return path
 
 

@@ -32,3 +32,14 @@ def test_day_partitions_are_pruned(spark, tmp_path):
     assert out.first().views == 7
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(viewed_date" in plan
+
+
+def test_failed_snapshot_attempt_is_replaced(spark, tmp_path):
+    base = str(tmp_path / "wh")
+    broken = tmp_path / "wh" / "schools" / "v=3"
+    broken.mkdir(parents=True)
+    (broken / "part-0.parquet").write_bytes(b"partial")        # no _SUCCESS: a failed attempt
+    assert TB.versions(spark, base, "schools") == []
+    TB.write_snapshot(H.schools(spark, [{"id": 1}]), base, "schools", 3)
+    assert TB.versions(spark, base, "schools") == [3]
+    assert TB.read_table(spark, base, "schools").count() == 1
