@@ -75,7 +75,8 @@ def validate_views(batch: DataFrame, teachers: DataFrame, schools: DataFrame, as
     return ok, bad_t.unionByName(bad_s)
 
 
-def _run(writer, name: str, timeout_s: int = 600):
+def run_to_end(writer, name: str, timeout_s: int = 600) -> None:
+    """Process everything available now, then stop (batch-style replay and tests)."""
     q = writer.trigger(availableNow=True).queryName(name).start()
     q.awaitTermination(timeout_s)
     if q.isActive:
@@ -85,10 +86,12 @@ def _run(writer, name: str, timeout_s: int = 600):
         raise RuntimeError(str(q.exception()))
 
 
-def view_ingest(spark, views: DataFrame, teachers: DataFrame, schools: DataFrame,
-                out_dir: str | None = None, as_of=None) -> tuple[str, str]:
-    """S1: run the ingest stream to the end of its input; returns (fact_path, quarantine_path)."""
-    out_dir = out_dir or scratch_path(spark, "view-ingest")
+# ---- writer builders: configured sinks; the caller picks the trigger and starts ----
+
+def view_ingest_writer(views: DataFrame, teachers: DataFrame, schools: DataFrame, out_dir: str, as_of=None):
+    """S1 sink: accepted views to ``<out_dir>/teacher_views`` (partitioned by batch_id,
+    viewed_date), rejects to ``<out_dir>/quarantine``. Each batch overwrites only its
+    own ``batch_id`` partitions, so a replayed batch replaces its earlier attempt."""
     fact, quarantine = f"{out_dir}/teacher_views", f"{out_dir}/quarantine"
 
     def write_batch(batch: DataFrame, batch_id: int):
@@ -100,32 +103,32 @@ def view_ingest(spark, views: DataFrame, teachers: DataFrame, schools: DataFrame
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(quarantine))
 
-    _run(views.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{out_dir}/_checkpoint"),
-         "view_ingest")
-    return fact, quarantine
+    w = views.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{out_dir}/_checkpoint")
+    return w, fact, quarantine
 
 
-def live_daily_counts(spark, views: DataFrame, out_dir: str | None = None, mode: str = "complete") -> str:
-    """S2: views per UTC day. ``complete`` rewrites the whole (small) result each
-    batch; ``append`` emits a day once the watermark passes it."""
-    out_dir = out_dir or scratch_path(spark, "daily-counts")
+def daily_counts_frame(views: DataFrame) -> DataFrame:
+    """S2 aggregate: views per UTC day, 1-day watermark on the event time."""
     t = views.withColumn("_t", utc_instant(F.col("viewed_at"))).withWatermark("_t", "1 day")
-    agg = (t.groupBy(F.window("_t", "1 day").alias("w"))
-           .agg(F.count(F.lit(1)).alias("views"))
-           .select(utc_day(F.col("w.start")).alias("day"), "views"))
-    sink = f"{out_dir}/result"
+    return (t.groupBy(F.window("_t", "1 day").alias("w"))
+            .agg(F.count(F.lit(1)).alias("views"))
+            .select(utc_day(F.col("w.start")).alias("day"), "views"))
+
+
+def daily_counts_writer(views: DataFrame, out_dir: str, mode: str = "complete"):
+    """S2 sink. ``append`` emits each day once the watermark has passed it (file
+    sink, exactly-once); ``complete`` rewrites the small full result every batch."""
+    agg, sink = daily_counts_frame(views), f"{out_dir}/result"
     if mode == "append":
         w = agg.writeStream.outputMode("append").format("parquet").option("path", sink)
     else:
         w = agg.writeStream.outputMode("complete").foreachBatch(
             lambda df, _id: df.write.mode("overwrite").parquet(sink))
-    _run(w.option("checkpointLocation", f"{out_dir}/_checkpoint"), "live_daily_counts")
-    return sink
+    return w.option("checkpointLocation", f"{out_dir}/_checkpoint"), sink
 
 
-def live_top_schools(spark, views: DataFrame, schools: DataFrame, n: int = 5, out_dir: str | None = None) -> str:
-    """S3: all-time top-n schools by views (ties by id ascending)."""
-    out_dir = out_dir or scratch_path(spark, "top-schools")
+def top_schools_writer(views: DataFrame, schools: DataFrame, out_dir: str, n: int = 5):
+    """S3 sink: per-school counts as state; names and top-n on the state per batch."""
     sink = f"{out_dir}/result"
     counts = views.groupBy("school_id").agg(F.count(F.lit(1)).alias("views"))
     dim = schools.select(F.col("id").alias("school_id"), "name", F.col("country").alias("location"))
@@ -134,20 +137,45 @@ def live_top_schools(spark, views: DataFrame, schools: DataFrame, n: int = 5, ou
         (state.join(dim, "school_id").orderBy(F.desc("views"), F.asc("school_id")).limit(n)
          .select("school_id", "name", "location", "views").write.mode("overwrite").parquet(sink))
 
-    _run(counts.writeStream.outputMode("complete").foreachBatch(write_top)
-         .option("checkpointLocation", f"{out_dir}/_checkpoint"), "live_top_schools")
-    return sink
+    w = counts.writeStream.outputMode("complete").foreachBatch(write_top)
+    return w.option("checkpointLocation", f"{out_dir}/_checkpoint"), sink
 
 
-def live_active_schools(spark, views: DataFrame, out_dir: str | None = None) -> str:
-    """S4: approximate distinct schools per UTC day (HyperLogLog++)."""
-    out_dir = out_dir or scratch_path(spark, "active-schools")
+def active_schools_writer(views: DataFrame, out_dir: str):
+    """S4 sink: approximate distinct schools per UTC day (HyperLogLog++)."""
     sink = f"{out_dir}/result"
     t = views.withColumn("_t", utc_instant(F.col("viewed_at"))).withWatermark("_t", "1 day")
     agg = (t.groupBy(F.window("_t", "1 day").alias("w"))
            .agg(F.approx_count_distinct("school_id").alias("active_schools"))
            .select(utc_day(F.col("w.start")).alias("day"), "active_schools"))
-    _run(agg.writeStream.outputMode("complete")
-         .foreachBatch(lambda df, _id: df.write.mode("overwrite").parquet(sink))
-         .option("checkpointLocation", f"{out_dir}/_checkpoint"), "live_active_schools")
+    w = agg.writeStream.outputMode("complete").foreachBatch(lambda df, _id: df.write.mode("overwrite").parquet(sink))
+    return w.option("checkpointLocation", f"{out_dir}/_checkpoint"), sink
+
+
+# ---- run-to-end forms (replay, registered queries, tests) -----------------------------
+
+def view_ingest(spark, views: DataFrame, teachers: DataFrame, schools: DataFrame,
+                out_dir: str | None = None, as_of=None) -> tuple[str, str]:
+    """S1: run the ingest stream to the end of its input; returns (fact_path, quarantine_path)."""
+    w, fact, quarantine = view_ingest_writer(views, teachers, schools,
+                                             out_dir or scratch_path(spark, "view-ingest"), as_of)
+    run_to_end(w, "view_ingest")
+    return fact, quarantine
+
+
+def live_daily_counts(spark, views: DataFrame, out_dir: str | None = None, mode: str = "complete") -> str:
+    w, sink = daily_counts_writer(views, out_dir or scratch_path(spark, "daily-counts"), mode)
+    run_to_end(w, "live_daily_counts")
+    return sink
+
+
+def live_top_schools(spark, views: DataFrame, schools: DataFrame, n: int = 5, out_dir: str | None = None) -> str:
+    w, sink = top_schools_writer(views, schools, out_dir or scratch_path(spark, "top-schools"), n)
+    run_to_end(w, "live_top_schools")
+    return sink
+
+
+def live_active_schools(spark, views: DataFrame, out_dir: str | None = None) -> str:
+    w, sink = active_schools_writer(views, out_dir or scratch_path(spark, "active-schools"))
+    run_to_end(w, "live_active_schools")
     return sink

@@ -65,3 +65,14 @@ def test_top_and_active_schools(spark, tmp_path):
         (2, 3), (1, 2), (3, 1)]
     act = spark.read.parquet(SV.live_active_schools(spark, _stream(spark, d), out_dir=str(tmp_path / "a")))
     assert [(x.day, x.active_schools) for x in act.collect()] == [(dt.date(2024, 1, 31), 4)]
+
+
+def test_writer_with_processing_time_trigger(spark, tmp_path):
+    d = _view_dir(spark, tmp_path, [(1, 1, 1, H.AS_OF), (2, 1, 2, H.AS_OF)])
+    w, sink = SV.daily_counts_writer(_stream(spark, d), str(tmp_path / "pt"))
+    q = w.trigger(processingTime="1 second").queryName("pt_daily").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert [(x.day, x.views) for x in spark.read.parquet(sink).collect()] == [(dt.date(2024, 1, 31), 2)]
