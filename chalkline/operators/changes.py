@@ -452,33 +452,38 @@ def maintain_access_codes(codes: DataFrame, ops: DataFrame, as_of=None):
     school and its id is derived from the code. expire: status -> EXPIRED by
     id; the id must exist in the snapshot or have been created by an earlier
     op. Returns (new_codes, rejects).
+
+    Plan: one aggregate by code answers "already exists / first create" for
+    every create; one aggregate by id gives each id's earliest existence
+    (snapshot = -inf, else the seq of the create that made it), which decides
+    every expire.
     """
     o = ops.select("seq", "op", "code", "id", _now(ops, as_of).alias("ts"))
     cr = o.filter(F.col("op") == "create")
-    exists = codes.select("code").distinct().withColumn("_exists", F.lit(True))
-    cr = cr.join(exists, "code", "left")
-    first = cr.filter(F.col("code").isNotNull() & (F.col("code") != "")).groupBy("code").agg(F.min("seq").alias("_first"))
-    cr = cr.join(first, "code", "left")
-    c_reason = (F.when(F.col("code").isNull() | (F.col("code") == ""), CODE_REQUIRED)
-                .when(F.col("_exists") | (F.col("seq") != F.col("_first")), CODE_EXISTS))
+    blank = F.col("code").isNull() | (F.col("code") == "")
+    by_code = (codes.select("code", F.lit(None).cast("long").alias("seq"), F.lit(1).alias("_snap"))
+               .unionByName(cr.filter(~blank).select("code", "seq", F.lit(0).alias("_snap")))
+               .groupBy("code").agg(F.max("_snap").alias("_in_snap"), F.min("seq").alias("_first")))
+    cr = cr.join(by_code, "code", "left")
+    c_reason = (F.when(blank, CODE_REQUIRED)
+                .when((F.col("_in_snap") == 1) | (F.col("seq") != F.col("_first")), CODE_EXISTS))
     cr = cr.withColumn("_reason", c_reason)
-    new_rows = cr.filter(F.col("_reason").isNull()).select(
+    made = cr.filter(F.col("_reason").isNull())
+    new_rows = made.select(
         F.col("code").alias("id"), "code", F.lit(None).cast("long").alias("school_id"),
         F.lit("UNUSED").alias("status"), F.col("ts").alias("created_at"),
         F.lit(None).cast("timestamp_ntz").alias("first_used_at"),
         F.lit(None).cast("timestamp_ntz").alias("expires_at"))
     base = codes.unionByName(new_rows)
-    ex = o.filter(F.col("op") == "expire")
-    snap_ids = codes.select("id").distinct().withColumn("_snap", F.lit(True))
-    made = new_rows.select("id").join(cr.filter(F.col("_reason").isNull()).select(F.col("code").alias("id"),
-                                                                                F.col("seq").alias("_made")), "id")
-    ex = ex.join(snap_ids, "id", "left").join(made, "id", "left")
-    e_reason = F.when(F.col("_snap").isNull() & ~F.coalesce(F.col("_made") < F.col("seq"), F.lit(False)),
-                      CODE_NOT_FOUND)
+    born = (codes.select("id", F.lit(-1).cast("long").alias("_born"))
+            .unionByName(made.select(F.col("code").alias("id"), F.col("seq").alias("_born")))
+            .groupBy("id").agg(F.min("_born").alias("_born")))
+    ex = o.filter(F.col("op") == "expire").join(born, "id", "left")
+    e_reason = F.when(~F.coalesce(F.col("_born") < F.col("seq"), F.lit(False)), CODE_NOT_FOUND)
     ex = ex.withColumn("_reason", e_reason)
     rejects = (_rejects(cr.filter(F.col("_reason").isNotNull()), "code", F.col("_reason"))
                .unionByName(_rejects(ex.filter(F.col("_reason").isNotNull()), "id", F.col("_reason"))))
-    expired = ex.filter(F.col("_reason").isNull()).select("id").distinct().withColumn("_exp", F.lit(True))
+    expired = (ex.filter(F.col("_reason").isNull()).groupBy("id").agg(F.lit(True).alias("_exp")))
     j = base.join(expired, "id", "left")
     new = j.select(_replace(base, {
         "status": F.when(F.col("_exp").isNotNull(), F.lit("EXPIRED")).otherwise(F.col("status"))}))
