@@ -88,14 +88,19 @@ def run_to_end(writer, name: str, timeout_s: int = 600) -> None:
 
 # ---- writer builders: configured sinks; the caller picks the trigger and starts ----
 
-def view_ingest_writer(views: DataFrame, teachers: DataFrame, schools: DataFrame, out_dir: str, as_of=None):
+def view_ingest_writer(views: DataFrame, teachers, schools, out_dir: str, as_of=None):
     """S1 sink: accepted views to ``<out_dir>/teacher_views`` (partitioned by batch_id,
-    viewed_date), rejects to ``<out_dir>/quarantine``. Each batch overwrites only its
+    viewed_date), rejects to ``<out_dir>/quarantine``. ``teachers``/``schools`` are
+    DataFrames or zero-argument callables returning the current snapshot. Each batch overwrites only its
     own ``batch_id`` partitions, so a replayed batch replaces its earlier attempt."""
     fact, quarantine = f"{out_dir}/teacher_views", f"{out_dir}/quarantine"
 
     def write_batch(batch: DataFrame, batch_id: int):
-        ok, bad = validate_views(batch, teachers, schools, as_of)
+        # callables are re-evaluated per batch (e.g. "latest committed snapshot"),
+        # so teachers and schools added while the stream runs become valid
+        t = teachers() if callable(teachers) else teachers
+        s = schools() if callable(schools) else schools
+        ok, bad = validate_views(batch, t, s, as_of)
         (ok.withColumn("viewed_date", F.to_date("viewed_at")).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id", "viewed_date").parquet(fact))

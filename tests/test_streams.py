@@ -76,3 +76,18 @@ def test_writer_with_processing_time_trigger(spark, tmp_path):
     finally:
         q.stop()
     assert [(x.day, x.views) for x in spark.read.parquet(sink).collect()] == [(dt.date(2024, 1, 31), 2)]
+
+
+def test_ingest_sees_dimension_refresh(spark, tmp_path):
+    state = {"teachers": H.teachers(spark, [{"id": 1}])}
+    s = H.schools(spark, [{"id": 1}])
+    d = str(tmp_path / "in")
+    spark.createDataFrame([(1, 2, 1, H.AS_OF)], sch.TEACHER_VIEWS).coalesce(1).write.parquet(d + "/a")
+    stream = spark.readStream.schema(sch.TEACHER_VIEWS).parquet(d + "/*")
+    out = str(tmp_path / "out")
+    fact, bad = SV.view_ingest(spark, stream, lambda: state["teachers"], s, out_dir=out)
+    assert spark.read.parquet(bad).count() == 1                     # teacher 2 unknown at first
+    state["teachers"] = H.teachers(spark, [{"id": 1}, {"id": 2}])   # snapshot refreshed
+    spark.createDataFrame([(2, 2, 1, H.AS_OF)], sch.TEACHER_VIEWS).coalesce(1).write.parquet(d + "/b")
+    SV.view_ingest(spark, stream, lambda: state["teachers"], s, out_dir=out)
+    assert [x.id for x in spark.read.parquet(fact).collect()] == [2]

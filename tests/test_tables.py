@@ -43,3 +43,19 @@ def test_failed_snapshot_attempt_is_replaced(spark, tmp_path):
     TB.write_snapshot(H.schools(spark, [{"id": 1}]), base, "schools", 3)
     assert TB.versions(spark, base, "schools") == [3]
     assert TB.read_table(spark, base, "schools").count() == 1
+
+
+def test_run_change_writes_next_version_and_rejects(spark, tmp_path):
+    from chalkline.plans import jobs as J
+    base = str(tmp_path / "wh")
+    TB.write_snapshot(H.schools(spark, [{"id": 1, "subscription_status": "ACTIVE",
+                                         "subscription_end_at": dt.datetime(2024, 1, 1)}, {"id": 2}]),
+                      base, "schools", 1)
+    r = J.hourly_expiry(spark, base, H.AS_OF)
+    assert (r["from_version"], r["version"]) == (1, 2)
+    o = spark.createDataFrame([(1, 2, "TRIAL", 24), (2, 9, "TRIAL", 24)],
+                              "seq long, school_id long, status string, hours int")
+    r = J.apply_overrides(spark, base, o, as_of=H.AS_OF)
+    assert r["version"] == 3 and spark.read.parquet(r["rejects"]).count() == 1
+    got = {x.id: x.subscription_status for x in TB.read_table(spark, base, "schools").collect()}
+    assert got == {1: "EXPIRED", 2: "TRIAL"}
