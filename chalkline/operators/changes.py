@@ -144,19 +144,52 @@ def _typed(value: Column, dtype) -> Column:
     return value.cast(dtype)
 
 
+INVALID_VALUE = "Invalid value for a column"
+INVALID_STATUS = "Invalid request status"
+
+# NOT NULL columns a patch may touch; writing null to them fails the update.
+TEACHER_NOT_NULL = ["full_name", "email", "will_move_sem1", "will_move_sem2", "profile_status",
+                    "is_visible_in_school_portal"]
+SCHOOL_NOT_NULL = ["name", "contact_name", "email"]
+
+
+def _bad_patch(changes: Column, not_null: list[str], enums: dict[str, list], ints: list[str],
+               bools: list[str]) -> Column:
+    """True when a patch would make the database refuse the whole update."""
+    conds = []
+    for k in not_null:
+        conds.append(F.map_contains_key(changes, k) & changes.getItem(k).isNull())
+    for k, domain in enums.items():
+        conds.append(changes.getItem(k).isNotNull() & ~changes.getItem(k).isin(*domain))
+    for k in ints:
+        conds.append(changes.getItem(k).isNotNull() & changes.getItem(k).try_cast("int").isNull())
+    for k in bools:
+        conds.append(changes.getItem(k).isNotNull() & F.lower(F.trim(changes.getItem(k))).try_cast("boolean").isNull())
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return F.coalesce(out, F.lit(False))
+
+
 def apply_teacher_patches(teachers: DataFrame, patches: DataFrame, as_of=None):
     """M3: ``patches`` (seq, id, changes map<string,string>[, ts]).
 
     An absent key keeps the old value, a key with a null value writes null;
     the last patch (by seq) per (id, field) wins; teacher_code and unknown
     keys are ignored. updated_at = time of the last patch (an empty patch
-    still touches it). Unknown id -> reject. Returns (new_teachers, rejects).
+    still touches it). Unknown id -> reject; a patch the database would
+    refuse (null in a NOT NULL column, a status outside the enum, a
+    non-integer year count or non-boolean flag) is rejected whole.
+    Returns (new_teachers, rejects).
     """
     p = patches.select("seq", "id", "changes", _now(patches, as_of).alias("ts"))
     ids = teachers.select("id")
-    rejects = _rejects(p.join(ids, "id", "left_anti"), "id", F.lit(TEACHER_NOT_FOUND))
+    bad = _bad_patch(F.col("changes"), TEACHER_NOT_NULL, {"profile_status": sch.PROFILE_STATUSES},
+                     ["years_experience"], ["will_move_sem1", "will_move_sem2", "is_visible_in_school_portal"])
+    rejects = (_rejects(p.join(ids, "id", "left_anti"), "id", F.lit(TEACHER_NOT_FOUND))
+               .unionByName(_rejects(p.join(ids, "id", "left_semi").filter(bad), "id", F.lit(INVALID_VALUE))))
     fields = list(sch.TEACHER_PATCHABLE)
-    last = _last_values(_explode_patch(p.join(ids, "id", "left_semi")), fields)
+    last = _last_values(_explode_patch(p.join(ids, "id", "left_semi").filter(~bad)), fields)
     j = teachers.join(last, "id", "left")
     types = {f.name: f.dataType for f in sch.TEACHERS.fields}
     values = {f: F.when(F.col(f"_set_{f}") == 1, _typed(F.col(f"_val_{f}"), types[f])).otherwise(F.col(f))
@@ -186,7 +219,8 @@ def apply_school_patches(schools: DataFrame, patches: DataFrame, as_of=None):
         "seq", "id", "changes", _now(patches, as_of).alias("ts"),
         F.size(F.filter(F.map_keys("changes"), lambda k: k.isin(*keys))).alias("_nkeys"),
         F.col("changes").getItem("email").alias("_email"),
-        F.map_contains_key("changes", "email").alias("_has_email"))
+        F.map_contains_key("changes", "email").alias("_has_email"),
+        _bad_patch(F.col("changes"), SCHOOL_NOT_NULL, {}, [], []).alias("_bad"))
     known = schools.select(F.col("id"), F.lit(True).alias("_known"))
     owners = schools.groupBy(F.col("email").alias("_email")).agg(
         F.min("id").alias("_own_min"), F.max("id").alias("_own_max"))
@@ -194,14 +228,15 @@ def apply_school_patches(schools: DataFrame, patches: DataFrame, as_of=None):
     taken = F.col("_has_email") & F.col("_own_min").isNotNull() & (
         (F.col("_own_min") != F.col("id")) | (F.col("_own_max") != F.col("id")))
     p = p.withColumn("_taken", F.coalesce(taken, F.lit(False)))
-    base_ok = F.col("_known").isNotNull() & (F.col("_nkeys") > 0) & ~F.col("_taken")
+    base_ok = F.col("_known").isNotNull() & (F.col("_nkeys") > 0) & ~F.col("_taken") & ~F.col("_bad")
     claims = (p.filter(base_ok & F.col("_has_email") & F.col("_email").isNotNull())
               .groupBy("_email").agg(F.min_by("id", "seq").alias("_claimer")))
     p = p.join(claims, "_email", "left")
     lost = F.col("_has_email") & F.col("_claimer").isNotNull() & (F.col("_claimer") != F.col("id"))
     reason = (F.when(F.col("_known").isNull(), SCHOOL_NOT_FOUND)
               .when(F.col("_nkeys") == 0, NO_FIELDS)
-              .when(F.col("_taken") | lost, EMAIL_IN_USE))
+              .when(F.col("_taken") | lost, EMAIL_IN_USE)
+              .when(F.col("_bad"), INVALID_VALUE))
     p = p.withColumn("_reason", reason)
     rejects = _rejects(p.filter(F.col("_reason").isNotNull()), "id", F.col("_reason"))
     ok = p.filter(F.col("_reason").isNull()).select("seq", "id", "ts", "changes")
@@ -423,6 +458,7 @@ def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None):
                                   F.lit(False)),
                     REQUEST_CLOSE_DENIED)
               .when((F.col("kind") == "set_status") & F.col("status").isNull(), STATUS_NULL)
+              .when((F.col("kind") == "set_status") & ~F.col("status").isin(*sch.REQUEST_STATUSES), INVALID_STATUS)
               .when(~F.col("kind").isin("set_status", "close"), F.lit("unknown event kind")))
     upd = upd.withColumn("_reason", reason)
     rejects = _rejects(upd.filter(F.col("_reason").isNotNull()), "request_id", F.col("_reason"))

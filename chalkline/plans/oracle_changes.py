@@ -96,17 +96,32 @@ def _teacher_value(f: str) -> str:
 _tp_repl = {f: _teacher_value(f) for f in _TEACHER_PATCH_FIELDS}
 _tp_repl["updated_at"] = "COALESCE(tt.ts, t.updated_at)"
 
-APPLY_TEACHER_PATCHES = with_base(_TEACHER_PATCHES + f"""
+_TEACHER_BAD = """
+, tp_bad AS (
+  SELECT DISTINCT seq FROM tp_cells
+  WHERE (field IN ('full_name', 'email', 'will_move_sem1', 'will_move_sem2', 'profile_status',
+                   'is_visible_in_school_portal') AND value IS NULL)
+     OR (field = 'profile_status' AND value NOT IN ('ACTIVE', 'INACTIVE', 'PLACED'))
+     OR (field = 'years_experience' AND value IS NOT NULL AND TRY_CAST(value AS INTEGER) IS NULL)
+     OR (field IN ('will_move_sem1', 'will_move_sem2', 'is_visible_in_school_portal') AND value IS NOT NULL
+         AND TRY_CAST(lower(trim(value)) AS BOOLEAN) IS NULL))
+, tp_ok AS (SELECT * FROM tp WHERE id IN (SELECT id FROM teachers) AND seq NOT IN (SELECT seq FROM tp_bad))
+"""
+
+APPLY_TEACHER_PATCHES = with_base(_TEACHER_PATCHES + _TEACHER_BAD + f"""
 , last AS (SELECT id, {_pivot(_TEACHER_PATCH_FIELDS)} FROM tp_cells
-           WHERE id IN (SELECT id FROM teachers) GROUP BY id)
-, touched AS (SELECT id, max(ts) AS ts FROM tp WHERE id IN (SELECT id FROM teachers) GROUP BY id)
+           WHERE seq IN (SELECT seq FROM tp_ok) GROUP BY id)
+, touched AS (SELECT id, max(ts) AS ts FROM tp_ok GROUP BY id)
 SELECT {_select("t", TEACHER_COLS, _tp_repl)}
 FROM teachers t LEFT JOIN last l ON t.id = l.id LEFT JOIN touched tt ON t.id = tt.id
 """)
 
-APPLY_TEACHER_PATCHES_REJECTS = with_base(_TEACHER_PATCHES + """
+APPLY_TEACHER_PATCHES_REJECTS = with_base(_TEACHER_PATCHES + _TEACHER_BAD + """
 SELECT seq, CAST(id AS VARCHAR) AS key, 'Teacher not found' AS reason FROM tp
 WHERE id NOT IN (SELECT id FROM teachers)
+UNION ALL
+SELECT seq, CAST(id AS VARCHAR) AS key, 'Invalid value for a column' AS reason FROM tp
+WHERE id IN (SELECT id FROM teachers) AND seq IN (SELECT seq FROM tp_bad)
 """)
 
 # ---- M4 -------------------------------------------------------------------------
@@ -131,19 +146,22 @@ _SCHOOL_PATCHES = """
          (SELECT count(*) FROM sp_cells c WHERE c.seq = p.seq) AS nkeys,
          (SELECT max(value) FROM sp_cells c WHERE c.seq = p.seq AND c.field = 'email') AS email,
          EXISTS (SELECT 1 FROM sp_cells c WHERE c.seq = p.seq AND c.field = 'email') AS has_email,
-         p.id IN (SELECT id FROM schools) AS known
+         p.id IN (SELECT id FROM schools) AS known,
+         EXISTS (SELECT 1 FROM sp_cells c WHERE c.seq = p.seq AND c.field IN ('name', 'contact_name', 'email')
+                 AND c.value IS NULL) AS bad
   FROM sp p)
 , sp_taken AS (
   SELECT h.*, h.has_email AND EXISTS (SELECT 1 FROM schools s WHERE s.email = h.email AND s.id <> h.id) AS taken
   FROM sp_head h)
 , claims AS (
   SELECT email, arg_min(id, seq) AS claimer FROM sp_taken
-  WHERE known AND nkeys > 0 AND NOT taken AND has_email AND email IS NOT NULL GROUP BY email)
+  WHERE known AND nkeys > 0 AND NOT taken AND NOT bad AND has_email AND email IS NOT NULL GROUP BY email)
 , judged AS (
   SELECT t.*, CASE WHEN NOT t.known THEN 'School not found'
                    WHEN t.nkeys = 0 THEN 'No valid fields provided'
                    WHEN t.taken OR (t.has_email AND c.claimer IS NOT NULL AND c.claimer <> t.id)
-                     THEN 'Email already in use' END AS reason
+                     THEN 'Email already in use'
+                   WHEN t.bad THEN 'Invalid value for a column' END AS reason
   FROM sp_taken t LEFT JOIN claims c ON t.email = c.email)
 """
 
@@ -294,7 +312,10 @@ _REQUEST_EVENTS = """
                                   ELSE 'Request not found' END
       WHEN e.kind = 'close' AND NOT COALESCE(e.teacher_id = b.teacher_id AND e.school_id = b.school_id, FALSE)
         THEN 'Request not found or not authorized'
-      WHEN e.kind = 'set_status' AND e.status IS NULL THEN 'status is required' END AS reason
+      WHEN e.kind = 'set_status' AND e.status IS NULL THEN 'status is required'
+      WHEN e.kind = 'set_status' AND e.status NOT IN ('PENDING', 'TEACHER_CONTACTED', 'TEACHER_ACCEPTED',
+                                                     'TEACHER_DECLINED', 'CLOSED') THEN 'Invalid request status'
+      END AS reason
   FROM rev e LEFT JOIN (
       SELECT id, teacher_id, school_id FROM requests
       UNION ALL

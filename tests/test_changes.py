@@ -172,3 +172,27 @@ def test_request_event_before_its_create_is_not_found(spark):
     row = new.first()
     assert (row.status, row.admin_notes) == ("TEACHER_CONTACTED", "ok")
     assert [(x.seq, x.reason) for x in rej.collect()] == [(1, C.REQUEST_NOT_FOUND)]
+
+
+def test_patches_the_database_would_refuse(spark):
+    t = H.teachers(spark, [{"id": 1, "subjects": "Old"}])
+    p = spark.createDataFrame([
+        (1, 1, {"profile_status": "RETIRED"}, AS_OF), (2, 1, {"full_name": None}, AS_OF),
+        (3, 1, {"years_experience": "9x"}, AS_OF), (4, 1, {"will_move_sem1": "maybe"}, AS_OF),
+        (5, 1, {"subjects": "New", "years_experience": "4"}, AS_OF),
+    ], PATCH)
+    new, rej = C.apply_teacher_patches(t, p)
+    assert sorted(x.seq for x in rej.collect()) == [1, 2, 3, 4]
+    row = new.first()
+    assert (row.subjects, row.years_experience, row.profile_status) == ("New", 4, "ACTIVE")
+    s = H.schools(spark, [{"id": 1, "email": "a@x.org"}])
+    sp = spark.createDataFrame([(1, 1, {"name": None}, AS_OF), (2, 1, {"email": "b@x.org"}, AS_OF)], PATCH)
+    new, rej = C.apply_school_patches(s, sp)
+    assert [(x.seq, x.reason) for x in rej.collect()] == [(1, C.INVALID_VALUE)]
+    assert new.first().email == "b@x.org"
+    r = H.requests(spark, [{"id": 1, "teacher_id": 1, "school_id": 1}])
+    ev = spark.createDataFrame([(1, "set_status", 1, None, None, "ARCHIVED", None, None)],
+                               "seq long, kind string, request_id long, teacher_id long, school_id long, "
+                               "status string, message string, admin_notes string")
+    new, rej = C.apply_request_events(r, ev, as_of=AS_OF)
+    assert new.first().status == "PENDING" and rej.first().reason == C.INVALID_STATUS
