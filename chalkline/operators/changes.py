@@ -92,6 +92,9 @@ def archive_teachers(teachers: DataFrame, requests: DataFrame, views: DataFrame,
     and both timestamps; archive_id continues after the existing maximum in
     seq order. Requests and views of deleted teachers are removed (cascade).
     Returns (archive_rows, teachers_left, requests_left, views_left, rejects).
+    For the append-only view log, store ``deleted_teacher_ids(...)`` as
+    tombstones (``sources.tables.append_tombstones``) rather than writing
+    ``views_left``: readers apply them with an anti join.
     """
     d = delete_ids.select("seq", "id", _now(delete_ids, as_of).alias("ts"))
     first = d.groupBy("id").agg(F.min_by(F.struct("seq", "ts"), "seq").alias("f"))
@@ -117,6 +120,11 @@ def archive_teachers(teachers: DataFrame, requests: DataFrame, views: DataFrame,
     return arch, teachers_left, requests_left, views_left, rejects
 
 
+def deleted_teacher_ids(teachers: DataFrame, delete_ids: DataFrame) -> DataFrame:
+    """Ids that an M2 run removes (known teachers named in the feed)."""
+    return delete_ids.select("id").distinct().join(teachers.select("id"), "id", "left_semi")
+
+
 # ---- M3 / M4: patches ------------------------------------------------------------
 
 def _explode_patch(feed: DataFrame) -> DataFrame:

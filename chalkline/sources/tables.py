@@ -86,3 +86,34 @@ def prune_by_day(views: DataFrame, lower_ts) -> DataFrame:
     if "viewed_date" not in views.columns:
         return views
     return views.filter(F.col("viewed_date") >= F.to_date(lower_ts))
+
+
+# ---- deletes on the append-only view log -------------------------------------------
+# Rewriting the whole view log to cascade a teacher delete (M2) would cost a
+# full pass over the largest table per run. Instead the deleted ids are
+# appended to a small tombstone table and applied as an anti join when the
+# log is read; the planner broadcasts the tombstones only while they are below
+# the measured size threshold and shuffles otherwise. A compaction job can
+# rewrite day partitions later with ``compact_views``.
+
+def append_tombstones(ids: DataFrame, path: str, key: str = "teacher_id") -> None:
+    ids.select(F.col(ids.columns[0]).cast("long").alias(key)).distinct().write.mode("append").parquet(path)
+
+
+def read_live_views(spark: SparkSession, path: str, tombstones: str | None = None,
+                    key: str = "teacher_id") -> DataFrame:
+    """The view log without rows whose ``key`` has been deleted."""
+    views = read_views(spark, path)
+    if tombstones is None:
+        return views
+    fs, p = _hadoop_fs(spark, tombstones)
+    if not fs.exists(p):
+        return views
+    dead = spark.read.schema(f"{key} long").parquet(tombstones)
+    return views.join(dead, key, "left_anti")
+
+
+def compact_views(spark: SparkSession, path: str, tombstones: str, out_path: str) -> None:
+    """Write the tombstone-filtered log to a new folder (day-partitioned)."""
+    live = read_live_views(spark, path, tombstones)
+    live.write.mode("errorifexists").partitionBy("viewed_date").parquet(out_path)

@@ -59,3 +59,18 @@ def test_run_change_writes_next_version_and_rejects(spark, tmp_path):
     assert r["version"] == 3 and spark.read.parquet(r["rejects"]).count() == 1
     got = {x.id: x.subscription_status for x in TB.read_table(spark, base, "schools").collect()}
     assert got == {1: "EXPIRED", 2: "TRIAL"}
+
+
+def test_tombstones_cascade_without_rewriting_the_log(spark, tmp_path):
+    path, tomb = str(tmp_path / "views"), str(tmp_path / "tomb")
+    TB.append_views(H.views(spark, [{"teacher_id": t, "school_id": 1, "viewed_at": H.AS_OF} for t in (1, 1, 2, 3)]),
+                    path)
+    t = H.teachers(spark, [{"id": 1}, {"id": 2}, {"id": 3}])
+    d = spark.createDataFrame([(1, 1), (2, 99)], "seq long, id long")
+    TB.append_tombstones(C.deleted_teacher_ids(t, d), tomb)
+    live = TB.read_live_views(spark, path, tomb)
+    assert sorted(x.teacher_id for x in live.collect()) == [2, 3]
+    _, _, _, views_left, _ = C.archive_teachers(t, H.requests(spark, []), TB.read_views(spark, path), d, as_of=H.AS_OF)
+    assert sorted(x.teacher_id for x in views_left.collect()) == [2, 3]     # same answer as the rewrite
+    TB.compact_views(spark, path, tomb, str(tmp_path / "views2"))
+    assert TB.read_views(spark, str(tmp_path / "views2")).count() == 2
