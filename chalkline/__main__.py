@@ -1,4 +1,5 @@
-"""Command line for scheduled runs (``spark-submit -m chalkline ...`` or ``python -m chalkline``).
+"""Command line for scheduled runs (``spark-submit --py-files chalkline.zip chalkline/__main__.py ...``
+or ``python -m chalkline ...``).
 
 Tables live in a warehouse folder written by ``chalkline.sources.tables``:
 ``<base>/<table>/v=<n>`` snapshots and a day-partitioned ``<base>/teacher_views``.
