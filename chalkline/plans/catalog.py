@@ -353,7 +353,8 @@ def _view_ingest_quarantine(spark, d):
 
 @register("live_daily_counts", O.LIVE_DAILY_COUNTS)
 def _live_daily_counts(spark, d):
-    return spark.read.parquet(SV.live_daily_counts(spark, SV.view_event_stream(spark, d)))
+    return spark.read.parquet(SV.live_daily_counts(spark, SV.view_event_stream(spark, d),
+                                                   requests=SV.request_event_stream(spark, d)))
 
 
 @register("live_top_schools", O.LIVE_TOP_SCHOOLS)

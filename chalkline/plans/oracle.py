@@ -402,7 +402,11 @@ WHERE teacher_id IN (SELECT id FROM teachers) AND school_id NOT IN (SELECT id FR
 """)
 
 LIVE_DAILY_COUNTS = with_base("""
-SELECT CAST(viewed_at AS DATE) AS day, COUNT(*) AS views FROM teacher_views GROUP BY 1
+SELECT day, CAST(SUM(v) AS BIGINT) AS views, CAST(SUM(r) AS BIGINT) AS requests
+FROM (SELECT CAST(viewed_at AS DATE) AS day, 1 AS v, 0 AS r FROM teacher_views
+      UNION ALL
+      SELECT CAST(requested_at AS DATE), 0, 1 FROM requests) x
+GROUP BY day
 """)
 
 LIVE_TOP_SCHOOLS = with_base("""

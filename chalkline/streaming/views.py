@@ -60,6 +60,16 @@ def view_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: i
                      F.col("ts").alias("viewed_at"))
 
 
+def request_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming request log (purchase events) from the same events table."""
+    r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    ev = r.parquet(sf_dir).filter(F.col("event_type") == "purchase")
+    return ev.select(F.col("event_id").alias("id"), F.col("user_id").alias("school_id"),
+                     F.col("ts").alias("requested_at"))
+
+
 def validate_views(batch: DataFrame, teachers: DataFrame, schools: DataFrame, as_of=None):
     """S1 rule on one batch: default viewed_at, keep views of known teachers and
     schools, quarantine the rest. Returns (accepted, quarantined)."""
@@ -112,18 +122,27 @@ def view_ingest_writer(views: DataFrame, teachers, schools, out_dir: str, as_of=
     return w, fact, quarantine
 
 
-def daily_counts_frame(views: DataFrame) -> DataFrame:
-    """S2 aggregate: views per UTC day, 1-day watermark on the event time."""
-    t = views.withColumn("_t", utc_instant(F.col("viewed_at"))).withWatermark("_t", "1 day")
-    return (t.groupBy(F.window("_t", "1 day").alias("w"))
-            .agg(F.count(F.lit(1)).alias("views"))
-            .select(utc_day(F.col("w.start")).alias("day"), "views"))
+def daily_counts_frame(views: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """S2 aggregate: views (and requests, when given) per UTC day.
+
+    The two streams are tagged and unioned, then counted in one windowed
+    aggregate with a 1-day watermark on the event time, so state is one row
+    per open day whatever the event rate.
+    """
+    t = views.select(utc_instant(F.col("viewed_at")).alias("_t"), F.lit(1).alias("_v"), F.lit(0).alias("_r"))
+    if requests is not None:
+        t = t.unionByName(requests.select(utc_instant(F.col("requested_at")).alias("_t"),
+                                          F.lit(0).alias("_v"), F.lit(1).alias("_r")))
+    agg = (t.withWatermark("_t", "1 day").groupBy(F.window("_t", "1 day").alias("w"))
+           .agg(F.sum("_v").cast("long").alias("views"), F.sum("_r").cast("long").alias("requests")))
+    cols = [utc_day(F.col("w.start")).alias("day"), "views"] + (["requests"] if requests is not None else [])
+    return agg.select(*cols)
 
 
-def daily_counts_writer(views: DataFrame, out_dir: str, mode: str = "complete"):
+def daily_counts_writer(views: DataFrame, out_dir: str, mode: str = "complete", requests: DataFrame | None = None):
     """S2 sink. ``append`` emits each day once the watermark has passed it (file
     sink, exactly-once); ``complete`` rewrites the small full result every batch."""
-    agg, sink = daily_counts_frame(views), f"{out_dir}/result"
+    agg, sink = daily_counts_frame(views, requests), f"{out_dir}/result"
     if mode == "append":
         w = agg.writeStream.outputMode("append").format("parquet").option("path", sink)
     else:
@@ -168,8 +187,9 @@ def view_ingest(spark, views: DataFrame, teachers: DataFrame, schools: DataFrame
     return fact, quarantine
 
 
-def live_daily_counts(spark, views: DataFrame, out_dir: str | None = None, mode: str = "complete") -> str:
-    w, sink = daily_counts_writer(views, out_dir or scratch_path(spark, "daily-counts"), mode)
+def live_daily_counts(spark, views: DataFrame, out_dir: str | None = None, mode: str = "complete",
+                      requests: DataFrame | None = None) -> str:
+    w, sink = daily_counts_writer(views, out_dir or scratch_path(spark, "daily-counts"), mode, requests)
     run_to_end(w, "live_daily_counts")
     return sink
 
