@@ -43,7 +43,9 @@ def recent_views(views: DataFrame, as_of, range_token="7d") -> DataFrame:
 
 
 def recent_requests_in(requests: DataFrame, as_of, range_token="7d") -> DataFrame:
-    return requests.filter(F.col("requested_at") > window_start(as_of, range_token))
+    """Requests strictly after ``as_of - range`` (day partitions pruned when present)."""
+    lo = window_start(as_of, range_token)
+    return prune_by_day(requests, lo, "requested_date").filter(F.col("requested_at") > lo)
 
 
 def period_totals(views: DataFrame, requests: DataFrame, as_of, range_token="7d",

@@ -40,17 +40,30 @@ def versions(spark: SparkSession, base: str, table: str) -> list[int]:
     return sorted(out)
 
 
+# Day partition column derived from each fact's event time.
+DAY_PARTITIONS = {"requests": ("requested_date", "requested_at"), "teacher_views": ("viewed_date", "viewed_at")}
+
+
 def read_table(spark: SparkSession, base: str, table: str, version: int | None = None) -> DataFrame:
-    """Read a snapshot with its declared schema (never inferred); latest by default."""
+    """Read a snapshot with its declared schema (never inferred); latest by default.
+    A day-partitioned snapshot also exposes its partition column for pruning."""
+    from pyspark.sql import types as T
     if version is None:
         vs = versions(spark, base, table)
         if not vs:
             raise FileNotFoundError(f"no committed snapshot of {table} under {base}")
         version = vs[-1]
-    return spark.read.schema(sch.TABLES[table]).parquet(f"{base.rstrip('/')}/{table}/v={version}")
+    path = f"{base.rstrip('/')}/{table}/v={version}"
+    schema = sch.TABLES[table]
+    if table in DAY_PARTITIONS:
+        fs, root = _hadoop_fs(spark, path)
+        part = DAY_PARTITIONS[table][0]
+        if any(st.getPath().getName().startswith(part + "=") for st in fs.listStatus(root)):
+            schema = T.StructType(list(schema.fields) + [T.StructField(part, T.DateType())])
+    return spark.read.schema(schema).parquet(path)
 
 
-def write_snapshot(df: DataFrame, base: str, table: str, version: int) -> str:
+def write_snapshot(df: DataFrame, base: str, table: str, version: int, by_day: bool = False) -> str:
     """Write ``df`` as snapshot ``version`` of ``table``.
 
     A committed snapshot (folder with ``_SUCCESS``) is never overwritten. A
@@ -64,7 +77,12 @@ def write_snapshot(df: DataFrame, base: str, table: str, version: int) -> str:
     fs, p = _hadoop_fs(spark, path)
     mode = "overwrite" if fs.exists(p) else "errorifexists"
     cols = [f.name for f in sch.TABLES[table].fields]
-    df.select(*cols).write.mode(mode).parquet(path)
+    out = df.select(*cols)
+    w = out.write.mode(mode)
+    if by_day and table in DAY_PARTITIONS:
+        part, ts_col = DAY_PARTITIONS[table]
+        w = out.withColumn(part, F.to_date(ts_col)).write.mode(mode).partitionBy(part)
+    w.parquet(path)
     return path
 
 
@@ -81,11 +99,11 @@ def read_views(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def prune_by_day(views: DataFrame, lower_ts) -> DataFrame:
-    """Add the partition predicate implied by ``viewed_at > lower_ts``."""
-    if "viewed_date" not in views.columns:
-        return views
-    return views.filter(F.col("viewed_date") >= F.to_date(lower_ts))
+def prune_by_day(df: DataFrame, lower_ts, part: str = "viewed_date") -> DataFrame:
+    """Add the partition predicate implied by ``<event time> > lower_ts``."""
+    if part not in df.columns:
+        return df
+    return df.filter(F.col(part) >= F.to_date(lower_ts))
 
 
 # ---- deletes on the append-only view log -------------------------------------------

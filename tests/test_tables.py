@@ -74,3 +74,21 @@ def test_tombstones_cascade_without_rewriting_the_log(spark, tmp_path):
     assert sorted(x.teacher_id for x in views_left.collect()) == [2, 3]     # same answer as the rewrite
     TB.compact_views(spark, path, tomb, str(tmp_path / "views2"))
     assert TB.read_views(spark, str(tmp_path / "views2")).count() == 2
+
+
+def test_requests_snapshot_by_day_is_pruned(spark, tmp_path):
+    base = str(tmp_path / "wh")
+    r = H.requests(spark, [{"teacher_id": 1, "school_id": 1, "requested_at": H.AS_OF - dt.timedelta(days=d)}
+                           for d in range(20)])
+    TB.write_snapshot(r, base, "requests", 1, by_day=True)
+    cur = TB.read_table(spark, base, "requests")
+    assert "requested_date" in cur.columns
+    out = A.period_totals(H.views(spark, []), cur, H.AS_OF)
+    assert out.first().requests == 7
+    assert "PartitionFilters: [isnotnull(requested_date" in out._jdf.queryExecution().executedPlan().toString()
+    # change jobs keep working on the partitioned snapshot (the partition column is dropped on write)
+    new, _ = C.apply_request_events(cur.drop("requested_date"), spark.createDataFrame(
+        [], "seq long, kind string, request_id long, teacher_id long, school_id long, status string, "
+            "message string, admin_notes string"), as_of=H.AS_OF)
+    TB.write_snapshot(new, base, "requests", 2, by_day=True)
+    assert TB.read_table(spark, base, "requests").count() == 20
