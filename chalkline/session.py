@@ -21,6 +21,42 @@ SCALE_CONF = {
 }
 
 
+# Cluster settings for very large inputs (hundreds of TB, ~1000 executors).
+# Shuffle partitions start high and AQE coalesces them to ~advisory size, so
+# no task holds more than ~256 MB of shuffle data; skewed partitions above
+# 5x the median (and 512 MB) are split; broadcasts stay under 64 MB as
+# measured at runtime; scans read 256 MB splits.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    "spark.shuffle.service.enabled": "true",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+}
+
+
+def shuffle_partitions_for(shuffle_bytes: float, target_bytes: float = 256 * 2**20,
+                           minimum: int = 200, maximum: int = 100_000) -> int:
+    """Initial shuffle partitions for an expected shuffle volume (AQE coalesces down)."""
+    n = int(-(-shuffle_bytes // target_bytes))
+    return max(minimum, min(maximum, n))
+
+
+def cluster_session(app_name: str = "chalkline", expected_shuffle_bytes: float = 100 * 2**40,
+                    extra: dict | None = None) -> SparkSession:
+    """Session for a cluster run: master, executors and spark.checkpoint.dir come
+    from spark-submit / spark-defaults; this adds the scale settings above."""
+    conf = dict(CLUSTER_CONF)
+    conf.update(extra or {})
+    return build_session(None, shuffle_partitions_for(expected_shuffle_bytes), app_name, conf)
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "chalkline", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings above.
