@@ -25,7 +25,9 @@ SCALE_CONF = {
 # Shuffle partitions start high and AQE coalesces them to ~advisory size, so
 # no task holds more than ~256 MB of shuffle data; skewed partitions above
 # 5x the median (and 512 MB) are split; broadcasts stay under 64 MB as
-# measured at runtime; scans read 256 MB splits.
+# measured at runtime; scans read 256 MB splits. Decommissioning migrates
+# shuffle blocks off executors that are taken away; where the cluster runs
+# an external shuffle service, also set spark.shuffle.service.enabled.
 CLUSTER_CONF = {
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
@@ -35,7 +37,6 @@ CLUSTER_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "64m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
-    "spark.shuffle.service.enabled": "true",
     "spark.decommission.enabled": "true",
     "spark.storage.decommission.shuffleBlocks.enabled": "true",
 }
