@@ -216,11 +216,9 @@ def apply_school_patches(schools: DataFrame, patches: DataFrame, as_of=None):
     (An address freed within the batch becomes available in the next one.)
     Returns (new_schools, rejects).
 
-    Plan: owners of each address are one aggregate over the snapshot
-    (min/max id, so a duplicated address is still seen as taken); the feed
-    meets the snapshot in two key joins (id, email), the batch claims are one
-    aggregate by address, and the accepted cells are reduced per id in one
-    aggregate before the final join.
+    Plan: the feed meets the snapshot in two key joins (id, email); owners
+    and batch claims come from one aggregate by address; the accepted cells
+    are reduced per id in one aggregate before the final join.
     """
     keys = list(sch.SCHOOL_PATCHABLE)
     p = patches.select(
@@ -230,17 +228,26 @@ def apply_school_patches(schools: DataFrame, patches: DataFrame, as_of=None):
         F.map_contains_key("changes", "email").alias("_has_email"),
         _bad_patch(F.col("changes"), SCHOOL_NOT_NULL, {}, [], []).alias("_bad"))
     known = schools.select(F.col("id"), F.lit(True).alias("_known"))
-    owners = schools.groupBy(F.col("email").alias("_email")).agg(
-        F.min("id").alias("_own_min"), F.max("id").alias("_own_max"))
-    p = p.join(known, "id", "left").join(owners, "_email", "left")
+    p = p.join(known, "id", "left")
+    # one aggregate per address: snapshot owners (min/max id, so a duplicated
+    # address still counts as taken) and the first claim of this batch. The
+    # claimer matters only for addresses nobody owns: on an owned address every
+    # other school's patch is already "taken".
+    cand = (p.filter(F.col("_known").isNotNull() & (F.col("_nkeys") > 0) & ~F.col("_bad")
+                     & F.col("_has_email") & F.col("_email").isNotNull())
+            .select("_email", "id", "seq", F.lit(False).alias("_snap")))
+    snap = schools.select(F.col("email").alias("_email"), "id", F.lit(None).cast("long").alias("seq"),
+                          F.lit(True).alias("_snap"))
+    per_email = cand.unionByName(snap).groupBy("_email").agg(
+        F.min(F.when(F.col("_snap"), F.col("id"))).alias("_own_min"),
+        F.max(F.when(F.col("_snap"), F.col("id"))).alias("_own_max"),
+        F.min_by(F.col("id"), F.when(~F.col("_snap"), F.col("seq"))).alias("_claimer"))
+    p = p.join(per_email, "_email", "left")
     taken = F.col("_has_email") & F.col("_own_min").isNotNull() & (
         (F.col("_own_min") != F.col("id")) | (F.col("_own_max") != F.col("id")))
     p = p.withColumn("_taken", F.coalesce(taken, F.lit(False)))
-    base_ok = F.col("_known").isNotNull() & (F.col("_nkeys") > 0) & ~F.col("_taken") & ~F.col("_bad")
-    claims = (p.filter(base_ok & F.col("_has_email") & F.col("_email").isNotNull())
-              .groupBy("_email").agg(F.min_by("id", "seq").alias("_claimer")))
-    p = p.join(claims, "_email", "left")
-    lost = F.col("_has_email") & F.col("_claimer").isNotNull() & (F.col("_claimer") != F.col("id"))
+    lost = (F.col("_has_email") & F.col("_own_min").isNull() & F.col("_claimer").isNotNull()
+            & (F.col("_claimer") != F.col("id")))
     reason = (F.when(F.col("_known").isNull(), SCHOOL_NOT_FOUND)
               .when(F.col("_nkeys") == 0, NO_FIELDS)
               .when(F.col("_taken") | lost, EMAIL_IN_USE)
