@@ -72,17 +72,24 @@ def request_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger
 
 def validate_views(batch: DataFrame, teachers: DataFrame, schools: DataFrame, as_of=None):
     """S1 rule on one batch: default viewed_at, keep views of known teachers and
-    schools, quarantine the rest. Returns (accepted, quarantined)."""
+    schools, quarantine the rest. Returns (accepted, quarantined).
+
+    A missing viewed_at takes ``as_of`` when one is given. Otherwise the row is
+    quarantined, not stamped with the processing time: a replayed batch must
+    produce exactly the same rows and day partitions.
+    """
     from chalkline.functions.time import ts_lit
     if as_of is not None:
         batch = batch.withColumn("viewed_at", F.coalesce(F.col("viewed_at"), ts_lit(as_of)))
+    timed, untimed = batch.filter(F.col("viewed_at").isNotNull()), batch.filter(F.col("viewed_at").isNull())
     t = teachers.select(F.col("id").alias("teacher_id"))
     s = schools.select(F.col("id").alias("school_id"))
-    ok = batch.join(t, "teacher_id", "left_semi").join(s, "school_id", "left_semi")
-    bad_t = batch.join(t, "teacher_id", "left_anti").withColumn("reason", F.lit("Teacher not found"))
-    bad_s = (batch.join(t, "teacher_id", "left_semi").join(s, "school_id", "left_anti")
+    ok = timed.join(t, "teacher_id", "left_semi").join(s, "school_id", "left_semi")
+    bad_t = timed.join(t, "teacher_id", "left_anti").withColumn("reason", F.lit("Teacher not found"))
+    bad_s = (timed.join(t, "teacher_id", "left_semi").join(s, "school_id", "left_anti")
              .withColumn("reason", F.lit("School not found")))
-    return ok, bad_t.unionByName(bad_s)
+    bad_time = untimed.withColumn("reason", F.lit("View time missing"))
+    return ok, bad_t.unionByName(bad_s).unionByName(bad_time)
 
 
 def run_to_end(writer, name: str, timeout_s: int = 600) -> None:

@@ -91,3 +91,12 @@ def test_ingest_sees_dimension_refresh(spark, tmp_path):
     spark.createDataFrame([(2, 2, 1, H.AS_OF)], sch.TEACHER_VIEWS).coalesce(1).write.parquet(d + "/b")
     SV.view_ingest(spark, stream, lambda: state["teachers"], s, out_dir=out)
     assert [x.id for x in spark.read.parquet(fact).collect()] == [2]
+
+
+def test_missing_view_time(spark):
+    t, s = H.teachers(spark, [{"id": 1}]), H.schools(spark, [{"id": 1}])
+    b = spark.createDataFrame([(1, 1, 1, None), (2, 1, 1, H.AS_OF)], sch.TEACHER_VIEWS)
+    ok, bad = SV.validate_views(b, t, s)
+    assert [x.id for x in ok.collect()] == [2] and [x.reason for x in bad.collect()] == ["View time missing"]
+    ok, bad = SV.validate_views(b, t, s, as_of=H.AS_OF)
+    assert ok.count() == 2 and bad.count() == 0
