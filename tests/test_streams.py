@@ -95,7 +95,8 @@ def test_ingest_sees_dimension_refresh(spark, tmp_path):
 
 def test_missing_view_time(spark):
     t, s = H.teachers(spark, [{"id": 1}]), H.schools(spark, [{"id": 1}])
-    b = spark.createDataFrame([(1, 1, 1, None), (2, 1, 1, H.AS_OF)], sch.TEACHER_VIEWS)
+    b = spark.createDataFrame([(1, 1, 1, None), (2, 1, 1, H.AS_OF)],
+                              "id long, teacher_id long, school_id long, viewed_at timestamp_ntz")
     ok, bad = SV.validate_views(b, t, s)
     assert [x.id for x in ok.collect()] == [2] and [x.reason for x in bad.collect()] == ["View time missing"]
     ok, bad = SV.validate_views(b, t, s, as_of=H.AS_OF)
