@@ -9,12 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import exact, packing
+from chalkline.llm import exact, packing, substrings
 from chalkline.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeated_windows(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -25,6 +29,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_difference_cover": op6_difference_cover,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_best_two_fit": op10_best_two_fit,
 }
@@ -32,6 +37,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op6_difference_cover": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             k AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 48),
+                          lambda s: {'s': s, 'key': md5(array_to_string(ws[s:s + 49], ' '))})) AS x
+                   FROM w WHERE len(ws) >= 50),
+             m AS (SELECT x.key AS key, min(doc_id) AS least FROM k GROUP BY 1),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(x.s, x.s + 50)) AS i
+                      FROM k JOIN m ON x.key = m.key WHERE doc_id > least),
+             t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+             kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS txt, count(*) AS n
+                      FROM t ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(txt, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
     "op7_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({LOWER}) AS sha FROM documents),
              g AS (SELECT sha, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY sha)
