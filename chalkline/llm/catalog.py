@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import exact, packing, substrings
+from chalkline.llm import exact, neardup, packing, substrings
 from chalkline.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -31,6 +35,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_difference_cover": op6_difference_cover,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_chosen_path": op9_chosen_path,
     "op10_best_two_fit": op10_best_two_fit,
 }
 
@@ -55,4 +60,20 @@ ORACLE: dict[str, str] = {
         WITH d AS (SELECT doc_id, sha256({LOWER}) AS sha FROM documents),
              g AS (SELECT sha, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY sha)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha AS text_sha256 FROM d JOIN g USING (sha)""",
+    "op9_chosen_path": rf"""
+        WITH RECURSIVE
+             w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             s AS (SELECT DISTINCT doc_id, unnest(CASE
+                          WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3),
+                                                                lambda i: array_to_string(ws[i:i + 4], ' '))
+                          WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+                   FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+             e AS (SELECT x, y FROM p JOIN n AS nx ON nx.doc_id = x JOIN n AS ny ON ny.doc_id = y
+                   WHERE 100 * common >= 75 * (nx.n + ny.n - common)),
+             r AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+             c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+        SELECT x AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, x = component_id AS kept
+        FROM c LEFT JOIN n ON n.doc_id = c.x""",
 }
