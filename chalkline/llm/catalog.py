@@ -9,12 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import exact, neardup, packing, substrings
+from chalkline.llm import decontaminate, exact, neardup, packing, substrings
 from chalkline.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("item_ids", "row_no")
+
+
 def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated_windows(table(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_winnowing": op1_winnowing,
     "op6_difference_cover": op6_difference_cover,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_chosen_path": op9_chosen_path,
@@ -42,6 +48,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
+    "op1_winnowing": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+             b AS (SELECT item_id::VARCHAR AS item_id,
+                          regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+             win AS (SELECT DISTINCT item_id, least(len(ws), 10) AS m,
+                            unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1),
+                                                  lambda i: array_to_string(ws[i:i + 9], ' '))) AS key
+                     FROM b WHERE len(ws) > 0),
+             size AS (SELECT DISTINCT m FROM win),
+             seen AS (SELECT doc_id, m, unnest(list_transform(range(1, len(ws) - m + 2),
+                             lambda i: {{'i': i, 'key': array_to_string(ws[i:i + m - 1], ' ')}})) AS x
+                      FROM d CROSS JOIN size WHERE len(ws) >= m),
+             hit AS (SELECT DISTINCT doc_id, x.i AS i, seen.m AS m, item_id
+                     FROM seen JOIN win ON win.m = seen.m AND win.key = x.key),
+             words AS (SELECT doc_id, count(*) AS n_hit
+                       FROM (SELECT DISTINCT doc_id, unnest(range(i, i + m)) FROM hit) GROUP BY doc_id),
+             ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS txt
+                     FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+               coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(txt, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN ids USING (doc_id)""",
     "op6_difference_cover": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
              k AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 48),
