@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import decontaminate, exact, neardup, packing, substrings
+from chalkline.llm import decontaminate, exact, language, neardup, packing, quality, substrings
 from chalkline.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,21 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("item_ids", "row_no")
 
 
+def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(table(spark, sf_dir, "documents")).drop("row_no")
+
+
+def pages_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator over the web pages, where markup, suffix, domain and host all speak."""
+    found = language.identify_pages(table(spark, sf_dir, "pages")).drop("row_no")
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 def op6_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeated_windows(table(spark, sf_dir, "documents"))
 
@@ -39,6 +54,9 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op3_subword_quality": op3_subword_quality,
+    "op5_evidence_fusion": op5_evidence_fusion,
+    "pages_evidence_fusion": pages_evidence_fusion,
     "op6_difference_cover": op6_difference_cover,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_chosen_path": op9_chosen_path,
