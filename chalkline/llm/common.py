@@ -65,7 +65,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[low:high], offsets.astype(np.int64) - low
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 8 << 20):
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20):
     """Cut a record batch into consecutive slices of at most ``most_bytes`` of text (one row at least)."""
     col = batch.column(batch.schema.get_field_index(text))
     sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)

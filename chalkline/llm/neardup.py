@@ -89,7 +89,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """Set size, set digest, root nodes by tree and signature of every document."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 row, hashes = shingle_sets(part.column(1), size)
                 rows = part.num_rows
                 n = np.bincount(row, minlength=rows)
@@ -128,7 +128,12 @@ def _sizes_allow(a: str, b: str, threshold: float):
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SIGNATURE)
+    """A binary column of signatures as a matrix, without copying."""
+    if not len(column):
+        return np.zeros((0, SIGNATURE), np.uint16)
+    column = column.cast(pa.binary())
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint16, len(column) * SIGNATURE, int(first)).reshape(-1, SIGNATURE)
 
 
 def estimated(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
@@ -154,7 +159,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, size: int, id
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "ta", 2 << 20):
+            for part in slices(batch, "ta", 1 << 20):
                 a, b = (shingle_sets(part.column(i), size) for i in (2, 3))
                 row, hashes = (np.concatenate(x) for x in zip(a, b, strict=True))
                 order = np.lexsort((hashes, row))
@@ -215,8 +220,8 @@ def _minority_pairs(rows: DataFrame, nodes: DataFrame, leaf: int, threshold: flo
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             hit = np.flatnonzero((ocomp != comps[row])
                                  & (np.minimum(on, sizes[row]) >= threshold * np.maximum(on, sizes[row])))
-            for i in range(0, len(hit), 1 << 16):
-                part = hit[i:i + (1 << 16)]
+            for i in range(0, len(hit), 1 << 14):
+                part = hit[i:i + (1 << 14)]
                 part = part[(_signatures(osig.take(pa.array(part))) == sig[row[part]]).sum(axis=1) >= least]
                 x, y = ids[row[part]], oid[part]
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
