@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import decontaminate, exact, language, neardup, packing, quality, substrings
+from chalkline.llm import decontaminate, exact, language, neardup, packing, pii, quality, substrings
 from chalkline.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -44,6 +44,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents")).drop("row_no")
+
+
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pages_evidence_fusion": pages_evidence_fusion,
     "op6_difference_cover": op6_difference_cover,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_bootstrapped_pii": op8_bootstrapped_pii,
     "op9_chosen_path": op9_chosen_path,
     "op10_best_two_fit": op10_best_two_fit,
 }
