@@ -299,3 +299,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             .select("id", "n", F.coalesce("component", "id").alias("component_id"))
             .select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
                     back.alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept")))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of ``docs`` (a stored table) whose id is the smallest of its group, with all their columns."""
+    gone = (near_duplicate_groups(docs, id_col, text_col, **params).filter(~F.col("kept"))
+            .select(F.col("doc_id").alias("__id")).distinct())
+    return docs.join(saved(gone, "near-copies"), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
