@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import decontaminate, exact, language, neardup, packing, pii, quality, substrings
+from chalkline.llm import decontaminate, exact, language, neardup, packing, pii, quality, substrings, warc
 from chalkline.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("item_ids", "row_no")
 
 
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.page_responses(table(spark, sf_dir, "pages")))
+
+
 def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -58,6 +62,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
+    "op2_warc_derivatives": op2_warc_derivatives,
     "op3_subword_quality": op3_subword_quality,
     "op5_evidence_fusion": op5_evidence_fusion,
     "pages_evidence_fusion": pages_evidence_fusion,
