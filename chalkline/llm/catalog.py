@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import decontaminate, exact, language, neardup, packing, pii, quality, substrings, warc
+from chalkline.llm import decontaminate, exact, language, licenses, neardup, packing, pii, quality, substrings, warc
 from chalkline.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -29,6 +29,10 @@ def op3_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(table(spark, sf_dir, "documents")).drop("row_no")
+
+
 def op5_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(table(spark, sf_dir, "documents")).drop("row_no")
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_warc_derivatives": op2_warc_derivatives,
     "op3_subword_quality": op3_subword_quality,
+    "op4_license_sentences": op4_license_sentences,
     "op5_evidence_fusion": op5_evidence_fusion,
     "pages_evidence_fusion": pages_evidence_fusion,
     "op6_difference_cover": op6_difference_cover,
