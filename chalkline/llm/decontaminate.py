@@ -53,12 +53,14 @@ def fingerprints(texts: DataFrame, span: int) -> DataFrame:
     ``explode_outer``: for ``explode`` the optimizer would push a test of the array's size below all steps.
     """
     k, w = gram_and_window(span)
+    at = lambda name, n: ", ".join(f"get({name}, i + {j})" for j in range(n))  # noqa: E731  slice() would copy the array
+    least = f"least({at('packed', w)})" if w > 1 else "x"
     return (
         texts
         .withColumn("grams", F.expr(f"""if(size(words) < {span}, cast(array() as array<bigint>),
-             transform(words, (x, i) -> if(i <= size(words) - {k}, xxhash64(slice(words, i + 1, {k})), null)))"""))
+             transform(words, (x, i) -> if(i <= size(words) - {k}, xxhash64({at('words', k)}), null)))"""))
         .withColumn("packed", F.expr("transform(grams, (x, i) -> shiftleft(x, 32) | (i + 1))"))
-        .withColumn("least", F.expr(f"transform(packed, (x, i) -> array_min(slice(packed, i + 1, {w})))"))
+        .withColumn("least", F.expr(f"transform(packed, (x, i) -> {least})"))
         .withColumn("picks", F.expr("""
              transform(filter(least, (x, i) -> x is not null and (i = 0 or x <> get(least, i - 1))),
                        x -> named_struct('at', cast(x & 4294967295 as int),
@@ -77,7 +79,8 @@ def item_fingerprints(items: DataFrame, spans: list[int], span: int) -> DataFram
                .filter("pick is not null")
                .withColumn("low", F.expr(f"greatest(1, pick.at - {w - 1})"))
                .select(F.col("pick.hash").alias("hash"), F.lit(m).alias("span"),
-                       F.expr(f"slice(words, low, pick.at + {k + w - 1} - low)").alias("around"),
+                       F.expr(f"""transform(sequence(low - 1, least(size(words), pick.at + {k + w - 2}) - 1),
+                                  j -> get(words, j))""").alias("around"),
                        F.expr("pick.at - low + 1").alias("core"), "item_id"))
         out = own if out is None else out.unionByName(own)
     return (out.groupBy("hash", "span", "around", "core")
@@ -100,26 +103,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_co
     short = sorted(r[0] for r in items.filter(F.size("words") < span).select(F.size("words")).distinct().collect())
     spans = [*short, span]
     prints = saved(item_fingerprints(items, spans, span), "item-fingerprints")
+    # the words are needed beside every fingerprint, but only a row that meets an item's is ever written out
     base = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"),
                        words_of(F.col(text_col)).alias("words"))
 
-    def seen(m: int) -> DataFrame:
-        """Every document's fingerprints for one span; with the longest span also a row without any, for n_words."""
-        none = "array(cast(null as struct<at: int, hash: bigint>))"
-        d = fingerprints(base, m).withColumn("picks", F.expr(f"concat({none}, picks)" if m == span else "picks"))
-        return d.select("row_no", "doc_id", F.size("words").alias("n_words"), "words", F.explode_outer("picks").alias("pick"),
-                        ).select("row_no", "doc_id", "n_words", "words", F.col("pick.at").alias("at"),
-                                 F.col("pick.hash").alias("hash"), F.lit(m).alias("span"))
-
-    every = seen(span)
-    for m in short:
-        every = every.unionByName(seen(m))
+    # one row without a fingerprint for each document, for n_words, and those for all spans
+    every = base.withColumn("all", F.expr("array(cast(null as struct<at: int, hash: bigint, span: int>))"))
+    for m in spans:
+        every = fingerprints(every, m).withColumn("all", F.expr(
+            f"concat(all, transform(picks, x -> named_struct('at', x.at, 'hash', x.hash, 'span', {m})))")).drop("picks")
+    every = (every.select("row_no", "doc_id", F.size("words").alias("n_words"), "words", F.explode_outer("all").alias("pick"))
+             .select("row_no", "doc_id", "n_words", "words", "pick.at", "pick.hash", "pick.span"))
     if prints.count() <= broadcast_rows:
         met = every.join(F.broadcast(prints), ["hash", "span"], "left").filter("at is null or core is not null")
     else:
         hits = every.select("row_no", "at", "hash", "span").join(prints, ["hash", "span"])
         met = hits.join(base, "row_no").withColumn("n_words", F.size("words"))
-        met = met.unionByName(every.filter("at is null"), allowMissingColumns=True)
+        bare = base.select("row_no", "doc_id", F.size("words").alias("n_words"))
+        met = met.unionByName(bare, allowMissingColumns=True)
     sizes = {m: gram_and_window(m) for m in spans}
     gram = F.expr("case " + " ".join(f"when span = {m} then {k}" for m, (k, _) in sizes.items()) + " end")
     reach = F.expr("case " + " ".join(f"when span = {m} then {w - 1}" for m, (_, w) in sizes.items()) + " end")
@@ -127,7 +128,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_co
     sided = (met.withColumn("k", gram).withColumn("reach", F.greatest(reach, F.lit(1)))
              .withColumn("before", F.expr(f"if(span = 1, 0, {_run('- 1 - j', 'reach')})"))
              .withColumn("after", F.expr(f"if(span = 1, 0, {_run('+ k - 2 + j', 'reach')})")))
-    whole = F.expr("at is not null and slice(words, at, k) = slice(around, core, k) and before + k + after >= span")
+    whole = F.expr("""at is not null and before + k + after >= span and
+                      forall(sequence(0, k - 1), j -> get(words, at - 1 + j) = get(around, core - 1 + j))""")
     hit = sided.select(
         "row_no", "doc_id", "n_words",
         F.when(whole, F.expr("named_struct('from', at - before, 'to', at + k + after)")).alias("run"),
