@@ -16,8 +16,11 @@ import json
 
 
 def _session():
-    from chalkline.session import build_session
-    return build_session()
+    from pyspark import SparkConf
+
+    from chalkline.session import build_session, cluster_session
+    local = SparkConf().get("spark.master", "local[*]").startswith("local")
+    return build_session() if local else cluster_session()
 
 
 def cmd_dashboard(spark, a) -> dict:

@@ -37,6 +37,7 @@ INVALID_PLAN = "Invalid plan"
 PLAN_SCHOOL_MISMATCH = "School not found or update failed"
 DUPLICATE_SESSION = "Duplicate checkout session"
 REQUEST_NOT_FOUND = "Request not found"
+DUPLICATE_REQUEST = "Duplicate request id"
 REQUEST_CLOSE_DENIED = "Request not found or not authorized"
 STATUS_NULL = "status is required"
 CODE_REQUIRED = "Access code is required"
@@ -136,7 +137,7 @@ def _explode_patch(feed: DataFrame) -> DataFrame:
 def _last_values(cells: DataFrame, fields: list[str]) -> DataFrame:
     """Per id, one aggregate: for each field whether it was set and its last
     value by seq, plus ``_ts`` = time of the last applied patch."""
-    aggs = [F.max("ts").alias("_ts")]
+    aggs = [F.max_by("ts", "seq").alias("_ts")]
     for f in fields:
         is_f = F.col("field") == f
         aggs.append(F.max(is_f.cast("int")).alias(f"_set_{f}"))
@@ -337,25 +338,27 @@ def register_schools(schools: DataFrame, signups: DataFrame, codes: DataFrame |
 def activate_paid_plans(schools: DataFrame, checkouts: DataFrame, as_of=None):
     """M7: ``checkouts`` (seq, session_id, school_id, email, plan, payment_status[, ts]).
 
-    One event per session (the first by seq; replays are rejected). Only
-    'paid'; BASIC/PRO/ULTIMATE buy 1/6/12 months from the event time with
+    One event per session: the first by seq that passes all other checks, so
+    a session that is first unpaid and then paid is activated; later ones that
+    pass are replays and rejected. Only 'paid'; BASIC/PRO/ULTIMATE buy 1/6/12 months from the event time with
     month-end overflow; the school must match id *and* email. Success sets
     status ACTIVE, the plan, started and end (updated_at untouched); the last
     success per school wins. Returns (new_schools, rejects).
     """
     c = checkouts.select("seq", "session_id", "school_id", "email", "plan", "payment_status",
                          _now(checkouts, as_of).alias("ts"))
-    first = c.groupBy("session_id").agg(F.min("seq").alias("_first"))
-    c = c.join(first, "session_id")
     match = schools.select(F.col("id").alias("school_id"), "email").distinct().withColumn("_match", F.lit(True))
     c = c.join(match, ["school_id", "email"], "left")
     months = F.create_map(*[x for k, v in PLAN_MONTHS.items() for x in (F.lit(k), F.lit(v))])
     n = months[F.col("plan")]
-    reason = (F.when(F.col("seq") != F.col("_first"), DUPLICATE_SESSION)
-              .when(F.coalesce(F.col("payment_status"), F.lit("")) != "paid", PAYMENT_INCOMPLETE)
-              .when(~F.coalesce(F.col("plan").isin(*PLAN_MONTHS), F.lit(False)), INVALID_PLAN)
-              .when(F.col("_match").isNull(), PLAN_SCHOOL_MISMATCH))
-    c = c.withColumn("_reason", reason)
+    refused = (F.when(F.coalesce(F.col("payment_status"), F.lit("")) != "paid", PAYMENT_INCOMPLETE)
+               .when(~F.coalesce(F.col("plan").isin(*PLAN_MONTHS), F.lit(False)), INVALID_PLAN)
+               .when(F.col("_match").isNull(), PLAN_SCHOOL_MISMATCH))
+    c = c.withColumn("_refused", refused)
+    first = c.filter(F.col("_refused").isNull()).groupBy("session_id").agg(F.min("seq").alias("_first"))
+    first = first.withColumnRenamed("session_id", "_session")
+    c = c.join(first, F.col("session_id").eqNullSafe(F.col("_session")), "left")
+    c = c.withColumn("_reason", F.coalesce("_refused", F.when(F.col("seq") != F.col("_first"), DUPLICATE_SESSION)))
     rejects = _rejects(c.filter(F.col("_reason").isNotNull()), "school_id", F.col("_reason"))
     ok = c.filter(F.col("_reason").isNull()).withColumn("_end", add_months_overflow(F.col("ts"), n))
     last = (ok.groupBy("school_id")
@@ -434,12 +437,35 @@ def cancel_subscriptions(schools: DataFrame, codes: DataFrame, cancels: DataFram
 
 # ---- M10 -------------------------------------------------------------------------
 
-def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None):
+def _judged_creates(creates: DataFrame, held: DataFrame, teachers: DataFrame | None,
+                    schools: DataFrame | None) -> DataFrame:
+    """``creates`` with ``_reason``: unknown teacher, unknown school, or an id that is taken (the first by seq of
+    the otherwise valid creates has it)."""
+    for table, key in ((teachers, "teacher_id"), (schools, "school_id")):
+        flag = F.lit(True).alias(f"_has_{key}")
+        if table is None:
+            creates = creates.withColumn(f"_has_{key}", F.lit(True))
+        else:
+            creates = creates.join(table.select(F.col("id").alias(key)).distinct().select(key, flag), key, "left")
+    taken = held.select(F.col("id").alias("request_id"), F.lit(True).alias("_taken"))
+    refused = (F.when(F.col("_has_teacher_id").isNull(), TEACHER_NOT_FOUND)
+               .when(F.col("_has_school_id").isNull(), SCHOOL_NOT_FOUND)
+               .when(F.col("_taken").isNotNull(), DUPLICATE_REQUEST))
+    creates = creates.join(taken, "request_id", "left").withColumn("_refused", refused)
+    first = creates.filter(F.col("_refused").isNull()).groupBy("request_id").agg(F.min("seq").alias("_first"))
+    return creates.join(first, "request_id", "left").withColumn(
+        "_reason", F.coalesce("_refused", F.when(F.col("seq") != F.col("_first"), DUPLICATE_REQUEST)))
+
+
+def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None, teachers: DataFrame | None = None,
+                         schools: DataFrame | None = None):
     """M10: ``events`` (seq, kind, request_id, teacher_id, school_id, status,
     message, admin_notes[, ts]) with kind in create / set_status / close.
 
     create: a new PENDING request (its id is request_id), message defaults
-    when empty, duplicates allowed; it exists for later events only. set_status: any status to any status,
+    when empty; it exists for later events only. A create is rejected if its
+    teacher or school is not in ``teachers`` / ``schools`` (where given) or its
+    request_id is taken by a stored request or an earlier accepted create. set_status: any status to any status,
     admin_notes null -> ''; null status is refused. close: must match id,
     teacher_id and school_id, sets CLOSED. Invalid events are dropped to
     rejects *before* the fold; then per request the last status event (by
@@ -448,7 +474,11 @@ def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None):
     """
     e = events.select("seq", "kind", "request_id", "teacher_id", "school_id", "status", "message",
                       "admin_notes", _now(events, as_of).alias("ts"))
-    creates = e.filter(F.col("kind") == "create")
+    # only the requests that the feed names are looked up, never the whole fact
+    held = (requests.select("id", F.col("teacher_id").alias("_tid"), F.col("school_id").alias("_sid"))
+            .join(e.select(F.col("request_id").alias("id")).distinct(), "id", "left_semi"))
+    made = _judged_creates(e.filter(F.col("kind") == "create"), held, teachers, schools)
+    creates = made.filter(F.col("_reason").isNull())
     created = creates.select(
         F.col("request_id").alias("id"), "teacher_id", "school_id", F.col("ts").alias("requested_at"),
         F.lit("PENDING").alias("status"),
@@ -457,13 +487,9 @@ def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None):
         F.lit(None).cast("string").alias("admin_notes"))
     base = requests.unionByName(created)
     # a request created in this batch exists only for events after its create
-    keys = (requests.select("id", F.col("teacher_id").alias("_tid"), F.col("school_id").alias("_sid"),
-                            F.lit(None).cast("long").alias("_born"))
-            .unionByName(creates.select(F.col("request_id").alias("id"), F.col("teacher_id").alias("_tid"),
-                                        F.col("school_id").alias("_sid"), F.col("seq").alias("_born")))
-            .groupBy("id").agg(F.min_by(F.struct("_tid", "_sid", "_born"), F.coalesce("_born", F.lit(-1)))
-                                .alias("k"))
-            .select("id", "k._tid", "k._sid", "k._born"))
+    keys = held.withColumn("_born", F.lit(None).cast("long")).unionByName(
+        creates.select(F.col("request_id").alias("id"), F.col("teacher_id").alias("_tid"),
+                       F.col("school_id").alias("_sid"), F.col("seq").alias("_born")))
     upd = e.filter(F.col("kind") != "create").join(keys, F.col("request_id") == F.col("id"), "left")
     missing = F.col("id").isNull() | (F.col("_born").isNotNull() & (F.col("_born") > F.col("seq")))
     reason = (F.when(missing,
@@ -476,7 +502,8 @@ def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None):
               .when((F.col("kind") == "set_status") & ~F.col("status").isin(*sch.REQUEST_STATUSES), INVALID_STATUS)
               .when(~F.col("kind").isin("set_status", "close"), F.lit("unknown event kind")))
     upd = upd.withColumn("_reason", reason)
-    rejects = _rejects(upd.filter(F.col("_reason").isNotNull()), "request_id", F.col("_reason"))
+    rejects = (_rejects(upd.filter(F.col("_reason").isNotNull()), "request_id", F.col("_reason"))
+               .unionByName(_rejects(made.filter(F.col("_reason").isNotNull()), "request_id", F.col("_reason"))))
     ok = upd.filter(F.col("_reason").isNull())
     new_status = F.when(F.col("kind") == "close", F.lit("CLOSED")).otherwise(F.col("status"))
     notes = F.when(F.col("kind") == "set_status", F.coalesce(F.col("admin_notes"), F.lit("")))

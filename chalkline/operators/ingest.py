@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chalkline.functions.text import parse_bool, parse_int_safe, parse_status
 from chalkline.sources import schemas as sch
@@ -29,12 +30,24 @@ SHEET_COLUMNS = (["Teacher Code", "Full Name", "Email"] + list(SHEET_TEXT_COLUMN
 
 
 def read_sheet(spark, path: str, fmt: str = "csv") -> DataFrame:
-    """Read an exported sheet with every column as text (no inference)."""
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField("sheet_row", T.IntegerType())]
-                          + [T.StructField(c, T.StringType()) for c in SHEET_COLUMNS])
-    r = spark.read.schema(schema)
-    return r.option("header", True).csv(path) if fmt == "csv" else r.format(fmt).load(path)
+    """Read an exported sheet: columns by header name, as text; absent columns are null, others are left out.
+
+    Rows are numbered from 2 on (the header is row 1) in the order of the scan, which for one file is its own;
+    a sheet that has a ``sheet_row`` column keeps it. Numbers come from each partition's row count, so no
+    task sees all rows.
+    """
+    r = spark.read.option("header", True).option("multiLine", False)
+    raw = r.csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    cells = [(F.col(f"`{c}`") if c in raw.columns else F.lit(None)).cast("string").alias(c) for c in SHEET_COLUMNS]
+    if "sheet_row" in raw.columns:
+        return raw.select(F.col("sheet_row").cast("int").alias("sheet_row"), *cells)
+    at = F.monotonically_increasing_id()   # the partition in the upper bits, the row's place in it in the lower 33
+    rows = raw.select(*cells, F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
+    offsets = (rows.groupBy("_part").agg(F.count("*").alias("_n"))
+               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    return rows.join(offsets, "_part").select((F.col("_before") + F.col("_place") + 2).cast("int").alias("sheet_row"),
+                                              *[F.col(f"`{c}`") for c in SHEET_COLUMNS])
 
 
 def teacher_import(sheet: DataFrame, teachers: DataFrame, as_of):

@@ -38,7 +38,7 @@ MSG_CODE_USED = "Code is already used. Please try a different code."
 TRIAL_HOURS = 24
 
 
-def greedy_match(candidates: DataFrame, a: str, b: str, max_rounds: int = 1000) -> DataFrame:
+def greedy_match(candidates: DataFrame, a: str, b: str) -> DataFrame:
     """Accepted rows of ``candidates`` (unique ``seq``) under sequential
     first-come matching on two keys. A null ``b`` conflicts with nothing.
 
@@ -47,16 +47,14 @@ def greedy_match(candidates: DataFrame, a: str, b: str, max_rounds: int = 1000)
     was undecided at its start, tagged won (1), dropped (2) or still
     undecided (0): lineage never spans more than one round, winners are read
     back from the durable per-round checkpoints, and nothing is cached.
-    Raises if ``max_rounds`` is reached (never truncates the answer).
+    Every round decides at least the smallest undecided seq, so the rounds end.
     """
     spark = candidates.sparkSession
     ensure_checkpoint_dir(spark)
     undecided = (candidates.groupBy(a, b).agg(F.min("seq").alias("seq"))
                  .select("seq", a, b).checkpoint(eager=True))
     won_parts = []
-    for _ in range(max_rounds):
-        if undecided.isEmpty():
-            break
+    while not undecided.isEmpty():
         min_a = undecided.groupBy(a).agg(F.min("seq").alias("_min_a"))
         min_b = undecided.filter(F.col(b).isNotNull()).groupBy(b).agg(F.min("seq").alias("_min_b"))
         tagged = (undecided.join(min_a, a).join(min_b, b, "left")
@@ -73,8 +71,6 @@ def greedy_match(candidates: DataFrame, a: str, b: str, max_rounds: int = 1000)
                  .checkpoint(eager=True))
         won_parts.append(state.filter(F.col("_state") == 1).select("seq", a, b))
         undecided = state.filter(F.col("_state") == 0).select("seq", a, b)
-    else:
-        raise RuntimeError(f"greedy_match did not finish in {max_rounds} rounds")
     if not won_parts:
         return candidates.select("seq", a, b).limit(0)
     out = won_parts[0]

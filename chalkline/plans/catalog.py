@@ -283,7 +283,8 @@ register("cancel_subscriptions_rejects", OC.CANCEL_SUBSCRIPTIONS_REJECTS)(lambda
 
 
 def _reqev(spark, d):
-    return C.apply_request_events(Fixture(spark, d).requests, fx.request_events(spark, d))
+    return C.apply_request_events(Fixture(spark, d).requests, fx.request_events(spark, d),
+                                  teachers=Fixture(spark, d).teachers, schools=Fixture(spark, d).schools)
 
 
 register("apply_request_events", OC.APPLY_REQUEST_EVENTS)(lambda spark, d: _reqev(spark, d)[0])

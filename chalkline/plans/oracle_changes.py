@@ -111,7 +111,7 @@ _TEACHER_BAD = """
 APPLY_TEACHER_PATCHES = with_base(_TEACHER_PATCHES + _TEACHER_BAD + f"""
 , last AS (SELECT id, {_pivot(_TEACHER_PATCH_FIELDS)} FROM tp_cells
            WHERE seq IN (SELECT seq FROM tp_ok) GROUP BY id)
-, touched AS (SELECT id, max(ts) AS ts FROM tp_ok GROUP BY id)
+, touched AS (SELECT id, arg_max(ts, seq) AS ts FROM tp_ok GROUP BY id)
 SELECT {_select("t", TEACHER_COLS, _tp_repl)}
 FROM teachers t LEFT JOIN last l ON t.id = l.id LEFT JOIN touched tt ON t.id = tt.id
 """)
@@ -134,8 +134,8 @@ _SCHOOL_PATCHES = """
 , sp_cells AS (
   SELECT seq, id, ts, 'description' AS field, 'About ' || CAST(n AS VARCHAR) AS value FROM sp WHERE n % 5 = 0
   UNION ALL SELECT seq, id, ts, 'city', 'City ' || CAST(k % 9 AS VARCHAR) FROM sp WHERE n % 5 = 0
-  UNION ALL SELECT seq, id, ts, 'email', 'shared' || CAST(k % 5 AS VARCHAR) || '@example.org' FROM sp WHERE n % 5 = 1
-  UNION ALL SELECT seq, id, ts, 'email', 'customer#' || lpad(CAST(k AS VARCHAR), 9, '0') || '@example.org'
+  UNION ALL SELECT seq, id, ts, 'email', 'shared' || CAST(n // 25 AS VARCHAR) || '@example.org' FROM sp WHERE n % 5 = 1
+  UNION ALL SELECT seq, id, ts, 'email', 'customer#' || lpad(CAST(k AS VARCHAR), CAST(greatest(9, len(CAST(k AS VARCHAR))) AS INTEGER), '0') || '@example.org'
             FROM sp WHERE n % 5 = 3
   UNION ALL SELECT seq, id, ts, 'name', 'Renamed ' || CAST(n AS VARCHAR) FROM sp WHERE n % 5 = 3
   UNION ALL SELECT seq, id, ts, 'phone', NULL FROM sp WHERE n % 5 = 4
@@ -171,7 +171,7 @@ _sp_repl["updated_at"] = "COALESCE(tt.ts, s.updated_at)"
 APPLY_SCHOOL_PATCHES = with_base(_SCHOOL_PATCHES + f"""
 , ok_cells AS (SELECT c.* FROM sp_cells c JOIN judged j ON c.seq = j.seq WHERE j.reason IS NULL)
 , last AS (SELECT id, {_pivot(list(_SCHOOL_PATCH_KEYS))} FROM ok_cells GROUP BY id)
-, touched AS (SELECT id, max(ts) AS ts FROM judged WHERE reason IS NULL GROUP BY id)
+, touched AS (SELECT id, arg_max(ts, seq) AS ts FROM judged WHERE reason IS NULL GROUP BY id)
 SELECT {_select("s", SCHOOL_COLS, _sp_repl)}
 FROM schools s LEFT JOIN last l ON s.id = l.id LEFT JOIN touched tt ON s.id = tt.id
 """)
@@ -184,20 +184,24 @@ SELECT seq, CAST(id AS VARCHAR) AS key, reason FROM judged WHERE reason IS NOT N
 
 _CHECKOUTS = """
 , co AS (
-  SELECT seq, ts, 'cs_' || CAST(n % 50 AS VARCHAR) AS session_id, user_id AS school_id,
+  SELECT seq, ts, 'cs_' || CAST(n // 8 AS VARCHAR) AS session_id, user_id AS school_id,
          CASE WHEN k % 9 = 0 THEN 'wrong@example.org'
-              ELSE 'customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@example.org' END AS email,
+              ELSE 'customer#' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(9, len(CAST(user_id AS VARCHAR))) AS INTEGER), '0') || '@example.org' END AS email,
          CASE k % 4 WHEN 0 THEN 'BASIC' WHEN 1 THEN 'PRO' WHEN 2 THEN 'ULTIMATE' ELSE 'GOLD' END AS plan,
          CASE WHEN k % 5 = 0 THEN 'unpaid' ELSE 'paid' END AS payment_status
   FROM feed WHERE slot = 3)
-, judged AS (
+, payable AS (
   SELECT c.*, CASE
-      WHEN c.seq <> (SELECT min(seq) FROM co c2 WHERE c2.session_id = c.session_id) THEN 'Duplicate checkout session'
       WHEN COALESCE(c.payment_status, '') <> 'paid' THEN 'Payment not completed yet'
       WHEN c.plan IS NULL OR c.plan NOT IN ('BASIC', 'PRO', 'ULTIMATE') THEN 'Invalid plan'
       WHEN NOT EXISTS (SELECT 1 FROM schools s WHERE s.id = c.school_id AND s.email = c.email)
-        THEN 'School not found or update failed' END AS reason
+        THEN 'School not found or update failed' END AS refused
   FROM co c)
+, judged AS (
+  SELECT *, CASE WHEN refused IS NOT NULL THEN refused
+                 WHEN row_number() OVER (PARTITION BY session_id, refused ORDER BY seq) > 1
+                   THEN 'Duplicate checkout session' END AS reason
+  FROM payable)
 """
 
 ACTIVATE_PAID_PLANS = with_base(_CHECKOUTS + f"""
@@ -281,7 +285,8 @@ SELECT seq, CAST(id AS VARCHAR) AS key, 'School not found' AS reason FROM cx WHE
 _REQUEST_EVENTS = """
 , pe AS (SELECT * FROM ev WHERE event_type = 'purchase')
 , rev AS (
-  SELECT event_id * 4 AS seq, 'create' AS kind, event_id AS request_id, k AS teacher_id, user_id AS school_id,
+  SELECT event_id * 4 AS seq, 'create' AS kind, event_id - 10 * CAST(n % 4 = 1 AS BIGINT) AS request_id,
+         CASE WHEN n % 17 = 0 THEN -k ELSE k END AS teacher_id, CASE WHEN n % 19 = 0 THEN -user_id ELSE user_id END AS school_id,
          CAST(NULL AS VARCHAR) AS status,
          CASE n % 3 WHEN 1 THEN '' WHEN 2 THEN 'Hello ' || CAST(n AS VARCHAR) END AS message,
          CAST(NULL AS VARCHAR) AS admin_notes, ts
@@ -299,13 +304,22 @@ _REQUEST_EVENTS = """
   SELECT event_id * 4 + 2, 'close', event_id, k, CASE WHEN event_id % 2 = 0 THEN user_id ELSE user_id + 1 END,
          NULL, NULL, NULL, ts
   FROM pe WHERE event_id % 11 = 0)
+, made AS (
+  SELECT *, CASE WHEN teacher_id NOT IN (SELECT id FROM teachers) THEN 'Teacher not found'
+                 WHEN school_id NOT IN (SELECT id FROM schools) THEN 'School not found'
+                 WHEN request_id IN (SELECT id FROM requests) THEN 'Duplicate request id' END AS refused
+  FROM rev WHERE kind = 'create')
+, created AS (
+  SELECT * EXCLUDE (refused), CASE WHEN refused IS NOT NULL THEN refused
+         WHEN row_number() OVER (PARTITION BY request_id, refused ORDER BY seq) > 1 THEN 'Duplicate request id' END AS reason
+  FROM made)
 , base AS (
   SELECT id, teacher_id, school_id, requested_at, status, school_message, admin_notes FROM requests
   UNION ALL
   SELECT request_id, teacher_id, school_id, ts, 'PENDING',
          CASE WHEN COALESCE(message, '') = '' THEN 'Interested in this teacher and would like to connect.'
               ELSE message END, NULL
-  FROM rev WHERE kind = 'create')
+  FROM created WHERE reason IS NULL)
 , judged AS (
   SELECT e.*, CASE
       WHEN b.id IS NULL THEN CASE WHEN e.kind = 'close' THEN 'Request not found or not authorized'
@@ -317,12 +331,10 @@ _REQUEST_EVENTS = """
                                                      'TEACHER_DECLINED', 'CLOSED') THEN 'Invalid request status'
       END AS reason
   FROM rev e LEFT JOIN (
-      SELECT id, teacher_id, school_id FROM requests
+      SELECT id, teacher_id, school_id, -1 AS born FROM requests
       UNION ALL
-      SELECT request_id, teacher_id, school_id FROM rev WHERE kind = 'create'
-    ) b ON e.request_id = b.id
-       AND (b.id IN (SELECT id FROM requests)
-            OR EXISTS (SELECT 1 FROM rev c WHERE c.kind = 'create' AND c.request_id = e.request_id AND c.seq < e.seq))
+      SELECT request_id, teacher_id, school_id, seq FROM created WHERE reason IS NULL
+    ) b ON e.request_id = b.id AND b.born < e.seq
   WHERE e.kind <> 'create')
 """
 
@@ -340,6 +352,8 @@ FROM base b LEFT JOIN folded f ON b.id = f.id
 
 APPLY_REQUEST_EVENTS_REJECTS = with_base(_REQUEST_EVENTS + """
 SELECT seq, CAST(request_id AS VARCHAR) AS key, reason FROM judged WHERE reason IS NOT NULL
+UNION ALL
+SELECT seq, CAST(request_id AS VARCHAR), reason FROM created WHERE reason IS NOT NULL
 """)
 
 # ---- M11 ------------------------------------------------------------------------
@@ -347,7 +361,7 @@ SELECT seq, CAST(request_id AS VARCHAR) AS key, reason FROM judged WHERE reason
 _CODE_OPS = """
 , ops AS (
   SELECT seq, ts, CASE WHEN n % 4 = 3 THEN 'expire' ELSE 'create' END AS op,
-         CASE n % 4 WHEN 0 THEN 'N' || CAST(k % 30 AS VARCHAR) WHEN 1 THEN 'C' || CAST(k * 20 AS VARCHAR)
+         CASE n % 4 WHEN 0 THEN 'N' || CAST(n // 8 AS VARCHAR) WHEN 1 THEN 'C' || CAST(k * 20 AS VARCHAR)
                     WHEN 2 THEN '' END AS code,
          CASE WHEN n % 4 = 3 THEN 'C' || CAST(event_id - 3 AS VARCHAR) END AS id
   FROM feed WHERE slot = 8)
@@ -388,8 +402,8 @@ _SHEET = r"""
 , sheet AS (
   SELECT CAST(p_partkey + 2 AS INTEGER) AS sheet_row,
          CASE WHEN p_partkey % 13 = 0 THEN NULL
-              WHEN p_partkey % 17 = 0 THEN 'OM-T' || lpad(CAST(p_partkey AS VARCHAR), 5, '0')
-              ELSE 'OM-I' || lpad(CAST(p_partkey % 1000 AS VARCHAR), 5, '0') END AS code,
+              WHEN p_partkey % 17 = 0 THEN 'T-' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(5, len(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0')
+              ELSE 'I-' || CAST(p_partkey // 2 AS VARCHAR) END AS code,
          CASE WHEN p_partkey % 19 = 0 THEN '' ELSE p_name END AS full_name,
          'i' || CAST(p_partkey AS VARCHAR) || '@example.org' AS email,
          p_brand AS job_title, p_name AS subjects, p_type AS qual,
@@ -497,10 +511,10 @@ _SIGNUP_WALK = r"""
          CASE WHEN n % 6 = 0 THEN '' ELSE 'New School ' || CAST(n AS VARCHAR) END AS name,
          CASE WHEN n % 5 <> 0 THEN 'Contact ' || CAST(n AS VARCHAR) END AS contact_name,
          CASE WHEN n % 7 = 0 THEN 'not-an-email'
-              WHEN n % 7 = 1 THEN 'Customer#' || lpad(CAST(k AS VARCHAR), 9, '0') || '@Example.org'
-              ELSE 'New' || CAST(k % 40 AS VARCHAR) || '@Example.org' END AS email,
+              WHEN n % 7 = 1 THEN 'Customer#' || lpad(CAST(k AS VARCHAR), CAST(greatest(9, len(CAST(k AS VARCHAR))) AS INTEGER), '0') || '@Example.org'
+              ELSE 'New' || CAST(n // 4 AS VARCHAR) || '@Example.org' END AS email,
          'Country ' || CAST(k % 4 AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS region,
-         CASE WHEN n % 3 = 0 THEN 'C' || CAST((n * 7) % 2000 AS VARCHAR) END AS access_code
+         CASE WHEN n % 3 = 0 THEN 'C' || CAST(n * 7 AS VARCHAR) END AS access_code
   FROM feed WHERE slot = 2)
 , sj AS (
   SELECT row_number() OVER (ORDER BY seq) AS rn, su.*, lower(trim(email)) AS nemail,

@@ -43,10 +43,10 @@ CLUSTER_CONF = {
 
 
 def shuffle_partitions_for(shuffle_bytes: float, target_bytes: float = 256 * 2**20,
-                           minimum: int = 200, maximum: int = 100_000) -> int:
+                           minimum: int = 200) -> int:
     """Initial shuffle partitions for an expected shuffle volume (AQE coalesces down)."""
     n = int(-(-shuffle_bytes // target_bytes))
-    return max(minimum, min(maximum, n))
+    return max(minimum, n)
 
 
 def cluster_session(app_name: str = "chalkline", expected_shuffle_bytes: float = 100 * 2**40,

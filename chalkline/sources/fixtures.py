@@ -36,6 +36,12 @@ def pick(values: list, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def padded(key: Column, width: int) -> Column:
+    """The key with zeros before it, ``width`` digits at least; a longer key is not cut."""
+    text = key.cast("string")
+    return F.lpad(text, F.greatest(F.lit(width), F.length(text)), F.lit("0"))
+
+
 def _mod(c: str, n: int) -> Column:
     return F.pmod(F.col(c), F.lit(n))
 
@@ -83,7 +89,7 @@ def teachers(spark, sf_dir, as_of=FIXTURE_AS_OF) -> DataFrame:
     null_s = F.lit(None).cast("string")
     return p.select(
         key.alias("id"),
-        F.concat(F.lit("OM-T"), F.lpad(key.cast("string"), 5, "0")).alias("teacher_code"),
+        F.concat(F.lit("T-"), padded(key, 5)).alias("teacher_code"),
         F.col("p_name").alias("full_name"),
         F.concat(F.lit("t"), key.cast("string"), F.lit("@example.org")).alias("email"),
         null_s.alias("phone"), null_s.alias("cv_link"),
@@ -145,7 +151,7 @@ def access_codes(spark, sf_dir) -> DataFrame:
 def redeem_attempts(spark, sf_dir) -> DataFrame:
     return events(spark, sf_dir, "click").select(
         F.col("event_id").alias("seq"), F.col("user_id").alias("school_id"),
-        F.concat(F.lit("C"), _mod("event_id", 2000).cast("string")).alias("code"), "ts")
+        F.concat(F.lit("C"), F.expr("event_id div 3").cast("string")).alias("code"), "ts")
 
 
 def feed_events(spark, sf_dir, feed: str) -> DataFrame:
@@ -218,10 +224,10 @@ def school_patches(spark, sf_dir) -> DataFrame:
     m = F.pmod(n, F.lit(5))
     changes = (F.when(m == 0, _smap("description", F.concat(F.lit("About "), n.cast("string")),
                                     "city", F.concat(F.lit("City "), F.pmod(k, F.lit(9)).cast("string"))))
-               .when(m == 1, _smap("email", F.concat(F.lit("shared"), F.pmod(k, F.lit(5)).cast("string"),
+               .when(m == 1, _smap("email", F.concat(F.lit("shared"), F.expr("n div 25").cast("string"),
                                                      F.lit("@example.org"))))
                .when(m == 2, _smap())
-               .when(m == 3, _smap("email", F.concat(F.lit("customer#"), F.lpad(k.cast("string"), 9, "0"),
+               .when(m == 3, _smap("email", F.concat(F.lit("customer#"), padded(k, 9),
                                                      F.lit("@example.org")),
                                    "name", F.concat(F.lit("Renamed "), n.cast("string"))))
                .otherwise(_smap("phone", F.lit(None).cast("string"),
@@ -233,9 +239,9 @@ def signups(spark, sf_dir) -> DataFrame:
     f = feed_events(spark, sf_dir, "signups")
     n, k = F.col("n"), F.col("k")
     email = (F.when(F.pmod(n, F.lit(7)) == 0, F.lit("not-an-email"))
-             .when(F.pmod(n, F.lit(7)) == 1, F.concat(F.lit("Customer#"), F.lpad(k.cast("string"), 9, "0"),
+             .when(F.pmod(n, F.lit(7)) == 1, F.concat(F.lit("Customer#"), padded(k, 9),
                                                       F.lit("@Example.org")))
-             .otherwise(F.concat(F.lit("New"), F.pmod(k, F.lit(40)).cast("string"), F.lit("@Example.org"))))
+             .otherwise(F.concat(F.lit("New"), F.expr("n div 4").cast("string"), F.lit("@Example.org"))))
     return f.select(
         "seq",
         F.when(F.pmod(n, F.lit(6)) == 0, F.lit("")).otherwise(F.concat(F.lit("New School "), n.cast("string"))).alias("name"),
@@ -243,7 +249,7 @@ def signups(spark, sf_dir) -> DataFrame:
         email.alias("email"),
         F.concat(F.lit("Country "), F.pmod(k, F.lit(4)).cast("string")).alias("country"),
         F.lit(None).cast("string").alias("region"),
-        F.when(F.pmod(n, F.lit(3)) == 0, F.concat(F.lit("C"), F.pmod(n * 7, F.lit(2000)).cast("string"))).alias("access_code"),
+        F.when(F.pmod(n, F.lit(3)) == 0, F.concat(F.lit("C"), (n * 7).cast("string"))).alias("access_code"),
         "ts")
 
 
@@ -252,10 +258,10 @@ def checkout_events(spark, sf_dir) -> DataFrame:
     n, k, u = F.col("n"), F.col("k"), F.col("user_id")
     return f.select(
         "seq",
-        F.concat(F.lit("cs_"), F.pmod(n, F.lit(50)).cast("string")).alias("session_id"),
+        F.concat(F.lit("cs_"), F.expr("n div 8").cast("string")).alias("session_id"),
         u.alias("school_id"),
         F.when(F.pmod(k, F.lit(9)) == 0, F.lit("wrong@example.org"))
-         .otherwise(F.concat(F.lit("customer#"), F.lpad(u.cast("string"), 9, "0"), F.lit("@example.org"))).alias("email"),
+         .otherwise(F.concat(F.lit("customer#"), padded(u, 9), F.lit("@example.org"))).alias("email"),
         F.when(F.pmod(k, F.lit(4)) < 3, pick(sch.SUBSCRIPTION_PLANS, F.pmod(k, F.lit(4)))).otherwise(F.lit("GOLD")).alias("plan"),
         F.when(F.pmod(k, F.lit(5)) == 0, F.lit("unpaid")).otherwise(F.lit("paid")).alias("payment_status"),
         "ts")
@@ -276,8 +282,11 @@ def request_events(spark, sf_dir) -> DataFrame:
     f = feed_events(spark, sf_dir, "request_creates")
     n, eid = F.col("n"), F.col("event_id")
     creates = f.select(
-        (eid * 4).alias("seq"), F.lit("create").alias("kind"), eid.alias("request_id"),
-        F.col("k").alias("teacher_id"), F.col("user_id").alias("school_id"), null_s.alias("status"),
+        (eid * 4).alias("seq"), F.lit("create").alias("kind"),
+        (eid - F.when(F.pmod(n, F.lit(4)) == 1, 10).otherwise(0)).alias("request_id"),  # some ids twice, some orphans
+        F.when(F.pmod(n, F.lit(17)) == 0, -F.col("k")).otherwise(F.col("k")).alias("teacher_id"),
+        F.when(F.pmod(n, F.lit(19)) == 0, -F.col("user_id")).otherwise(F.col("user_id")).alias("school_id"),
+        null_s.alias("status"),
         F.when(F.pmod(n, F.lit(3)) == 1, F.lit("")).when(F.pmod(n, F.lit(3)) == 2,
                                                          F.concat(F.lit("Hello "), n.cast("string"))).alias("message"),
         null_s.alias("admin_notes"), "ts")
@@ -315,7 +324,7 @@ def cancel_ids(spark, sf_dir) -> DataFrame:
 def code_ops(spark, sf_dir) -> DataFrame:
     f = feed_events(spark, sf_dir, "code_maintenance")
     m, k = F.pmod(F.col("n"), F.lit(4)), F.col("k")
-    code = (F.when(m == 0, F.concat(F.lit("N"), F.pmod(k, F.lit(30)).cast("string")))
+    code = (F.when(m == 0, F.concat(F.lit("N"), F.expr("n div 8").cast("string")))
             .when(m == 1, F.concat(F.lit("C"), (k * 20).cast("string")))
             .when(m == 2, F.lit("")))
     return f.select("seq", F.when(m == 3, F.lit("expire")).otherwise(F.lit("create")).alias("op"),
@@ -329,8 +338,8 @@ def teacher_sheet(spark, sf_dir) -> DataFrame:
     p = read(spark, sf_dir, "part")
     key, size = F.col("p_partkey"), F.col("p_size")
     code = (F.when(F.pmod(key, F.lit(13)) == 0, F.lit(None).cast("string"))
-            .when(F.pmod(key, F.lit(17)) == 0, F.concat(F.lit("OM-T"), F.lpad(key.cast("string"), 5, "0")))
-            .otherwise(F.concat(F.lit("OM-I"), F.lpad(F.pmod(key, F.lit(1000)).cast("string"), 5, "0"))))
+            .when(F.pmod(key, F.lit(17)) == 0, F.concat(F.lit("T-"), padded(key, 5)))
+            .otherwise(F.concat(F.lit("I-"), F.expr("p_partkey div 2").cast("string"))))
     null = F.lit(None).cast("string")
     return p.select(
         (key + 2).cast("int").alias("sheet_row"),

@@ -34,7 +34,7 @@ def teachers(spark, rows):
     defaults = {"full_name": "T", "email": "t@x.org", "will_move_sem1": False, "will_move_sem2": False,
                 "profile_status": "ACTIVE", "is_visible_in_school_portal": True,
                 "created_at": AS_OF, "updated_at": AS_OF}
-    rows = [dict(r, teacher_code=r.get("teacher_code", f"OM-T{r['id']:05d}")) for r in rows]
+    rows = [dict(r, teacher_code=r.get("teacher_code", f"T-{r['id']:05d}")) for r in rows]
     return _frame(spark, sch.TEACHERS, rows, defaults)
 
 

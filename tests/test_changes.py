@@ -50,7 +50,7 @@ def test_teacher_patches_absent_vs_null(spark):
     ], PATCH)
     new, rej = C.apply_teacher_patches(t, p)
     row = new.first()
-    assert (row.subjects, row.bio, row.years_experience, row.teacher_code) == ("Newer", None, 9, "OM-T00001")
+    assert (row.subjects, row.bio, row.years_experience, row.teacher_code) == ("Newer", None, 9, "T-00001")
     assert row.updated_at == dt.datetime(2024, 1, 4)
     assert [x.seq for x in rej.collect()] == [4]
 

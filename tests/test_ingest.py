@@ -33,13 +33,13 @@ def _sheet(spark, rows):
 
 
 def test_import_rules(spark):
-    t = H.teachers(spark, [{"id": 10, "teacher_code": "OM-T00010"}])
+    t = H.teachers(spark, [{"id": 10, "teacher_code": "T-00010"}])
     sheet = _sheet(spark, [
         {"sheet_row": 2, "Teacher Code": "X1", "Full Name": "A", "Email": "a@x", "Profile Status": "bogus"},
         {"sheet_row": 3, "Teacher Code": "X1", "Full Name": "B", "Email": "b@x", "Years Experience": "12abc",
          "Will Move Sem 1": "YES ", "Visible in Portal": None},
         {"sheet_row": 4, "Teacher Code": "X1", "Full Name": "C", "Email": "c@x"},
-        {"sheet_row": 5, "Teacher Code": "OM-T00010", "Full Name": "D", "Email": "d@x"},
+        {"sheet_row": 5, "Teacher Code": "T-00010", "Full Name": "D", "Email": "d@x"},
         {"sheet_row": 6, "Teacher Code": "X2", "Full Name": "", "Email": "e@x"},
     ])
     ins, rej, summ = I.teacher_import(sheet, t, H.AS_OF)
@@ -50,14 +50,14 @@ def test_import_rules(spark):
     reasons = {x.sheet_row: x.reason for x in rej.collect()}
     assert reasons[2].startswith("Row 2 (X1): invalid input value")
     assert reasons[4] == "Row 4: Skipped (Duplicate Teacher Code: X1)"
-    assert reasons[5] == "Row 5: Skipped (Duplicate Teacher Code: OM-T00010)"
+    assert reasons[5] == "Row 5: Skipped (Duplicate Teacher Code: T-00010)"
     assert reasons[6] == "Row 6: Missing Code, Name, or Email"
     assert tuple(summ.first()) == (5, 1, 4)
 
 
 def test_read_sheet_csv(spark, tmp_path):
     p = tmp_path / "sheet.csv"
-    p.write_text("sheet_row," + ",".join(f'"{c}"' for c in I.SHEET_COLUMNS) + "\n2,OM-X1,Ann,a@x.org"
+    p.write_text("sheet_row," + ",".join(f'"{c}"' for c in I.SHEET_COLUMNS) + "\n2,X-1,Ann,a@x.org"
                  + "," * (len(I.SHEET_COLUMNS) - 3) + "\n")
     df = I.read_sheet(spark, str(p))
-    assert df.first()["Teacher Code"] == "OM-X1"
+    assert df.first()["Teacher Code"] == "X-1"

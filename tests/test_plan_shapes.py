@@ -41,5 +41,5 @@ def test_fact_counts_aggregate_partially(spark):
 
 def test_shuffle_partition_sizing():
     assert shuffle_partitions_for(10 * 2**20) == 200
-    assert shuffle_partitions_for(100 * 2**40) == 100_000
+    assert shuffle_partitions_for(100 * 2**40) == 409_600
     assert shuffle_partitions_for(1 * 2**40) == 4096
