@@ -103,6 +103,17 @@ def run_to_end(writer, name: str) -> None:
         raise RuntimeError(str(q.exception()))
 
 
+def write_view_batch(batch: DataFrame, batch_id: int, teachers: DataFrame, schools: DataFrame, fact: str,
+                     quarantine: str, as_of=None) -> None:
+    """Write one batch to both sinks, replacing its whole folder in each, empty or not: a view that was in
+    quarantine and is accepted by a retry leaves quarantine."""
+    ok, bad = validate_views(batch, teachers, schools, as_of)
+    (ok.withColumn("viewed_date", F.to_date("viewed_at")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "static").partitionBy("viewed_date").parquet(f"{fact}/batch_id={batch_id}"))
+    (bad.write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .parquet(f"{quarantine}/batch_id={batch_id}"))
+
+
 # ---- writer builders: configured sinks; the caller picks the trigger and starts ----
 
 def view_ingest_writer(views: DataFrame, teachers, schools, out_dir: str, as_of=None):
@@ -115,15 +126,8 @@ def view_ingest_writer(views: DataFrame, teachers, schools, out_dir: str, as_of=
     def write_batch(batch: DataFrame, batch_id: int):
         # callables are re-evaluated per batch (e.g. "latest committed snapshot"),
         # so teachers and schools added while the stream runs become valid
-        t = teachers() if callable(teachers) else teachers
-        s = schools() if callable(schools) else schools
-        ok, bad = validate_views(batch, t, s, as_of)
-        # the batch's whole folder of either sink is replaced, empty or not: a view that was in quarantine
-        # and is accepted by the retry leaves quarantine
-        (ok.withColumn("viewed_date", F.to_date("viewed_at")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "static").partitionBy("viewed_date").parquet(f"{fact}/batch_id={batch_id}"))
-        (bad.write.mode("overwrite").option("partitionOverwriteMode", "static")
-         .parquet(f"{quarantine}/batch_id={batch_id}"))
+        write_view_batch(batch, batch_id, teachers() if callable(teachers) else teachers,
+                         schools() if callable(schools) else schools, fact, quarantine, as_of)
 
     w = views.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{out_dir}/_checkpoint")
     return w, fact, quarantine

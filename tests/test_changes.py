@@ -196,3 +196,38 @@ def test_patches_the_database_would_refuse(spark):
                                "status string, message string, admin_notes string")
     new, rej = C.apply_request_events(r, ev, as_of=AS_OF)
     assert new.first().status == "PENDING" and rej.first().reason == C.INVALID_STATUS
+
+
+def test_unpaid_session_that_is_paid_later_activates(spark):
+    s = H.schools(spark, [{"id": 1, "email": "a@x.org", "subscription_status": "NO_SUBSCRIPTION"}])
+    ev = spark.createDataFrame([
+        (1, "cs1", 1, "a@x.org", "BASIC", "unpaid", AS_OF), (2, "cs1", 1, "a@x.org", "BASIC", "paid", AS_OF),
+        (3, "cs1", 1, "a@x.org", "PRO", "paid", AS_OF),
+    ], "seq long, session_id string, school_id long, email string, plan string, payment_status string, ts timestamp_ntz")
+    new, rej = C.activate_paid_plans(s, ev)
+    row = new.first()
+    assert (row.subscription_status, row.subscription_plan) == ("ACTIVE", "BASIC")
+    assert {x.seq: x.reason for x in rej.collect()} == {1: C.PAYMENT_INCOMPLETE, 3: C.DUPLICATE_SESSION}
+
+
+def test_created_requests_need_known_keys_and_a_free_id(spark):
+    r = H.requests(spark, [{"id": 1, "teacher_id": 1, "school_id": 1}])
+    ev = spark.createDataFrame([
+        (1, "create", 50, 999, 1, None, "x", None), (2, "create", 50, 1, 888, None, "x", None),
+        (3, "create", 50, 1, 1, None, "first", None), (4, "create", 50, 1, 1, None, "again", None),
+        (5, "create", 1, 1, 1, None, "taken", None), (6, "set_status", 50, None, None, "CLOSED", None, None),
+    ], "seq long, kind string, request_id long, teacher_id long, school_id long, status string, message string, "
+       "admin_notes string")
+    new, rej = C.apply_request_events(r, ev, AS_OF, H.teachers(spark, [{"id": 1}]), H.schools(spark, [{"id": 1}]))
+    got = {x.id: (x.status, x.school_message) for x in new.collect()}
+    assert len(got) == new.count() == 2 and got[50] == ("CLOSED", "first")
+    assert {x.seq: x.reason for x in rej.collect()} == {
+        1: C.TEACHER_NOT_FOUND, 2: C.SCHOOL_NOT_FOUND, 4: C.DUPLICATE_REQUEST, 5: C.DUPLICATE_REQUEST}
+
+
+def test_updated_at_is_the_time_of_the_last_patch_by_seq(spark):
+    t = H.teachers(spark, [{"id": 1}])
+    late, early = AS_OF + dt.timedelta(days=5), AS_OF + dt.timedelta(days=3)
+    new, _ = C.apply_teacher_patches(t, spark.createDataFrame(
+        [(1, 1, {"bio": "a"}, late), (2, 1, {"bio": "b"}, early)], PATCH))
+    assert (new.first().bio, new.first().updated_at) == ("b", early)

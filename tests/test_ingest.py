@@ -61,3 +61,18 @@ def test_read_sheet_csv(spark, tmp_path):
                  + "," * (len(I.SHEET_COLUMNS) - 3) + "\n")
     df = I.read_sheet(spark, str(p))
     assert df.first()["Teacher Code"] == "X-1"
+
+
+def test_read_sheet_maps_by_header_and_numbers_rows(spark, tmp_path):
+    p = tmp_path / "sheet.csv"
+    p.write_text("Email,Teacher Code,Unused,Full Name\na@x.org,T1,z,Ann\nb@x.org,T2,z,Bob\n")
+    got = [(r.sheet_row, r["Teacher Code"], r["Full Name"], r["Email"], r["Phone"])
+           for r in I.read_sheet(spark, str(p)).orderBy("sheet_row").collect()]
+    assert got == [(2, "T1", "Ann", "a@x.org", None), (3, "T2", "Bob", "b@x.org", None)]
+
+
+def test_read_sheet_numbers_rows_over_several_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.csv").write_text("Teacher Code\n" + "".join(f"T{k}{i}\n" for i in range(5)))
+    rows = I.read_sheet(spark, str(tmp_path)).collect()
+    assert sorted(r.sheet_row for r in rows) == list(range(2, 17)) and len({r["Teacher Code"] for r in rows}) == 15

@@ -101,3 +101,14 @@ def test_missing_view_time(spark):
     assert [x.id for x in ok.collect()] == [2] and [x.reason for x in bad.collect()] == ["View time missing"]
     ok, bad = SV.validate_views(b, t, s, as_of=H.AS_OF)
     assert ok.count() == 2 and bad.count() == 0
+
+
+def test_retried_batch_leaves_quarantine(spark, tmp_path):
+    s = H.schools(spark, [{"id": 1}])
+    batch = spark.createDataFrame([(1, 1, 1, H.AS_OF), (2, 9, 1, H.AS_OF)], sch.TEACHER_VIEWS)
+    fact, bad = str(tmp_path / "fact"), str(tmp_path / "bad")
+    SV.write_view_batch(batch, 0, H.teachers(spark, [{"id": 1}]), s, fact, bad)
+    assert [x.id for x in spark.read.parquet(bad).collect()] == [2]
+    SV.write_view_batch(batch, 0, H.teachers(spark, [{"id": 1}, {"id": 9}]), s, fact, bad)
+    assert sorted(x.id for x in spark.read.parquet(fact).collect()) == [1, 2]
+    assert spark.read.parquet(bad).count() == 0
