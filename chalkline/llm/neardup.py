@@ -15,16 +15,19 @@ beforehand. Then
 
 1. every document of a node is paired with the node's smallest document only, the
    estimate from the signatures sorts out most pairs, the rest are confirmed on the
-   full sets, and the links give components;
+   full sets, and the links give components; a second star pairs the documents outside
+   a node's largest component (the minority) with another member of it;
 2. a node whose documents are all in one component has nothing to add. Of the
-   others, the documents outside the node's largest component (the minority) are
-   compared with the whole node, exhaustively, if they are at most ``leaf``; else the
-   node branches. A node that is still mixed after ``depth`` levels is compared in
-   blocks of the minority, which is slower and just as exact. Estimates that pass
-   are confirmed on the full sets and join the components.
+   others, the minority is compared with the whole node, exhaustively, in blocks of
+   signatures; a node with a minority over ``leaf`` branches instead, up to ``depth``
+   levels, and is compared in blocks all the same after the last;
+3. documents whose estimates pass come together in families; in a family, the
+   documents outside its largest component are compared with all of it on the full
+   sets, block by block, and what is linked joins the components.
 
-Only links between different components are looked for in step 2, so a group of
-near copies that holds a third of all rows is one star, not its square.
+A block gives one row per document that it connects, not one per pair, and only
+links between different components are looked for, so a group of near copies that
+holds a third of all rows is one star, not its square.
 
 Defined cases: a text of fewer than five words has its whole sequence as one
 shingle; a null or empty text has none and is linked with nothing. A null id is
@@ -47,7 +50,9 @@ SHINGLE = 5
 THRESHOLD = 0.75
 TREES = 10
 SIGNATURE = 128
-LEAF = 32
+LEAF = 2048
+#: Documents of a node, and of a family, that are compared with as many others at a time.
+BLOCK, TEXT_BLOCK = 256, 64
 DEPTH = 8
 #: Standard errors that an estimate may lie below the threshold and still be confirmed on the sets.
 SLACK = 4.5
@@ -152,6 +157,14 @@ def estimated(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
             .mapInArrow(run, "a long, b long").distinct())
 
 
+def _texts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of some documents."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, "id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, size: int, id_col: str,
               text_col: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are at least ``threshold`` similar. ``pairs`` is stored."""
@@ -170,11 +183,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, size: int, id
                 yield part.select([0, 1]).filter(pa.array((100 * both >= share * union) & (union > 0)))
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = saved(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
-                              F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-                  .join(ids, "id", "left_semi"), "pair-texts")
+    texts = saved(_texts(docs, ids, id_col, text_col), "pair-texts")
     return (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
             .select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct())
@@ -197,41 +206,110 @@ def _mixed(rows: DataFrame) -> DataFrame:
     most documents, and how many documents are outside it."""
     per = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
     return (per.groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
-            .select("node", F.col("top.component").alias("major"), (F.col("n") - F.col("top.n")).alias("minority"))
+            .select("node", F.col("top.component").alias("major"), "n", (F.col("n") - F.col("top.n")).alias("minority"))
             .filter("minority > 0"))
 
 
-_BLOCK = "array<struct<id: long, component: long, n: int, sig: binary>>"
-
-
-def _minority_pairs(rows: DataFrame, nodes: DataFrame, leaf: int, threshold: float) -> DataFrame:
-    """(a, b) with passing estimates, of different components: rows (node, id, component, n, sig) of
-    ``nodes`` against blocks of the node's minority."""
+def _connected(mask: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id) of the documents that a matrix of pairs connects, without those smallest themselves."""
+    none = np.iinfo(np.int64).max
+    some, other = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+    mask, rows, columns = mask[np.ix_(some, other)], rows[some], columns[other]
+    if not len(rows):
+        return rows, rows
+    low, least = rows.copy(), columns.copy()
+    while True:
+        new_least = np.minimum(least, np.where(mask, low[:, None], none).min(axis=0))
+        new_low = np.minimum(low, np.where(mask, new_least, none).min(axis=1))
+        if (new_low == low).all() and (new_least == least).all():
+            break
+        low, least = new_low, new_least
+    ids, smallest = np.concatenate([rows, columns]), np.concatenate([low, least])
+    return ids[ids != smallest], smallest[ids != smallest]
+
+
+def _agreeing(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Which pairs of two signature matrices agree in ``least`` places."""
+    out = np.zeros((len(a), len(b)), bool)
+    for i in range(0, len(a), 16):
+        out[i:i + 16] = (a[i:i + 16, None, :] == b[None, :, :]).sum(axis=2, dtype=np.int32) >= least
+    return out
+
+
+def _similar(a: pa.Array, b: pa.Array, size: int, share: int) -> np.ndarray:
+    """Which pairs of two text columns have shingle sets at least ``share`` percent similar: products of the
+    incidence matrices over the shingles that both sides have, some columns at a time."""
+    (ra, ha), (rb, hb) = shingle_sets(a, size), shingle_sets(b, size)
+    na, nb = np.bincount(ra, minlength=len(a)), np.bincount(rb, minlength=len(b))
+    shared = np.intersect1d(ha, hb)
+    both = np.zeros((len(a), len(b)), np.float32)
+    ka, kb = np.searchsorted(shared, ha), np.searchsorted(shared, hb)
+    ina, inb = np.isin(ha, shared), np.isin(hb, shared)
+    ra, ka, rb, kb = ra[ina], ka[ina], rb[inb], kb[inb]
+    for low in range(0, len(shared), 4096):
+        left, right = np.zeros((len(a), 4096), np.float32), np.zeros((len(b), 4096), np.float32)
+        at, bt = (ka >= low) & (ka < low + 4096), (kb >= low) & (kb < low + 4096)
+        left[ra[at], ka[at] - low] = 1
+        right[rb[bt], kb[bt] - low] = 1
+        both += left @ right.T
+    both = both.astype(np.int64)
+    return (both > 0) & (100 * both >= share * (na[:, None] + nb[None, :] - both))
+
+
+def _blocks(rows: DataFrame, groups: DataFrame, columns: list[str], block: int) -> DataFrame:
+    """(a, b): of each group (``node``, major, n, minority), its rows in blocks, each beside each block of the minority."""
+    own = rows.join(groups, "node")
+    cut = lambda size: F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / block))
+    packed = F.collect_list(F.struct(*columns))
+    every = own.groupBy("node", cut("n").alias("cut")).agg(packed.alias("a")).drop("cut")
+    few = own.filter("component <> major").groupBy("node", cut("minority").alias("cut")).agg(packed.alias("b")).drop("cut")
+    return every.join(few, "node").select("a", "b")
+
+
+def _node_families(rows: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): documents of ``nodes`` that passing estimates between different components connect. rows: (node, id,
+    component, shingles, sig)."""
     least = least_matches(threshold)
 
     def run(batches):
         for batch in batches:
-            ids, comps, sizes = (batch.column(i).to_numpy() for i in range(3))
-            sig = _signatures(batch.column(3))
-            lists = batch.column(4)
-            others = lists.flatten()
-            oid, ocomp, on = (others.field(k).to_numpy() for k in range(3))
-            osig = others.field(3)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            hit = np.flatnonzero((ocomp != comps[row])
-                                 & (np.minimum(on, sizes[row]) >= threshold * np.maximum(on, sizes[row])))
-            for i in range(0, len(hit), 1 << 14):
-                part = hit[i:i + (1 << 14)]
-                part = part[(_signatures(osig.take(pa.array(part))) == sig[row[part]]).sum(axis=1) >= least]
-                x, y = ids[row[part]], oid[part]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
-
-    own = rows.join(nodes, "node")
-    few = own.filter("component <> major").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.ceil(F.col("minority") / leaf)))
-    blocks = few.groupBy("node", "block").agg(F.collect_list(F.struct("id", "component", "n", "sig")).alias("others"))
-    return (rows.join(blocks, "node").select("id", "component", "n", "sig", F.col("others").cast(_BLOCK))
-            .mapInArrow(run, "a long, b long").distinct())
+            out = []
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = x.values, y.values
+                (ia, ca, na), (ib, cb, nb) = ([v.field(k).to_numpy() for k in range(3)] for v in (x, y))
+                mask = ((ca[:, None] != cb[None, :])
+                        & (np.minimum(na[:, None], nb[None, :]) >= threshold * np.maximum(na[:, None], nb[None, :])))
+                if mask.any():
+                    mask &= _agreeing(_signatures(x.field(3)), _signatures(y.field(3)), least)
+                    out.append(_connected(mask, ia, ib))
+            a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _blocks(rows, nodes, ["id", "component", "shingles", "sig"], BLOCK).mapInArrow(run, "a long, b long").distinct()
+
+
+def _family_links(edges: DataFrame, found: DataFrame, docs: DataFrame, threshold: float, size: int, id_col: str,
+                  text_col: str) -> DataFrame:
+    """(a, b): documents that links on the full sets, between different components of a family, connect."""
+    share = round(threshold * 100)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = x.values, y.values
+                (ia, ca), (ib, cb) = ([v.field(k).to_numpy() for k in range(2)] for v in (x, y))
+                mask = (ca[:, None] != cb[None, :]) & _similar(x.field(2), y.field(2), size, share)
+                out.append(_connected(mask, ia, ib))
+            a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(2))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    family = saved(components(edges).select("id", F.col("component").alias("node")).join(found, "id", "left")
+                   .select("node", "id", F.coalesce("component", "id").alias("component")), "families")
+    texts = saved(_texts(docs, family.select("id"), id_col, text_col), "family-texts")
+    rows = family.join(texts, "id")
+    return _blocks(rows, _mixed(family), ["id", "component", "text"], TEXT_BLOCK).mapInArrow(
+        run, "a long, b long").distinct()
 
 
 def _branches(rows: DataFrame, level: int) -> DataFrame:
@@ -269,27 +347,37 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def with_components(rows: DataFrame) -> DataFrame:
         return rows.join(found, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
 
-    candidates, level, rows = [], 0, with_components(met)
+    # a second star: the minority of each mixed node with another member of its largest component
+    rows = with_components(met)
+    other = (rows.join(_mixed(rows), "node").groupBy("node", "major")
+             .agg(F.max(F.when(F.col("component") == F.col("major"), F.col("id"))).alias("b")))
+    again = (rows.join(other, "node").filter("component <> major").select(F.greatest("id", "b").alias("a"),
+                                                                        F.least("id", "b").alias("b")).distinct()
+             .join(checked, ["a", "b"], "left_anti"))
+    again = saved(estimated(again, sigs, threshold), "star-pairs")
+    links = links.unionByName(saved(confirmed(again, docs, threshold, size, id_col, text_col), "star-links"))
+    found = components(links)
+
+    edges, level, rows = [], 0, with_components(met)
     while True:
         mixed = saved(_mixed(rows), "mixed")
         large = mixed.filter(F.col("minority") > leaf)
         last = level >= depth or large.limit(1).count() == 0
         own = saved(rows.join(mixed.select("node"), "node", "left_semi"), "mixed-rows")
-        full = own.join(sigs, "id").select("node", "id", "component", "n", "sig")
+        full = own.join(sigs, "id").select("node", "id", "component", F.col("n").alias("shingles"), "sig")
         now = mixed if last else mixed.filter(F.col("minority") <= leaf)
-        candidates.append(saved(_minority_pairs(full, now, leaf, threshold), "leaf-pairs"))
+        edges.append(saved(_node_families(full, now, threshold), "family-edges"))
         if last:
             break
         level += 1
         on = _branches(full.join(large.select("node"), "node", "left_semi"), level)
         rows = with_components(saved(_meeting(on.distinct()), "nodes"))
 
-    more = candidates[0]
-    for c in candidates[1:]:
-        more = more.unionByName(c)
-    more = saved(more.distinct().join(checked, ["a", "b"], "left_anti"), "leaf-pairs")
+    more = edges[0]
+    for e in edges[1:]:
+        more = more.unionByName(e)
     if more.limit(1).count():
-        links = links.unionByName(confirmed(more, docs, threshold, size, id_col, text_col))
+        links = links.unionByName(saved(_family_links(more, found, docs, threshold, size, id_col, text_col), "family-links"))
         found = components(links)
 
     of_class = (classes.select("d1", "d2", "n", "id").join(found, "id", "left")

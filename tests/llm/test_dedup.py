@@ -122,9 +122,11 @@ def brute_components(rows):
     return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("leaf", [2, 32])
-def test_near_groups_match_brute_force(stored, leaf):
+@pytest.mark.parametrize("leaf,block", [(2, 3), (2048, 256)])
+def test_near_groups_match_brute_force(stored, monkeypatch, leaf, block):
     """Chains of edits (links only between neighbours), a large star, a passage that many texts share."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "TEXT_BLOCK", block)
     rng = random.Random(9)
     word = lambda: f"v{rng.randint(0, 5000)}"
     rows = [(0, None), (1, "  "), (2, "a b c"), (3, "A B c"), (4, "a b c d")]
