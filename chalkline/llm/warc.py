@@ -36,29 +36,30 @@ BLOCKS = ("address", "article", "aside", "blockquote", "body", "br", "dd", "div"
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®",
             "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&euro;": "€",
             "&laquo;": "«", "&raquo;": "»", "&amp;": "&"}
-NOT_SHOWN = "(?is)<!--.*?-->|" + "|".join(rf"<{x}\b[^>]*>.*?</{x}\s*>" for x in HIDDEN)
+NOT_SHOWN = "(?is)<(?:!--.*?-->|" + "|".join(rf"{x}\b[^>]*>.*?</{x}\s*>" for x in HIDDEN) + ")"
 LINE_ENDS = rf"(?i)</?({'|'.join(BLOCKS)})\b[^>]*>"
 
 
-def _numeric(col: Column) -> Column:
-    """Decimal character references decoded; those that name no character become U+FFFD."""
+def _numeric(col: Column, page: Column) -> Column:
+    """Decimal character references decoded; those that name no character become U+FFFD. The test looks at the
+    page, so that the text's expression is evaluated once."""
     re = F.lit("&#([0-9]{1,7});")
     code = lambda x: F.when((x < 1) | (x > 1114111) | x.between(55296, 57343), 65533).otherwise(x)
     char = lambda x: F.decode(F.unhex(F.lpad(F.hex(code(x.cast("int"))), 8, "0")), "UTF-32")
     parts = F.arrays_zip(F.split(col, "&#[0-9]{1,7};", -1).alias("a"), F.regexp_extract_all(col, re, F.lit(1)).alias("b"))
     joined = F.array_join(F.transform(parts, lambda x: F.concat(
         x["a"], F.when(x["b"].isNull(), F.lit("")).otherwise(char(x["b"])))), "")
-    return F.when(col.rlike("&#[0-9]{1,7};"), joined).otherwise(col)
+    return F.when(page.contains("&#"), joined).otherwise(col)
 
 
 def plain_text(html: Column) -> Column:
     """A page's text: hidden elements go, block elements end lines, entities are decoded, blanks are joined."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, NOT_SHOWN, " "), LINE_ENDS, "\n"), "<[^>]*>", "")
-    t = _numeric(t)
+    t = _numeric(t, html)
     for name, char in ENTITIES.items():
         t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, r"^[ \n]+|[ \n]+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f]{2,}|[\t\r\f]", " "), r" ?\n[ \n]*", "\n")
+    return F.btrim(t, F.lit(" \n"))
 
 
 def _urn(*parts: Column) -> Column:
