@@ -42,6 +42,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The column that carries a row's number through a job.
+ROW_NO = "__row_no"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written once: the numbers of a scan depend on how its files are split, which
+    may change with the executors there are, so all who use a row's number read it from this table."""
+    return saved(docs.withColumn(ROW_NO, F.monotonically_increasing_id()), "numbered-rows")
+
+
+def row_number(row_no: str | None) -> Column:
+    """The column ``row_no`` of a numbered table or, if None, a number that holds within one scan only."""
+    return F.monotonically_increasing_id() if row_no is None else F.col(row_no)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)

@@ -14,7 +14,8 @@ hashes. An item of m < span words is found by fingerprints of its own length.
 
 The benchmark's fingerprints are broadcast while there are at most
 ``BROADCAST_ROWS`` of them; a larger benchmark is joined by shuffle on the hash and
-the words of the documents that were hit are fetched afterwards.
+the words of the documents that were hit are fetched afterwards, by numbers that
+are written with the texts once.
 
 Defined cases: a null or empty text has no words, and an item without words hits
 nothing. Repeated documents give one row each; repeated items count once by
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import ascii_lower, saved
+from chalkline.llm.common import ROW_NO, ascii_lower, numbered, row_number, saved
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 10
@@ -95,16 +96,19 @@ def _run(step: str, most: str) -> str:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+                  broadcast_rows: int = BROADCAST_ROWS, row_no: str | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, row_no: one row per input row.
-    ``docs`` is a stored table."""
+    ``docs`` is a stored table; ``row_no`` names a column of row numbers, without which the rows are numbered here."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item_id"),
                              words_of(F.col(item_text_col)).alias("words")).filter(F.size("words") > 0)
     short = sorted(r[0] for r in items.filter(F.size("words") < span).select(F.size("words")).distinct().collect())
     spans = [*short, span]
     prints = saved(item_fingerprints(items, spans, span), "item-fingerprints")
     # the words are needed beside every fingerprint, but only a row that meets an item's is ever written out
-    base = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"),
+    few = prints.count() <= broadcast_rows
+    if not few and row_no is None:   # the texts are read three times below
+        docs, row_no = numbered(docs.select(*dict.fromkeys([id_col, text_col]))), ROW_NO
+    base = docs.select(row_number(row_no).alias("row_no"), F.col(id_col).alias("doc_id"),
                        words_of(F.col(text_col)).alias("words"))
 
     # one row without a fingerprint for each document, for n_words, and those for all spans
@@ -114,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_co
             f"concat(all, transform(picks, x -> named_struct('at', x.at, 'hash', x.hash, 'span', {m})))")).drop("picks")
     every = (every.select("row_no", "doc_id", F.size("words").alias("n_words"), "words", F.explode_outer("all").alias("pick"))
              .select("row_no", "doc_id", "n_words", "words", "pick.at", "pick.hash", "pick.span"))
-    if prints.count() <= broadcast_rows:
+    if few:
         met = every.join(F.broadcast(prints), ["hash", "span"], "left").filter("at is null or core is not null")
     else:
         hits = every.select("row_no", "at", "hash", "span").join(prints, ["hash", "span"])
@@ -150,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_co
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_col: str = "doc_id",
                       text_col: str = "text", **columns) -> DataFrame:
     """The rows of ``docs`` (a stored table) without a hit word, with all their columns."""
-    bad = contamination(docs, benchmark, span, id_col, text_col, **columns).filter("contaminated")
-    bad = saved(bad.select(F.col("row_no").alias("__row_no")), "contaminated")
-    return (docs.withColumn("__row_no", F.monotonically_increasing_id())
-            .join(bad, "__row_no", "left_anti").drop("__row_no"))
+    rows = numbered(docs)
+    bad = contamination(rows, benchmark, span, id_col, text_col, row_no=ROW_NO, **columns).filter("contaminated")
+    bad = saved(bad.select(F.col("row_no").alias(ROW_NO)), "contaminated")
+    return rows.join(bad, ROW_NO, "left_anti").drop(ROW_NO)

@@ -22,14 +22,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import ascii_lower, saved
+from chalkline.llm.common import ROW_NO, ascii_lower, numbered, row_number, saved
 
 KEY = ["sha", "check", "length"]
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 256) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 256,
+            row_no: str | None = None) -> DataFrame:
     """(doc_id, row_no, sha, check, length, run) of every row."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"),
+    d = docs.select(F.col(id_col).alias("doc_id"), row_number(row_no).alias("row_no"),
                     ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
     return d.select("doc_id", "row_no", F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("check"),
                     F.octet_length("norm").alias("length"),
@@ -59,11 +60,11 @@ def answer_down(levels: list[DataFrame], fan_in: int) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 256,
-                 fan_in: int = 16) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row_no."""
+                 fan_in: int = 16, row_no: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, row_no (of the column ``row_no``, if given)."""
     if runs < 1 or fan_in < 2:
         raise ValueError("runs must be at least 1 and fan_in at least 2")
-    rows = saved(digests(docs, id_col, text_col, runs), "digest-rows")
+    rows = saved(digests(docs, id_col, text_col, runs, row_no), "digest-rows")
     answer = answer_down(merge_levels(rows, runs, fan_in), fan_in)
     return rows.join(answer, ["run", *KEY]).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"),
@@ -74,10 +75,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       fan_in: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    ``docs`` is a stored table: its rows are numbered by two scans, which must agree.
+    The rows are numbered once, in a table that the groups and the anti join both read.
     The dropped rows' numbers are the smaller side of the anti join.
     """
-    out = exact_groups(docs, id_col, text_col, runs, fan_in).filter(~F.col("kept")).select(
-        F.col("row_no").alias("__row_no"))
-    return (docs.withColumn("__row_no", F.monotonically_increasing_id())
-            .join(saved(out, "digest-dropped"), "__row_no", "left_anti").drop("__row_no"))
+    rows = numbered(docs)
+    out = exact_groups(rows, id_col, text_col, runs, fan_in, ROW_NO).filter(~F.col("kept")).select(
+        F.col("row_no").alias(ROW_NO))
+    return rows.join(saved(out, "digest-dropped"), ROW_NO, "left_anti").drop(ROW_NO)

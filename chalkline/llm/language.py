@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import _GAP, saved, slices, text_bytes
+from chalkline.llm.common import _GAP, ROW_NO, numbered, row_number, saved, slices, text_bytes
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 14
@@ -115,16 +115,17 @@ def _smoothed(mass: str, rows: str, parent: str) -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None,
              host: Column | None = None, domain: Column | None = None, suffix: Column | None = None,
-             languages: tuple[str, ...] = LANGUAGES, accept: float = ACCEPT) -> DataFrame:
+             languages: tuple[str, ...] = LANGUAGES, accept: float = ACCEPT,
+             row_no: str | None = None) -> DataFrame:
     """doc_id, lang, posterior, accepted, text_lang, declared, row_no: one row per input row.
 
     ``declared``, ``host``, ``domain`` and ``suffix`` are expressions over ``docs`` (a stored table);
-    absent ones say nothing.
+    absent ones say nothing. ``row_no`` names a column of row numbers; without it the rows are numbered here.
     """
     said = lambda c: F.coalesce(c, F.lit("")) if c is not None else F.lit("")
     names = F.array(*[F.lit(x) for x in (*languages, "und")])
     classes = len(languages) + 1
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"),
+    rows = docs.select(row_number(row_no).alias("row_no"), F.col(id_col).alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        _declared(said(declared), languages).alias("declared"), said(host).alias("host"),
                        said(domain).alias("domain"), said(suffix).alias("suffix"))
@@ -182,7 +183,9 @@ def identify_pages(pages: DataFrame, **params) -> DataFrame:
 
 
 def drop_unknown_language(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` (a stored table) that are accepted, with all their columns."""
-    out = identify_documents(docs, **params).filter(~F.col("accepted")).select(F.col("row_no").alias("__row_no"))
-    return (docs.withColumn("__row_no", F.monotonically_increasing_id())
-            .join(saved(out, "language-rejected"), "__row_no", "left_anti").drop("__row_no"))
+    """The rows of ``docs`` (a stored table) that are accepted, with all their columns. The rows are numbered once, in
+    a table that the decision and the anti join both read."""
+    rows = numbered(docs)
+    out = identify_documents(rows, row_no=ROW_NO, **params).filter(~F.col("accepted"))
+    out = saved(out.select(F.col("row_no").alias(ROW_NO)), "language-rejected")
+    return rows.join(out, ROW_NO, "left_anti").drop(ROW_NO)
