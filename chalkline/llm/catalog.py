@@ -61,7 +61,7 @@ def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), added=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -14,11 +14,14 @@ they are ranked within (length, salt) and shifted by the counts of the smaller
 salts; the number of salts follows the largest count.
 
 Defined cases: a null or empty text is one piece, the end token alone. Equal rows
-are packed each for itself. An empty table gives no pieces.
+are packed each for itself. An empty table gives no pieces. With ``added`` the
+contents of added tokens (such as "<|endoftext|>") are these tokens, as the tokenizer
+has it (the registered queries do this); without, they are ordinary text.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -51,11 +54,12 @@ class Encoder:
     New chunks of a slice are encoded together as one text and told apart by the
     byte lengths of their tokens. A chunk that is empty or that begins or ends with
     white space could join a run of white space across the cut: it is never
-    remembered, and a text that has one is encoded whole.
+    remembered, and a text that has one is encoded whole. So is a text that holds what
+    ``special``, a pattern of the added tokens' contents, matches.
     """
 
-    def __init__(self, tokenizer, fast=None, sizes: np.ndarray | None = None):
-        self.tokenizer, self.fast, self.sizes = tokenizer, fast, sizes
+    def __init__(self, tokenizer, fast=None, sizes: np.ndarray | None = None, special: re.Pattern | None = None):
+        self.tokenizer, self.fast, self.sizes, self.special = tokenizer, fast, sizes, special
         self.chunks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -82,6 +86,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.fast is None:
             return [self.whole(t) if t else b"" for t in texts]
+        if self.special is not None and any(alone := [bool(self.special.search(t)) for t in texts]):
+            rest = iter(self.encode([t for t, x in zip(texts, alone, strict=True) if not x]))
+            return [self.whole(t) if x else next(rest) for t, x in zip(texts, alone, strict=True)]
         parts = [t.split(" ") for t in texts]
         new = set().union(*(p[1:] for p in parts)).difference(self.chunks)
         if new:
@@ -132,21 +139,28 @@ def _by_ranks(spec: str):
     return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_loaded: dict[int, Encoder] = {}
+def _added(spec: str) -> re.Pattern | None:
+    """A pattern of the contents of a tokenizer's added tokens (merge ranks are for texts without them)."""
+    import json
+    each = [re.escape(t["content"]) for t in json.loads(spec).get("added_tokens") or ()]
+    return re.compile("|".join(each)) if each else None
+
+
+_loaded: dict[tuple[int, bool], Encoder] = {}
 
 
-def encoder(spec: str) -> Encoder:
+def encoder(spec: str, added: bool = False) -> Encoder:
     """The worker's encoder for a tokenizer's JSON; kept for later tasks of the worker."""
-    key = zlib.crc32(spec.encode())
+    key = zlib.crc32(spec.encode()), added
     if key not in _loaded:
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_str(spec)
-        tokenizer.encode_special_tokens = True
+        tokenizer.encode_special_tokens = not added
         fast = _by_ranks(spec)
         sizes = None
         if fast is not None:
             sizes = np.array([len(fast.decode_single_token_bytes(i)) for i in range(fast.max_token_value + 1)])
-        _loaded[key] = Encoder(tokenizer, fast, sizes)
+        _loaded[key] = Encoder(tokenizer, fast, sizes, _added(spec) if added else None)
     return _loaded[key]
 
 
@@ -154,7 +168,7 @@ PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+           id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and ``end_id``, cut into full
     pieces from its end, so only the first may be shorter."""
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -162,7 +176,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches):
-        codec = encoder(spec.value)
+        codec = encoder(spec.value, added)
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 rows, piece, start, length, crc = [], [], [], [], []
@@ -281,6 +295,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece."""
-    return pack(saved(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces"), capacity)
+    return pack(saved(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, added), "pieces"), capacity)
