@@ -3,8 +3,9 @@
 ``derive`` gives two records for each response:
 
 * ``metadata`` (application/warc-fields): what the response was (its identifier, digests and the headers it
-  came with) and what its markup says (title, language, outgoing links);
-* ``conversion`` (text/plain): the page's text, with its own block digest.
+  came with) and what its markup says (title, language, outgoing links; attribute values in double quotes, in
+  single quotes or bare);
+* ``conversion`` (text/plain): the page's text, all of HTML's character references decoded, with its own block digest.
 
 Both refer to the response by WARC-Refers-To and repeat its target and date; the
 conversion names the metadata record in WARC-Concurrent-To. Identifiers are made of
@@ -23,41 +24,90 @@ identifiers. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+from zlib import crc32
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
 CRLF, END = "\r\n", "\r\n\r\n"
-#: Elements whose content is no text, elements that end a line, named entities.
+#: Elements whose content is no text, elements that end a line.
 HIDDEN = ("script", "style", "noscript", "template", "head")
 BLOCKS = ("address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "figure", "footer", "form",
           "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section",
           "table", "td", "th", "tr", "ul")
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®",
-            "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&euro;": "€",
-            "&laquo;": "«", "&raquo;": "»", "&amp;": "&"}
+#: HTML's named references ("amp;", and "amp" where the semicolon may be missing); a no-break space is a blank here.
+ENTITIES = {**html5, "nbsp;": " ", "nbsp": " "}
+#: What HTML reads for the numbers 128 to 159 (as in windows-1252).
+WINDOWS = {n: ord(bytes([n]).decode("cp1252")) for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+#: Slots of the table of names: a lookup in a map goes along its entries, so each slot has a short map.
+SLOTS = 1024
+REFERENCE = "^(#[xX][0-9A-Fa-f]+;?|#[0-9]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+#: The names that need no semicolon, longest first: more letters may follow them.
+PREFIX = f"^({'|'.join(sorted((x for x in html5 if not x.endswith(';')), key=len, reverse=True))})"
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""
 NOT_SHOWN = "(?is)<(?:!--.*?-->|" + "|".join(rf"{x}\b[^>]*>.*?</{x}\s*>" for x in HIDDEN) + ")"
 LINE_ENDS = rf"(?i)</?({'|'.join(BLOCKS)})\b[^>]*>"
 
 
-def _numeric(col: Column, page: Column) -> Column:
-    """Decimal character references decoded; those that name no character become U+FFFD. The test looks at the
-    page, so that the text's expression is evaluated once."""
-    re = F.lit("&#([0-9]{1,7});")
-    code = lambda x: F.when((x < 1) | (x > 1114111) | x.between(55296, 57343), 65533).otherwise(x)
-    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(code(x.cast("int"))), 8, "0")), "UTF-32")
-    parts = F.arrays_zip(F.split(col, "&#[0-9]{1,7};", -1).alias("a"), F.regexp_extract_all(col, re, F.lit(1)).alias("b"))
-    joined = F.array_join(F.transform(parts, lambda x: F.concat(
-        x["a"], F.when(x["b"].isNull(), F.lit("")).otherwise(char(x["b"])))), "")
-    return F.when(page.contains("&#"), joined).otherwise(col)
+def _once(col: Column, f) -> Column:
+    """``f`` of a column that is evaluated once, however often ``f`` names it."""
+    return F.transform(F.array(col), f)[0]
+
+
+def _attribute(element: str, wanted: str) -> str:
+    """A pattern whose group 1 is the value, with any quotes, of the element's first attribute of the name ``wanted``.
+    Attributes are passed one by one, so nothing within another one's value is taken for it."""
+    gap = r"""(?:[\s/]++|(?<=["']))"""
+    other = rf"{gap}(?!{wanted}\s*=)[^\s>/][^\s=>/]*+(?:\s*+=\s*+{_VALUE})?+"
+    return rf"(?i)<{element}(?=[\s/])(?:{other})*+{gap}{wanted}\s*=\s*({_VALUE})"
+
+
+def _bare(value: Column) -> Column:
+    return F.when(F.left(value, F.lit(1)).isin('"', "'"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def _after(text: Column, start: Column) -> Column:
+    return F.substring(text, F.length(start) + 1, F.length(text))
+
+
+def _named(name: Column) -> Column:
+    """The characters of a named reference, or null."""
+    slots = [{} for _ in range(SLOTS)]
+    for x, chars in ENTITIES.items():
+        slots[crc32(x.encode()) % SLOTS][x] = chars
+    names = F.from_json(F.lit(json.dumps(slots)), "array<map<string,string>>")   # a constant once planned
+    return F.get(names, (F.crc32(name) % SLOTS).cast("int"))[name]
+
+
+def _number(name: Column) -> Column:
+    """The character of a decimal or hexadecimal reference; a number that is no character's gives U+FFFD."""
+    base = F.lower(F.substring(name, 2, 1))
+    code = lambda x: F.when(F.length(x) > 7, 0).when(base == "x", F.conv(x, 16, 10).cast("int")).otherwise(x.cast("int"))
+    windows = F.create_map(*[F.lit(x) for pair in WINDOWS.items() for x in pair])
+    valid = lambda x: (F.when((x < 1) | (x > 1114111) | x.between(55296, 57343), 65533)
+                       .when(x.between(128, 159), F.coalesce(windows[x], x)).otherwise(x))
+    digits = F.regexp_replace(name, "^#[xX]?0*(?=[0-9A-Fa-f])|;$", "")
+    return _once(_once(digits, code), lambda x: F.decode(F.unhex(F.lpad(F.hex(valid(x)), 8, "0")), "UTF-32"))
+
+
+def _decoded(text: Column) -> Column:
+    """Character references decoded as in HTML, each once: what one gives is not read again."""
+    prefixed = lambda name: _once(F.regexp_extract(name, PREFIX, 1), lambda x: F.when(
+        x == "", F.concat(F.lit("&"), name)).otherwise(F.concat(_named(x), _after(name, x))))
+    chars = lambda name: (F.when(name == "", "&").when(name.startswith("#"), _number(name))
+                          .otherwise(F.coalesce(_named(name), prefixed(name))))
+    part = lambda x, i: F.when(i == 0, x).otherwise(_once(
+        F.regexp_extract(x, REFERENCE, 1), lambda name: F.concat(chars(name), _after(x, name))))
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&", -1), part), "")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
-    """A page's text: hidden elements go, block elements end lines, entities are decoded, blanks are joined."""
+    """A page's text: hidden elements go, block elements end lines, references are decoded, blanks are joined."""
     t = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, NOT_SHOWN, " "), LINE_ENDS, "\n"), "<[^>]*>", "")
-    t = _numeric(t, html)
-    for name, char in ENTITIES.items():
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = _once(t, _decoded)
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t\r\f]{2,}|[\t\r\f]", " "), r" ?\n[ \n]*", "\n")
     return F.btrim(t, F.lit(" \n"))
 
@@ -91,7 +141,7 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
     payload = F.coalesce(F.col("payload"), F.lit(""))
     first = lambda re: F.regexp_extract(payload, re, 1)
     title = F.regexp_replace(first(r"(?is)<title\b[^>]*>(.*?)</title"), r"\s+", " ")
-    links = F.regexp_extract_all(payload, F.lit(r"(?i)<a\b[^>]*?\bhref=\"([^\"]*)\""), F.lit(1))
+    links = F.regexp_extract_all(payload, F.lit(_attribute("a", "href")), F.lit(1))
     digest = F.coalesce(F.col("payload_digest"), _sha256(payload))
     fields = F.concat_ws(
         CRLF, F.concat(F.lit("source-record-id: "), F.col("record_id")),
@@ -100,8 +150,8 @@ def derive(responses: DataFrame, key: str = "page_id") -> DataFrame:
         F.concat(F.lit("source-content-type: "), F.col("content_type")),
         F.concat(F.lit("source-payload-length: "), F.octet_length(payload).cast("string")),
         F.concat(F.lit("title: "), title),
-        F.concat(F.lit("language: "), first(r"(?i)<html\b[^>]*?\blang=\"([^\"]*)\"")),
-        F.transform(links, lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(x, r"\s+", "%20"))))
+        F.concat(F.lit("language: "), _once(first(_attribute("html", "(?:xml:)?lang")), _bare)),
+        F.transform(links, lambda x: F.concat(F.lit("outlink: "), F.regexp_replace(_bare(x), r"\s+", "%20"))))
     metadata_id, source = _urn(F.lit("metadata"), F.col("record_id")), F.col("record_id")
     both = responses.select(
         F.col(key), source.alias("refers_to"), F.col("target_uri"), F.col("date"), digest.alias("source_digest"),
