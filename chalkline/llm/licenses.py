@@ -12,7 +12,11 @@ so wrapped licence texts and notices without a full stop are both found.
 
 The known sentences are a table of bounded size, broadcast to the sentences. Only
 texts and sentences that hold one of ``CUES`` are cut up; every known sentence holds
-one, so nothing is missed.
+one, and its blanks stand for whatever a normalised blank does (line ends, comment
+marks), so nothing is missed.
+
+A line with an SPDX tag gives the identifiers of its expression, cut at AND, OR and
+WITH; the old GNU forms (GPL-2.0, GPL-2.0+) are read as the present ones.
 
 Defined cases: a null or empty text has no licence. Repeated sentences are matched
 each time, the licence is listed once, in rule order of first match. Equal rows give
@@ -48,6 +52,10 @@ NAMES = {
     "CC-BY-NC-ND-4.0": ["CC BY-NC-ND 4.0"],
     "Unlicense": ["Unlicense"],
 }
+#: GNU licences, whose SPDX identifiers have an or-later form and were written without "-only" before.
+GNU = [x.removesuffix("-only") for x in NAMES if x.endswith("-only")]
+#: SPDX identifiers in tags (beside those of NAMES), and the licences that they name.
+TAGS = {f"{x}-or-later": f"{x}-or-later" for x in GNU} | {x: f"{x}-only" for x in GNU}
 #: Ways to begin such a notice.
 OPENINGS = [f"{subject}{verb} under {article}" for subject in (
     "", "This work is ", "This software is ", "This program is ", "This file is ", "This project is ", "This code is ")
@@ -100,7 +108,7 @@ RULES = [
     ("apache-under,(apache-use,)?(apache-copy,)?", "Apache-2.0"),
     ("(gpl-free,)?gpl-2-later,", "GPL-2.0-or-later"), ("(gpl-free,)?gpl-3-later,", "GPL-3.0-or-later"),
     ("mpl-2-header,", "MPL-2.0"), ("unlicense,", "Unlicense"),
-    *[(f"(under|spdx):{re.escape(x)},", x) for x in NAMES],
+    *[(f"(under|spdx):{re.escape(x)},", x) for x in NAMES], *[(f"spdx:{re.escape(x)}-or-later,", f"{x}-or-later") for x in GNU],
     ("(copyright,)?reserved,", "All-rights-reserved"),
 ]
 
@@ -121,7 +129,7 @@ def known_sentences() -> dict[str, str]:
     out = {normalised(f"{o}{name}"): f"under:{x}" for x, names in NAMES.items() for name in names for o in OPENINGS}
     out |= {normalised(f"{o}{name} license"): f"under:{x}" for x, names in NAMES.items() for name in names
             for o in OPENINGS if not name.endswith("License")}
-    out |= {normalised(f"SPDX-License-Identifier {x}"): f"spdx:{x}" for x in NAMES}
+    out |= {normalised(f"SPDX-License-Identifier {x}"): f"spdx:{name}" for x, name in ({x: x for x in NAMES} | TAGS).items()}
     out |= {normalised(s): x for x, s in SENTENCES.items()} | {COPYRIGHT: "copyright"}
     missed = [s for s in out if not any(c in s for c in CUES)]
     if missed:
@@ -129,10 +137,19 @@ def known_sentences() -> dict[str, str]:
     return out
 
 
-_CUE = "(?i)" + "|".join(CUES)
+_CUE = "(?i)" + "|".join(x.replace(" ", "[^a-z0-9]+") for x in CUES)
+_TAG = "(?i)^[^a-z0-9]*spdx[^a-z0-9]+license[^a-z0-9]+identifier[^a-z0-9]"
 _SPLIT = r"(?:(?<=[.!?:;])(?<!(?i:spdx-license-identifier):)\s+|\n\s*\n\s*)"
 
 
+def _tagged(line: Column) -> Column:
+    """A line as its sentences: a tag for each identifier of an SPDX expression, or else the line."""
+    later = F.regexp_replace(line, r"(?i)\b([AL]?GPL-[0-9.]+)\+", "$1-or-later")
+    names = F.split(F.regexp_replace(later, _TAG, ""), r"(?i)(?<=[\s)])(?:and|or|with)(?=[\s(])")
+    return F.when(line.rlike(_TAG), F.transform(names, lambda x: F.concat(F.lit("SPDX-License-Identifier "), x))).otherwise(
+        F.array(line))
+
+
 def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, licenses (comma-joined SPDX identifiers, in the order of the rules that matched), sentence_ids
     (comma-joined, in the text's order), n_sentences, n_unmatched (identifiers that no rule took), row_no: one
@@ -144,15 +161,17 @@ def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cut = rows.select("row_no", "doc_id", F.posexplode_outer(
         F.when(F.col("text").rlike(_CUE), F.split("text", _SPLIT))).alias("at", "whole"))
-    lines = F.when(F.col("whole").rlike(_CUE), F.concat(
-        F.array("whole"), F.when(F.instr("whole", "\n") > 0, F.split("whole", r"\s*\n\s*")).otherwise(F.array())))
-    each = cut.select("row_no", "doc_id", "at", F.posexplode_outer(lines).alias("line", "part"))
-    each = each.select("row_no", "doc_id", "at", "line", _normalised(F.col("part")).alias("sentence"))
+    # a sentence of one line is line 0 with its tags; of several, it is line 0 as a whole
+    lines = F.when(F.col("whole").rlike(_CUE), F.when(F.instr("whole", "\n") > 0, F.concat(
+        F.array(F.array("whole")), F.transform(F.split("whole", r"\s*\n\s*"), _tagged))).otherwise(F.array(_tagged(F.col("whole")))))
+    each = cut.select("row_no", "doc_id", "at", F.posexplode_outer(lines).alias("line", "parts"))
+    each = each.select("row_no", "doc_id", "at", "line", F.posexplode_outer("parts").alias("place", "part"))
+    each = each.select("row_no", "doc_id", "at", "line", "place", _normalised(F.col("part")).alias("sentence"))
     found = each.join(known, "sentence", "left").groupBy("row_no", "at").agg(
         F.first("doc_id").alias("doc_id"),
-        F.sort_array(F.collect_list(F.when(F.col("sentence_id").isNotNull(), F.struct("line", "sentence_id")))).alias("f"))
+        F.sort_array(F.collect_list(F.when(F.col("sentence_id").isNotNull(), F.struct("line", "place", "sentence_id")))).alias("f"))
     # the whole sentence (line 0) counts for all its lines
-    found = found.withColumn("ids", F.when(F.get("f", F.lit(0))["line"] == 0, F.slice("f.sentence_id", 1, 1))
+    found = found.withColumn("ids", F.when(F.get("f", F.lit(0))["line"] == 0, F.filter("f", lambda x: x["line"] == 0)["sentence_id"])
                              .otherwise(F.col("f.sentence_id")))
     per = found.groupBy("row_no").agg(
         F.first("doc_id").alias("doc_id"),
