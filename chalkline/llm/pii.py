@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction (DataFrame functions only).
 
 Base spans come from four patterns (email, ip, card, phone) with their checks. They
-seed the rest: the word before and the word after a seed are lexical patterns, and
+seed the rest: the word before and the word after a seed, however far away, are lexical patterns, and
 every other token with a digit or an "@" is a candidate that shares such words with
 the seeds. Patterns and values form a graph, which is scored in rounds:
 
@@ -11,7 +11,8 @@ the seeds. Patterns and values form a graph, which is scored in rounds:
 * a value's score is one less the product of (1 - confidence) over its patterns; from
   ``ACCEPT`` on it counts as known in the next round, with the kind that scores best.
 
-After ``ROUNDS`` rounds every occurrence of an accepted value that touches no base
+The rounds go on until one accepts nothing new; an accepted value stays, with its
+kind, so they end. ``rounds`` can end them earlier. Then every occurrence of an accepted value that touches no base
 span becomes a span of that kind. Base spans always stay.
 
 One pass over the texts writes all matches with their contexts; offsets are running
@@ -26,6 +27,7 @@ exclusive. Equal rows give one row each. An empty table gives an empty result.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +45,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "other": r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
 }
-ROUNDS, SUPPORT, ACCEPT = 3, 3, 0.8
+SUPPORT, ACCEPT = 3, 0.8
 
 
 def _digits(col: Column) -> Column:
@@ -68,12 +70,12 @@ def _matches(kind: str) -> Column:
     """The matches of one kind: place among them, length of the text before each since the last, value, and
     the words before and after."""
     re = "'" + PATTERNS[kind].replace("\\", "\\\\") + "'"
-    word = r"[\\p{L}\\p{N}]+"
+    first = r"^[^\\p{L}\\p{N}]*+([\\p{L}\\p{N}]++)"   # of the text after, and of the text before from its end
     return F.expr(f"""if(text rlike {re}, transform(
-        arrays_zip(split(text, {re}, -1), regexp_extract_all(text, {re}, 0), slice(split(text, {re}, -1), 2, 2147483647)),
+        arrays_zip(split(text, {re}, -1), regexp_extract_all(text, {re}, 0), slice(split(text, {re}, -1), 2, 2147483646)),
         (x, i) -> named_struct('kind', '{kind}', 'place', i, 'gap', length(x['0']), 'value', x['1'],
-            'before', lower(regexp_extract(right(x['0'], 60), '({word})[^\\\\p{{L}}\\\\p{{N}}]*$', 1)),
-            'after', lower(regexp_extract(left(x['2'], 60), '^[^\\\\p{{L}}\\\\p{{N}}]*({word})', 1)))),
+            'before', lower(reverse(regexp_extract(reverse(x['0']), '{first}', 1))),
+            'after', lower(regexp_extract(x['2'], '{first}', 1)))),
         cast(array() as array<struct<kind: string, place: int, gap: int, value: string, before: string, after: string>>))""")
 
 
@@ -105,7 +107,7 @@ def _free_candidates(spans: DataFrame) -> DataFrame:
                     & (F.coalesce("next", F.col("end")) >= F.col("end"))).drop("upto", "next"))
 
 
-def bootstrap(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
+def bootstrap(seeds: DataFrame, candidates: DataFrame, rounds: int | None = None, support: int = SUPPORT,
               accept: float = ACCEPT) -> DataFrame:
     """(value, kind) of the candidates' accepted values, from (value, kind, before, after) of seeds and candidates."""
     both = seeds.select("value", "kind", "before", "after").unionByName(
@@ -114,8 +116,8 @@ def bootstrap(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, sup
     edges = saved(both.select("value", "kind", sides).filter(F.length("pattern") > 1).distinct(), "pii-edges")
     sizes = edges.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
     sure = edges.filter("kind is not null").select("value", "kind", "pattern")
-    accepted = None
-    for _ in range(rounds):
+    accepted, upto = None, 0
+    for _ in range(rounds) if rounds is not None else count():
         known = sure
         if accepted is not None:
             known = sure.unionByName(edges.filter("kind is null").select("value", "pattern")
@@ -127,7 +129,12 @@ def bootstrap(seeds: DataFrame, candidates: DataFrame, rounds: int = ROUNDS, sup
                   .groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score"))
                   .filter(F.col("score") >= accept).groupBy("value")
                   .agg(F.max(F.struct("score", "kind")).alias("best")).select("value", F.col("best.kind").alias("kind")))
+        if accepted is not None:
+            scored = accepted.unionByName(scored.join(accepted, "value", "left_anti"))
         accepted = saved(scored, "pii-accepted")
+        before, upto = upto, accepted.count()
+        if upto == before:
+            break
     return accepted if accepted is not None else candidates.select("value", F.lit("").alias("kind")).limit(0)
 
 
@@ -137,7 +144,7 @@ def _listed(spans: Column) -> Column:
         ":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), x["at"]), x["start"], x["end"])), ",")
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS,
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None,
                   support: int = SUPPORT, accept: float = ACCEPT) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, kind:start:end), n_found,
     row_no: one row per input row."""
