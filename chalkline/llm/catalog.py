@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import decontaminate, exact, language, licenses, neardup, packing, pii, quality, substrings, warc
+from chalkline.llm import decontaminate, exact, language, licenses, neardup, packing, pii, quality, substrings, suffixes, warc
 from chalkline.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -64,6 +64,10 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), added=True)
 
 
+def op11_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_strings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bootstrapped_pii": op8_bootstrapped_pii,
     "op9_chosen_path": op9_chosen_path,
     "op10_best_two_fit": op10_best_two_fit,
+    "op11_suffix_levels": op11_suffix_levels,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,4 +142,22 @@ ORACLE: dict[str, str] = {
              c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
         SELECT x AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, x = component_id AS kept
         FROM c LEFT JOIN n ON n.doc_id = c.x""",
+    "op11_suffix_levels": """
+        WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             k AS (SELECT doc_id, unnest(list_transform(range(0, length(h) // 2 - 49),
+                          lambda s: {'s': s, 'key': md5(substr(h, 2 * s + 1, 100))})) AS x
+                   FROM w WHERE length(h) >= 100),
+             m AS (SELECT x.key AS key, min(doc_id) AS least FROM k GROUP BY 1),
+             f AS (SELECT doc_id, x.s AS s, coalesce(x.s - lag(x.s) OVER (PARTITION BY doc_id ORDER BY x.s) > 50, true)
+                   AS starts FROM k JOIN m ON x.key = m.key WHERE doc_id > least),
+             r AS (SELECT doc_id, s, sum(starts::INT) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM f),
+             cut AS (SELECT doc_id, run, min(s) AS a, max(s) + 50 AS b FROM r GROUP BY ALL),
+             part AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM cut),
+             kept AS (SELECT doc_id, count(*) AS n, sum(b - a) AS gone, max(b) AS rest,
+                             string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS txt
+                      FROM part JOIN w USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed,
+               coalesce(n, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(txt, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
 }
