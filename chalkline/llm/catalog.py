@@ -144,9 +144,11 @@ ORACLE: dict[str, str] = {
         FROM c LEFT JOIN n ON n.doc_id = c.x""",
     "op11_suffix_levels": """
         WITH w AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-             k AS (SELECT doc_id, unnest(list_transform(range(0, length(h) // 2 - 49),
-                          lambda s: {'s': s, 'key': md5(substr(h, 2 * s + 1, 100))})) AS x
-                   FROM w WHERE length(h) >= 100),
+             t AS (SELECT doc_id, unnest(list_transform(range(0, length(h) // 2, 500),
+                          lambda b: {'b': b, 'h': substr(h, 2 * b + 1, 1098)})) AS y FROM w),
+             k AS (SELECT doc_id, unnest(list_transform(range(0, least(500, length(y.h) // 2 - 49)),
+                          lambda s: {'s': y.b + s, 'key': md5(substr(y.h, 2 * s + 1, 100))})) AS x
+                   FROM t WHERE length(y.h) >= 100),
              m AS (SELECT x.key AS key, min(doc_id) AS least FROM k GROUP BY 1),
              f AS (SELECT doc_id, x.s AS s, coalesce(x.s - lag(x.s) OVER (PARTITION BY doc_id ORDER BY x.s) > 50, true)
                    AS starts FROM k JOIN m ON x.key = m.key WHERE doc_id > least),
