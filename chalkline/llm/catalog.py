@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import decontaminate, exact, language, licenses, neardup, packing, pii, quality, substrings, suffixes, warc
+from chalkline.llm import codes, decontaminate, exact, language, licenses, neardup, packing, pii, quality, substrings, suffixes, warc
 from chalkline.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -68,6 +68,10 @@ def op11_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeated_strings(table(spark, sf_dir, "documents"))
 
 
+def op12_value_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -81,8 +85,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chosen_path": op9_chosen_path,
     "op10_best_two_fit": op10_best_two_fit,
     "op11_suffix_levels": op11_suffix_levels,
+    "op12_value_dictionaries": op12_value_dictionaries,
 }
 
+def _codes_sql(rounds: int = codes.ROUNDS) -> str:
+    """The rounds of op12 written out: c<r> are the entries before round r, a<r> the assignment to them."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+            SELECT vec_id, p, any_value(q.x) AS x, min({{'d': list_sum(list_transform(range(1, len(q.x) + 1),
+                   lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i]))), 'k': k}}) AS best
+            FROM q JOIN c{r} AS c USING (p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (
+            WITH u AS (SELECT p, best.k AS k, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{r}),
+                 s AS (SELECT p, k, i, sum(y) AS s, count(*) AS n FROM u GROUP BY ALL),
+                 e AS (SELECT p, k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s GROUP BY ALL)
+            SELECT c.p, c.k, coalesce(e.x, c.x) AS x FROM c{r} AS c LEFT JOIN e ON e.p = c.p AND e.k = c.k)""")
+    return f"""
+        WITH v AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS nth,
+                          list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+                   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             q AS MATERIALIZED (SELECT vec_id, nth, p, x[p * len(x) // 8 + 1:(p + 1) * len(x) // 8] AS x
+                                FROM v CROSS JOIN range(8) AS g(p)),
+             c0 AS (SELECT p, nth AS k, x FROM q WHERE nth < 16),
+             {", ".join(steps)},
+             books AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, k, i)) AS sha
+                       FROM (SELECT p, k, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM c{rounds})),
+             coded AS (SELECT vec_id, string_agg(lower(lpad(to_hex(best.k), 2, '0')), '' ORDER BY p) AS code,
+                              sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id),
+             sums AS (SELECT label, sum(error)::BIGINT AS label_error FROM coded JOIN v USING (vec_id) GROUP BY label)
+        SELECT coded.vec_id, code, error, label_error, sha AS codebooks_sha256
+        FROM coded JOIN v USING (vec_id) JOIN sums ON sums.label IS NOT DISTINCT FROM v.label CROSS JOIN books"""
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE: dict[str, str] = {
@@ -162,4 +198,5 @@ ORACLE: dict[str, str] = {
                coalesce(n, 0)::BIGINT AS n_spans,
                sha256(unhex(coalesce(txt, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op12_value_dictionaries": _codes_sql(),
 }
