@@ -9,10 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import codes, decontaminate, exact, language, licenses, neardup, packing, pii, quality, substrings, suffixes, warc
+from chalkline.llm import align, codes, decontaminate, exact, language, licenses, neardup, packing, pii, quality, substrings, suffixes, warc
 from chalkline.llm.common import table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op12_value_dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER),
+                       public_tokenizers.path(PIECE_TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_winnowing": op1_winnowing,
     "op2_warc_derivatives": op2_warc_derivatives,
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_two_fit": op10_best_two_fit,
     "op11_suffix_levels": op11_suffix_levels,
     "op12_value_dictionaries": op12_value_dictionaries,
+    "op13_merge_path": op13_merge_path,
 }
 
 def _codes_sql(rounds: int = codes.ROUNDS) -> str:

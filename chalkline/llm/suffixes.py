@@ -132,7 +132,7 @@ def reduce_heads(e: dict, last: bool) -> tuple[dict, list]:
     return out, marks
 
 
-def reduce_around(settle: int, look_at: int):
+def reduce_around(settle: int, look_at: int, many: int):
     """k1 is the core, k2 what surrounds it. Larger ids of one surrounding are settled; where a core has several, they
     are looked at in more detail (at the end of the family, or at once if there are many)."""
     def reduce(e: dict, last: bool) -> tuple[dict, list]:
@@ -141,7 +141,7 @@ def reduce_around(settle: int, look_at: int):
         settled, open_ = e["id"] > least, e["occ"] >= 0
         number = np.cumsum(core) - 1
         several = np.bincount(number[around])[number]
-        look = ~settled & (several > (1 if last else MANY))
+        look = ~settled & (several > (1 if last else many))
         marks = [(settle, np.flatnonzero(settled & open_)), (look_at, np.flatnonzero(look & open_))]
         order = np.cumsum(around) - 1
         nth = order - order[np.flatnonzero(core)][number]
@@ -361,7 +361,7 @@ RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 strin
 
 
 def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, head: int = HEAD, batch_bytes: int = BATCH_BYTES,
-                            fan: int = FAN, class_rows: int = CLASS_ROWS, id_col: str = "doc_id",
+                            fan: int = FAN, class_rows: int = CLASS_ROWS, many: int = MANY, id_col: str = "doc_id",
                             text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``: the remaining bytes), one row per input row.
 
@@ -375,8 +375,8 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, head: int = H
     total = docs.agg(F.sum(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))).first()[0] or 0
     sizes = -(-total // batch_bytes), fan, class_rows, int(batch_bytes * 2 / (before + 2)) + 1
     by_head = Family(HEADS, reduce_heads, "k2", *sizes)
-    by_around = Family(AROUND, reduce_around(SETTLED, LOOK), "k1", *sizes)
-    by_half = Family(AROUND, reduce_around(HALF_SETTLED, HALF_LOOK), "k1", *sizes)
+    by_around = Family(AROUND, reduce_around(SETTLED, LOOK, many), "k1", *sizes)
+    by_half = Family(AROUND, reduce_around(HALF_SETTLED, HALF_LOOK, many), "k1", *sizes)
     by_string = Family(STRINGS, reduce_strings, "k1", *sizes)
     bits = np.uint64(max(0, 64 - 10 - max(20, int(total * 2 // (before + 2)).bit_length())))
     base = batches(docs, sizes[0] or 1, batch_bytes, id_col, text_col)
