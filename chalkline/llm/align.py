@@ -23,7 +23,9 @@ about 100 bytes of memory per byte of its longest text.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import json
 import zlib
 
@@ -40,6 +42,10 @@ WORK, HOT_PAIRS = 16_384, 2_000_000
 #: Distinct pairs that a task holds before it sends their counts.
 HELD = 1_000_000
 SLICE_BYTES = 1 << 20
+#: Words that a Python worker remembers (about 300 bytes each; forgotten together beyond that), and their longest.
+REMEMBERED, LONG_WORD = 500_000, 1000
+#: Fixed value of piece vocabularies: the letter that stands for a space.
+MARK = "\u2581"
 
 
 # --------------------------------------------------------------------------- merge path
@@ -78,7 +84,13 @@ def _unpacked(data: bytes, n: int = 4) -> list[np.ndarray]:
 
 # --------------------------------------------------------------------------- tokens
 class Tokens:
-    """Ids and end offsets of space+text by both tokenizers."""
+    """Ids and end offsets of space+text by both tokenizers, by way of remembered words.
+
+    Neither tokenizer joins a word to the space that follows it, so a text is tokenised word by word, each with the space
+    before it, and a word only once. Where this doesn't hold (two spaces in a row, a word that begins or ends with other
+    white space, a piece mark in the text, a tokenizer of another kind) the text is tokenised as a whole. Bytes are
+    compared per remembered word, or per whole text.
+    """
 
     def __init__(self, spec: str, model: bytes):
         import sentencepiece
@@ -90,30 +102,64 @@ class Tokens:
         for token, i in vocab.items():
             if all(x in letters for x in token):
                 self.a_bytes[i] = bytes(letters[x] for x in token)
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode()
+                        for i, p in enumerate(names)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-
-    def _piece(self, i: int) -> bytes:
-        piece = self.b.id_to_piece(i)
-        if self.b.is_byte(i):
-            return bytes([int(piece[3:5], 16)])
-        return piece.replace("▁", " ").encode()
+        apart = all(MARK not in p[1:] or not p.strip(MARK) for p in names)
+        self.words: dict[str, tuple[bytes, bytes]] | None = {} if apart and self.a.fast is not None else None
+
+    def _same(self, a: list[int], b: list[int], whole: bytes) -> bool:
+        return (b"".join(map(self.a_bytes.__getitem__, a)) == whole
+                and b"".join(map(self.b_bytes.__getitem__, b)) == whole)
+
+    def _whole(self, text: str):
+        a = np.frombuffer(self.a.whole(" " + text), "<u4")
+        b = self.b.encode(text, out_type=int)
+        return (a, np.array(b, "<u4")) if self._same(a.tolist(), b, b" " + text.encode()) else None
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember the words of ``new`` that can stand alone and that both tokenizers give back."""
+        alone = [w for w in new if w and len(w) <= LONG_WORD and not w[0].isspace() and not w[-1].isspace()
+                 and MARK not in w]
+        if not alone:
+            return
+        whole = (" " + " ".join(alone)).encode()
+        a = self.a.fast.encode_ordinary(whole.decode())
+        b = self.b.encode(alone, out_type=int, num_threads=1)
+        b_at = np.cumsum([0, *map(len, b)]).tolist()
+        b = list(itertools.chain.from_iterable(b))
+        if not self._same(a, b, whole):  # some word is not given back: it shows in its texts
+            for w in alone:
+                found = self._whole(w)
+                if found:
+                    self.words[w] = tuple(x.tobytes() for x in found)
+            return
+        a = np.array(a, "<u4")
+        sizes = np.cumsum([len(w) + 1 for w in alone] if len(whole) == sum(map(len, alone)) + len(alone) else
+                          [len(w.encode()) + 1 for w in alone])
+        a_at = [0, *(np.searchsorted(np.cumsum(self.a_size[a]), sizes) + 1).tolist()]
+        a_data, b_data = a.tobytes(), np.array(b, "<u4").tobytes()
+        for k, w in enumerate(alone):
+            self.words[w] = a_data[4 * a_at[k]:4 * a_at[k + 1]], b_data[4 * b_at[k]:4 * b_at[k + 1]]
 
     def of(self, texts: list[str | None]):
-        """Per text: (A ids, A ends, B ids, B ends), or None where there are no tokens."""
-        some = [i for i, t in enumerate(texts) if t]
-        out = [None] * len(texts)
-        if not some:
-            return out
-        a_ids = self.a.encode([" " + texts[i] for i in some])
-        b_ids = self.b.encode([texts[i] for i in some], out_type=int, num_threads=1)
-        for i, a, b in zip(some, a_ids, b_ids, strict=True):
-            whole = b" " + texts[i].encode()
-            a = np.frombuffer(a, "<u4").astype(np.int64)
-            if (b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole
-                    and b"".join(map(self.b_bytes.__getitem__, b)) == whole):
-                b = np.array(b, np.int64)
-                out[i] = a, np.cumsum(self.a_size[a]), b, np.cumsum(self.b_size[b])
+        """Per text: (A ids, B ids), or None where there are no tokens."""
+        if self.words is None:
+            return [self._whole(t) if t else None for t in texts]
+        parts = [(t or "").split(" ") for t in texts]
+        new = set().union(*parts).difference(self.words)
+        if len(self.words) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = set().union(*parts)
+        self._learn(new)
+        out = []
+        for text, own in zip(texts, parts, strict=True):
+            try:
+                a, b = zip(*map(self.words.__getitem__, own), strict=True)
+                out.append((np.frombuffer(b"".join(a), "<u4"), np.frombuffer(b"".join(b), "<u4")))
+            except KeyError:
+                out.append(self._whole(text) if text else None)
         return out
 
 
@@ -147,7 +193,12 @@ def pieces(docs: DataFrame, a_path: str, b_path: str, work: int, id_col: str, te
                     if found is None:
                         rows.append((key, row, 0, 0, 1, 0, b""))
                         continue
-                    a, a_end, b, b_end = found
+                    a, b = found
+                    a_size, b_size = both.a_size[a], both.b_size[b]
+                    if len(a) + len(b) <= work:
+                        rows.append((key, row, len(a), len(b), 1, 0, _packed(a, a_size, b, b_size)))
+                        continue
+                    a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
                     i, j = merge_path(a_end, b_end, work)
                     for k in range(len(i) - 1):
                         own = slice(i[k], i[k + 1]), slice(j[k], j[k + 1])
@@ -172,43 +223,40 @@ class Piece:
 
     def __init__(self, data: bytes):
         self.a, a_size, self.b, b_size = _unpacked(data)
-        self.a_end, self.b_end = np.cumsum(a_size), np.cumsum(b_size)
+        a_end, b_end = np.cumsum(a_size), np.cumsum(b_size)
+        n = 1 + int(max(a_end[-1] if len(a_end) else 0, b_end[-1] if len(b_end) else 0))
+        self.a_ends, self.b_ends = np.zeros(n, bool), np.zeros(n, bool)  # A and B merge on a line of the piece's bytes
+        self.a_ends[a_end], self.b_ends[b_end] = True, True
+        cut = self.a_ends & self.b_ends
+        self.a_cut, self.b_cut = np.flatnonzero(cut[a_end]), np.flatnonzero(cut[b_end])  # the tokens that close groups
 
     def links(self) -> np.ndarray:
         """Each link's pair of ids, as one number."""
-        ends = np.union1d(self.a_end, self.b_end)
-        return (self.a[np.searchsorted(self.a_end, ends)] << 32) | self.b[np.searchsorted(self.b_end, ends)]
+        ends = np.flatnonzero(self.a_ends | self.b_ends)
+        a, b = ((np.cumsum(x) - x)[ends] for x in (self.a_ends, self.b_ends))
+        return (self.a[a] << 32) | self.b[b]
 
-    def cuts(self) -> np.ndarray:
-        return np.intersect1d(self.a_end, self.b_end, assume_unique=True)
-
-    def text(self, first: int, last: int, cuts: np.ndarray) -> bytes:
+    def text(self, first: int, last: int) -> bytes:
         """The groups first..last - 1, ids joined by ``,``, A and B by ``|``, groups by ``;`` (and one at the end)."""
-        low, high = (cuts[first - 1] if first else -1), cuts[last - 1]
-        a0, a1 = np.searchsorted(self.a_end, (low, high), "right")
-        b0, b1 = np.searchsorted(self.b_end, (low, high), "right")
-        edge = cuts[first:last]
-        a_last, b_last = np.searchsorted(self.a_end, edge) - a0, np.searchsorted(self.b_end, edge) - b0
-        of_a = np.searchsorted(edge, self.a_end[a0:a1])
-        of_b = np.searchsorted(edge, self.b_end[b0:b1])
+        a_last, b_last = self.a_cut[first:last], self.b_cut[first:last]
+        a0, b0 = (x[first - 1] + 1 if first else 0 for x in (self.a_cut, self.b_cut))
+        a1, b1 = a_last[-1] + 1, b_last[-1] + 1
+        a_last, b_last = a_last - a0, b_last - b0
         a_count, b_count = np.append(0, a_last + 1), np.append(0, b_last + 1)
+        of_a, of_b = (np.repeat(np.arange(last - first), np.diff(x)) for x in (a_count, b_count))
         ids = np.empty(a1 - a0 + b1 - b0, np.int64)
         mark = np.zeros(len(ids), np.int64)  # 0 "," 1 "|" 2 ";"
         a_at = np.arange(a1 - a0) + b_count[of_a]
         b_at = np.arange(b1 - b0) + a_count[of_b + 1]
         ids[a_at], ids[b_at] = self.a[a0:a1], self.b[b0:b1]
         mark[a_at[a_last]], mark[b_at[b_last]] = 1, 2
-        return b"".join(map(_said, (3 * ids + mark).tolist()))
-
-
-_words: dict[int, bytes] = {}
+        return b"".join(map(_marked().__getitem__, (3 * ids + mark).tolist()))
 
 
-def _said(x: int) -> bytes:
-    """An id and the mark after it; kept, as a vocabulary has few."""
-    if x not in _words:
-        _words[x] = b"%d%c" % (x // 3, b",|;"[x % 3])
-    return _words[x]
+@functools.cache
+def _marked(most: int = 1 << 17) -> list[bytes]:
+    """The decimal text of every id below ``most`` with each of the marks ``,|;`` after it."""
+    return [b"%d%c" % (i, c) for i in range(most) for c in b",|;"]
 
 
 def _ids(ids: np.ndarray) -> str:
@@ -221,8 +269,8 @@ def count_pairs(stored: DataFrame) -> DataFrame:
         keys, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def merged():
-            every = np.concatenate([keys, *held])
-            weight = np.concatenate([counts, np.ones(len(every) - len(keys), np.int64)])
+            new, n = np.unique(np.concatenate(held), return_counts=True) if held else (keys[:0], counts[:0])
+            every, weight = np.concatenate([keys, new]), np.concatenate([counts, n])
             order = np.argsort(every, kind="stable")
             every, weight = every[order], weight[order]
             first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
@@ -291,21 +339,20 @@ def align(docs: DataFrame, a_path: str, b_path: str, work: int = WORK, hot_pairs
                         rows.append((0, 0, 0, 0, None, None, None, None, None, ""))
                         continue
                     piece = Piece(data)
-                    pairs, cuts = piece.links(), piece.cuts()
+                    pairs, cuts = piece.links(), len(piece.a_cut)
                     n, met = looked_up(pairs)
                     top = int((n == known.value[2][pairs[met] & 0xFFFFFFFF]).sum())
-                    own = len(cuts), len(pairs), top, int(n.sum())
+                    own = cuts, len(pairs), top, int(n.sum())
                     if n_pieces == 1:
-                        groups = piece.text(0, len(cuts), cuts)[:-1]
+                        groups = piece.text(0, cuts)[:-1]
                         rows.append((*own, None, None, None, None, None, hashlib.sha256(groups).hexdigest()))
                         continue
-                    a, b = piece.a[:len(piece.a_end)], piece.b[:len(piece.b_end)]
-                    if not len(cuts):
+                    a, b = piece.a[:piece.a_ends.sum()], piece.b[:piece.b_ends.sum()]
+                    if not cuts:
                         rows.append((*own, _ids(a), _ids(b), b"", "", "", None))
                         continue
-                    a0, a1 = np.searchsorted(piece.a_end, cuts[[0, -1]], "right")
-                    b0, b1 = np.searchsorted(piece.b_end, cuts[[0, -1]], "right")
-                    body = piece.text(1, len(cuts), cuts) if len(cuts) > 1 else b""
+                    (a0, a1), (b0, b1) = piece.a_cut[[0, -1]] + 1, piece.b_cut[[0, -1]] + 1
+                    body = piece.text(1, cuts) if cuts > 1 else b""
                     rows.append((*own, _ids(a[:a0]), _ids(b[:b0]), body, _ids(a[a1:]), _ids(b[b1:]), None))
                 c = list(zip(*rows, strict=True))
                 longs = [pa.array(x, pa.int64()) for x in c[:4]]
