@@ -7,6 +7,10 @@ Tables live in a warehouse folder written by ``chalkline.sources.tables``:
     python -m chalkline dashboard --base WH --as-of "2024-01-31 00:00:00" --range 7d --out OUT
     python -m chalkline expire    --base WH --as-of "2024-01-31 00:00:00"
     python -m chalkline redeem    --base WH --attempts PATH --as-of "2024-01-31 00:00:00"
+    python -m chalkline archive   --base WH --feed PATH --as-of "..." --run-id 2024-01-31   (also register, cancel,
+                                  override, requests, codes)
+
+A run id that is published already changes nothing, so a scheduler may repeat a command.
 """
 
 from __future__ import annotations
@@ -27,7 +31,9 @@ def cmd_dashboard(spark, a) -> dict:
     from chalkline.plans.dashboard import AdminDashboard
     from chalkline.plans.responses import to_response, write_json
     from chalkline.sources import tables as TB
-    views = TB.read_live_views(spark, f"{a.base}/teacher_views", a.tombstones)
+    from chalkline.plans.jobs import live_views
+    views = (TB.read_live_views(spark, f"{a.base}/teacher_views", a.tombstones) if a.tombstones
+             else live_views(spark, a.base))
     d = AdminDashboard(views, TB.read_table(spark, a.base, "requests"), TB.read_table(spark, a.base, "schools"),
                        TB.read_table(spark, a.base, "teachers"), a.as_of, a.range)
     kinds = {"totals": "stats", "chart": "chartData", "top_schools": "topSchools",
@@ -42,22 +48,25 @@ def cmd_dashboard(spark, a) -> dict:
 
 def cmd_expire(spark, a) -> dict:
     from chalkline.plans.jobs import hourly_expiry
-    return hourly_expiry(spark, a.base, a.as_of)
+    return hourly_expiry(spark, a.base, a.as_of, a.run_id)
 
 
 def cmd_redeem(spark, a) -> dict:
-    from chalkline.operators.redeem import redeem_access_codes
-    from chalkline.sources import tables as TB
-    schools_v = TB.versions(spark, a.base, "schools")[-1]
-    codes_v = TB.versions(spark, a.base, "access_codes")[-1]
-    attempts = spark.read.parquet(a.attempts)
-    out, new_s, new_c = redeem_access_codes(TB.read_table(spark, a.base, "schools", schools_v),
-                                            TB.read_table(spark, a.base, "access_codes", codes_v),
-                                            attempts, a.as_of)
-    TB.write_snapshot(new_s, a.base, "schools", schools_v + 1)
-    TB.write_snapshot(new_c, a.base, "access_codes", codes_v + 1)
-    out.write.mode("overwrite").parquet(f"{a.base}/_outcomes/redeem/v={schools_v + 1}")
-    return {"schools": schools_v + 1, "access_codes": codes_v + 1}
+    from chalkline.plans.jobs import redeem_access_codes
+    tables = redeem_access_codes(spark, a.base, spark.read.parquet(a.attempts), a.as_of, a.run_id)["tables"]
+    return {t: tables[t] for t in ("schools", "access_codes")}
+
+
+def _feed_job(name: str):
+    def run(spark, a) -> dict:
+        from chalkline.plans import jobs
+        return getattr(jobs, name)(spark, a.base, spark.read.parquet(a.feed), as_of=a.as_of, run_id=a.run_id)
+    return run
+
+
+#: Jobs that apply a feed file: command -> function of ``plans.jobs``.
+FEED_JOBS = {"archive": "archive_teachers", "register": "register_schools", "cancel": "cancel_subscriptions",
+             "override": "apply_overrides", "requests": "apply_request_events", "codes": "maintain_access_codes"}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -69,17 +78,20 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--range", default="7d")
     d.add_argument("--out", required=True)
     d.add_argument("--tombstones", default=None)
-    e = sub.add_parser("expire")
-    e.add_argument("--base", required=True)
-    e.add_argument("--as-of", required=True)
-    r = sub.add_parser("redeem")
-    r.add_argument("--base", required=True)
-    r.add_argument("--attempts", required=True)
-    r.add_argument("--as-of", required=True)
+    for name in ("expire", "redeem", *FEED_JOBS):
+        c = sub.add_parser(name)
+        c.add_argument("--base", required=True)
+        c.add_argument("--as-of", required=True)
+        c.add_argument("--run-id", default=None)
+        if name == "redeem":
+            c.add_argument("--attempts", required=True)
+        elif name in FEED_JOBS:
+            c.add_argument("--feed", required=True)
     return p
 
 
-COMMANDS = {"dashboard": cmd_dashboard, "expire": cmd_expire, "redeem": cmd_redeem}
+COMMANDS = {"dashboard": cmd_dashboard, "expire": cmd_expire, "redeem": cmd_redeem,
+            **{name: _feed_job(job) for name, job in FEED_JOBS.items()}}
 
 
 def main(argv=None, spark=None) -> dict:

@@ -15,6 +15,8 @@ timestamp predicate).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,19 +29,51 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def versions(spark: SparkSession, base: str, table: str) -> list[int]:
-    """Committed snapshot versions of a table (folders with a _SUCCESS marker)."""
+def versions(spark: SparkSession, base: str, table: str, committed: bool = True) -> list[int]:
+    """Written snapshot versions of a table (folders with a _SUCCESS marker; with ``committed=False`` any folder)."""
     fs, root = _hadoop_fs(spark, f"{base.rstrip('/')}/{table}")
     if not fs.exists(root):
         return []
     out = []
     for st in fs.listStatus(root):
         name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
+        if name.startswith("v=") and (not committed or fs.exists(st.getPath().suffix("/_SUCCESS"))):
             out.append(int(name[2:]))
     return sorted(out)
 
 
+#: Folder of the manifests that name the published version of every table (``sources.runs``).
+MANIFESTS = "_manifests"
+
+
+def newest_manifest(spark: SparkSession, base: str) -> dict | None:
+    """The manifest with the highest number, or None in a warehouse without runs."""
+    fs, folder = _hadoop_fs(spark, f"{base.rstrip('/')}/{MANIFESTS}")
+    if not fs.exists(folder):
+        return None
+    names = [st.getPath().getName() for st in fs.listStatus(folder)]
+    numbers = [int(n[2:-5]) for n in names if n.startswith("m=") and n.endswith(".json")]
+    if not numbers:
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"m={max(numbers)}.json")
+    data = fs.open(path)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8"))
+    finally:
+        data.close()
+
+
+def current_version(spark: SparkSession, base: str, table: str) -> int:
+    """The version readers see: the newest manifest's, or the last written one where no manifest names the table."""
+    version = (newest_manifest(spark, base) or {"tables": {}})["tables"].get(table)
+    if version is None:
+        written = versions(spark, base, table)
+        if not written:
+            raise FileNotFoundError(f"no committed snapshot of {table} under {base}")
+        version = written[-1]
+    return version
+
+
 # Day partition column derived from each fact's event time.
 DAY_PARTITIONS = {"requests": ("requested_date", "requested_at"), "teacher_views": ("viewed_date", "viewed_at")}
 
@@ -49,10 +83,7 @@ def read_table(spark: SparkSession, base: str, table: str, version: int | None =
     A day-partitioned snapshot also exposes its partition column for pruning."""
     from pyspark.sql import types as T
     if version is None:
-        vs = versions(spark, base, table)
-        if not vs:
-            raise FileNotFoundError(f"no committed snapshot of {table} under {base}")
-        version = vs[-1]
+        version = current_version(spark, base, table)
     path = f"{base.rstrip('/')}/{table}/v={version}"
     schema = sch.TABLES[table]
     if table in DAY_PARTITIONS:
@@ -118,12 +149,14 @@ def append_tombstones(ids: DataFrame, path: str, key: str = "teacher_id") -> Non
     ids.select(F.col(ids.columns[0]).cast("long").alias(key)).distinct().write.mode("append").parquet(path)
 
 
-def read_live_views(spark: SparkSession, path: str, tombstones: str | None = None,
+def read_live_views(spark: SparkSession, path: str, tombstones: str | DataFrame | None = None,
                     key: str = "teacher_id") -> DataFrame:
-    """The view log without rows whose ``key`` has been deleted."""
+    """The view log without rows whose ``key`` has been deleted (``tombstones``: a folder, or a frame of keys)."""
     views = read_views(spark, path)
     if tombstones is None:
         return views
+    if isinstance(tombstones, DataFrame):
+        return views.join(tombstones.select(key).distinct(), key, "left_anti")
     fs, p = _hadoop_fs(spark, tombstones)
     if not fs.exists(p):
         return views

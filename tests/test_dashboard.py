@@ -51,10 +51,12 @@ def test_feed_rows_are_accepted_or_rejected(spark):
     applied = feed.join(rej.select("seq"), "seq", "left_anti")
     assert applied.join(f.schools.select(f.schools.id.alias("school_id")), "school_id", "left_anti").count() == 0
     assert applied.count() + rej.count() == feed.count()
-    # M10: the new snapshot holds the old requests plus every create
+    # M10: the new snapshot holds the old requests plus every create that is not rejected
     feed = fx.request_events(spark, SF)
-    new, _ = C.apply_request_events(f.requests, feed)
-    assert new.count() == f.requests.count() + feed.filter("kind = 'create'").count()
+    new, rej = C.apply_request_events(f.requests, feed)
+    creates = feed.filter("kind = 'create'")
+    refused = creates.join(rej.select("seq"), "seq", "left_semi").count()
+    assert refused > 0 and new.count() == f.requests.count() + creates.count() - refused
 
 
 def test_expire_twice_is_idempotent_on_fixture(spark):

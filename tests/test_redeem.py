@@ -111,12 +111,12 @@ def test_hot_school_and_hot_code(spark):
 
 
 def test_fixture_outcomes_match_recorded_counts(spark):
-    # FIXTURES.md §2.2: sf0.01 -> 6 succeed; 1582 ineligible, 369 unknown code, 30 trial used, 19 code used
+    # FIXTURES.md §2.2: sf0.01 -> 14 succeed; 1641 ineligible, 288 unknown code, 43 trial used, 20 code used
     from chalkline.plans.catalog import Fixture
     from chalkline.sources import fixtures as fx
     d = "/root/testdata/sf0.01"
     f = Fixture(spark, d)
     out, _, _ = RD.redeem_access_codes(f.schools, f.access_codes, fx.redeem_attempts(spark, d))
     got = {r["reason"]: r["count"] for r in out.groupBy("reason").count().collect()}
-    assert got == {None: 6, RD.MSG_PAID: 1582, RD.MSG_INVALID_CODE: 369, RD.MSG_TRIAL_USED: 30,
-                   RD.MSG_CODE_USED: 19}
+    assert got == {None: 14, RD.MSG_PAID: 1641, RD.MSG_INVALID_CODE: 288, RD.MSG_TRIAL_USED: 43,
+                   RD.MSG_CODE_USED: 20}
