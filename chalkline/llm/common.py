@@ -57,6 +57,18 @@ def row_number(row_no: str | None) -> Column:
     return F.monotonically_increasing_id() if row_no is None else F.col(row_no)
 
 
+def row_key(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """``docs`` with a 128-bit hash of some columns, under the name that is returned beside it: rows that are alike in
+    them share it, in every scan, without a written copy of the texts."""
+    name = ROW_NO
+    while name in docs.columns:
+        name += "_"
+    own = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    null = [F.col(f"`{c}`").isNull() for c in columns]
+    return docs.withColumn(name, F.struct(F.xxhash64(*own, *null).alias("k1"),
+                                          F.xxhash64(F.lit(1), *own, *null).alias("k2"))), name
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)

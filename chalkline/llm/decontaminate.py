@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import ROW_NO, ascii_lower, numbered, row_number, saved
+from chalkline.llm.common import ROW_NO, ascii_lower, numbered, row_key, row_number, saved
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN = 10
@@ -154,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_co
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, id_col: str = "doc_id",
                       text_col: str = "text", **columns) -> DataFrame:
     """The rows of ``docs`` (a stored table) without a hit word, with all their columns."""
-    rows = numbered(docs)
-    bad = contamination(rows, benchmark, span, id_col, text_col, row_no=ROW_NO, **columns).filter("contaminated")
-    bad = saved(bad.select(F.col("row_no").alias(ROW_NO)), "contaminated")
-    return rows.join(bad, ROW_NO, "left_anti").drop(ROW_NO)
+    rows, key = row_key(docs, id_col, text_col)   # rows that are alike are judged alike
+    bad = contamination(rows, benchmark, span, id_col, text_col, row_no=key, **columns).filter("contaminated")
+    bad = saved(bad.select(F.col("row_no").alias(key)), "contaminated")
+    return rows.join(bad, key, "left_anti").drop(key)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import ROW_NO, ascii_lower, numbered, row_number, saved
+from chalkline.llm.common import ascii_lower, row_key, row_number, saved
 
 KEY = ["sha", "check", "length"]
 
@@ -75,10 +75,15 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       fan_in: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    The rows are numbered once, in a table that the groups and the anti join both read.
-    The dropped rows' numbers are the smaller side of the anti join.
+    A row is named by a hash of its id and text. Rows that are alike in both would all stay; where there are such, one of
+    them is picked. The dropped rows' names are the smaller side of the anti join.
     """
-    rows = numbered(docs)
-    out = exact_groups(rows, id_col, text_col, runs, fan_in, ROW_NO).filter(~F.col("kept")).select(
-        F.col("row_no").alias(ROW_NO))
-    return rows.join(saved(out, "digest-dropped"), ROW_NO, "left_anti").drop(ROW_NO)
+    rows, key = row_key(docs, id_col, text_col)
+    groups = saved(exact_groups(rows, id_col, text_col, runs, fan_in, key).select(
+        F.col("row_no").alias(key), "kept"), "digest-kept")
+    left = rows.join(groups.filter(~F.col("kept")), key, "left_anti")
+    twice = saved(groups.filter("kept").groupBy(key).count().filter("count > 1").select(key), "digest-twice")
+    if twice.limit(1).count():
+        left = left.join(twice, key, "left_anti").unionByName(
+            left.join(twice, key, "left_semi").dropDuplicates([key]))
+    return left.drop(key)

@@ -13,9 +13,10 @@ language):
   out of its host's counts.
 
 Counts of hosts, domains, suffixes and declarations are grouped aggregates of the
-text posteriors. The trigram model has at most languages x ``BUCKETS`` numbers,
-whatever the corpus, and is the only thing sent to the executors; declarations
-other than the languages are one value. A hot host's rows meet its one prior row.
+text posteriors. The languages are the tags that at least ``LEAST_ROWS`` rows of the table
+declare; other declarations are one value. The trigram model has languages x ``BUCKETS``
+numbers (and "und"), the broadcast host priors at most ``HOST_NUMBERS`` of each kind; rows
+of rarer hosts meet theirs by a shuffle, so a hot host's rows are never dealt to one task.
 
 Defined cases: a text without trigrams leaves the other evidence; a null host,
 domain or suffix is the empty string's; a null declaration is "none". Equal rows
@@ -31,9 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import _GAP, ROW_NO, numbered, row_number, saved, slices, text_bytes
+from chalkline.llm.common import _GAP, row_key, row_number, saved, slices, text_bytes
 
-LANGUAGES = ("de", "en", "es", "fr")
+#: A declared language is a class if it is a two- or three-letter tag of at least this many rows; of more such tags than
+#: the second number (no table of natural languages has them) the most frequent ones are.
+LEAST_ROWS, MOST_LANGUAGES = 10, 256
+#: Tags that name no language.
+NO_LANGUAGE = ("und", "mul", "mis", "zxx")
+#: Numbers of host priors that are broadcast; rows of other hosts meet theirs by a shuffle.
+HOST_NUMBERS = 2_000_000
 BUCKETS = 1 << 14
 TEMPER, LEAN, ACCEPT = 0.3, 10.0, 0.6
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -52,9 +59,22 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[at], (mixed[at] >> np.uint32(18)).astype(np.int64)
 
 
+def _tag(col: Column) -> Column:
+    """The main tag of a declared language; empty if there is none."""
+    return F.lower(F.trim(F.regexp_extract(F.coalesce(col, F.lit("")), r"^\s*([A-Za-z]*)", 1)))
+
+
+def declared_languages(docs: DataFrame, declared: Column, least_rows: int = LEAST_ROWS) -> tuple[str, ...]:
+    """The languages that the table itself declares, in order of their names."""
+    tags = docs.select(_tag(declared).alias("tag")).filter(F.length("tag").between(2, 3) & ~F.col("tag").isin(*NO_LANGUAGE))
+    found = (tags.groupBy("tag").agg(F.count("*").alias("n")).filter(F.col("n") >= least_rows)
+             .orderBy(F.desc("n"), "tag").limit(MOST_LANGUAGES).collect())
+    return tuple(sorted(r["tag"] for r in found))
+
+
 def _declared(col: Column, languages: tuple[str, ...]) -> Column:
     """The declared language's main tag if it is one of ``languages``, "none" if there is none, else "other"."""
-    tag = F.lower(F.trim(F.regexp_extract(F.coalesce(col, F.lit("")), r"^\s*([A-Za-z]*)", 1)))
+    tag = _tag(col)
     return F.when(tag.isin(*languages), tag).when(tag == "", "none").otherwise("other")
 
 
@@ -113,15 +133,29 @@ def _smoothed(mass: str, rows: str, parent: str) -> Column:
     return F.expr(f"transform({mass}, (m, i) -> (m + {LEAN} * {parent}[i]) / ({rows} + {LEAN}))")
 
 
+def _with_host(scored: DataFrame, by_host: DataFrame, most: int) -> DataFrame:
+    """``scored`` beside its host's row. The ``most`` frequent hosts are broadcast, so no key of the shuffle is hot."""
+    key = ["host", "domain", "suffix"]
+    by_host = saved(by_host, "hosts")
+    if by_host.count() <= most:
+        return scored.join(F.broadcast(by_host), key)
+    hot = saved(by_host.orderBy(F.desc("rows"), *key).limit(most), "hot-hosts")
+    rest = scored.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return scored.join(F.broadcast(hot), key).unionByName(rest.join(by_host, key))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None,
              host: Column | None = None, domain: Column | None = None, suffix: Column | None = None,
-             languages: tuple[str, ...] = LANGUAGES, accept: float = ACCEPT,
+             languages: tuple[str, ...] | None = None, accept: float = ACCEPT,
              row_no: str | None = None) -> DataFrame:
     """doc_id, lang, posterior, accepted, text_lang, declared, row_no: one row per input row.
 
     ``declared``, ``host``, ``domain`` and ``suffix`` are expressions over ``docs`` (a stored table);
-    absent ones say nothing. ``row_no`` names a column of row numbers; without it the rows are numbered here.
+    absent ones say nothing. ``languages`` are those that the table declares, unless given. ``row_no`` names a column that
+    tells rows apart; without it the rows are numbered here.
     """
+    if languages is None:
+        languages = declared_languages(docs, declared) if declared is not None else ()
     said = lambda c: F.coalesce(c, F.lit("")) if c is not None else F.lit("")
     names = F.array(*[F.lit(x) for x in (*languages, "und")])
     classes = len(languages) + 1
@@ -153,7 +187,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
            for v in values}
     said_ll = F.create_map(*[x for v in values for x in (F.lit(v), F.array(*[F.lit(y) for y in log[v]]))])
 
-    own = scored.join(by_host, ["host", "domain", "suffix"]).withColumn("said", said_ll[F.col("declared")])
+    own = _with_host(scored, by_host, max(1, HOST_NUMBERS // classes)).withColumn("said", said_ll[F.col("declared")])
     own = own.withColumn("post", F.expr(f"""transform(ll, (x, i) -> x + said[i] + suffix_ll[i]
                          + ln((greatest(mass[i] - p[i], 0D) + {LEAN} * above[i]) / (rows - 1 + {LEAN})))"""))
     own = own.withColumn("best", F.expr("array_max(post)"))
@@ -183,9 +217,9 @@ def identify_pages(pages: DataFrame, **params) -> DataFrame:
 
 
 def drop_unknown_language(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` (a stored table) that are accepted, with all their columns. The rows are numbered once, in
-    a table that the decision and the anti join both read."""
-    rows = numbered(docs)
-    out = identify_documents(rows, row_no=ROW_NO, **params).filter(~F.col("accepted"))
-    out = saved(out.select(F.col("row_no").alias(ROW_NO)), "language-rejected")
-    return rows.join(out, ROW_NO, "left_anti").drop(ROW_NO)
+    """The rows of ``docs`` (a stored table) that are accepted, with all their columns. Rows that are alike in all that
+    the operator reads are judged alike."""
+    rows, key = row_key(docs, "doc_id", "text", "lang", "source")
+    out = identify_documents(rows, row_no=key, **params).filter(~F.col("accepted"))
+    out = saved(out.select(F.col("row_no").alias(key)).distinct(), "language-rejected")
+    return rows.join(out, key, "left_anti").drop(key)

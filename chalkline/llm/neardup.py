@@ -391,6 +391,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
     """The rows of ``docs`` (a stored table) whose id is the smallest of its group, with all their columns."""
+    name = "__id"
+    while name in docs.columns:
+        name += "_"
     gone = (near_duplicate_groups(docs, id_col, text_col, **params).filter(~F.col("kept"))
-            .select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(saved(gone, "near-copies"), F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+            .select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(saved(gone, "near-copies"), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
