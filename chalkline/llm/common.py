@@ -13,6 +13,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
 import string
 
 import numpy as np
@@ -106,6 +107,15 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20):
         yield batch.slice(start)
 
 
+def memory_back() -> None:
+    """Give what this process has freed back to the system; a Python worker keeps it otherwise, for later stages too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 _GAP = np.zeros(256, bool)
 _GAP[list(SPACES)] = True
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import _GAP, row_key, row_number, saved, slices, text_bytes
+from chalkline.llm.common import _GAP, memory_back, row_key, row_number, saved, slices, text_bytes
 
 #: A declared language is a class if it is a two- or three-letter tag of at least this many rows; of more such tags than
 #: the second number (no table of natural languages has them) the most frequent ones are.
@@ -91,6 +91,7 @@ def text_model(rows: DataFrame, languages: tuple[str, ...]) -> np.ndarray:
                 known = lang[row] >= 0
                 counts += np.bincount(lang[row][known] * BUCKETS + bucket[known],
                                       minlength=counts.size).reshape(counts.shape)
+            memory_back()
         i, b = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(b), pa.array(counts[i, b])], ["lang", "bucket", "n"])
 
@@ -120,6 +121,7 @@ def _likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
                     [*(part.column(part.schema.get_field_index(c)) for c in rest),
                      pa.ListArray.from_arrays(np.arange(0, ll.size + 1, classes, dtype=np.int32), ll.ravel())],
                     [*rest, "ll"])
+            memory_back()
 
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rest)
     return rows.mapInArrow(run, f"{kept}, ll array<double>")

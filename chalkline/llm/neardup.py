@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import RollingHash, mix, saved, slices, text_bytes, word_bounds, word_hashes
+from chalkline.llm.common import RollingHash, memory_back, mix, saved, slices, text_bytes, word_bounds, word_hashes
 from chalkline.llm.components import components
 
 SHINGLE = 5
@@ -117,6 +117,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
                                               pa.array(nodes.view(np.int64).ravel())),
                      pa.array([x.tobytes() for x in sig], pa.binary())],
                     names=["id", "n", "d1", "d2", "nodes", "sig"])
+            memory_back()
 
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
                     F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -181,6 +182,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float, size: int, id
                                    minlength=part.num_rows)
                 union = np.bincount(row, minlength=part.num_rows) - both
                 yield part.select([0, 1]).filter(pa.array((100 * both >= share * union) & (union > 0)))
+            memory_back()
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = saved(_texts(docs, ids, id_col, text_col), "pair-texts")
