@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import ctypes
 import string
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,19 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20):
         yield batch.slice(start)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Jobs that run inside hand their Python workers at most ``rows`` rows at a time, where rows hold whole texts or
+    blocks of documents: the JVM and the worker each hold one batch per task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def memory_back() -> None:
     """Give what this process has freed back to the system; a Python worker keeps it otherwise, for later stages too."""
     pa.default_memory_pool().release_unused()

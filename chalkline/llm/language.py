@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import _GAP, memory_back, row_key, row_number, saved, slices, text_bytes
+from chalkline.llm.common import _GAP, arrow_batches, memory_back, row_key, row_number, saved, slices, text_bytes
 
 #: A declared language is a class if it is a two- or three-letter tag of at least this many rows; of more such tags than
 #: the second number (no table of natural languages has them) the most frequent ones are.
@@ -41,6 +41,8 @@ LEAST_ROWS, MOST_LANGUAGES = 10, 256
 NO_LANGUAGE = ("und", "mul", "mis", "zxx")
 #: Numbers of host priors that are broadcast; rows of other hosts meet theirs by a shuffle.
 HOST_NUMBERS = 2_000_000
+#: Texts of an Arrow batch.
+BATCH_ROWS = 500
 BUCKETS = 1 << 14
 TEMPER, LEAN, ACCEPT = 0.3, 10.0, 0.6
 _FOLD = np.arange(256, dtype=np.uint32)
@@ -165,9 +167,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        _declared(said(declared), languages).alias("declared"), said(host).alias("host"),
                        said(domain).alias("domain"), said(suffix).alias("suffix"))
-    ll = _likelihoods(rows, text_model(rows, languages))
     share = "aggregate(transform(ll, x -> exp(x)), 0D, (a, x) -> a + x)"
-    scored = saved(ll.withColumn("p", F.expr(f"transform(ll, x -> exp(x) / {share})")), "language-text")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        ll = _likelihoods(rows, text_model(rows, languages))
+        scored = saved(ll.withColumn("p", F.expr(f"transform(ll, x -> exp(x) / {share})")), "language-text")
 
     total = scored.agg(*_sums(classes)).first()
     mass = [x or 0.0 for x in total["mass"]]

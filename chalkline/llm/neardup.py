@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import RollingHash, memory_back, mix, saved, slices, text_bytes, word_bounds, word_hashes
+from chalkline.llm.common import RollingHash, arrow_batches, memory_back, mix, saved, slices, text_bytes, word_bounds, word_hashes
 from chalkline.llm.components import components
 
 SHINGLE = 5
@@ -58,6 +58,8 @@ DEPTH = 8
 SLACK = 4.5
 #: Ids that are broadcast to pick documents from the table (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rows of an Arrow batch: of texts or pairs, and of blocks.
+BATCH_ROWS, BLOCK_ROWS = 500, 64
 NULL_ID = -(1 << 63)
 
 SPANS = RollingHash(0xE7037ED1A0B428DB)
@@ -336,6 +338,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """doc_id, n_shingles, component_id, kept: one row per input row. ``docs`` is a stored table."""
     if not 0.5 <= threshold <= 1 or not 0 < trees <= SIGNATURE:
         raise ValueError("threshold must be in 0.5..1 and trees in 1..the signature's places")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):
+        return _groups(docs, id_col, text_col, threshold, size, trees, leaf, depth)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float, size: int, trees: int, leaf: int,
+            depth: int) -> DataFrame:
+    """All jobs that need Python run in here; what is returned joins their tables."""
+    spark = docs.sparkSession
     every = saved(features(docs, id_col, text_col, size, trees), "features")
     classes = saved(every.filter("n > 0").groupBy("d1", "d2", "n").agg(
         F.min("id").alias("id"), F.first("nodes").alias("nodes"), F.first("sig").alias("sig")), "classes")
@@ -368,7 +378,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         own = saved(rows.join(mixed.select("node"), "node", "left_semi"), "mixed-rows")
         full = own.join(sigs, "id").select("node", "id", "component", F.col("n").alias("shingles"), "sig")
         now = mixed if last else mixed.filter(F.col("minority") <= leaf)
-        edges.append(saved(_node_families(full, now, threshold), "family-edges"))
+        with arrow_batches(spark, BLOCK_ROWS):
+            edges.append(saved(_node_families(full, now, threshold), "family-edges"))
         if last:
             break
         level += 1
@@ -379,7 +390,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     for e in edges[1:]:
         more = more.unionByName(e)
     if more.limit(1).count():
-        links = links.unionByName(saved(_family_links(more, found, docs, threshold, size, id_col, text_col), "family-links"))
+        with arrow_batches(spark, BLOCK_ROWS):
+            links = links.unionByName(
+                saved(_family_links(more, found, docs, threshold, size, id_col, text_col), "family-links"))
         found = components(links)
 
     of_class = (classes.select("d1", "d2", "n", "id").join(found, "id", "left")
