@@ -363,9 +363,9 @@ def _live_top_schools(spark, d):
     return spark.read.parquet(SV.live_top_schools(spark, SV.view_event_stream(spark, d), Fixture(spark, d).schools))
 
 
-@register("live_active_schools")
+@register("live_active_schools", O.LIVE_ACTIVE_SCHOOLS)
 def _live_active_schools(spark, d):
-    return spark.read.parquet(SV.live_active_schools(spark, SV.view_event_stream(spark, d)))
+    return SV.read_active_schools(spark, SV.live_active_schools(spark, SV.view_event_stream(spark, d)))
 
 
 # ---- dashboards over the larger line-item view log (FIXTURES §2.3) ------------------------

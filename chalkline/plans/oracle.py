@@ -396,3 +396,7 @@ GROUP BY day
 """)
 
 LIVE_TOP_SCHOOLS = top_schools(None)
+
+LIVE_ACTIVE_SCHOOLS = """
+    WITH pairs AS (SELECT DISTINCT ts::DATE AS day, user_id FROM events WHERE event_type = 'view')
+    SELECT day, count(user_id) AS active_schools FROM pairs GROUP BY day"""

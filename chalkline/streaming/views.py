@@ -11,8 +11,8 @@
 * S3 ``live_top_schools``: all-time views per school (state: one row per
   school); names are joined and the top-n taken on the aggregated state in
   ``foreachBatch``, so the stream never joins raw events to a dimension.
-* S4 ``live_active_schools``: distinct schools per day, approximate (exact
-  distinct is not supported on streams).
+* S4 ``live_active_schools``: distinct schools per day, exactly: the stream
+  emits each (day, school) once and the pairs are counted when read.
 
 Watermarks need ``TIMESTAMP``; the fixtures are ``TIMESTAMP_NTZ``. The
 event time is converted with ``utc_instant`` (wall clock read as UTC,
@@ -177,16 +177,26 @@ def top_schools_writer(views: DataFrame, schools: DataFrame, out_dir: str, n: in
 
 
 def active_schools_writer(views: DataFrame, out_dir: str):
-    """S4 sink: approximate distinct schools per UTC day (HyperLogLog++)."""
+    """S4 sink: the first view of each (UTC day, school), once. State is one row per pair of an open day; the watermark
+    drops closed days. Each batch writes its own folder, so a replayed batch replaces itself and a reader never meets a
+    half-written result; ``read_active_schools`` counts the pairs."""
     sink = f"{out_dir}/result"
-    t = views.withColumn("_t", utc_instant(F.col("viewed_at"))).withWatermark("_t", "1 day")
-    agg = (t.groupBy(F.window("_t", "1 day").alias("w"))
-           .agg(F.approx_count_distinct("school_id").alias("active_schools"))
-           .select(utc_day(F.col("w.start")).alias("day"), "active_schools"))
-    w = agg.writeStream.outputMode("complete").foreachBatch(lambda df, _id: df.write.mode("overwrite").parquet(sink))
+    first = (views.withColumn("_t", utc_instant(F.col("viewed_at"))).withWatermark("_t", "1 day")
+             .select(F.window("_t", "1 day").alias("w"), "school_id").dropDuplicates(["w", "school_id"]))
+
+    def write_batch(df: DataFrame, batch_id: int):
+        (df.select(utc_day(F.col("w.start")).alias("day"), "school_id")
+         .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}"))
+
+    w = first.writeStream.outputMode("append").foreachBatch(write_batch)
     return w.option("checkpointLocation", f"{out_dir}/_checkpoint"), sink
 
 
+def read_active_schools(spark: SparkSession, sink: str) -> DataFrame:
+    """Distinct schools per day so far, exactly: every pair is stored once."""
+    return spark.read.parquet(sink).groupBy("day").agg(F.count("school_id").alias("active_schools"))
+
+
 # ---- run-to-end forms (replay, registered queries, tests) -----------------------------
 
 def view_ingest(spark, views: DataFrame, teachers: DataFrame, schools: DataFrame,

@@ -63,7 +63,7 @@ def test_top_and_active_schools(spark, tmp_path):
     top = spark.read.parquet(SV.live_top_schools(spark, _stream(spark, d), s, out_dir=str(tmp_path / "t")))
     assert [(x.school_id, x.views) for x in top.orderBy(F.desc("views"), "school_id").collect()] == [
         (2, 3), (1, 2), (3, 1)]
-    act = spark.read.parquet(SV.live_active_schools(spark, _stream(spark, d), out_dir=str(tmp_path / "a")))
+    act = SV.read_active_schools(spark, SV.live_active_schools(spark, _stream(spark, d), out_dir=str(tmp_path / "a")))
     assert [(x.day, x.active_schools) for x in act.collect()] == [(dt.date(2024, 1, 31), 4)]
 
 
@@ -112,3 +112,16 @@ def test_retried_batch_leaves_quarantine(spark, tmp_path):
     SV.write_view_batch(batch, 0, H.teachers(spark, [{"id": 1}, {"id": 9}]), s, fact, bad)
     assert sorted(x.id for x in spark.read.parquet(fact).collect()) == [1, 2]
     assert spark.read.parquet(bad).count() == 0
+
+
+def test_active_schools_are_counted_once_over_batches(spark, tmp_path):
+    d, out = str(tmp_path / "in"), str(tmp_path / "a")
+    day = dt.timedelta(days=1)
+    spark.createDataFrame([(i, 1, i % 3, H.AS_OF) for i in range(9)], sch.TEACHER_VIEWS).coalesce(1).write.parquet(d + "/a")
+    stream = spark.readStream.schema(sch.TEACHER_VIEWS).parquet(d + "/*")
+    SV.live_active_schools(spark, stream, out_dir=out)
+    more = [(20, 1, 0, H.AS_OF), (21, 1, 7, H.AS_OF), (22, 1, 0, H.AS_OF + day)]
+    spark.createDataFrame(more, sch.TEACHER_VIEWS).coalesce(1).write.parquet(d + "/b")
+    sink = SV.live_active_schools(spark, stream, out_dir=out)
+    got = {r.day: r.active_schools for r in SV.read_active_schools(spark, sink).collect()}
+    assert got == {H.AS_OF.date(): 4, (H.AS_OF + day).date(): 1}
