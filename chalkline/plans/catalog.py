@@ -334,33 +334,69 @@ register("redeem_access_codes_schools", OC.REDEEM_ACCESS_CODES_SCHOOLS)(lambda s
 from chalkline.streaming import views as SV  # noqa: E402
 
 
-def _ingest_paths(spark, d):
+def _ingested(spark, d):
     f = Fixture(spark, d)
     return SV.view_ingest(spark, SV.view_event_stream(spark, d), f.teachers, f.schools)
 
 
 @register("view_ingest", O.VIEW_INGEST)
 def _view_ingest(spark, d):
-    fact, _ = _ingest_paths(spark, d)
-    return spark.read.parquet(fact).select("id", "teacher_id", "school_id", "viewed_at")
+    return SV.read_ingested(spark, _ingested(spark, d)).drop("viewed_date")
 
 
 @register("view_ingest_quarantine", O.VIEW_INGEST_QUARANTINE)
 def _view_ingest_quarantine(spark, d):
-    _, bad = _ingest_paths(spark, d)
-    schema = "id long, teacher_id long, school_id long, viewed_at timestamp_ntz, reason string"
-    return spark.read.schema(schema).parquet(bad).select("id", "teacher_id", "school_id", "viewed_at", "reason")
+    return SV.read_quarantine(spark, _ingested(spark, d))
+
+
+# The stream meets the snapshots as they were fifty days before AS_OF; then the views held back are judged again by
+# the present snapshots, of teachers and of schools one after the other.
+
+def _former(df):
+    from pyspark.sql import functions as F
+    return df.filter(F.col("created_at") < F.lit(fx.FORMER_SNAPSHOT).cast("timestamp_ntz"))
+
+
+def _ingested_early(spark, d):
+    f = Fixture(spark, d)
+    return SV.view_ingest(spark, SV.view_event_stream(spark, d), _former(f.teachers), _former(f.schools))
+
+
+@register("view_ingest_early_quarantine", O.VIEW_INGEST_EARLY_QUARANTINE)
+def _view_ingest_early_quarantine(spark, d):
+    return SV.read_quarantine(spark, _ingested_early(spark, d))
+
+
+@register("view_ingest_teachers_arrived", O.VIEW_INGEST_TEACHERS_ARRIVED)
+def _view_ingest_teachers_arrived(spark, d):
+    f, out = Fixture(spark, d), _ingested_early(spark, d)
+    SV.rejudge_quarantine(spark, out, f.teachers, _former(f.schools))
+    return SV.read_quarantine(spark, out)
+
+
+@register("view_ingest_all_arrived", O.VIEW_INGEST)
+def _view_ingest_all_arrived(spark, d):
+    f, out = Fixture(spark, d), _ingested_early(spark, d)
+    SV.rejudge_quarantine(spark, out, f.teachers, _former(f.schools))
+    SV.rejudge_quarantine(spark, out, f.teachers, f.schools)
+    return SV.read_ingested(spark, out).drop("viewed_date")
 
 
 @register("live_daily_counts", O.LIVE_DAILY_COUNTS)
 def _live_daily_counts(spark, d):
-    return spark.read.parquet(SV.live_daily_counts(spark, SV.view_event_stream(spark, d),
-                                                   requests=SV.request_event_stream(spark, d)))
+    return SV.read_daily_counts(spark, SV.live_daily_counts(
+        spark, SV.view_event_stream(spark, d), requests=SV.request_event_stream(spark, d)), requests=True)
+
+
+@register("live_daily_counts_closed", O.LIVE_DAILY_COUNTS_CLOSED)
+def _live_daily_counts_closed(spark, d):
+    return SV.read_daily_counts(spark, SV.live_daily_counts(
+        spark, SV.view_event_stream(spark, d), mode="append", requests=SV.request_event_stream(spark, d)), requests=True)
 
 
 @register("live_top_schools", O.LIVE_TOP_SCHOOLS)
 def _live_top_schools(spark, d):
-    return spark.read.parquet(SV.live_top_schools(spark, SV.view_event_stream(spark, d), Fixture(spark, d).schools))
+    return SV.read_top_schools(spark, SV.live_top_schools(spark, SV.view_event_stream(spark, d), Fixture(spark, d).schools))
 
 
 @register("live_active_schools", O.LIVE_ACTIVE_SCHOOLS)

@@ -387,6 +387,21 @@ SELECT id, teacher_id, school_id, viewed_at, 'School not found' AS reason FROM t
 WHERE teacher_id IN (SELECT id FROM teachers) AND school_id NOT IN (SELECT id FROM schools)
 """)
 
+def _held_back(teachers: str, schools: str) -> str:
+    return with_base(f"""
+SELECT id, teacher_id, school_id, viewed_at,
+       CASE WHEN t.known IS NULL THEN 'Teacher not found' ELSE 'School not found' END AS reason
+FROM teacher_views
+LEFT JOIN (SELECT id AS teacher_id, 1 AS known FROM teachers WHERE {teachers}) t USING (teacher_id)
+LEFT JOIN (SELECT id AS school_id, 1 AS known FROM schools WHERE {schools}) s USING (school_id)
+WHERE t.known IS NULL OR s.known IS NULL
+""")
+
+
+_FORMER = "created_at < TIMESTAMP '2023-12-12 00:00:00'"
+VIEW_INGEST_EARLY_QUARANTINE = _held_back(_FORMER, _FORMER)
+VIEW_INGEST_TEACHERS_ARRIVED = _held_back("true", _FORMER)
+
 LIVE_DAILY_COUNTS = with_base("""
 SELECT day, CAST(SUM(v) AS BIGINT) AS views, CAST(SUM(r) AS BIGINT) AS requests
 FROM (SELECT CAST(viewed_at AS DATE) AS day, 1 AS v, 0 AS r FROM teacher_views
@@ -395,6 +410,13 @@ FROM (SELECT CAST(viewed_at AS DATE) AS day, 1 AS v, 0 AS r FROM teacher_views
 GROUP BY day
 """)
 
+# A day is closed when the watermark, a day behind the newest event of either kind, is past its end.
+LIVE_DAILY_COUNTS_CLOSED = """
+    SELECT ts::DATE AS day, count(*) FILTER (event_type = 'view') AS views,
+           count(*) FILTER (event_type = 'purchase') AS requests
+    FROM events WHERE event_type IN ('view', 'purchase') GROUP BY day
+    HAVING ts::DATE + INTERVAL 2 DAY <= (SELECT max(ts) FROM events WHERE event_type IN ('view', 'purchase'))"""
+
 LIVE_TOP_SCHOOLS = top_schools(None)
 
 LIVE_ACTIVE_SCHOOLS = """

@@ -18,6 +18,9 @@ FIXTURE_AS_OF = "2024-01-31 00:00:00"
 # Fixed value: replay time of the line-item view log (ship dates end 2001-11-04).
 LINEITEM_AS_OF = "2001-11-05 00:00:00"
 
+# Fixed value: a teacher or school created before is in the former snapshot (fifty days before FIXTURE_AS_OF).
+FORMER_SNAPSHOT = "2023-12-12 00:00:00"
+
 # Error events are split into change feeds by event_id % FEED_SLOTS.
 FEED_SLOTS = 10
 SLOT = {

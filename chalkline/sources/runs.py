@@ -31,23 +31,28 @@ class ConcurrentRun(RuntimeError):
     """Another run was published since this one read its tables."""
 
 
-def _publish(spark: SparkSession, base: str, manifest: dict) -> None:
-    fs, folder = TB._hadoop_fs(spark, f"{base.rstrip('/')}/{TB.MANIFESTS}")
+def publish_file(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """Write ``text`` under another name and rename it to ``name``; ``ConcurrentRun`` if that is taken."""
+    fs, where = TB._hadoop_fs(spark, folder)
     jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
     path = jvm.org.apache.hadoop.fs.Path
-    fs.mkdirs(folder)
-    draft = path(folder, f"_draft-{uuid.uuid4().hex}")
+    fs.mkdirs(where)
+    draft = path(where, f"_draft-{uuid.uuid4().hex}")
     out = fs.create(draft, True)
     try:
-        out.write(bytearray(json.dumps(manifest), "utf-8"))
+        out.write(bytearray(text, "utf-8"))
     finally:
         out.close()
     context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
     plain = gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
     try:
-        context.rename(draft, path(folder, f"m={manifest['n']}.json"), plain)
-    except Exception as e:  # the number is taken (any other cause shows in the message)
-        raise ConcurrentRun(f"manifest {manifest['n']} of {base} was not published: {e}") from e
+        context.rename(draft, path(where, name), plain)
+    except Exception as e:  # the name is taken (any other cause shows in the message)
+        raise ConcurrentRun(f"{name} of {folder} was not published: {e}") from e
+
+
+def _publish(spark: SparkSession, base: str, manifest: dict) -> None:
+    publish_file(spark, f"{base.rstrip('/')}/{TB.MANIFESTS}", f"m={manifest['n']}.json", json.dumps(manifest))
 
 
 def published_run(spark: SparkSession, base: str, run_id: str) -> dict | None:

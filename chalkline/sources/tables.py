@@ -48,14 +48,19 @@ MANIFESTS = "_manifests"
 
 def newest_manifest(spark: SparkSession, base: str) -> dict | None:
     """The manifest with the highest number, or None in a warehouse without runs."""
-    fs, folder = _hadoop_fs(spark, f"{base.rstrip('/')}/{MANIFESTS}")
+    return newest_numbered(spark, f"{base.rstrip('/')}/{MANIFESTS}", "m")
+
+
+def newest_numbered(spark: SparkSession, path: str, letter: str) -> dict | None:
+    """The JSON file ``<letter>=<n>.json`` of the highest number in a folder, or None."""
+    fs, folder = _hadoop_fs(spark, path)
     if not fs.exists(folder):
         return None
     names = [st.getPath().getName() for st in fs.listStatus(folder)]
-    numbers = [int(n[2:-5]) for n in names if n.startswith("m=") and n.endswith(".json")]
+    numbers = [int(n[2:-5]) for n in names if n.startswith(f"{letter}=") and n.endswith(".json")]
     if not numbers:
         return None
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"m={max(numbers)}.json")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{letter}={max(numbers)}.json")
     data = fs.open(path)
     try:
         return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8"))

@@ -1,11 +1,9 @@
 """The view log as a stream (S1-S4).
 
-* S1 ``view_ingest``: validate each micro-batch against the teacher and
-  school snapshots (semi join -> fact, anti join -> quarantine) inside
-  ``foreachBatch``. Each batch overwrites only its own ``batch_id``
-  partition (dynamic partition overwrite), so a retried batch after an
-  executor or driver loss replaces its earlier attempt instead of adding
-  to it.
+* S1 ``view_ingest``: each micro-batch meets the teacher and school
+  snapshots once, in ``foreachBatch``; views of known ones go to the fact,
+  the others to quarantine. ``rejudge_quarantine`` takes the quarantined
+  views to newer snapshots, and those now known move to the fact.
 * S2 ``live_daily_counts``: views per day with a 1-day watermark; state is
   one row per open day.
 * S3 ``live_top_schools``: all-time views per school (state: one row per
@@ -14,6 +12,9 @@
 * S4 ``live_active_schools``: distinct schools per day, exactly: the stream
   emits each (day, school) once and the pairs are counted when read.
 
+Results are published by commits (``streaming.store``): a reader sees the
+state before a batch or after it, and a batch that runs twice counts once.
+
 Watermarks need ``TIMESTAMP``; the fixtures are ``TIMESTAMP_NTZ``. The
 event time is converted with ``utc_instant`` (wall clock read as UTC,
 independent of the session time zone) and day labels come back through
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chalkline.session import scratch_path
+from chalkline.sources import schemas as sch
+from chalkline.streaming import store
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -78,11 +81,16 @@ def validate_views(batch: DataFrame, teachers: DataFrame, schools: DataFrame, as
     quarantined, not stamped with the processing time: a replayed batch must
     produce exactly the same rows and day partitions.
     """
+    tagged = judged(batch, teachers, schools, as_of)
+    return tagged.filter("reason is null").drop("reason"), tagged.filter("reason is not null")
+
+
+def judged(batch: DataFrame, teachers: DataFrame, schools: DataFrame, as_of=None) -> DataFrame:
+    """``batch`` with S1's default time and its ``reason`` column."""
     from chalkline.functions.time import ts_lit
     if as_of is not None:
         batch = batch.withColumn("viewed_at", F.coalesce(F.col("viewed_at"), ts_lit(as_of)))
-    tagged = tag_views(batch, teachers, schools)
-    return tagged.filter("reason is null").drop("reason"), tagged.filter("reason is not null")
+    return tag_views(batch, teachers, schools)
 
 
 def tag_views(batch: DataFrame, teachers: DataFrame, schools: DataFrame) -> DataFrame:
@@ -103,34 +111,78 @@ def run_to_end(writer, name: str) -> None:
         raise RuntimeError(str(q.exception()))
 
 
-def write_view_batch(batch: DataFrame, batch_id: int, teachers: DataFrame, schools: DataFrame, fact: str,
-                     quarantine: str, as_of=None) -> None:
-    """Write one batch to both sinks, replacing its whole folder in each, empty or not: a view that was in
-    quarantine and is accepted by a retry leaves quarantine."""
-    ok, bad = validate_views(batch, teachers, schools, as_of)
-    (ok.withColumn("viewed_date", F.to_date("viewed_at")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "static").partitionBy("viewed_date").parquet(f"{fact}/batch_id={batch_id}"))
-    (bad.write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .parquet(f"{quarantine}/batch_id={batch_id}"))
+#: What readers of S1's two results see.
+FACT_SCHEMA = T.StructType([*sch.TEACHER_VIEWS.fields, T.StructField("viewed_date", T.DateType())])
+QUARANTINE_SCHEMA = T.StructType([*sch.TEACHER_VIEWS.fields, T.StructField("reason", T.StringType())])
+
+
+def read_ingested(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The published fact of S1, with its partition column ``viewed_date``."""
+    return store.read(spark, out_dir, "teacher_views", FACT_SCHEMA)
+
+
+def read_quarantine(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The views that S1 holds back at present, with the reason."""
+    return store.read(spark, out_dir, "quarantine", QUARANTINE_SCHEMA)
+
+
+def _write_judged(views: DataFrame, teachers: DataFrame, schools: DataFrame, out_dir: str, as_of) -> tuple[list, list]:
+    """Judge and write ``views`` in one pass; returns the folders of accepted and of quarantined rows (each 0 or 1)."""
+    folder = store.new_folder(out_dir)
+    (judged(views.select(*sch.TEACHER_VIEWS.names), teachers, schools, as_of)
+     .withColumn("accepted", F.col("reason").isNull()).withColumn("viewed_date", F.to_date("viewed_at"))
+     .write.partitionBy("accepted", "viewed_date").parquet(folder))
+    spark = views.sparkSession
+    return store.existing(spark, f"{folder}/accepted=true"), store.existing(spark, f"{folder}/accepted=false")
+
+
+def write_view_batch(batch: DataFrame, batch_id: int, teachers: DataFrame, schools: DataFrame, out_dir: str,
+                     as_of=None) -> None:
+    """Judge one batch and publish both of its parts in one commit. A batch that is published already changes nothing."""
+    if batch_id <= store.newest(batch.sparkSession, out_dir)["batch"]:
+        return
+    good, bad = _write_judged(batch, teachers, schools, out_dir, as_of)
+    store.commit(batch.sparkSession, out_dir, lambda now: {
+        "batch": batch_id, "adds": {"teacher_views": good},
+        "tables": {"quarantine": [*now["tables"].get("quarantine", []), *bad]}})
+
+
+def rejudge_quarantine(spark: SparkSession, out_dir: str, teachers: DataFrame, schools: DataFrame, as_of=None) -> bool:
+    """Judge all quarantined views by newer snapshots; returns whether anything was published.
+
+    Views that pass join the fact and leave quarantine in the same commit, so each is in one of them and never in
+    both; the others are written together, which also compacts quarantine. The stream may go on meanwhile: batches
+    it adds stay as they are. Of two such jobs at once, the one that commits second finds its folders gone and
+    publishes nothing. Run it after a teacher or school snapshot is published.
+    """
+    held = store.newest(spark, out_dir)["tables"].get("quarantine", [])
+    if not held:
+        return False
+    views = store.read_folders(spark, out_dir, held, QUARANTINE_SCHEMA)
+    good, bad = _write_judged(views, teachers, schools, out_dir, as_of)
+
+    def move(now: dict) -> dict | None:
+        present = now["tables"].get("quarantine", [])
+        if not set(held) <= set(present):
+            return None
+        return {"adds": {"teacher_views": good},
+                "tables": {"quarantine": [*(f for f in present if f not in held), *bad]}}
+
+    return store.commit(spark, out_dir, move) is not None
 
 
 # ---- writer builders: configured sinks; the caller picks the trigger and starts ----
 
 def view_ingest_writer(views: DataFrame, teachers, schools, out_dir: str, as_of=None):
-    """S1 sink: accepted views to ``<out_dir>/teacher_views`` (partitioned by batch_id,
-    viewed_date), rejects to ``<out_dir>/quarantine``. ``teachers``/``schools`` are
-    DataFrames or zero-argument callables returning the current snapshot. Each batch overwrites only its
-    own ``batch_id`` partitions, so a replayed batch replaces its earlier attempt."""
-    fact, quarantine = f"{out_dir}/teacher_views", f"{out_dir}/quarantine"
+    """S1 sink below ``out_dir`` (``read_ingested``, ``read_quarantine``). ``teachers``/``schools`` are
+    DataFrames or zero-argument callables returning the current snapshot; callables are asked at every batch, so
+    teachers and schools added while the stream runs become valid."""
 
     def write_batch(batch: DataFrame, batch_id: int):
-        # callables are re-evaluated per batch (e.g. "latest committed snapshot"),
-        # so teachers and schools added while the stream runs become valid
         write_view_batch(batch, batch_id, teachers() if callable(teachers) else teachers,
-                         schools() if callable(schools) else schools, fact, quarantine, as_of)
+                         schools() if callable(schools) else schools, out_dir, as_of)
 
-    w = views.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{out_dir}/_checkpoint")
-    return w, fact, quarantine
+    return views.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{out_dir}/_checkpoint")
 
 
 def daily_counts_frame(views: DataFrame, requests: DataFrame | None = None) -> DataFrame:
@@ -150,78 +202,88 @@ def daily_counts_frame(views: DataFrame, requests: DataFrame | None = None) -> D
     return agg.select(*cols)
 
 
+#: What readers of the live results see.
+DAILY_SCHEMA = T.StructType([T.StructField("day", T.DateType()), T.StructField("views", T.LongType())])
+DAILY_REQUESTS_SCHEMA = T.StructType([*DAILY_SCHEMA.fields, T.StructField("requests", T.LongType())])
+TOP_SCHEMA = T.StructType([T.StructField("school_id", T.LongType()), T.StructField("name", T.StringType()),
+                           T.StructField("location", T.StringType()), T.StructField("views", T.LongType())])
+PAIR_SCHEMA = T.StructType([T.StructField("day", T.DateType()), T.StructField("school_id", T.LongType())])
+
+
 def daily_counts_writer(views: DataFrame, out_dir: str, mode: str = "complete", requests: DataFrame | None = None):
-    """S2 sink. ``append`` emits each day once the watermark has passed it (file
-    sink, exactly-once); ``complete`` rewrites the small full result every batch."""
-    agg, sink = daily_counts_frame(views, requests), f"{out_dir}/result"
-    if mode == "append":
-        w = agg.writeStream.outputMode("append").format("parquet").option("path", sink)
-    else:
-        w = agg.writeStream.outputMode("complete").foreachBatch(
-            lambda df, _id: df.write.mode("overwrite").parquet(sink))
-    return w.option("checkpointLocation", f"{out_dir}/_checkpoint"), sink
-
-
-def top_schools_writer(views: DataFrame, schools: DataFrame, out_dir: str, n: int = 5):
-    """S3 sink: per-school counts as state; names and top-n on the state per batch."""
-    sink = f"{out_dir}/result"
+    """S2 sink (``read_daily_counts``). ``append`` publishes each day once the watermark has passed it; ``complete``
+    publishes the small full result, one version a batch."""
+    agg = daily_counts_frame(views, requests)
+    put = store.append_result if mode == "append" else store.publish_result
+    return (agg.writeStream.outputMode(mode).foreachBatch(lambda df, batch_id: put(df, out_dir, batch_id))
+            .option("checkpointLocation", f"{out_dir}/_checkpoint"))
+
+
+def read_daily_counts(spark: SparkSession, out_dir: str, requests: bool = False) -> DataFrame:
+    return store.read(spark, out_dir, "result", DAILY_REQUESTS_SCHEMA if requests else DAILY_SCHEMA)
+
+
+def top_schools_writer(views: DataFrame, schools, out_dir: str, n: int = 5):
+    """S3 sink (``read_top_schools``): per-school counts as state; names and top-n on the state per batch. ``schools``
+    is a DataFrame or a zero-argument callable that is asked for the current snapshot at every batch."""
     counts = views.groupBy("school_id").agg(F.count(F.lit(1)).alias("views"))
-    dim = schools.select(F.col("id").alias("school_id"), "name", F.col("country").alias("location"))
 
-    def write_top(state: DataFrame, _id: int):
-        (state.join(dim, "school_id").orderBy(F.desc("views"), F.asc("school_id")).limit(n)
-         .select("school_id", "name", "location", "views").write.mode("overwrite").parquet(sink))
+    def write_top(state: DataFrame, batch_id: int):
+        dim = ((schools() if callable(schools) else schools)
+               .select(F.col("id").alias("school_id"), "name", F.col("country").alias("location")))
+        store.publish_result(state.join(dim, "school_id").orderBy(F.desc("views"), F.asc("school_id")).limit(n)
+                             .select(*TOP_SCHEMA.names), out_dir, batch_id)
+
+    return (counts.writeStream.outputMode("complete").foreachBatch(write_top)
+            .option("checkpointLocation", f"{out_dir}/_checkpoint"))
+
 
-    w = counts.writeStream.outputMode("complete").foreachBatch(write_top)
-    return w.option("checkpointLocation", f"{out_dir}/_checkpoint"), sink
+def read_top_schools(spark: SparkSession, out_dir: str) -> DataFrame:
+    return store.read(spark, out_dir, "result", TOP_SCHEMA)
 
 
 def active_schools_writer(views: DataFrame, out_dir: str):
     """S4 sink: the first view of each (UTC day, school), once. State is one row per pair of an open day; the watermark
-    drops closed days. Each batch writes its own folder, so a replayed batch replaces itself and a reader never meets a
-    half-written result; ``read_active_schools`` counts the pairs."""
-    sink = f"{out_dir}/result"
+    drops closed days. ``read_active_schools`` counts the published pairs."""
     first = (views.withColumn("_t", utc_instant(F.col("viewed_at"))).withWatermark("_t", "1 day")
              .select(F.window("_t", "1 day").alias("w"), "school_id").dropDuplicates(["w", "school_id"]))
 
     def write_batch(df: DataFrame, batch_id: int):
-        (df.select(utc_day(F.col("w.start")).alias("day"), "school_id")
-         .write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}"))
+        store.append_result(df.select(utc_day(F.col("w.start")).alias("day"), "school_id"), out_dir, batch_id)
 
-    w = first.writeStream.outputMode("append").foreachBatch(write_batch)
-    return w.option("checkpointLocation", f"{out_dir}/_checkpoint"), sink
+    return (first.writeStream.outputMode("append").foreachBatch(write_batch)
+            .option("checkpointLocation", f"{out_dir}/_checkpoint"))
 
 
-def read_active_schools(spark: SparkSession, sink: str) -> DataFrame:
+def read_active_schools(spark: SparkSession, out_dir: str) -> DataFrame:
     """Distinct schools per day so far, exactly: every pair is stored once."""
-    return spark.read.parquet(sink).groupBy("day").agg(F.count("school_id").alias("active_schools"))
+    pairs = store.read(spark, out_dir, "result", PAIR_SCHEMA)
+    return pairs.groupBy("day").agg(F.count("school_id").alias("active_schools"))
 
 
-# ---- run-to-end forms (replay, registered queries, tests) -----------------------------
+# ---- run-to-end forms (replay, registered queries, tests); each returns the folder of its results ------------
 
-def view_ingest(spark, views: DataFrame, teachers: DataFrame, schools: DataFrame,
-                out_dir: str | None = None, as_of=None) -> tuple[str, str]:
-    """S1: run the ingest stream to the end of its input; returns (fact_path, quarantine_path)."""
-    w, fact, quarantine = view_ingest_writer(views, teachers, schools,
-                                             out_dir or scratch_path(spark, "view-ingest"), as_of)
-    run_to_end(w, "view_ingest")
-    return fact, quarantine
+def view_ingest(spark, views: DataFrame, teachers, schools, out_dir: str | None = None, as_of=None) -> str:
+    """S1: run the ingest stream to the end of its input."""
+    out_dir = out_dir or scratch_path(spark, "view-ingest")
+    run_to_end(view_ingest_writer(views, teachers, schools, out_dir, as_of), "view_ingest")
+    return out_dir
 
 
 def live_daily_counts(spark, views: DataFrame, out_dir: str | None = None, mode: str = "complete",
                       requests: DataFrame | None = None) -> str:
-    w, sink = daily_counts_writer(views, out_dir or scratch_path(spark, "daily-counts"), mode, requests)
-    run_to_end(w, "live_daily_counts")
-    return sink
+    out_dir = out_dir or scratch_path(spark, "daily-counts")
+    run_to_end(daily_counts_writer(views, out_dir, mode, requests), "live_daily_counts")
+    return out_dir
 
 
-def live_top_schools(spark, views: DataFrame, schools: DataFrame, n: int = 5, out_dir: str | None = None) -> str:
-    w, sink = top_schools_writer(views, schools, out_dir or scratch_path(spark, "top-schools"), n)
-    run_to_end(w, "live_top_schools")
-    return sink
+def live_top_schools(spark, views: DataFrame, schools, n: int = 5, out_dir: str | None = None) -> str:
+    out_dir = out_dir or scratch_path(spark, "top-schools")
+    run_to_end(top_schools_writer(views, schools, out_dir, n), "live_top_schools")
+    return out_dir
 
 
 def live_active_schools(spark, views: DataFrame, out_dir: str | None = None) -> str:
-    w, sink = active_schools_writer(views, out_dir or scratch_path(spark, "active-schools"))
-    run_to_end(w, "live_active_schools")
-    return sink
+    out_dir = out_dir or scratch_path(spark, "active-schools")
+    run_to_end(active_schools_writer(views, out_dir), "live_active_schools")
+    return out_dir

@@ -9,7 +9,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-STREAMS = ("view_ingest", "view_ingest_quarantine", "live_")
+STREAMS = ("view_ingest", "live_")
 
 
 def main():
