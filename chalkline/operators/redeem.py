@@ -5,18 +5,24 @@ when it passes the static checks and neither its school nor its code was
 consumed by an earlier *successful* attempt. Two ``row_number() == 1``
 filters are not enough (A->c1 ok, A->c2 fails, B->c2 must still succeed).
 
-Parallel form with the same answer (``greedy_match``): repeat
-  1. among undecided attempts, accept those whose seq is the minimum both in
-     their first-key group and in their second-key group;
-  2. drop undecided attempts sharing a key with an accepted one;
-until nothing is undecided. The smallest undecided seq is always accepted,
-so each round decides at least one attempt; in practice a handful of rounds.
-
-Scale: the group minima are ``groupBy().agg(min)`` (map-side partial
-aggregation collapses a hot school or code before the shuffle) joined back
-by key, never a window over a hot key. Lineage is cut after every round with
-``checkpoint()`` into the shared ``spark.checkpoint.dir``, so a lost
-executor recomputes at most one round.
+Parallel form with the same answer (``greedy_match``): an attempt's answer hangs
+on the earlier undecided attempts that share a key with it. Each round
+  1. accepts the attempts that are first for both of their keys;
+  2. answers those with a single such earlier attempt: each wins where that one
+     loses, so a chain of them alternates, and pointer doubling
+     finds the start of each chain and the parity of the way to it;
+  3. drops what shares a key with an accepted attempt.
+The smallest undecided seq is always accepted, so the rounds end. A conflict
+chain of n attempts takes about log2(n) doublings in one round. Attempts with
+several undecided earlier ones wait for the next round; a batch in which these
+hang on each other one by one still takes a round for each (such a walk is not
+known to have a short parallel form).
+
+Scale: the first and second seq of a key are ``groupBy().agg(min)`` (map-side
+partial aggregation collapses a hot school or code before the shuffle), never a
+window over a hot key; chains are joined on seq, which no row shares. Every
+step is a written table below ``spark.checkpoint.dir``, so a lost executor
+repeats tasks of one step; tables that later steps no longer need are deleted.
 """
 
 from __future__ import annotations
@@ -25,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions.time import hours
-from chalkline.session import ensure_checkpoint_dir
+from chalkline.session import scratch_path
+from chalkline.sources.tables import delete
 
 # Redemption outcome messages, in check order.
 MSG_CODE_REQUIRED = "Access code is required"
@@ -38,45 +45,62 @@ MSG_CODE_USED = "Code is already used. Please try a different code."
 TRIAL_HOURS = 24
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` and read it again: the end of its lineage."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def greedy_match(candidates: DataFrame, a: str, b: str) -> DataFrame:
     """Accepted rows of ``candidates`` (unique ``seq``) under sequential
     first-come matching on two keys. A null ``b`` conflicts with nothing.
 
     Only the first attempt of each (a, b) pair can ever win, so repeats are
-    dropped up front. Each round writes one checkpoint holding every row that
-    was undecided at its start, tagged won (1), dropped (2) or still
-    undecided (0): lineage never spans more than one round, winners are read
-    back from the durable per-round checkpoints, and nothing is cached.
-    Every round decides at least the smallest undecided seq, so the rounds end.
+    dropped up front.
     """
     spark = candidates.sparkSession
-    ensure_checkpoint_dir(spark)
-    undecided = (candidates.groupBy(a, b).agg(F.min("seq").alias("seq"))
-                 .select("seq", a, b).checkpoint(eager=True))
-    won_parts = []
+    folder = scratch_path(spark, "matching")
+    undecided = _stored(candidates.groupBy(a, b).agg(F.min("seq").alias("seq")).select("seq", a, b), f"{folder}/open=0")
+    n = 0
     while not undecided.isEmpty():
-        min_a = undecided.groupBy(a).agg(F.min("seq").alias("_min_a"))
-        min_b = undecided.filter(F.col(b).isNotNull()).groupBy(b).agg(F.min("seq").alias("_min_b"))
-        tagged = (undecided.join(min_a, a).join(min_b, b, "left")
-                  .withColumn("_won", (F.col("seq") == F.col("_min_a"))
-                              & (F.col(b).isNull() | (F.col("seq") == F.col("_min_b")))))
-        win = tagged.filter("_won")
-        # each key wins at most once per round, so these joins cannot duplicate rows
-        win_a = win.select(a).withColumn("_hit_a", F.lit(True))
-        win_b = win.filter(F.col(b).isNotNull()).select(b).withColumn("_hit_b", F.lit(True))
-        state = (tagged.select("seq", a, b, "_won").join(win_a, a, "left").join(win_b, b, "left")
-                 .select("seq", a, b, F.when(F.col("_won"), 1)
-                         .when(F.col("_hit_a").isNotNull() | F.col("_hit_b").isNotNull(), 2)
-                         .otherwise(0).alias("_state"))
-                 .checkpoint(eager=True))
-        won_parts.append(state.filter(F.col("_state") == 1).select("seq", a, b))
-        undecided = state.filter(F.col("_state") == 0).select("seq", a, b)
-    if not won_parts:
+        answers = _answers(undecided, a, b, f"{folder}/answers={n}")
+        won = _stored(undecided.join(answers.filter("won"), "seq", "left_semi"), f"{folder}/won/round={n}")
+        n += 1
+        undecided = _stored(undecided.join(answers, "seq", "left_anti")
+                            .join(won.select(a).distinct(), a, "left_anti")
+                            .join(won.select(b).distinct(), b, "left_anti"), f"{folder}/open={n}")
+        delete(spark, f"{folder}/open={n - 1}", f"{folder}/answers={n - 1}")
+    if n == 0:
         return candidates.select("seq", a, b).limit(0)
-    out = won_parts[0]
-    for p in won_parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return spark.read.schema(undecided.schema).option("basePath", f"{folder}/won").parquet(f"{folder}/won").select("seq", a, b)
+
+
+def _answers(undecided: DataFrame, a: str, b: str, folder: str) -> DataFrame:
+    """(seq, won) of the undecided attempts that hang on nothing, or on a chain of single earlier attempts."""
+    keys = F.array(F.struct(F.lit("a").alias("of"), F.col(a).cast("string").alias("value")),
+                   F.struct(F.lit("b").alias("of"), F.col(b).cast("string").alias("value")))
+    one = F.struct("seq", F.when(F.col(b).isNull(), 1).otherwise(2).alias("n_keys")).alias("one")
+    rows = undecided.select(F.explode(keys).alias("key"), one).filter("key.value IS NOT NULL")
+    first = rows.groupBy("key").agg(F.min("one").alias("first"))
+    second = (rows.join(first, "key").filter("one.seq > first.seq").groupBy("key")
+              .agg(F.min("one").alias("second"), F.min("first.seq").alias("up")))
+    places = (first.select("first.*", F.lit(None).cast("long").alias("up"))
+              .unionByName(second.select("second.*", F.col("up").cast("long"))))
+    # one row per attempt that is first or second for a key: all keys first, or one second and the others first
+    nodes = (places.groupBy("seq", "n_keys").agg(F.count("*").alias("_places"), F.count("up").alias("_seconds"),
+                                                 F.max("up").alias("up"))
+             .filter("_places = n_keys AND _seconds <= 1")
+             .select("seq", "up", F.lit(True).alias("won")))
+    n, nodes = 0, _stored(nodes, f"{folder}/hop=0")
+    while not nodes.filter("up IS NOT NULL").isEmpty():
+        # won: the answer if the attempt at ``up`` loses (at the start of a chain: the answer)
+        to = nodes.select(F.col("seq").alias("up"), F.col("up").alias("_up"), F.col("won").alias("_won"))
+        hops = (nodes.filter("up IS NOT NULL").join(to, "up")     # no row for up: it hangs on several, so wait
+                .select("seq", F.col("_up").alias("up"), (F.col("won") != F.col("_won")).alias("won")))
+        nodes = _stored(nodes.filter("up IS NULL").unionByName(hops), f"{folder}/hop={n + 1}")
+        delete(undecided.sparkSession, f"{folder}/hop={n}")
+        n += 1
+    return nodes.select("seq", "won")
 
 
 def redeem_access_codes(schools: DataFrame, codes: DataFrame, attempts: DataFrame, as_of=None):
@@ -153,39 +177,3 @@ def activate_codes(codes: DataFrame, ok: DataFrame) -> DataFrame:
         "expires_at": F.when(hit, F.col("_t") + hours(TRIAL_HOURS)).otherwise(F.col("expires_at")),
     }
     return j.select(*[repl.get(c, F.col(c)).alias(c) for c in codes.columns])
-
-
-def sequential_redeem(schools: list[dict], codes: list[dict], attempts: list[dict]) -> dict:
-    """Plain sequential model of M5 for tests: seq -> reason (None = accepted)."""
-    sch = {s["id"]: dict(s) for s in schools}
-    by_code = {c["code"]: dict(c) for c in codes}
-    holders = {c["school_id"] for c in codes if c.get("school_id") is not None}
-    out = {}
-    for a in sorted(attempts, key=lambda x: x["seq"]):
-        code, sid = a.get("code"), a["school_id"]
-        if not code:
-            out[a["seq"]] = MSG_CODE_REQUIRED
-            continue
-        s = sch.get(sid)
-        if s is None:
-            out[a["seq"]] = MSG_SCHOOL_NOT_FOUND
-            continue
-        if not (s["subscription_status"] == "NO_SUBSCRIPTION" and s.get("subscription_plan") is None
-                and s.get("subscription_end_at") is None):
-            out[a["seq"]] = MSG_PAID
-            continue
-        c = by_code.get(code)
-        if c is None:
-            out[a["seq"]] = MSG_INVALID_CODE
-            continue
-        if sid in holders:
-            out[a["seq"]] = MSG_TRIAL_USED
-            continue
-        if c["status"] != "UNUSED":
-            out[a["seq"]] = MSG_CODE_USED
-            continue
-        c["status"], c["school_id"] = "ACTIVE", sid
-        holders.add(sid)
-        s["subscription_status"], s["subscription_end_at"] = "TRIAL", "set"
-        out[a["seq"]] = None
-    return out

@@ -29,6 +29,13 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def delete(spark: SparkSession, *folders: str) -> None:
+    """Delete folders that this run wrote and no longer reads."""
+    for folder in folders:
+        fs, path = _hadoop_fs(spark, folder)
+        fs.delete(path, True)
+
+
 def versions(spark: SparkSession, base: str, table: str, committed: bool = True) -> list[int]:
     """Written snapshot versions of a table (folders with a _SUCCESS marker; with ``committed=False`` any folder)."""
     fs, root = _hadoop_fs(spark, f"{base.rstrip('/')}/{table}")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from chalkline.sources.runs import ConcurrentRun, publish_file
-from chalkline.sources.tables import _hadoop_fs, newest_numbered
+from chalkline.sources.tables import _hadoop_fs, delete, newest_numbered
 
 COMMITS = "_commits"
 EMPTY = {"n": -1, "batch": -1, "tables": {}, "adds": {}}
@@ -106,9 +106,7 @@ def publish_result(df: DataFrame, base: str, batch_id: int, name: str = "result"
     df.write.parquet(folder)
     past = ([*state["tables"].get(f"past {name}", []), *state["tables"].get(name, [])])
     commit(spark, base, lambda now: {"batch": batch_id, "tables": {name: [folder], f"past {name}": past[-KEPT_VERSIONS:]}})
-    for old in past[:-KEPT_VERSIONS]:
-        fs, path = _hadoop_fs(spark, old)
-        fs.delete(path, True)
+    delete(spark, *past[:-KEPT_VERSIONS])
 
 
 def append_result(df: DataFrame, base: str, batch_id: int, name: str = "result") -> None:

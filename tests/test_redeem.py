@@ -19,6 +19,42 @@ def _run(spark, schools, codes, attempts):
     return {x.seq: x.reason for x in out.collect()}, ns, nc
 
 
+def sequential_redeem(schools: list[dict], codes: list[dict], attempts: list[dict]) -> dict:
+    """Plain sequential model of M5 for tests: seq -> reason (None = accepted)."""
+    sch = {s["id"]: dict(s) for s in schools}
+    by_code = {c["code"]: dict(c) for c in codes}
+    holders = {c["school_id"] for c in codes if c.get("school_id") is not None}
+    out = {}
+    for a in sorted(attempts, key=lambda x: x["seq"]):
+        code, sid = a.get("code"), a["school_id"]
+        if not code:
+            out[a["seq"]] = RD.MSG_CODE_REQUIRED
+            continue
+        s = sch.get(sid)
+        if s is None:
+            out[a["seq"]] = RD.MSG_SCHOOL_NOT_FOUND
+            continue
+        if not (s["subscription_status"] == "NO_SUBSCRIPTION" and s.get("subscription_plan") is None
+                and s.get("subscription_end_at") is None):
+            out[a["seq"]] = RD.MSG_PAID
+            continue
+        c = by_code.get(code)
+        if c is None:
+            out[a["seq"]] = RD.MSG_INVALID_CODE
+            continue
+        if sid in holders:
+            out[a["seq"]] = RD.MSG_TRIAL_USED
+            continue
+        if c["status"] != "UNUSED":
+            out[a["seq"]] = RD.MSG_CODE_USED
+            continue
+        c["status"], c["school_id"] = "ACTIVE", sid
+        holders.add(sid)
+        s["subscription_status"], s["subscription_end_at"] = "TRIAL", "set"
+        out[a["seq"]] = None
+    return out
+
+
 def test_second_attempt_on_a_code_can_win(spark):
     schools = [{"id": 1}, {"id": 2}]
     codes = [{"code": "c1"}, {"code": "c2"}]
@@ -53,7 +89,46 @@ def test_long_conflict_chain(spark):
             seq += 1
             attempts.append({"seq": seq, "school_id": i, "code": cd})
     got, _, _ = _run(spark, schools, codes, attempts)
-    assert got == RD.sequential_redeem(schools_full(schools), codes_full(codes), attempts)
+    assert got == sequential_redeem(schools_full(schools), codes_full(codes), attempts)
+
+
+def test_chain_of_2000_attempts_takes_logarithmic_steps(spark, monkeypatch):
+    rng, steps = random.Random(3), []
+    stored = RD._stored
+    monkeypatch.setattr(RD, "_stored", lambda df, path: steps.append(path) or stored(df, path))
+    chain = [(s, s // 2, f"c{(s + 1) // 2}") for s in range(2000)]           # each attempt hangs on the one before
+    hung = [(2000 + s, s, f"c{2000 + rng.randrange(40)}") for s in range(0, 1000, 7)]   # and others on parts of it
+    rows = chain + hung
+    schools, codes, want = set(), set(), []
+    for seq, school, code in rows:
+        if school not in schools and code not in codes:
+            schools.add(school)
+            codes.add(code)
+            want.append(seq)
+    df = spark.createDataFrame(rows, "seq long, school_id long, code string")
+    got = RD.greedy_match(df, "school_id", "code")
+    assert sorted(r.seq for r in got.collect()) == want
+    hops = [p for p in steps if "/answers=0/hop=" in p]
+    assert len(hops) <= 13 and len([p for p in steps if "/won/" in p]) <= 3 and len(steps) <= 25
+
+
+def test_shuffled_chains_and_null_keys(spark):
+    rng = random.Random(5)
+    for _ in range(3):
+        seqs = rng.sample(range(1000), 150)
+        rows = [(q, rng.randrange(30), None if rng.random() < .1 else f"c{rng.randrange(30)}") for q in seqs]
+        schools, codes, want = set(), set(), []
+        for seq, school, code in sorted(rows, key=lambda r: r[0]):
+            if school not in schools and (code is None or code not in codes):
+                schools.add(school)
+                codes.add(code)
+                want.append(seq)
+        df = spark.createDataFrame(rows, "seq long, school_id long, code string")
+        assert sorted(r.seq for r in RD.greedy_match(df, "school_id", "code").collect()) == want
+
+
+def test_no_candidates(spark):
+    assert RD.greedy_match(spark.createDataFrame([], "seq long, school_id long, code string"), "school_id", "code").count() == 0
 
 
 def schools_full(rows):
@@ -75,7 +150,7 @@ def test_random_batches_match_sequential_model(spark):
         attempts = [{"seq": s, "school_id": rng.randint(1, 26), "code": f"c{rng.randint(1, 32)}"}
                     for s in rng.sample(range(1000), 120)]
         got, _, _ = _run(spark, schools, codes, attempts)
-        assert got == RD.sequential_redeem(schools_full(schools), codes_full(codes), attempts)
+        assert got == sequential_redeem(schools_full(schools), codes_full(codes), attempts)
 
 
 def test_register_with_codes_matches_sequential(spark):
@@ -107,7 +182,7 @@ def test_hot_school_and_hot_code(spark):
         code = "c1" if s % 3 == 1 else f"c{rng.randint(1, 40)}"
         attempts.append({"seq": s, "school_id": sid, "code": code})
     got, _, _ = _run(spark, schools, codes, attempts)
-    assert got == RD.sequential_redeem(schools_full(schools), codes_full(codes), attempts)
+    assert got == sequential_redeem(schools_full(schools), codes_full(codes), attempts)
 
 
 def test_fixture_outcomes_match_recorded_counts(spark):
