@@ -2,9 +2,9 @@
 
 Input is the sheet exported to CSV/JSON/parquet (string columns named as in
 the sheet header, plus ``sheet_row`` = spreadsheet row number). Every rule
-is a built-in column expression; de-duplication is a group-by on the code
-(partial aggregation absorbs a code repeated a million times) and an anti
-join against the existing table.
+is a built-in column expression; de-duplication is one group-by on the code
+over the sheet and the existing table (partial aggregation absorbs a code
+repeated a million times) and one join back.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chalkline.functions.text import parse_bool, parse_int_safe, parse_status
+from chalkline.session import scratch_path
 from chalkline.sources import schemas as sch
 
 # Sheet header -> teacher column; text cells default to ''.
@@ -32,22 +33,30 @@ SHEET_COLUMNS = (["Teacher Code", "Full Name", "Email"] + list(SHEET_TEXT_COLUMN
 def read_sheet(spark, path: str, fmt: str = "csv") -> DataFrame:
     """Read an exported sheet: columns by header name, as text; absent columns are null, others are left out.
 
-    Rows are numbered from 2 on (the header is row 1) in the order of the scan, which for one file is its own;
-    a sheet that has a ``sheet_row`` column keeps it. Numbers come from each partition's row count, so no
-    task sees all rows.
+    ``path`` is a file or a folder of files with one header. A CSV cell in quotes may hold line ends, and a quote is
+    written twice in it; such a file cannot be cut, so it is one task, and large sheets are exported as several files.
+
+    Rows are numbered from 2 on (the header is row 1), file by file in the order of their paths; a sheet that has a
+    ``sheet_row`` column keeps it. A row's number follows from its file, the block of the file it was read in and its
+    place there, not from how files and blocks are dealt to tasks. The rows are written once and numbered from there,
+    so both steps see one scan.
     """
-    r = spark.read.option("header", True).option("multiLine", False)
-    raw = r.csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    if fmt == "csv":
+        raw = spark.read.csv(path, header=True, multiLine=True, escape='"', enforceSchema=False)
+    else:
+        raw = spark.read.format(fmt).load(path)
     cells = [(F.col(f"`{c}`") if c in raw.columns else F.lit(None)).cast("string").alias(c) for c in SHEET_COLUMNS]
     if "sheet_row" in raw.columns:
-        return raw.select(F.col("sheet_row").cast("int").alias("sheet_row"), *cells)
-    at = F.monotonically_increasing_id()   # the partition in the upper bits, the row's place in it in the lower 33
-    rows = raw.select(*cells, F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)   # one row per partition
-    offsets = (rows.groupBy("_part").agg(F.count("*").alias("_n"))
-               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    return rows.join(offsets, "_part").select((F.col("_before") + F.col("_place") + 2).cast("int").alias("sheet_row"),
-                                              *[F.col(f"`{c}`") for c in SHEET_COLUMNS])
+        return raw.select(F.col("sheet_row").cast("long").alias("sheet_row"), *cells)
+    folder = scratch_path(spark, "sheet")
+    raw.select(*cells, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+               F.monotonically_increasing_id().alias("_at")).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)   # one row per block
+    blocks = (rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_start"))
+              .select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start")).alias("_shift")))
+    return rows.join(blocks, ["_file", "_block"]).select((F.col("_at") + F.col("_shift") + 2).alias("sheet_row"),
+                                                         *[F.col(f"`{c}`") for c in SHEET_COLUMNS])
 
 
 def teacher_import(sheet: DataFrame, teachers: DataFrame, as_of):
@@ -72,11 +81,13 @@ def teacher_import(sheet: DataFrame, teachers: DataFrame, as_of):
         parse_status(F.col("Profile Status")).alias("_status"))
     missing = blank(code) | blank(name) | blank(email)
     bad_status = ~F.col("_status").isin(*sch.PROFILE_STATUSES)
-    existing = teachers.select(F.col("teacher_code").alias("Teacher Code")).distinct().withColumn("_exists", F.lit(True))
-    rows = rows.join(existing, "Teacher Code", "left")
-    insertable = ~missing & ~bad_status & F.col("_exists").isNull()
-    first = (rows.filter(insertable).groupBy("Teacher Code").agg(F.min("sheet_row").alias("_first")))
-    rows = rows.join(first, "Teacher Code", "left")
+    # per code: is it in the table, and the first row that could be inserted; one join back
+    mine = F.when(~missing & ~bad_status, F.col("sheet_row").cast("long"))
+    codes = (rows.select("Teacher Code", mine.alias("_row"), F.lit(False).alias("_there"))
+             .unionByName(teachers.select(F.col("teacher_code").alias("Teacher Code"), F.lit(None).cast("long").alias("_row"),
+                                          F.lit(True).alias("_there")))
+             .groupBy("Teacher Code").agg(F.min("_row").alias("_first"), F.max("_there").alias("_exists")))
+    rows = rows.join(codes, "Teacher Code", "left")
     row_no = F.col("sheet_row").cast("string")
     reason = (F.when(missing, F.concat(F.lit("Row "), row_no, F.lit(": Missing Code, Name, or Email")))
               .when(bad_status, F.concat(F.lit("Row "), row_no, F.lit(" ("), code, F.lit("): invalid input value for enum "
@@ -88,10 +99,10 @@ def teacher_import(sheet: DataFrame, teachers: DataFrame, as_of):
     rejects = rows.filter(F.col("_reason").isNotNull()).select("sheet_row", F.col("Teacher Code").alias("teacher_code"),
                                                               F.col("_reason").alias("reason"))
     ok = rows.filter(F.col("_reason").isNull())
-    start = teachers.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    start = F.coalesce(teachers.agg(F.max("id").alias("id")).scalar(), F.lit(0))
     now = ts_lit(as_of)
     values = {
-        "id": (F.lit(start) + F.col("sheet_row")).cast("long"),
+        "id": (start + F.col("sheet_row")).cast("long"),
         "teacher_code": code, "full_name": name, "email": email,
         "years_experience": parse_int_safe(F.col("Years Experience")),
         "profile_status": F.col("_status"),

@@ -308,6 +308,14 @@ register("teacher_import_rejects", OC.TEACHER_IMPORT_REJECTS)(lambda spark, d: _
 register("teacher_import_summary", OC.TEACHER_IMPORT_SUMMARY)(lambda spark, d: _import(spark, d)[2])
 
 
+def _import_files(spark, d):
+    return I.teacher_import(I.read_sheet(spark, fx.teacher_sheet_files(spark, d)), Fixture(spark, d).teachers, AS_OF)
+
+
+register("teacher_import_files", OC.TEACHER_IMPORT_FILES)(lambda spark, d: _import_files(spark, d)[0])
+register("teacher_import_files_rejects", OC.TEACHER_IMPORT_FILES_REJECTS)(lambda spark, d: _import_files(spark, d)[1])
+
+
 # Iterative matching: the Spark job runs parallel matching rounds; its oracle is
 # an independent sequential walk (recursive CTE) in plans/oracle_changes.py.
 

@@ -459,6 +459,10 @@ SELECT count(*) AS total_rows_found, count(*) FILTER (WHERE reason IS NULL) AS s
 FROM judged
 """)
 
+# The same sheet read from files, whose bios hold quotes and a line end.
+TEACHER_IMPORT_FILES = TEACHER_IMPORT.replace("COALESCE(bio, '') AS bio", """'"Bio"' || chr(10) || substr(bio, 5) AS bio""")
+TEACHER_IMPORT_FILES_REJECTS = TEACHER_IMPORT_REJECTS.replace("SELECT sheet_row,", "SELECT CAST(sheet_row AS BIGINT) AS sheet_row,")
+
 
 # ---- M5, M6: sequential walks (independent of the Spark matching rounds) -------------------
 # A recursive CTE visits the attempts one by one in seq order, carrying the

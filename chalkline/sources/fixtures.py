@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.functions.time import days, hours, ts_lit
+from chalkline.session import scratch_path
 from chalkline.sources import schemas as sch
 
 # Fixed value: the replay time of the events binding (events run 1-30 Jan 2024).
@@ -361,3 +362,13 @@ def teacher_sheet(spark, sf_dir) -> DataFrame:
         pick(["12abc", "", "-3.9", " 7", "x", None], F.pmod(key, F.lit(6))).alias("Years Experience"),
         pick(["active", "", None, " Placed ", "bogus"], F.pmod(key, F.lit(5))).alias("Profile Status"),
     )
+
+
+def teacher_sheet_files(spark, sf_dir) -> str:
+    """``teacher_sheet`` exported as four CSV files without its row numbers, with quotes and line ends in the bios;
+    returns the folder."""
+    folder = scratch_path(spark, "sheet-files")
+    bio = F.concat(F.lit('"Bio"\n'), F.substring("Bio", 5, 100))
+    (teacher_sheet(spark, sf_dir).withColumn("Bio", bio).repartitionByRange(4, "sheet_row")
+     .sortWithinPartitions("sheet_row").drop("sheet_row").write.csv(folder, header=True, escape='"'))
+    return folder

@@ -76,3 +76,38 @@ def test_read_sheet_numbers_rows_over_several_files(spark, tmp_path):
         (tmp_path / f"{k}.csv").write_text("Teacher Code\n" + "".join(f"T{k}{i}\n" for i in range(5)))
     rows = I.read_sheet(spark, str(tmp_path)).collect()
     assert sorted(r.sheet_row for r in rows) == list(range(2, 17)) and len({r["Teacher Code"] for r in rows}) == 15
+
+
+def test_read_sheet_with_line_ends_and_quotes_in_cells(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Teacher Code,Bio,Email\nT1,"two\nlines, ""quoted""",a@x\nT2,"c:\\",b@x\n')
+    (tmp_path / "b.csv").write_text('Teacher Code,Bio,Email\nT3,"one\n\n\nmore",c@x\nT4,plain,d@x\n')
+    got = [(r.sheet_row, r["Teacher Code"], r["Bio"], r["Email"])
+           for r in I.read_sheet(spark, str(tmp_path)).orderBy("sheet_row").collect()]
+    assert got == [(2, "T1", 'two\nlines, "quoted"', "a@x"), (3, "T2", "c:\\", "b@x"),
+                   (4, "T3", "one\n\n\nmore", "c@x"), (5, "T4", "plain", "d@x")]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
+def test_numbers_do_not_depend_on_split_sizes(spark, tmp_path, fmt):
+    rows = spark.range(6000).select(F.concat(F.lit("T"), "id").alias("Teacher Code"),
+                                    F.concat(F.lit("x"), F.col("id") * 7).alias("Email"))
+    rows.repartitionByRange(3, F.expr("cast(substr(`Teacher Code`, 2) as long)")).sortWithinPartitions(
+        F.expr("cast(substr(`Teacher Code`, 2) as long)")).write.format(fmt).option("header", True).save(str(tmp_path / "s"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size, cost in (("8k", "0"), ("1m", "0"), ("128m", "4m")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            got = I.read_sheet(spark, str(tmp_path / "s"), fmt)
+            wrong = got.filter(F.concat(F.lit("T"), F.col("sheet_row") - 2) != F.col("Teacher Code"))
+            assert wrong.count() == 0 and got.count() == 6000, size
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Teacher Code,Email\nT1,a@x\n")
+    (tmp_path / "b.csv").write_text("Email,Teacher Code\nb@x,T2\n")
+    with pytest.raises(Exception, match="header"):
+        I.read_sheet(spark, str(tmp_path)).collect()
