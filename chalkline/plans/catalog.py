@@ -49,6 +49,11 @@ class Fixture:
         return fx.redeem_attempts(self.spark, self.sf_dir)
 
 
+def _former(df):
+    """Those of a snapshot's rows that the former snapshot had."""
+    return df.filter(f"created_at < TIMESTAMP_NTZ '{fx.FORMER_SNAPSHOT}'")
+
+
 QUERIES = {}
 ORACLE = {}
 
@@ -157,6 +162,11 @@ def _portal_teacher_detail(spark, d):
     return D.portal_teacher_list(Fixture(spark, d).teachers, detail=True)
 
 
+@register("portal_teacher_subject", O.PORTAL_TEACHER_SUBJECT)
+def _portal_teacher_subject(spark, d):
+    return D.portal_teacher_list(Fixture(spark, d).teachers, subjects="RING")
+
+
 @register("teacher_export", O.TEACHER_EXPORT)
 def _teacher_export(spark, d):
     return D.teacher_export(Fixture(spark, d).teachers)
@@ -200,6 +210,15 @@ def _constraint_report(spark, d):
     return U.constraint_report(f.schools, f.teachers, f.access_codes, f.requests, f.views)
 
 
+@register("constraint_report_restored", O.CONSTRAINT_REPORT_RESTORED)
+def _constraint_report_restored(spark, d):
+    f = Fixture(spark, d)
+    schools = fx.restored_twice(_former(f.schools), "subscription_status", "subscription_plan")
+    teachers = fx.restored_twice(_former(f.teachers), "profile_status")
+    codes = f.access_codes.unionByName(fx.lower_cased(f.access_codes, "status"))
+    return U.constraint_report(schools, teachers, codes, f.requests, f.views)
+
+
 @register("view_log", O.VIEW_LOG)
 def _view_log(spark, d):
     return U.view_log(Fixture(spark, d).views)
@@ -240,6 +259,12 @@ register("archive_cascade_counts", OC.ARCHIVE_CASCADE_COUNTS)(
         _archive(spark, d)))
 
 
+for _k, _name, _sql in ((1, "teachers", OC.ARCHIVE_TEACHERS_LEFT), (2, "requests", OC.ARCHIVE_REQUESTS_LEFT),
+                        (3, "views", OC.ARCHIVE_VIEWS_LEFT)):
+    register(f"archive_{_name}_left", _sql)(lambda spark, d, k=_k: _archive(spark, d)[k])
+register("archived_teacher_export", OC.ARCHIVE_TEACHERS)(lambda spark, d: D.archived_teacher_export(_archive(spark, d)[0]))
+
+
 def _tpatch(spark, d):
     return C.apply_teacher_patches(Fixture(spark, d).teachers, fx.teacher_patches(spark, d))
 
@@ -248,6 +273,10 @@ register("apply_teacher_patches", OC.APPLY_TEACHER_PATCHES)(lambda spark, d: _tp
 register("apply_teacher_patches_rejects", OC.APPLY_TEACHER_PATCHES_REJECTS)(lambda spark, d: _tpatch(spark, d)[1])
 
 
+register("portal_teacher_region", OC.PORTAL_TEACHER_REGION)(
+    lambda spark, d: D.portal_teacher_list(_tpatch(spark, d)[0], region="Region 3"))
+
+
 def _spatch(spark, d):
     return C.apply_school_patches(Fixture(spark, d).schools, fx.school_patches(spark, d))
 
@@ -328,6 +357,9 @@ register("register_schools", OC.REGISTER_SCHOOLS)(lambda spark, d: _register_sch
 register("register_schools_rejects", OC.REGISTER_SCHOOLS_REJECTS)(lambda spark, d: _register_schools(spark, d)[1])
 
 
+register("register_schools_codes", OC.REGISTER_SCHOOLS_CODES)(lambda spark, d: _register_schools(spark, d)[2])
+
+
 def _redeem(spark, d):
     f = Fixture(spark, d)
     return RD.redeem_access_codes(f.schools, f.access_codes, f.redeem_attempts)
@@ -335,6 +367,7 @@ def _redeem(spark, d):
 
 register("redeem_access_codes", OC.REDEEM_ACCESS_CODES)(lambda spark, d: _redeem(spark, d)[0])
 register("redeem_access_codes_schools", OC.REDEEM_ACCESS_CODES_SCHOOLS)(lambda spark, d: _redeem(spark, d)[1])
+register("redeem_access_codes_codes", OC.REDEEM_ACCESS_CODES_CODES)(lambda spark, d: _redeem(spark, d)[2])
 
 
 # ---- S1-S4: streams, run to the end of their input (availableNow) ------------------------
@@ -360,11 +393,6 @@ def _view_ingest_quarantine(spark, d):
 # The stream meets the snapshots as they were fifty days before AS_OF; then the views held back are judged again by
 # the present snapshots, of teachers and of schools one after the other.
 
-def _former(df):
-    from pyspark.sql import functions as F
-    return df.filter(F.col("created_at") < F.lit(fx.FORMER_SNAPSHOT).cast("timestamp_ntz"))
-
-
 def _ingested_early(spark, d):
     f = Fixture(spark, d)
     return SV.view_ingest(spark, SV.view_event_stream(spark, d), _former(f.teachers), _former(f.schools))

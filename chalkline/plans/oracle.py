@@ -269,6 +269,8 @@ SELECT teacher_code, highest_qualification, current_country, current_region, yea
 FROM teachers WHERE is_visible_in_school_portal = TRUE
 """)
 
+PORTAL_TEACHER_SUBJECT = PORTAL_TEACHER_LIST.rstrip() + " AND subjects ILIKE '%ring%'"
+
 TEACHER_EXPORT = with_base("SELECT * FROM teachers ORDER BY created_at DESC")
 SCHOOL_EXPORT = with_base("SELECT * FROM schools")
 
@@ -350,24 +352,44 @@ def _enum(name, table, col, domain, nullable):
 FROM (SELECT {col}, COUNT(*) AS n FROM {table} WHERE {cond} GROUP BY {col}) e"""
 
 
-CONSTRAINT_REPORT = with_base("\nUNION ALL\n".join([
-    _dup("schools.email unique", "schools", "email"),
-    _dup("teachers.teacher_code unique", "teachers", "teacher_code"),
-    _dup("access_codes.code unique", "access_codes", "code"),
-    _orphan("requests.teacher_id references teachers", "requests", "teacher_id", "teachers"),
-    _orphan("requests.school_id references schools", "requests", "school_id", "schools"),
-    _orphan("teacher_views.teacher_id references teachers", "teacher_views", "teacher_id", "teachers"),
-    _orphan("teacher_views.school_id references schools", "teacher_views", "school_id", "schools"),
-    _orphan("access_codes.school_id references schools", "access_codes", "school_id", "schools",
-            "f.school_id IS NOT NULL"),
-    _enum("schools.subscription_status enum", "schools", "subscription_status",
-          ["NO_SUBSCRIPTION", "TRIAL", "ACTIVE", "EXPIRED"], False),
-    _enum("schools.subscription_plan enum", "schools", "subscription_plan", ["BASIC", "PRO", "ULTIMATE"], True),
-    _enum("teachers.profile_status enum", "teachers", "profile_status", ["ACTIVE", "INACTIVE", "PLACED"], False),
-    _enum("access_codes.status enum", "access_codes", "status", ["UNUSED", "ACTIVE", "EXPIRED"], False),
-    _enum("requests.status enum", "requests", "status",
-          ["PENDING", "TEACHER_CONTACTED", "TEACHER_ACCEPTED", "TEACHER_DECLINED", "CLOSED"], False),
-]))
+def _constraints(schools: str = "schools", teachers: str = "teachers", codes: str = "access_codes") -> str:
+    return "\nUNION ALL\n".join([
+        _dup("schools.email unique", schools, "email"),
+        _dup("teachers.teacher_code unique", teachers, "teacher_code"),
+        _dup("access_codes.code unique", codes, "code"),
+        _orphan("requests.teacher_id references teachers", "requests", "teacher_id", teachers),
+        _orphan("requests.school_id references schools", "requests", "school_id", schools),
+        _orphan("teacher_views.teacher_id references teachers", "teacher_views", "teacher_id", teachers),
+        _orphan("teacher_views.school_id references schools", "teacher_views", "school_id", schools),
+        _orphan("access_codes.school_id references schools", codes, "school_id", schools,
+                "f.school_id IS NOT NULL"),
+        _enum("schools.subscription_status enum", schools, "subscription_status",
+              ["NO_SUBSCRIPTION", "TRIAL", "ACTIVE", "EXPIRED"], False),
+        _enum("schools.subscription_plan enum", schools, "subscription_plan", ["BASIC", "PRO", "ULTIMATE"], True),
+        _enum("teachers.profile_status enum", teachers, "profile_status", ["ACTIVE", "INACTIVE", "PLACED"], False),
+        _enum("access_codes.status enum", codes, "status", ["UNUSED", "ACTIVE", "EXPIRED"], False),
+        _enum("requests.status enum", "requests", "status",
+              ["PENDING", "TEACHER_CONTACTED", "TEACHER_ACCEPTED", "TEACHER_DECLINED", "CLOSED"], False),
+    ])
+
+
+CONSTRAINT_REPORT = with_base(_constraints())
+
+_FORMER = "created_at < TIMESTAMP '2023-12-12 00:00:00'"
+
+# The former snapshot restored twice, the second time under new ids and with its enum values in lower case.
+CONSTRAINT_REPORT_RESTORED = with_base(f"""
+, once AS (SELECT * FROM schools WHERE {_FORMER})
+, r_schools AS (
+  FROM once UNION ALL
+  SELECT * REPLACE (id + 1000000 AS id, lower(subscription_status) AS subscription_status,
+                    lower(subscription_plan) AS subscription_plan) FROM once)
+, r_teachers AS (
+  SELECT id, teacher_code, profile_status FROM teachers WHERE {_FORMER} UNION ALL
+  SELECT id + 1000000, teacher_code, lower(profile_status) FROM teachers WHERE {_FORMER})
+, r_codes AS (
+  SELECT code, status, school_id FROM access_codes UNION ALL SELECT code, lower(status), school_id FROM access_codes)
+""" + _constraints("r_schools", "r_teachers", "r_codes"))
 
 VIEW_LOG = with_base("SELECT id, teacher_id, school_id, viewed_at FROM teacher_views ORDER BY viewed_at, id")
 
@@ -398,7 +420,6 @@ WHERE t.known IS NULL OR s.known IS NULL
 """)
 
 
-_FORMER = "created_at < TIMESTAMP '2023-12-12 00:00:00'"
 VIEW_INGEST_EARLY_QUARANTINE = _held_back(_FORMER, _FORMER)
 VIEW_INGEST_TEACHERS_ARRIVED = _held_back("true", _FORMER)
 

@@ -66,6 +66,10 @@ SELECT (SELECT count(*) FROM teachers WHERE id NOT IN (SELECT id FROM firsts)) A
        (SELECT count(*) FROM teacher_views WHERE teacher_id NOT IN (SELECT id FROM firsts)) AS views_left
 """)
 
+ARCHIVE_TEACHERS_LEFT = with_base(_DELETES + "SELECT * FROM teachers WHERE id NOT IN (SELECT id FROM firsts)")
+ARCHIVE_REQUESTS_LEFT = with_base(_DELETES + "SELECT * FROM requests WHERE teacher_id NOT IN (SELECT id FROM firsts)")
+ARCHIVE_VIEWS_LEFT = with_base(_DELETES + "SELECT * FROM teacher_views WHERE teacher_id NOT IN (SELECT id FROM firsts)")
+
 # ---- M3 -------------------------------------------------------------------------
 
 _TEACHER_PATCH_FIELDS = ["subjects", "bio", "profile_status", "is_visible_in_school_portal",
@@ -509,6 +513,20 @@ SELECT {_select("s", SCHOOL_COLS, {
 FROM schools s LEFT JOIN ok ON s.id = ok.school_id
 """, recursive=True)
 
+def _used_codes(winners: str) -> str:
+    """The code table after ``winners`` (code, school, ts) used theirs."""
+    return f"""
+, ok AS ({winners})
+SELECT c.* REPLACE (CASE WHEN ok.ts IS NULL THEN c.status ELSE 'ACTIVE' END AS status,
+                    COALESCE(ok.school, c.school_id) AS school_id, COALESCE(ok.ts, c.first_used_at) AS first_used_at,
+                    COALESCE(ok.ts + INTERVAL 24 HOUR, c.expires_at) AS expires_at)
+FROM access_codes c LEFT JOIN ok ON c.code = ok.code
+"""
+
+
+REDEEM_ACCESS_CODES_CODES = with_base(_REDEEM_WALK + _used_codes(
+    "SELECT code, school_id AS school, ts FROM outcome WHERE reason IS NULL"), recursive=True)
+
 _SIGNUP_WALK = r"""
 , su AS (
   SELECT seq, ts,
@@ -559,3 +577,13 @@ FROM outcome WHERE reason IS NULL
 REGISTER_SCHOOLS_REJECTS = with_base(_SIGNUP_WALK + """
 SELECT seq, nemail AS key, reason FROM outcome WHERE reason IS NOT NULL
 """, recursive=True)
+
+REGISTER_SCHOOLS_CODES = with_base(_SIGNUP_WALK + _used_codes(
+    "SELECT access_code AS code, CAST((SELECT max(id) FROM schools) + 1 + seq AS BIGINT) AS school, ts "
+    "FROM outcome WHERE reason IS NULL AND has_code"), recursive=True)
+
+# Q11c on the patched teachers, the only ones with a region.
+PORTAL_TEACHER_REGION = f"""
+SELECT id, teacher_code, highest_qualification, years_experience, current_country, visa_status, profile_status, bio
+FROM ({APPLY_TEACHER_PATCHES}) patched WHERE is_visible_in_school_portal AND current_region = 'Region 3'
+"""

@@ -372,3 +372,12 @@ def teacher_sheet_files(spark, sf_dir) -> str:
     (teacher_sheet(spark, sf_dir).withColumn("Bio", bio).repartitionByRange(4, "sheet_row")
      .sortWithinPartitions("sheet_row").drop("sheet_row").write.csv(folder, header=True, escape='"'))
     return folder
+
+
+def lower_cased(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.lower(c) for c in cols})
+
+
+def restored_twice(df: DataFrame, *enums: str) -> DataFrame:
+    """A table with every row once more, under a new id and with its enum values in lower case."""
+    return df.unionByName(lower_cased(df.withColumn("id", F.col("id") + 1_000_000), *enums))
