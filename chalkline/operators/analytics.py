@@ -202,3 +202,21 @@ def recent_requests(requests: DataFrame, schools: DataFrame, teachers: DataFrame
             .orderBy(F.desc("requested_at"), F.desc("id")).limit(n)
             .select("id", "school_name", "teacher_code", "requested_at", "status"))
 
+
+def recent_requests_by_day(requests: DataFrame, schools: DataFrame, teachers: DataFrame, days: list, n: int = 5) -> DataFrame:
+    """Q8 on a day-partitioned snapshot (``tables.partition_days``), as a walk from the newest day back.
+
+    ``days`` are the partitions' dates, newest first. Each step joins the requests
+    of the next one, two, four, ... days and keeps its newest ``n``; the walk ends when it has ``n`` rows, so it
+    mostly reads a day or two. No day is read twice, and where all new requests are orphans it goes back as far as it
+    must. At most ``n`` rows a step come to the driver.
+    """
+    found, at, width = [], 0, 1
+    while True:
+        some = days[at:at + width]
+        part = F.col("requested_date").between(F.lit(some[-1]), F.lit(some[0])) if some else F.lit(False)
+        step = recent_requests(requests.filter(part), schools, teachers, n)
+        found += step.collect()
+        at, width = at + width, 2 * width
+        if len(found) >= n or at >= len(days):
+            return requests.sparkSession.createDataFrame(found[:n], step.schema)

@@ -13,7 +13,9 @@ from pyspark.sql import SparkSession
 
 from chalkline.operators import analytics as A
 from chalkline.plans import oracle as O
+from chalkline.session import scratch_path
 from chalkline.sources import fixtures as fx
+from chalkline.sources import tables as TB
 
 AS_OF = fx.FIXTURE_AS_OF
 
@@ -109,6 +111,14 @@ def _recent_requests(spark, d):
     return A.recent_requests(f.requests, f.schools, f.teachers)
 
 
+@register("recent_requests_by_day", O.RECENT_REQUESTS)
+def _recent_requests_by_day(spark, d):
+    f, base = Fixture(spark, d), scratch_path(spark, "requests-by-day")
+    TB.write_snapshot(f.requests, base, "requests", 0, by_day=True)
+    return A.recent_requests_by_day(TB.read_table(spark, base, "requests"), f.schools, f.teachers,
+                                    TB.partition_days(spark, base, "requests"))
+
+
 # ---- Q9-Q19: reports and rules -------------------------------------------------
 
 from chalkline.operators import directory as D  # noqa: E402

@@ -15,6 +15,7 @@ timestamp predicate).
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,6 +107,16 @@ def read_table(spark: SparkSession, base: str, table: str, version: int | None =
     return spark.read.schema(schema).parquet(path)
 
 
+def partition_days(spark: SparkSession, base: str, table: str, version: int | None = None) -> list:
+    """Dates of a day-partitioned snapshot from its folder names, newest first."""
+    if version is None:
+        version = current_version(spark, base, table)
+    fs, root = _hadoop_fs(spark, f"{base.rstrip('/')}/{table}/v={version}")
+    head = DAY_PARTITIONS[table][0] + "="
+    names = [st.getPath().getName() for st in fs.listStatus(root)]
+    return sorted((dt.date.fromisoformat(n[len(head):]) for n in names if n.startswith(head)), reverse=True)
+
+
 def write_snapshot(df: DataFrame, base: str, table: str, version: int, by_day: bool = False) -> str:
     """Write ``df`` as snapshot ``version`` of ``table``.
 

@@ -3,8 +3,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from chalkline.operators import analytics as A
+from chalkline.sources import tables as TB
 from tests import helpers as H
 
 AS_OF = H.AS_OF
@@ -90,3 +92,33 @@ def test_recent_requests_inner_joins_and_tiebreak(spark):
     r = H.requests(spark, [{"id": 10, "teacher_id": 1, "school_id": 1}, {"id": 11, "teacher_id": 1, "school_id": 1},
                            {"id": 12, "teacher_id": 9, "school_id": 1}])
     assert [x.id for x in A.recent_requests(r, s, t).collect()] == [11, 10]
+
+
+def _by_day(spark, tmp_path, rows):
+    base = str(tmp_path / "wh")
+    TB.write_snapshot(H.requests(spark, rows), base, "requests", 0, by_day=True)
+    return TB.read_table(spark, base, "requests"), TB.partition_days(spark, base, "requests")
+
+
+@pytest.mark.parametrize("orphans,steps", [(0, 1), (3, 3), (40, 6)])
+def test_recent_requests_walk_reads_the_days_it_needs(spark, tmp_path, monkeypatch, orphans, steps):
+    # 40 days of six requests each, those of the newest days by a school that is not there
+    rows = [{"teacher_id": 1, "school_id": 9 if back < orphans else 1, "requested_at": AS_OF - dt.timedelta(days=back, hours=h)}
+            for back in range(40) for h in (1, 2, 2, 3, 4, 5)]
+    requests, days = _by_day(spark, tmp_path, rows)
+    assert len(days) == 40 and days[0] == (AS_OF - dt.timedelta(hours=1)).date()
+    s, t = H.schools(spark, [{"id": 1}]), H.teachers(spark, [{"id": 1}])
+    want = A.recent_requests(requests, s, t).collect()
+    walk, seen = A.recent_requests, []
+    monkeypatch.setattr(A, "recent_requests", lambda r, *a: seen.append(r) or walk(r, *a))
+    got = A.recent_requests_by_day(requests, s, t, days)
+    assert got.collect() == want and len(seen) == steps
+    assert "PartitionFilters" in seen[0]._jdf.queryExecution().toString()
+    read = seen[0].select("requested_date").distinct().collect()
+    assert [r.requested_date for r in read] == days[:1]
+
+
+def test_recent_requests_walk_over_no_days(spark, tmp_path):
+    s, t = H.schools(spark, [{"id": 1}]), H.teachers(spark, [{"id": 1}])
+    requests = H.requests(spark, []).withColumn("requested_date", F.to_date("requested_at"))
+    assert A.recent_requests_by_day(requests, s, t, []).count() == 0
