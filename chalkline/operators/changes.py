@@ -472,11 +472,40 @@ def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None, tea
     seq) decides status, the last set_status decides admin_notes.
     Returns (new_requests, rejects).
     """
+    _, created, folded, rejects = _judged_request_events(requests, events, as_of, teachers, schools)
+    base = requests.unionByName(created)
+    return _with_events(base, base.join(folded, "id", "left")), rejects
+
+
+def changed_requests(requests: DataFrame, events: DataFrame, as_of=None, teachers: DataFrame | None = None,
+                     schools: DataFrame | None = None):
+    """M10 as a delta: the new rows of created and changed requests only, and the rejects.
+
+    The same judgement and fold as ``apply_request_events``; rows that the feed does not name are read (the id column)
+    but neither joined nor returned. ``sources.runs.Run.change`` stores the rows over the snapshot.
+    """
+    held, created, folded, rejects = _judged_request_events(requests, events, as_of, teachers, schools)
+    base = held.select(created.columns).unionByName(created.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+    named = base.join(folded.withColumn("_hit", F.lit(True)), "id", "left").filter("_new or _hit")
+    return _with_events(created, named), rejects
+
+
+def _with_events(like: DataFrame, j: DataFrame) -> DataFrame:
+    """Requests joined to the folded events, with status and notes replaced where an event says so."""
+    return j.select(_replace(like, {
+        "status": F.coalesce(F.col("_st"), F.col("status")),
+        "admin_notes": F.when(F.col("_has_set") == 1, F.col("_nt")).otherwise(F.col("admin_notes")),
+    }))
+
+
+def _judged_request_events(requests: DataFrame, events: DataFrame, as_of, teachers: DataFrame | None,
+                           schools: DataFrame | None):
+    """The stored requests that the feed names, new requests, the last accepted event per request, and rejects."""
     e = events.select("seq", "kind", "request_id", "teacher_id", "school_id", "status", "message",
                       "admin_notes", _now(events, as_of).alias("ts"))
     # only the requests that the feed names are looked up, never the whole fact
-    held = (requests.select("id", F.col("teacher_id").alias("_tid"), F.col("school_id").alias("_sid"))
-            .join(e.select(F.col("request_id").alias("id")).distinct(), "id", "left_semi"))
+    named = requests.join(e.select(F.col("request_id").alias("id")).distinct(), "id", "left_semi")
+    held = named.select("id", F.col("teacher_id").alias("_tid"), F.col("school_id").alias("_sid"))
     made = _judged_creates(e.filter(F.col("kind") == "create"), held, teachers, schools)
     creates = made.filter(F.col("_reason").isNull())
     created = creates.select(
@@ -485,7 +514,6 @@ def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None, tea
         F.when(F.coalesce(F.col("message"), F.lit("")) == "", F.lit(DEFAULT_REQUEST_MESSAGE))
          .otherwise(F.col("message")).alias("school_message"),
         F.lit(None).cast("string").alias("admin_notes"))
-    base = requests.unionByName(created)
     # a request created in this batch exists only for events after its create
     keys = held.withColumn("_born", F.lit(None).cast("long")).unionByName(
         creates.select(F.col("request_id").alias("id"), F.col("teacher_id").alias("_tid"),
@@ -512,12 +540,7 @@ def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None, tea
               .agg(F.max_by("_st", "seq").alias("_st"),
                    F.max_by("_nt", F.when(F.col("kind") == "set_status", F.col("seq"))).alias("_nt"),
                    F.max((F.col("kind") == "set_status").cast("int")).alias("_has_set")))
-    j = base.join(folded, "id", "left")
-    new = j.select(_replace(base, {
-        "status": F.coalesce(F.col("_st"), F.col("status")),
-        "admin_notes": F.when(F.col("_has_set") == 1, F.col("_nt")).otherwise(F.col("admin_notes")),
-    }))
-    return new, rejects
+    return named, created, folded, rejects
 
 
 # ---- M11 -------------------------------------------------------------------------

@@ -327,6 +327,20 @@ def _reqev(spark, d):
 
 
 register("apply_request_events", OC.APPLY_REQUEST_EVENTS)(lambda spark, d: _reqev(spark, d)[0])
+
+
+@register("apply_request_events_layered", OC.APPLY_REQUEST_EVENTS)
+def _request_layers(spark, d):
+    """The feed applied as a stored layer over a day-partitioned snapshot, read back merged."""
+    from chalkline.plans import jobs
+    from chalkline.sources import schemas as sch
+    f, base = Fixture(spark, d), scratch_path(spark, "request-layers")
+    for name in ("requests", "teachers", "schools"):
+        TB.write_snapshot(getattr(f, name), base, name, 1, by_day=name == "requests")
+    jobs.apply_request_events(spark, base, fx.request_events(spark, d), AS_OF)
+    return TB.read_table(spark, base, "requests").select(*[c.name for c in sch.REQUESTS.fields])
+
+
 register("apply_request_events_rejects", OC.APPLY_REQUEST_EVENTS_REJECTS)(lambda spark, d: _reqev(spark, d)[1])
 
 

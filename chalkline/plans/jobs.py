@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chalkline.operators import changes as C
 from chalkline.operators import redeem as RD
+from chalkline.sources import schemas as sch
 from chalkline.sources import tables as TB
 from chalkline.sources.runs import Run, read_appended
 
@@ -56,16 +58,30 @@ def apply_overrides(spark: SparkSession, base: str, overrides: DataFrame, as_of=
 
 
 def apply_request_events(spark: SparkSession, base: str, events: DataFrame, as_of=None, run_id: str | None = None) -> dict:
-    """M10: creates, status changes and closes of requests; the snapshot is partitioned by day."""
+    """M10: creates, status changes and closes of requests, stored as a layer of changed rows (``sources.layers``)."""
     run = Run(spark, base, run_id)
     if run.done:
         return run.done
-    new, rejects = C.apply_request_events(run.read("requests"), events, as_of,
+    changed, rejects = C.changed_requests(_stored(run, "requests"), events, as_of,
                                           teachers=run.read("teachers"), schools=run.read("schools"))
-    run.write("requests", new, by_day=True)
+    run.change("requests", changed)
     return _finish(run, rejects)
 
 
+def compact_requests(spark: SparkSession, base: str, min_deltas: int = 1, run_id: str | None = None) -> dict:
+    """Write the days of ``requests`` with at least ``min_deltas`` deltas again, and no other day."""
+    run = Run(spark, base, run_id)
+    if run.done:
+        return run.done
+    run.compact("requests", min_deltas)
+    return run.publish()
+
+
+def _stored(run: Run, table: str) -> DataFrame:
+    """A table's own columns, without the partition column."""
+    return run.read(table).select(*[f.name for f in sch.TABLES[table].fields])
+
+
 def maintain_access_codes(spark: SparkSession, base: str, feed: DataFrame, as_of=None, run_id: str | None = None) -> dict:
     """M11: new codes and codes that expire."""
     return run_change(spark, base, "access_codes", lambda c: C.maintain_access_codes(c, feed, as_of), run_id)
@@ -106,18 +122,20 @@ def cancel_subscriptions(spark: SparkSession, base: str, cancels: DataFrame, as_
 
 
 def archive_teachers(spark: SparkSession, base: str, delete_ids: DataFrame, as_of=None, run_id: str | None = None) -> dict:
-    """M2: teachers and their requests go, the archive grows, and the view log gets tombstones instead of a rewrite."""
+    """M2: teachers go, the archive grows; requests get a layer of ``_gone`` rows and the view log tombstones, neither is
+    written again."""
     run = Run(spark, base, run_id)
     if run.done:
         return run.done
-    teachers, requests = run.read("teachers"), run.read("requests")
+    teachers, requests = run.read("teachers"), _stored(run, "requests")
     views = TB.read_views(spark, f"{run.base}/teacher_views")
-    archive, left, requests_left, _, rejects = C.archive_teachers(
+    archive, left, _, _, rejects = C.archive_teachers(
         teachers, requests, views, delete_ids, read_appended(spark, run.base, ARCHIVE), as_of)
     run.append(ARCHIVE, archive)
     run.append(TOMBSTONES, C.deleted_teacher_ids(teachers, delete_ids).withColumnRenamed("id", "teacher_id"))
     run.write("teachers", left)
-    run.write("requests", requests_left, by_day=True)
+    gone = C.deleted_teacher_ids(teachers, delete_ids).withColumnRenamed("id", "teacher_id")
+    run.change("requests", requests.join(gone, "teacher_id", "left_semi").withColumn("_gone", F.lit(True)))
     return _finish(run, rejects)
 
 

@@ -3,7 +3,8 @@
 A run reads the published version of each table, writes new versions and side outputs (rejects, outcomes) to new
 folders, and last of all publishes a manifest::
 
-    <base>/_manifests/m=<n>.json    {"n", "run_id", "tables": {table: version}, "appends": {name: [paths]}, "outputs"}
+    <base>/_manifests/m=<n>.json    {"n", "run_id", "tables": {table: version}, "appends": {name: [paths]}, "outputs",
+                                     "layers": {table: {day: ...}}}      changed rows over snapshots, sources.layers
     <base>/_runs/<run id>/<attempt>/<output>
 
 Readers take table versions from the newest manifest (``tables.read_table``), so a run that dies between two tables
@@ -23,6 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.sources import layers as LY
 from chalkline.sources import schemas as sch
 from chalkline.sources import tables as TB
 
@@ -74,10 +76,12 @@ class Run:
         self.before = TB.newest_manifest(spark, self.base)
         if self.before is None:
             found = {t: v[-1] for t in sch.TABLES if (v := TB.versions(spark, self.base, t))}
-            self.before = {"n": 0, "run_id": "adopted", "tables": found, "appends": {}, "outputs": {}}
+            self.before = {"n": 0, "run_id": "adopted", "tables": found, "appends": {}, "outputs": {}, "layers": {}}
             _publish(spark, self.base, self.before)
         self.done = published_run(spark, self.base, self.run_id) if run_id else None
         self.tables, self.appends, self.outputs = {}, {}, {}
+        self.layers = dict(self.before.get("layers", {}))
+        self.layer_id = f"{self.before['n'] + 1:012d}-{uuid.uuid4().hex[:12]}"
         self.folder = f"{self.base}/_runs/{self.run_id}/{uuid.uuid4().hex}"
 
     def version(self, table: str) -> int:
@@ -87,6 +91,8 @@ class Run:
         return self.before["tables"][table]
 
     def read(self, table: str) -> DataFrame:
+        if self.before.get("layers", {}).get(table):
+            return LY.read_layered(self.spark, self.base, table, self.before)
         return TB.read_table(self.spark, self.base, table, self.version(table))
 
     def write(self, table: str, df: DataFrame, by_day: bool = False) -> int:
@@ -94,8 +100,24 @@ class Run:
         version = 1 + max([0, *TB.versions(self.spark, self.base, table, committed=False)])
         TB.write_snapshot(df, self.base, table, version, by_day)
         self.tables[table] = version
+        self.layers.pop(table, None)
         return version
 
+    def change(self, table: str, changed: DataFrame) -> list[str]:
+        """Add the new rows of what changed (``_gone`` marks removed ones) as a layer; returns the days touched."""
+        days = LY.write_layer(changed, self.base, table, self.layer_id)
+        self.layers[table] = LY.with_delta(self.layers.get(table, {}), self.layer_id, days)
+        return days
+
+    def compact(self, table: str, min_deltas: int = 1) -> list[str]:
+        """Write the days with at least ``min_deltas`` deltas again, and no other; returns them."""
+        days = LY.due_for_compaction(self.layers.get(table, {}), min_deltas)
+        if days:
+            merged = self.read(table).filter(LY.on_days(TB.DAY_PARTITIONS[table][0], days))
+            written = LY.write_layer(merged, self.base, table, self.layer_id)
+            self.layers[table] = LY.with_bottom(self.layers[table], self.layer_id, days, written)
+        return days
+
     def append(self, name: str, df: DataFrame) -> str:
         """Add a folder to those that make up ``name`` (tombstones, archives)."""
         path = self._side(name, df)
@@ -117,7 +139,7 @@ class Run:
         appends = {k: [*self.before["appends"].get(k, []), *self.appends.get(k, [])]
                    for k in {**self.before["appends"], **self.appends}}
         manifest = {"n": self.before["n"] + 1, "run_id": self.run_id, "tables": {**self.before["tables"], **self.tables},
-                    "appends": appends, "outputs": self.outputs}
+                    "appends": appends, "outputs": self.outputs, "layers": self.layers}
         _publish(self.spark, self.base, manifest)
         return manifest
 

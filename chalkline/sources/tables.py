@@ -59,13 +59,23 @@ def newest_manifest(spark: SparkSession, base: str) -> dict | None:
     return newest_numbered(spark, f"{base.rstrip('/')}/{MANIFESTS}", "m")
 
 
-def newest_numbered(spark: SparkSession, path: str, letter: str) -> dict | None:
-    """The JSON file ``<letter>=<n>.json`` of the highest number in a folder, or None."""
+def manifest_numbered(spark: SparkSession, base: str, n: int) -> dict:
+    """Manifest ``n``, for reading tables as they were then."""
+    found = newest_numbered(spark, f"{base.rstrip('/')}/{MANIFESTS}", "m", n)
+    if found is None:
+        raise FileNotFoundError(f"no manifest {n} under {base}")
+    return found
+
+
+def newest_numbered(spark: SparkSession, path: str, letter: str, n: int | None = None) -> dict | None:
+    """The JSON file ``<letter>=<n>.json`` of number ``n`` (the highest by default) in a folder, or None."""
     fs, folder = _hadoop_fs(spark, path)
     if not fs.exists(folder):
         return None
     names = [st.getPath().getName() for st in fs.listStatus(folder)]
-    numbers = [int(n[2:-5]) for n in names if n.startswith(f"{letter}=") and n.endswith(".json")]
+    numbers = [int(x[2:-5]) for x in names if x.startswith(f"{letter}=") and x.endswith(".json")]
+    if n is not None:
+        numbers = [x for x in numbers if x == n]
     if not numbers:
         return None
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{letter}={max(numbers)}.json")
@@ -91,12 +101,18 @@ def current_version(spark: SparkSession, base: str, table: str) -> int:
 DAY_PARTITIONS = {"requests": ("requested_date", "requested_at"), "teacher_views": ("viewed_date", "viewed_at")}
 
 
-def read_table(spark: SparkSession, base: str, table: str, version: int | None = None) -> DataFrame:
-    """Read a snapshot with its declared schema (never inferred); latest by default.
+def read_table(spark: SparkSession, base: str, table: str, version: int | None = None,
+               manifest: int | None = None) -> DataFrame:
+    """Read a table with its declared schema (never inferred); as last published by default, with its layers
+    (``sources.layers``). ``manifest`` reads it as of that manifest number, ``version`` one snapshot without layers.
     A day-partitioned snapshot also exposes its partition column for pruning."""
     from pyspark.sql import types as T
     if version is None:
-        version = current_version(spark, base, table)
+        seen = newest_manifest(spark, base) if manifest is None else manifest_numbered(spark, base, manifest)
+        if seen and seen.get("layers", {}).get(table):
+            from chalkline.sources import layers
+            return layers.read_layered(spark, base, table, seen)
+        version = current_version(spark, base, table) if manifest is None else seen["tables"][table]
     path = f"{base.rstrip('/')}/{table}/v={version}"
     schema = sch.TABLES[table]
     if table in DAY_PARTITIONS:
@@ -108,13 +124,17 @@ def read_table(spark: SparkSession, base: str, table: str, version: int | None =
 
 
 def partition_days(spark: SparkSession, base: str, table: str, version: int | None = None) -> list:
-    """Dates of a day-partitioned snapshot from its folder names, newest first."""
+    """Dates of a day-partitioned table (with its layers) from folder names, newest first."""
+    layered = {}
     if version is None:
+        layered = ((newest_manifest(spark, base) or {}).get("layers", {})).get(table, {})
         version = current_version(spark, base, table)
     fs, root = _hadoop_fs(spark, f"{base.rstrip('/')}/{table}/v={version}")
     head = DAY_PARTITIONS[table][0] + "="
     names = [st.getPath().getName() for st in fs.listStatus(root)]
-    return sorted((dt.date.fromisoformat(n[len(head):]) for n in names if n.startswith(head)), reverse=True)
+    return sorted({dt.date.fromisoformat(d) for d in [n[len(head):] for n in names if n.startswith(head)] + list(layered)
+                   if d[:1].isdigit()},
+                  reverse=True)
 
 
 def write_snapshot(df: DataFrame, base: str, table: str, version: int, by_day: bool = False) -> str:
