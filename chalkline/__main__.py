@@ -28,14 +28,19 @@ def _session():
 
 
 def cmd_dashboard(spark, a) -> dict:
-    from chalkline.plans.dashboard import AdminDashboard
+    from chalkline.plans.dashboard import AdminDashboard, RolledDashboard
     from chalkline.plans.responses import to_response, write_json
     from chalkline.sources import tables as TB
     from chalkline.plans.jobs import live_views
-    views = (TB.read_live_views(spark, f"{a.base}/teacher_views", a.tombstones) if a.tombstones
+    from chalkline.sources.rollups import RolledViews
+    if a.rolled and a.tombstones:
+        raise SystemExit("--rolled takes tombstones from the manifest; leave --tombstones out")
+    views = (RolledViews(spark, a.base, a.as_of, a.range) if a.rolled
+             else TB.read_live_views(spark, f"{a.base}/teacher_views", a.tombstones) if a.tombstones
              else live_views(spark, a.base))
-    d = AdminDashboard(views, TB.read_table(spark, a.base, "requests"), TB.read_table(spark, a.base, "schools"),
-                       TB.read_table(spark, a.base, "teachers"), a.as_of, a.range)
+    board = RolledDashboard if a.rolled else AdminDashboard
+    d = board(views, TB.read_table(spark, a.base, "requests"), TB.read_table(spark, a.base, "schools"),
+              TB.read_table(spark, a.base, "teachers"), a.as_of, a.range)
     kinds = {"totals": "stats", "chart": "chartData", "top_schools": "topSchools",
              "top_teachers": "topTeachers", "regions": "regionData"}
     try:
@@ -57,6 +62,16 @@ def cmd_redeem(spark, a) -> dict:
     return {t: tables[t] for t in ("schools", "access_codes")}
 
 
+def cmd_rollup(spark, a) -> dict:
+    from chalkline.plans.jobs import refresh_rollups
+    return refresh_rollups(spark, a.base)
+
+
+def cmd_compact(spark, a) -> dict:
+    from chalkline.plans.jobs import compact_requests
+    return compact_requests(spark, a.base, a.min_deltas)["layers"].get("requests", {})
+
+
 def _feed_job(name: str):
     def run(spark, a) -> dict:
         from chalkline.plans import jobs
@@ -78,6 +93,11 @@ def parser() -> argparse.ArgumentParser:
     d.add_argument("--range", default="7d")
     d.add_argument("--out", required=True)
     d.add_argument("--tombstones", default=None)
+    d.add_argument("--rolled", action="store_true", help="read stored daily counts (command rollup) and the log for the rest")
+    for name in ("rollup", "compact"):
+        c = sub.add_parser(name)
+        c.add_argument("--base", required=True)
+    c.add_argument("--min-deltas", type=int, default=1)
     for name in ("expire", "redeem", *FEED_JOBS):
         c = sub.add_parser(name)
         c.add_argument("--base", required=True)
@@ -90,7 +110,7 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-COMMANDS = {"dashboard": cmd_dashboard, "expire": cmd_expire, "redeem": cmd_redeem,
+COMMANDS = {"dashboard": cmd_dashboard, "rollup": cmd_rollup, "compact": cmd_compact, "expire": cmd_expire, "redeem": cmd_redeem,
             **{name: _feed_job(job) for name, job in FEED_JOBS.items()}}
 
 

@@ -96,7 +96,12 @@ def daily_activity(views: DataFrame, requests: DataFrame, as_of, range_token="7d
         F.to_date("requested_at").alias("day"), F.lit(0).alias("v"), F.lit(1).alias("r"))
     per_day = (v.unionByName(r).filter(F.col("day") <= last_day)
                .groupBy("day").agg(F.sum("v").alias("views"), F.sum("r").alias("requests")))
-    spine = date_spine(views, as_of, range_token)
+    return on_spine(per_day, as_of, range_token)
+
+
+def on_spine(per_day: DataFrame, as_of, range_token="7d") -> DataFrame:
+    """(day, views, requests), one row a day and none after ``as_of``, over the gap-filled spine."""
+    spine = date_spine(per_day, as_of, range_token)
     return (spine.join(F.broadcast(per_day), "day", "left")
             .select(
                 "day",
@@ -120,7 +125,11 @@ def top_schools(views: DataFrame, schools: DataFrame, as_of, range_token="7d", n
     Aggregate by school id first (partial + final), then join the school
     dimension (inner: views of unknown schools drop out), then take top-n.
     """
-    counts = _counts_by(views, "school_id", as_of, range_token, "views")
+    return first_schools(_counts_by(views, "school_id", as_of, range_token, "views"), schools, n)
+
+
+def first_schools(counts: DataFrame, schools: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` schools with most views of (school_id, views)."""
     dim = schools.select(F.col("id").alias("school_id"), "name", F.col("country").alias("location"))
     return (counts.join(dim, "school_id")
             .orderBy(F.desc("views"), F.asc("school_id")).limit(n)
@@ -129,7 +138,11 @@ def top_schools(views: DataFrame, schools: DataFrame, as_of, range_token="7d", n
 
 def top_teachers(views: DataFrame, teachers: DataFrame, as_of, range_token="7d", n: int = 5) -> DataFrame:
     """Q4: most-viewed teachers (code, name, hits). Ties by teacher id ascending."""
-    counts = _counts_by(views, "teacher_id", as_of, range_token, "hits")
+    return first_teachers(_counts_by(views, "teacher_id", as_of, range_token, "hits"), teachers, n)
+
+
+def first_teachers(counts: DataFrame, teachers: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` teachers with most hits of (teacher_id, hits)."""
     dim = teachers.select(F.col("id").alias("teacher_id"), F.col("teacher_code").alias("code"),
                           F.col("full_name").alias("name"))
     return (counts.join(dim, "teacher_id")
@@ -143,7 +156,11 @@ def region_share(views: DataFrame, schools: DataFrame, as_of, range_token="7d",
     The label falls back region -> country -> 'Other' (an empty string is a
     value). Two aggregates: views per school, then per label after the join.
     """
-    counts = _counts_by(views, "school_id", as_of, range_token, "value")
+    return first_regions(_counts_by(views, "school_id", as_of, range_token, "value"), schools, n)
+
+
+def first_regions(counts: DataFrame, schools: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` region labels with most views of (school_id, value), with rank and colour."""
     dim = schools.select(F.col("id").alias("school_id"),
                          F.coalesce("region", "country", F.lit("Other")).alias("name"))
     top = (counts.join(dim, "school_id").groupBy("name").agg(F.sum("value").alias("value"))

@@ -119,6 +119,31 @@ def _recent_requests_by_day(spark, d):
                                     TB.partition_days(spark, base, "requests"))
 
 
+def _rolled(spark, d, answer):
+    """``answer(views, fixture)`` over stored counts of all but the last two days, and the log for those."""
+    from chalkline.sources import rollups as RU
+    f, base = Fixture(spark, d), scratch_path(spark, "rollups")
+    late = f"viewed_at > TIMESTAMP_NTZ '{AS_OF}' - INTERVAL 2 DAYS"
+    TB.append_views(f.views.filter(f"NOT ({late})"), f"{base}/teacher_views")
+    RU.refresh(spark, base)
+    TB.append_views(f.views.filter(late), f"{base}/teacher_views")
+    return answer(RU.RolledViews(spark, base, AS_OF, "90d"), f)
+
+
+from chalkline.operators import rolled as RO  # noqa: E402
+
+register("period_totals_rolled_90d", O.period_totals(90))(
+    lambda spark, d: _rolled(spark, d, lambda v, f: RO.period_totals(v, f.requests, AS_OF, "90d")))
+register("daily_activity_rolled_90d", O.daily_activity(90))(
+    lambda spark, d: _rolled(spark, d, lambda v, f: RO.daily_activity(v, f.requests, AS_OF, "90d")))
+register("top_schools_rolled_90d", O.top_schools(90))(
+    lambda spark, d: _rolled(spark, d, lambda v, f: RO.top_schools(v, f.schools)))
+register("top_teachers_rolled_90d", O.top_teachers(90))(
+    lambda spark, d: _rolled(spark, d, lambda v, f: RO.top_teachers(v, f.teachers)))
+register("region_share_rolled_90d", O.region_share(90))(
+    lambda spark, d: _rolled(spark, d, lambda v, f: RO.region_share(v, f.schools)))
+
+
 # ---- Q9-Q19: reports and rules -------------------------------------------------
 
 from chalkline.operators import directory as D  # noqa: E402

@@ -13,6 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from chalkline.operators import analytics as A
+from chalkline.operators import rolled as RO
+from chalkline.sources.rollups import RolledViews
 
 # The five outputs of the dashboard, in response order.
 _OUTPUTS = ("totals", "chart", "top_schools", "top_teachers", "regions")
@@ -42,3 +44,19 @@ class AdminDashboard:
     def release(self) -> None:
         self.views.unpersist()
         self.requests.unpersist()
+
+
+class RolledDashboard:
+    """The same outputs from stored daily counts; nothing is persisted, so ``release()`` has nothing to do."""
+
+    def __init__(self, views: RolledViews, requests: DataFrame, schools: DataFrame, teachers: DataFrame,
+                 as_of, range_token: str = "7d", n: int = 5):
+        self._outputs = dict(zip(_OUTPUTS, (
+            RO.period_totals(views, requests, as_of, range_token), RO.daily_activity(views, requests, as_of, range_token),
+            RO.top_schools(views, schools, n), RO.top_teachers(views, teachers, n), RO.region_share(views, schools, n))))
+
+    def outputs(self) -> dict[str, DataFrame]:
+        return dict(self._outputs)
+
+    def release(self) -> None:
+        pass

@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from chalkline.operators import changes as C
 from chalkline.operators import redeem as RD
+from chalkline.sources import rollups
 from chalkline.sources import schemas as sch
 from chalkline.sources import tables as TB
 from chalkline.sources.runs import Run, read_appended
 
-TOMBSTONES, ARCHIVE = "teacher_tombstones", "archived_teachers"
+TOMBSTONES, ARCHIVE = rollups.TOMBSTONES, "archived_teachers"
 
 
 def _finish(run: Run, rejects: DataFrame | None = None, **outputs: DataFrame | None) -> dict:
@@ -139,6 +140,12 @@ def archive_teachers(spark: SparkSession, base: str, delete_ids: DataFrame, as_o
     return _finish(run, rejects)
 
 
+def refresh_rollups(spark: SparkSession, base: str) -> dict:
+    """Count the days of the view log that changed since the last refresh (``sources.rollups``)."""
+    manifest = rollups.refresh(spark, base)
+    return {"n": manifest["n"], "days": len(manifest["days"])}
+
+
 def live_views(spark: SparkSession, base: str) -> DataFrame:
     """The view log as published: without the views of archived teachers."""
     return TB.read_live_views(spark, f"{base.rstrip('/')}/teacher_views", read_appended(spark, base, TOMBSTONES))

@@ -33,3 +33,21 @@ def test_cli_jobs(spark, tmp_path):
     r = main(["redeem", "--base", base, "--attempts", att, "--as-of", AS_OF], spark=spark)
     assert r == {"schools": 3, "access_codes": 2}
     assert json.dumps(r)
+
+
+def test_cli_rolled_dashboard_and_compaction(spark, tmp_path):
+    base = str(tmp_path / "wh")
+    _warehouse(spark, base)
+    feed = str(tmp_path / "feed")
+    fx.request_events(spark, SF).write.parquet(feed)
+    main(["requests", "--base", base, "--as-of", AS_OF, "--feed", feed, "--run-id", "e1"], spark=spark)
+    days = main(["compact", "--base", base], spark=spark)
+    assert days and all(not e["deltas"] for e in days.values())
+    assert main(["rollup", "--base", base], spark=spark)["n"] == 0
+    found = {}
+    for how in ([], ["--rolled"]):
+        out = str(tmp_path / f"out{len(how)}")
+        main(["dashboard", "--base", base, "--as-of", AS_OF, "--range", "30d", "--out", out, *how], spark=spark)
+        found[len(how)] = {k: sorted(map(str, spark.read.json(f"{out}/{k}").collect()))
+                           for k in ("stats", "chartData", "topSchools", "topTeachers", "regionData")}
+    assert found[0] == found[1]
