@@ -261,13 +261,19 @@ def _similar(a: pa.Array, b: pa.Array, size: int, share: int) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, groups: DataFrame, columns: list[str], block: int) -> DataFrame:
-    """(a, b): of each group (``node``, major, n, minority), its rows in blocks, each beside each block of the minority."""
+    """(a, b): of each group (``node``, major, n, minority), its rows in blocks, each beside each block of the minority.
+
+    A group of k blocks has ceil(sqrt(k)) salts: its blocks are dealt over them and those of its minority are repeated for
+    each, so a hot group's comparisons are spread over that many tasks, and what is repeated grows slower than they do."""
     own = rows.join(groups, "node")
+    salts = F.ceil(F.sqrt(F.ceil(F.col("n") / block))).cast("int")
     cut = lambda size: F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / block))
     packed = F.collect_list(F.struct(*columns))
-    every = own.groupBy("node", cut("n").alias("cut")).agg(packed.alias("a")).drop("cut")
-    few = own.filter("component <> major").groupBy("node", cut("minority").alias("cut")).agg(packed.alias("b")).drop("cut")
-    return every.join(few, "node").select("a", "b")
+    every = (own.groupBy("node", cut("n").alias("cut"), salts.alias("salts")).agg(packed.alias("a"))
+             .select("node", F.pmod("cut", "salts").cast("int").alias("salt"), "a"))
+    few = (own.filter("component <> major").groupBy("node", cut("minority").alias("cut"), salts.alias("salts"))
+           .agg(packed.alias("b")).select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "b"))
+    return every.join(few, ["node", "salt"]).select("a", "b")
 
 
 def _node_families(rows: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
