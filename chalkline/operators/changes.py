@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.text import email_ok, normalise_email
 from chalkline.functions.time import add_months_overflow, hours, ts_lit
+from chalkline.operators.redeem import _stored
+from chalkline.session import scratch_path
 from chalkline.sources import schemas as sch
+from chalkline.sources.tables import delete
 
 # Reject reasons.
 TEACHER_NOT_FOUND = "Teacher not found"
@@ -437,10 +440,21 @@ def cancel_subscriptions(schools: DataFrame, codes: DataFrame, cancels: DataFram
 
 # ---- M10 -------------------------------------------------------------------------
 
+#: Types of the feed's columns, for those that a feed leaves untyped (a bare NULL).
+_REQUEST_FEED = {"seq": "long", "kind": "string", "request_id": "long", "teacher_id": "long", "school_id": "long",
+                 "status": "string", "message": "string", "admin_notes": "string"}
+
+
+def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """``df`` with its untyped columns typed, so that it can be written."""
+    void = [c for c, kind in df.dtypes if kind == "void"]
+    return df.withColumns({c: F.col(c).cast(types[c]) for c in void}) if void else df
+
+
 def _judged_creates(creates: DataFrame, held: DataFrame, teachers: DataFrame | None,
-                    schools: DataFrame | None) -> DataFrame:
+                    schools: DataFrame | None, folder: str) -> DataFrame:
     """``creates`` with ``_reason``: unknown teacher, unknown school, or an id that is taken (the first by seq of
-    the otherwise valid creates has it)."""
+    the otherwise valid creates has it). Stored below ``folder``."""
     for table, key in ((teachers, "teacher_id"), (schools, "school_id")):
         flag = F.lit(True).alias(f"_has_{key}")
         if table is None:
@@ -451,10 +465,15 @@ def _judged_creates(creates: DataFrame, held: DataFrame, teachers: DataFrame | N
     refused = (F.when(F.col("_has_teacher_id").isNull(), TEACHER_NOT_FOUND)
                .when(F.col("_has_school_id").isNull(), SCHOOL_NOT_FOUND)
                .when(F.col("_taken").isNotNull(), DUPLICATE_REQUEST))
-    creates = creates.join(taken, "request_id", "left").withColumn("_refused", refused)
+    row = ["seq", "request_id", "teacher_id", "school_id", "message", "ts"]
+    creates = _stored(creates.join(taken, "request_id", "left").select(*row, refused.alias("_refused")),
+                      f"{folder}/refused")
     first = creates.filter(F.col("_refused").isNull()).groupBy("request_id").agg(F.min("seq").alias("_first"))
-    return creates.join(first, "request_id", "left").withColumn(
-        "_reason", F.coalesce("_refused", F.when(F.col("seq") != F.col("_first"), DUPLICATE_REQUEST)))
+    reason = F.coalesce("_refused", F.when(F.col("seq") != F.col("_first"), DUPLICATE_REQUEST))
+    judged = _stored(creates.join(first, "request_id", "left").select(*row, reason.alias("_reason")),
+                     f"{folder}/creates")
+    delete(creates.sparkSession, f"{folder}/refused")
+    return judged
 
 
 def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None, teachers: DataFrame | None = None,
@@ -472,7 +491,8 @@ def apply_request_events(requests: DataFrame, events: DataFrame, as_of=None, tea
     seq) decides status, the last set_status decides admin_notes.
     Returns (new_requests, rejects).
     """
-    _, created, folded, rejects = _judged_request_events(requests, events, as_of, teachers, schools)
+    _, created, folded, rejects = _judged_request_events(requests.select("id", "teacher_id", "school_id"), events,
+                                                         as_of, teachers, schools)
     base = requests.unionByName(created)
     return _with_events(base, base.join(folded, "id", "left")), rejects
 
@@ -484,7 +504,8 @@ def changed_requests(requests: DataFrame, events: DataFrame, as_of=None, teacher
     The same judgement and fold as ``apply_request_events``; rows that the feed does not name are read (the id column)
     but neither joined nor returned. ``sources.runs.Run.change`` stores the rows over the snapshot.
     """
-    held, created, folded, rejects = _judged_request_events(requests, events, as_of, teachers, schools)
+    own = requests.select(*[f.name for f in sch.REQUESTS.fields])
+    held, created, folded, rejects = _judged_request_events(own, events, as_of, teachers, schools)
     base = held.select(created.columns).unionByName(created.withColumn("_new", F.lit(True)), allowMissingColumns=True)
     named = base.join(folded.withColumn("_hit", F.lit(True)), "id", "left").filter("_new or _hit")
     return _with_events(created, named), rejects
@@ -500,13 +521,21 @@ def _with_events(like: DataFrame, j: DataFrame) -> DataFrame:
 
 def _judged_request_events(requests: DataFrame, events: DataFrame, as_of, teachers: DataFrame | None,
                            schools: DataFrame | None):
-    """The stored requests that the feed names, new requests, the last accepted event per request, and rejects."""
-    e = events.select("seq", "kind", "request_id", "teacher_id", "school_id", "status", "message",
-                      "admin_notes", _now(events, as_of).alias("ts"))
+    """The stored requests that the feed names, new requests, the last accepted event per request, and rejects.
+
+    Each step is written below ``spark.checkpoint.dir`` and read again: all of them meet on the request id, so as one
+    plan they would run, some several times over, in the same tasks, and a task would hold the sorts of all the joins.
+    """
+    spark = events.sparkSession
+    folder = scratch_path(spark, "request-events")
+    e = _stored(_typed(events.select(*_REQUEST_FEED, _now(events, as_of).alias("ts")),
+                       {**_REQUEST_FEED, "ts": "timestamp_ntz"}), f"{folder}/feed")
     # only the requests that the feed names are looked up, never the whole fact
-    named = requests.join(e.select(F.col("request_id").alias("id")).distinct(), "id", "left_semi")
+    requests = _typed(requests, {f.name: f.dataType.simpleString() for f in sch.REQUESTS.fields})
+    named = _stored(requests.join(e.select(F.col("request_id").alias("id")).distinct(), "id", "left_semi"),
+                    f"{folder}/named")
     held = named.select("id", F.col("teacher_id").alias("_tid"), F.col("school_id").alias("_sid"))
-    made = _judged_creates(e.filter(F.col("kind") == "create"), held, teachers, schools)
+    made = _judged_creates(e.filter(F.col("kind") == "create"), held, teachers, schools, folder)
     creates = made.filter(F.col("_reason").isNull())
     created = creates.select(
         F.col("request_id").alias("id"), "teacher_id", "school_id", F.col("ts").alias("requested_at"),
@@ -529,7 +558,9 @@ def _judged_request_events(requests: DataFrame, events: DataFrame, as_of, teache
               .when((F.col("kind") == "set_status") & F.col("status").isNull(), STATUS_NULL)
               .when((F.col("kind") == "set_status") & ~F.col("status").isin(*sch.REQUEST_STATUSES), INVALID_STATUS)
               .when(~F.col("kind").isin("set_status", "close"), F.lit("unknown event kind")))
-    upd = upd.withColumn("_reason", reason)
+    upd = _stored(upd.select("seq", "kind", "request_id", "status", "admin_notes", reason.alias("_reason")),
+                  f"{folder}/updates")
+    delete(spark, f"{folder}/feed")
     rejects = (_rejects(upd.filter(F.col("_reason").isNotNull()), "request_id", F.col("_reason"))
                .unionByName(_rejects(made.filter(F.col("_reason").isNotNull()), "request_id", F.col("_reason"))))
     ok = upd.filter(F.col("_reason").isNull())
