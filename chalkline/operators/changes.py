@@ -445,7 +445,7 @@ _REQUEST_FEED = {"seq": "long", "kind": "string", "request_id": "long", "teacher
                  "status": "string", "message": "string", "admin_notes": "string"}
 
 
-def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
+def _typed_columns(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """``df`` with its untyped columns typed, so that it can be written."""
     void = [c for c, kind in df.dtypes if kind == "void"]
     return df.withColumns({c: F.col(c).cast(types[c]) for c in void}) if void else df
@@ -528,10 +528,10 @@ def _judged_request_events(requests: DataFrame, events: DataFrame, as_of, teache
     """
     spark = events.sparkSession
     folder = scratch_path(spark, "request-events")
-    e = _stored(_typed(events.select(*_REQUEST_FEED, _now(events, as_of).alias("ts")),
-                       {**_REQUEST_FEED, "ts": "timestamp_ntz"}), f"{folder}/feed")
+    e = _stored(_typed_columns(events.select(*_REQUEST_FEED, _now(events, as_of).alias("ts")),
+                               {**_REQUEST_FEED, "ts": "timestamp_ntz"}), f"{folder}/feed")
     # only the requests that the feed names are looked up, never the whole fact
-    requests = _typed(requests, {f.name: f.dataType.simpleString() for f in sch.REQUESTS.fields})
+    requests = _typed_columns(requests, {f.name: f.dataType.simpleString() for f in sch.REQUESTS.fields})
     named = _stored(requests.join(e.select(F.col("request_id").alias("id")).distinct(), "id", "left_semi"),
                     f"{folder}/named")
     held = named.select("id", F.col("teacher_id").alias("_tid"), F.col("school_id").alias("_sid"))

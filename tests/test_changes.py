@@ -231,3 +231,16 @@ def test_updated_at_is_the_time_of_the_last_patch_by_seq(spark):
     new, _ = C.apply_teacher_patches(t, spark.createDataFrame(
         [(1, 1, {"bio": "a"}, late), (2, 1, {"bio": "b"}, early)], PATCH))
     assert (new.first().bio, new.first().updated_at) == ("b", early)
+
+
+def test_patch_texts_become_the_types_of_their_columns(spark):
+    t = H.teachers(spark, [{"id": 1, "years_experience": 3, "is_visible_in_school_portal": False}, {"id": 2, "phone": "1"}])
+    p = spark.createDataFrame([
+        (1, 1, {"will_move_sem1": " TRUE ", "will_move_sem2": "true", "is_visible_in_school_portal": "true"}, AS_OF),
+        (2, 1, {"will_move_sem2": "False", "years_experience": None, "phone": "007"}, AS_OF),
+        (3, 2, {"years_experience": "12", "phone": None}, AS_OF),
+    ], PATCH)
+    new, rej = C.apply_teacher_patches(t, p)
+    assert rej.count() == 0 and new.dtypes == t.dtypes
+    assert {x.id: (x.will_move_sem1, x.will_move_sem2, x.is_visible_in_school_portal, x.years_experience, x.phone)
+            for x in new.collect()} == {1: (True, False, True, None, "007"), 2: (False, False, True, 12, None)}
