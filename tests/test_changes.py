@@ -244,3 +244,18 @@ def test_patch_texts_become_the_types_of_their_columns(spark):
     assert rej.count() == 0 and new.dtypes == t.dtypes
     assert {x.id: (x.will_move_sem1, x.will_move_sem2, x.is_visible_in_school_portal, x.years_experience, x.phone)
             for x in new.collect()} == {1: (True, False, True, None, "007"), 2: (False, False, True, 12, None)}
+
+
+def test_every_patch_is_applied_or_rejected_once(spark):
+    t = H.teachers(spark, [{"id": 1}, {"id": 2}])
+    p = spark.createDataFrame([
+        (1, 1, {"bio": "b"}, AS_OF), (2, 9, {"bio": "b"}, AS_OF), (3, None, {"bio": "b"}, AS_OF),
+        (4, 2, {"is_visible_in_school_portal": "perhaps", "bio": "b"}, AS_OF), (5, 2, {}, AS_OF),
+        (6, 9, {"full_name": None}, AS_OF), (7, 2, {"email": None}, AS_OF),
+    ], PATCH)
+    new, rej = C.apply_teacher_patches(t, p)
+    assert rej.columns == ["seq", "key", "reason"]
+    assert sorted(map(tuple, rej.collect())) == [
+        (2, "9", C.TEACHER_NOT_FOUND), (3, None, C.TEACHER_NOT_FOUND), (4, "2", C.INVALID_VALUE),
+        (6, "9", C.TEACHER_NOT_FOUND), (7, "2", C.INVALID_VALUE)]
+    assert {x.id: x.bio for x in new.collect()} == {1: "b", 2: None}
