@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from chalkline.operators import changes as C
+from chalkline.operators import directory as D
 from tests import helpers as H
 
 AS_OF = H.AS_OF
@@ -259,3 +260,17 @@ def test_every_patch_is_applied_or_rejected_once(spark):
         (2, "9", C.TEACHER_NOT_FOUND), (3, None, C.TEACHER_NOT_FOUND), (4, "2", C.INVALID_VALUE),
         (6, "9", C.TEACHER_NOT_FOUND), (7, "2", C.INVALID_VALUE)]
     assert {x.id: x.bio for x in new.collect()} == {1: "b", 2: None}
+
+
+def test_region_list_follows_the_patches(spark):
+    t = H.teachers(spark, [{"id": i, "current_region": r} for i, r in
+                           ((1, None), (2, "Region 3"), (3, "Region 3"), (4, None), (5, "Region 3"), (6, None))])
+    p = spark.createDataFrame([
+        (1, 1, {"current_region": "Region 3", "years_experience": "5"}, AS_OF),
+        (2, 2, {"current_region": "Region 4"}, AS_OF), (3, 3, {"is_visible_in_school_portal": "false"}, AS_OF),
+        (4, 4, {"current_region": "Region 3"}, AS_OF), (5, 4, {"current_region": None}, AS_OF),
+        (6, 6, {"current_region": "Region 3", "profile_status": "RETIRED"}, AS_OF),
+    ], PATCH)
+    out = D.portal_teacher_list(C.apply_teacher_patches(t, p)[0], region="Region 3")
+    assert out.columns == D.PORTAL_LIST_COLUMNS
+    assert sorted((x.id, x.years_experience) for x in out.collect()) == [(1, 5), (5, None)]
